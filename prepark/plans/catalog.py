@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import pii as E
 from ..operators import profile as P
 from ..operators.columns import trim_columns
 from ..plans.cleaning import clean_records, clean_table
+from ..session import scratch_path
+from ..sources import audit as AU
+from ..sources import files as IO
+from ..sources.records import parse_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -193,3 +198,69 @@ def q_quality_report(spark, d):
     cleaned, _ = clean_table(raw)
     return P.quality_report(P.summary_stats(raw), P.summary_stats(cleaned),
                             P.column_summary(raw, order_by="event_id"))
+
+
+# ----------------------------------------------------------------------- PII
+@query("pii_detect")
+def q_pii_detect(spark, d):
+    out = E.pii_detect(table(spark, d, "documents"), order_by="doc_id")
+    return out.select("column", "count_examples", F.array_join("examples", " || ").alias("examples"))
+
+
+@query("pii_detect_pages")
+def q_pii_detect_pages(spark, d):
+    out = E.pii_detect(table(spark, d, "pages"), order_by="page_id")
+    return out.select("column", "count_examples", F.array_join("examples", " || ").alias("examples"))
+
+
+@query("pii_detect_conversations")
+def q_pii_detect_conversations(spark, d):
+    out = E.pii_detect(table(spark, d, "conversations"), order_by=["conv_id", "turn"])
+    return out.select("column", "count_examples", F.array_join("examples", " || ").alias("examples"))
+
+
+@query("pii_counts")
+def q_pii_counts(spark, d):
+    return E.pii_counts(table(spark, d, "documents"))
+
+
+@query("pii_mask")
+def q_pii_mask(spark, d):
+    return E.pii_mask(table(spark, d, "documents").select("doc_id", "text"), ["text"])
+
+
+# ------------------------------------------------------------ sources, sinks
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, d):
+    """A5 write then A1 read of ``part``; integers come back as bigint."""
+    path = scratch_path(spark, "part-csv")
+    IO.write_table(table(spark, d, "part"), path, fmt="csv")
+    return IO.read_table(spark, path, fmt="csv")
+
+
+@query("json_props")
+def q_json_props(spark, d):
+    """A4: the JSON payload's key union as typed columns."""
+    return parse_records(table(spark, d, "events"), "props", keep=["event_id"])
+
+
+@query("audit_tail")
+def q_audit_tail(spark, d):
+    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return AU.audit_tail(ev, 10, ts_col="ts", tie_col="event_id")
+
+
+@query("audit_state")
+def q_audit_state(spark, d):
+    ev = table(spark, d, "events")
+    return AU.audit_state(ev, "user_id", action_col="event_type", ts_col="ts", tie_col="event_id")
+
+
+@query("union_by_name")
+def q_union_by_name(spark, d):
+    return IO.union_by_name(table(spark, d, "customer"), table(spark, d, "supplier"))
+
+
+@query("preview")
+def q_preview(spark, d):
+    return IO.preview(table(spark, d, "orders"), n_rows=8, n_cols=8, order_by="o_orderkey")

@@ -199,4 +199,45 @@ UNION ALL SELECT 'column_summary', "column", 'n_unique', CAST(n_unique AS VARCHA
 UNION ALL SELECT 'column_summary', "column", 'sample_values', sample_values FROM summ"""
 
 
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"\+?\d[\d\s\-]{6,}\d"
+AADHAR = r"\b\d{4}\s?\d{4}\s?\d{4}\b"
+
+
+def sql_pii_detect(tab: str, cols: list[str], order: str, sample: int = 300, preview: int = 5) -> str:
+    u = "\nUNION ALL ".join(f"SELECT {_q(c)} AS \"column\", {order} AS o, CAST({c} AS VARCHAR) AS v "
+                            f"FROM {tab} WHERE {c} IS NOT NULL" for c in cols)
+    any_match = " OR ".join(f"regexp_matches(v, {_q(p)})" for p in (EMAIL, PHONE, AADHAR))
+    return f"""WITH u AS ({u}),
+s AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY o) AS rn FROM u),
+m AS (SELECT "column", v, min(o) AS f FROM s WHERE rn <= {sample} AND ({any_match}) GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY f) AS r FROM m)
+SELECT "column", count(*) AS count_examples, string_agg(v, ' || ' ORDER BY r) AS examples
+FROM t WHERE r <= {preview} GROUP BY 1"""
+
+
+def _register_pii_and_sources():
+    O = ORACLE
+    O["pii_detect"] = sql_pii_detect("documents", ["text", "lang", "source"], "doc_id")
+    O["pii_detect_pages"] = sql_pii_detect("pages", ["url", "html"], "page_id")
+    O["pii_detect_conversations"] = sql_pii_detect("conversations", ["role", "text"], "(conv_id, turn)")
+    O["pii_counts"] = "\nUNION ALL ".join(
+        f"SELECT {_q(c)} AS \"column\", {_q(name)} AS pattern, count(*) FILTER (WHERE regexp_matches({c}, {_q(p)})) "
+        f"AS n_match FROM documents"
+        for c in ["text", "lang", "source"]
+        for name, p in (("email", EMAIL), ("phone_international", PHONE), ("aadhar_like", AADHAR)))
+    O["pii_mask"] = (f"SELECT doc_id, regexp_replace(regexp_replace(text, {_q(EMAIL)}, '[EMAIL_MASKED]', 'g'), "
+                     f"{_q(AADHAR)}, '[PII_MASKED]', 'g') AS text FROM documents")
+    O["csv_roundtrip"] = ("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, "
+                          "p_retailprice FROM part")
+    O["json_props"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+    O["audit_tail"] = "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10"
+    O["audit_state"] = """SELECT user_id, event_type AS state, ts AS since, event_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+    O["union_by_name"] = "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier"
+    O["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8"
+
+
 _register()
+_register_pii_and_sources()
