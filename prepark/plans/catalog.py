@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import metrics as M
+from ..operators import recommend as G
+from ..operators import routes as H
+from ..operators import sensors as S
 from ..operators import pii as E
 from ..operators import profile as P
 from ..operators.columns import trim_columns
@@ -264,3 +268,108 @@ def q_union_by_name(spark, d):
 @query("preview")
 def q_preview(spark, d):
     return IO.preview(table(spark, d, "orders"), n_rows=8, n_cols=8, order_by="o_orderkey")
+
+
+# ------------------------------------------------------- recommender, graph
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer x part ratings (total quantity) from orders joined to lineitem."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return (li.join(od, li.l_orderkey == od.o_orderkey)
+            .groupBy(F.col("o_custkey").alias("custkey"), F.col("l_partkey").alias("partkey"))
+            .agg(F.sum("l_quantity").alias("rating")))
+
+
+def first_customer(spark: SparkSession, sf_dir: str):
+    """The query user: the customer of the first order (one scalar)."""
+    return table(spark, sf_dir, "orders").agg(F.min_by("o_custkey", "o_orderkey")).first()[0]
+
+
+@query("user_similarity")
+def q_user_similarity(spark, d):
+    sims = G.user_similarity(purchases(spark, d), first_customer(spark, d), "custkey", "partkey", "rating")
+    return rounded(sims)
+
+
+@query("recommend")
+def q_recommend(spark, d):
+    top = G.recommend(purchases(spark, d), first_customer(spark, d), 10, "custkey", "partkey", "rating")
+    return rounded(top, 4)
+
+
+@query("similar_items")
+def q_similar_items(spark, d):
+    emb = table(spark, d, "embeddings")
+    first = emb.agg(F.min("vec_id")).first()[0]
+    return rounded(G.similar_items(emb, first, 10, id_col="vec_id", vec_col="embedding"))
+
+
+@query("matrix_long")
+def q_matrix_long(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return G.matrix_long(part, "p_partkey", user_col="row_key", item_col="col_key", rating_col="value")
+
+
+def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier nation -> customer nation, one row per line item."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return (li.join(su, li.l_suppkey == su.s_suppkey).join(od, li.l_orderkey == od.o_orderkey)
+            .join(cu, od.o_custkey == cu.c_custkey)
+            .select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target"),
+                    F.col("l_extendedprice").alias("weight"), "l_orderkey", "l_linenumber"))
+
+
+@query("edges")
+def q_edges(spark, d):
+    # (l_orderkey, l_linenumber) repeats in this data; the weight breaks the remaining ties
+    return H.build_graph(nation_edges(spark, d), order_by=["l_orderkey", "l_linenumber", "weight"])
+
+
+@query("shortest_route")
+def q_shortest_route(spark, d):
+    e = nation_edges(spark, d).where((F.col("target") - F.col("source")).isin(1, 2))
+    graph = (e.groupBy(F.col("source").cast("string").alias("src"), F.col("target").cast("string").alias("dst"))
+             .agg(F.round(F.min("weight"), 2).alias("weight")))
+    route = H.shortest_route(graph, 0, 12)
+    return route.select("origin", "destination", F.array_join("path", ">").alias("path"),
+                        F.round("length", 2).alias("length"))
+
+
+# ------------------------------------------------------------ sensors, metrics
+@query("sensor_features")
+def q_sensor_features(spark, d):
+    li = table(spark, d, "lineitem")
+    return rounded(S.sensor_features(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+@query("sensor_windows")
+def q_sensor_windows(spark, d):
+    ev = events_k(spark, d)
+    return rounded(S.sensor_windows(ev, "ts", "1 day", device_col="user_id", columns=["value", "k"]))
+
+
+@query("split_mod")
+def q_split_mod(spark, d):
+    od = table(spark, d, "orders").select("o_orderkey")
+    return od.select("o_orderkey", M.split_column(F.col("o_orderkey"), 0.2, method="mod").alias("split"))
+
+
+def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return table(spark, sf_dir, "labels").join(docs, on="doc_id")
+
+
+@query("accuracy")
+def q_accuracy(spark, d):
+    j = labelled_docs(spark, d).select(F.col("quality").alias("label"),
+                                        (F.col("n_chars") > 2000).cast("int").alias("prediction"))
+    return rounded(M.accuracy(j))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, d):
+    j = labelled_docs(spark, d).select(F.col("quality").alias("label"), F.col("n_chars").alias("score"))
+    return rounded(M.roc_auc(j))

@@ -239,5 +239,85 @@ def _register_pii_and_sources():
     O["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8"
 
 
+PURCHASES = """SELECT o.o_custkey AS custkey, l.l_partkey AS partkey, sum(l.l_quantity) AS rating
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2"""
+
+SIMS = f"""r AS ({PURCHASES}),
+t AS (SELECT arg_min(o_custkey, o_orderkey) AS u FROM orders),
+q AS (SELECT partkey, rating AS qr FROM r WHERE custkey = (SELECT u FROM t)),
+qn AS (SELECT sqrt(sum(qr * qr)) AS n FROM q),
+pu AS (SELECT r.custkey, sum(r.rating * coalesce(q.qr, 0)) AS dot, sqrt(sum(r.rating * r.rating)) AS norm
+       FROM r LEFT JOIN q USING (partkey) GROUP BY 1),
+sims AS (SELECT custkey, CASE WHEN norm * (SELECT n FROM qn) > 0 THEN dot / (norm * (SELECT n FROM qn)) ELSE 0 END
+         AS similarity FROM pu)"""
+
+NATION_EDGES = """SELECT s.s_nationkey AS source, c.c_nationkey AS target, l.l_extendedprice AS weight,
+       l.l_orderkey, l.l_linenumber
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON o.o_custkey = c.c_custkey"""
+
+
+def _mean_skip_null(xs: list[str]) -> str:
+    num = " + ".join(f"coalesce({x}, 0)" for x in xs)
+    den = " + ".join(f"CAST({x} IS NOT NULL AS INTEGER)" for x in xs)
+    return f"(({num}) / nullif({den}, 0))"
+
+
+def _register_joins_and_models():
+    O = ORACLE
+    O["user_similarity"] = f"WITH {SIMS}\nSELECT custkey, round(similarity, 6) AS similarity FROM sims"
+    O["recommend"] = f"""WITH {SIMS},
+c AS (SELECT r.partkey, sum(s.similarity * r.rating) AS score FROM r JOIN sims s USING (custkey)
+      WHERE s.similarity <> 0 GROUP BY 1),
+items AS (SELECT DISTINCT partkey FROM r)
+SELECT partkey, round(coalesce(score, 0), 4) AS score FROM items LEFT JOIN c USING (partkey)
+ORDER BY coalesce(score, 0) DESC, partkey LIMIT 10"""
+    O["similar_items"] = """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)), 6) AS similarity
+FROM embeddings WHERE vec_id <> (SELECT min(vec_id) FROM embeddings)
+ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)) DESC, vec_id LIMIT 10"""
+    O["matrix_long"] = """SELECT p_partkey AS row_key, 'p_size' AS col_key, CAST(p_size AS DOUBLE) AS value
+FROM part WHERE coalesce(p_size, 0) <> 0
+UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE coalesce(p_retailprice, 0) <> 0"""
+    O["edges"] = f"""SELECT CAST(source AS VARCHAR) AS src, CAST(target AS VARCHAR) AS dst, CAST(weight AS DOUBLE) AS weight
+FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY l_orderkey DESC, l_linenumber DESC, weight DESC) AS rn
+      FROM ({NATION_EDGES})) WHERE rn = 1"""
+    O["shortest_route"] = f"""WITH RECURSIVE e AS (
+  SELECT CAST(source AS VARCHAR) AS src, CAST(target AS VARCHAR) AS dst, round(min(weight), 2) AS weight
+  FROM ({NATION_EDGES}) WHERE target - source IN (1, 2) GROUP BY 1, 2),
+p(node, dist, path) AS (
+  SELECT '0', CAST(0 AS DOUBLE), ['0']
+  UNION ALL SELECT e.dst, p.dist + e.weight, list_append(p.path, e.dst) FROM p JOIN e ON p.node = e.src)
+SELECT '0' AS origin, '12' AS destination, array_to_string(path, '>') AS path, round(dist, 2) AS length
+FROM p WHERE node = '12' ORDER BY dist, path LIMIT 1"""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    O["sensor_features"] = f"""WITH a AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}, max({c}) AS hi{i}, min({c}) AS lo{i}" for i, c in enumerate(cols))} FROM lineitem)
+SELECT round({_mean_skip_null([f"m{i}" for i in range(4)])}, 6) AS mean_all,
+       round({_mean_skip_null([f"s{i}" for i in range(4)])}, 6) AS std_all,
+       round(greatest({", ".join(f"hi{i}" for i in range(4))}), 6) AS max_all,
+       round(least({", ".join(f"lo{i}" for i in range(4))}), 6) AS min_all,
+       round({_mean_skip_null([f"m{i}" for i in range(4)])}, 6) AS mean_of_means FROM a"""
+    O["sensor_windows"] = f"""WITH a AS (
+  SELECT date_trunc('day', ts) AS window_start, user_id,
+         avg(value) AS m0, stddev_samp(value) AS s0, max(value) AS hi0, min(value) AS lo0,
+         avg(CAST(k AS DOUBLE)) AS m1, stddev_samp(CAST(k AS DOUBLE)) AS s1, max(CAST(k AS DOUBLE)) AS hi1,
+         min(CAST(k AS DOUBLE)) AS lo1
+  FROM ({EV_K}) GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, user_id,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_all, round({_mean_skip_null(["s0", "s1"])}, 6) AS std_all,
+       round(greatest(hi0, hi1), 6) AS max_all, round(least(lo0, lo1), 6) AS min_all,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_of_means FROM a"""
+    O["split_mod"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders"
+    LD = "SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+    O["accuracy"] = f"""SELECT round(avg(CAST(CAST(n_chars > 2000 AS INTEGER) = quality AS DOUBLE)), 6) AS accuracy,
+       count(*) AS n_rows FROM ({LD})"""
+    O["roc_auc"] = f"""WITH g AS (SELECT CAST(n_chars AS DOUBLE) AS s, CAST(sum(quality) AS DOUBLE) AS pos,
+                  CAST(count(*) - sum(quality) AS DOUBLE) AS neg FROM ({LD}) GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) END, 6)
+       AS roc_auc FROM c"""
+
+
 _register()
 _register_pii_and_sources()
+_register_joins_and_models()
