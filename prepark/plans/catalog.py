@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import iforest as IF
+from ..operators import models as ML
 from ..operators import metrics as M
 from ..operators import recommend as G
 from ..operators import routes as H
@@ -373,3 +375,39 @@ def q_accuracy(spark, d):
 def q_roc_auc(spark, d):
     j = labelled_docs(spark, d).select(F.col("quality").alias("label"), F.col("n_chars").alias("score"))
     return rounded(M.roc_auc(j))
+
+
+# ------------------------------------------------------------ models (rows-only)
+@query("logistic")
+def q_logistic(spark, d):
+    """fit on documents x labels (numeric columns, target quality), then
+    score every labelled document."""
+    j = labelled_docs(spark, d).select("doc_id", "n_chars", "toxic", "quality")
+    model, _metrics = ML.train_logistic(j, target="quality", key="doc_id")
+    return ML.predict(model, j).select("doc_id", "quality", "prediction", F.round("risk", 6).alias("risk"))
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, d):
+    """Train on events (value, k), score all events, keep flagged rows."""
+    ev = events_k(spark, d).select("event_id", "value", "k")
+    model = IF.fit_isolation_forest(ev.select("value", "k"))
+    return IF.flagged_rows(model.score(ev)).select("event_id", "value", "k", F.round("score", 6).alias("score"))
+
+
+def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 features per user-day, with target 1 when the day had an error event."""
+    ev = events_k(spark, sf_dir)
+    feats = S.sensor_windows(ev, "ts", "1 day", device_col="user_id", columns=["value", "k"])
+    target = (ev.groupBy(F.window("ts", "1 day").start.alias("window_start"), "user_id")
+              .agg(F.max((F.col("event_type") == "error").cast("int")).alias("target")))
+    return feats.join(target, on=["window_start", "user_id"]).na.fill(0.0, ["std_all"])
+
+
+@query("forest_risk")
+def q_forest_risk(spark, d):
+    """Random forest on user-day sensor features; risk = P(class 1)."""
+    data = window_features(spark, d)
+    feats = ["mean_all", "std_all", "max_all", "min_all"]
+    model = ML.train_forest(data, "target", feats)
+    return ML.predict(model, data).select("window_start", "user_id", "target", F.round("risk", 6).alias("risk"))
