@@ -25,6 +25,7 @@ from ..operators import profile as P
 from ..operators.columns import trim_columns
 from ..plans.cleaning import clean_records, clean_table
 from ..session import scratch_path
+from ..streaming import streams as J
 from ..sources import audit as AU
 from ..sources import files as IO
 from ..sources.records import parse_records
@@ -411,3 +412,44 @@ def q_forest_risk(spark, d):
     feats = ["mean_all", "std_all", "max_all", "min_all"]
     model = ML.train_forest(data, "target", feats)
     return ML.predict(model, data).select("window_start", "user_id", "target", F.round("risk", 6).alias("risk"))
+
+
+# ------------------------------------------------------- streaming (rows-only)
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sf_dir.rstrip("/")
+    schema = table(spark, d, "events").schema
+    return J.file_stream(spark, f"{d}/events*.parquet", schema, base_path=d)
+
+
+@query("stream_clean")
+def q_stream_clean(spark, d):
+    """C6 on each micro-batch of the events file stream (gaps injected as in batch)."""
+    s = events_stream(spark, d)
+    eid = F.col("event_id")
+    s = s.select("event_id", "user_id", F.when(eid % 5 != 1, F.col("event_type")).alias("event_type"),
+                 F.when(eid % 7 != 0, F.col("value")).alias("value"),
+                 F.when(eid % 11 != 3, F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
+    sink, ckpt = scratch_path(spark, "stream-clean"), scratch_path(spark, "stream-clean-ckpt")
+    J.clean_stream(s, sink, ckpt, order_by="event_id").awaitTermination()
+    return spark.read.parquet(sink).drop("_epoch")
+
+
+@query("stream_windows")
+def q_stream_windows(spark, d):
+    """Daily features per event type, 1 hour watermark, append mode."""
+    s = events_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    out = J.window_features_stream(s, "ts", "1 day", device_col="event_type", columns=["value", "k"],
+                                   watermark="1 hour")
+    sink, ckpt = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-windows-ckpt")
+    J.run_to_table(out, sink, ckpt)
+    return rounded(spark.read.parquet(sink))
+
+
+@query("stream_dedupe")
+def q_stream_dedupe(spark, d):
+    """(user_id, event_type) repeats dropped within a 40 day watermark."""
+    s = events_stream(spark, d).select("user_id", "event_type", "ts")
+    out = J.dedupe_stream(s, ["user_id", "event_type"], "ts", "40 days")
+    sink, ckpt = scratch_path(spark, "stream-dedupe"), scratch_path(spark, "stream-dedupe-ckpt")
+    J.run_to_table(out, sink, ckpt)
+    return spark.read.parquet(sink).select("user_id", "event_type")

@@ -318,6 +318,28 @@ SELECT round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5
        AS roc_auc FROM c"""
 
 
+
+def _register_streams():
+    O = ORACLE
+    # one input file = one micro-batch, so per-batch statistics are whole-table statistics
+    O["stream_clean"] = O["clean_records"]
+    # every event lies within the 40 day watermark, so the stream keeps each key once
+    O["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+    # append mode emits a window once the watermark (max event time - 1 hour) passes its end
+    O["stream_windows"] = f"""WITH a AS (
+  SELECT date_trunc('day', ts) AS window_start, event_type,
+         avg(value) AS m0, stddev_samp(value) AS s0, max(value) AS hi0, min(value) AS lo0,
+         avg(CAST(k AS DOUBLE)) AS m1, stddev_samp(CAST(k AS DOUBLE)) AS s1, max(CAST(k AS DOUBLE)) AS hi1,
+         min(CAST(k AS DOUBLE)) AS lo1
+  FROM ({EV_K}) GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_all, round({_mean_skip_null(["s0", "s1"])}, 6) AS std_all,
+       round(greatest(hi0, hi1), 6) AS max_all, round(least(lo0, lo1), 6) AS min_all,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_of_means FROM a
+WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+
 _register()
 _register_pii_and_sources()
 _register_joins_and_models()
+_register_streams()
