@@ -89,8 +89,15 @@ def with_file_order(df: DataFrame, name: str = ORDER_COL) -> DataFrame:
 
     ``monotonically_increasing_id`` alone follows partition numbering, which
     does not follow file order when small files are packed together; prefixing
-    it with the file path and the split start does.
+    it with the file path and the split start does. Frames that do not come
+    from files (in-memory, ``range``) keep their partition order.
     """
+    try:
+        df.select("_metadata.file_path").schema
+    except Exception:  # noqa: BLE001 - not a file source
+        # the partition id is a contiguous block of this order, so C5 still splits work per partition
+        return df.withColumn(name, F.struct(F.lit("").alias("file"), F.spark_partition_id().cast("bigint").alias("block"),
+                                            F.monotonically_increasing_id().alias("row")))
     return df.withColumn(
         name,
         F.struct(
