@@ -165,17 +165,45 @@ def prefix_sums(df: DataFrame, columns: list[str], order: Column,
     )
 
 
+# Spark's exact ``percentile`` keeps one map entry per distinct value and merges
+# the maps in one task; under this many distinct values that map is small.
+MAX_EXACT_DISTINCT = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    n_blocks: int | None = None) -> DataFrame:
+                    n_blocks: int | None = None, max_exact_distinct: int = MAX_EXACT_DISTINCT) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
-    Spark's ``percentile`` keeps a map of every distinct value and merges it in
-    one task for a global aggregate. Here the distinct values are counted with
-    a partial aggregate, ranked by blockwise running counts, and only the rows
-    holding the wanted ranks are kept: every step is distributed.
+    One HLL pass (``approx_count_distinct``) sorts the columns by size:
+    columns with at most ``max_exact_distinct`` distinct values use Spark's
+    exact ``percentile`` in one aggregate (its per-value map is then bounded);
+    larger columns use the distributed path -- distinct values counted with a
+    partial aggregate, ranked by blockwise running counts, and only the rows
+    holding the wanted ranks kept -- so no task ever holds a whole column.
 
     Returns ``(column, prob, value)``; an all-missing column has no rows.
     """
+    clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
+    nd = df.agg(*[F.approx_count_distinct(clean[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    # HLL error is a few percent: leave head room below the bound
+    small = [c for i, c in enumerate(columns) if nd[f"d{i}"] <= max_exact_distinct * 0.9]
+    big = [c for c in columns if c not in small]
+    parts = []
+    if small:
+        agg = df.agg(*[F.percentile(clean[c], [float(p) for p in probs]).alias(f"q{i}") for i, c in enumerate(small)])
+        parts.append(agg.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"q{i}")[j].alias("value"))
+            for i, c in enumerate(small) for j, p in enumerate(probs)])).alias("s")).select("s.*")
+            .where(F.col("value").isNotNull()))
+    if big:
+        parts.append(_blocked_quantiles(df, big, probs, n_blocks))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _blocked_quantiles(df: DataFrame, columns: list[str], probs: list[float], n_blocks: int | None) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("v")) for c in columns
     ])).alias("kv")).select("kv.column", "kv.v").where(F.col("v").isNotNull() & ~F.isnan("v"))

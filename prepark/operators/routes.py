@@ -55,7 +55,10 @@ def shortest_route(graph: DataFrame, origin, destination, checkpoint: bool = Tru
     if origin == destination:
         return spark.createDataFrame([(origin, destination, [origin], 0.0)],
                                      "origin string, destination string, path array<string>, length double")
+    # the edge table is read every round: write it once to the shared checkpoint folder
     edges = graph.select("src", "dst", "weight")
+    if checkpoint:
+        edges = materialize(edges)
     best = spark.createDataFrame([(origin, 0.0, [origin])], "node string, dist double, path array<string>")
     frontier = best
     bound = None  # best known distance to the destination

@@ -94,3 +94,16 @@ def test_scan_prunes_columns(spark):
     out = C.three_sigma(table(spark, SF01, "lineitem").select("l_quantity"))
     plan = _plan(out)
     assert "ReadSchema: struct<l_quantity:double>" in plan
+
+
+@pytest.mark.parametrize("blocks", [1, 5, 33])
+def test_blocked_quantiles_equal_percentile(spark, blocks):
+    from prepark.operators.ordered import exact_quantiles
+    li = table(spark, SF01, "lineitem").select("l_quantity", "l_extendedprice", "l_orderkey")
+    cols, probs = ["l_quantity", "l_extendedprice", "l_orderkey"], [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    direct = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(li, cols, probs).collect()}
+    blocked = {(r["column"], r["prob"]): r["value"]
+               for r in exact_quantiles(li, cols, probs, n_blocks=blocks, max_exact_distinct=0).collect()}
+    assert direct.keys() == blocked.keys()
+    for k in direct:
+        assert abs(direct[k] - blocked[k]) <= 1e-9 * max(1.0, abs(direct[k])), k
