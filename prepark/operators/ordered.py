@@ -109,8 +109,9 @@ def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
         key_when_present = F.when(qcol(c).isNotNull(), order)
         aggs.append(F.max_by(qcol(c), key_when_present).alias(f"_tail_{i}"))
         aggs.append(F.min_by(qcol(c), key_when_present).alias(f"_head_{i}"))
-    # aggregating ``local`` on its own window keys reuses the window's exchange
-    per_block = local.groupBy(*gcols, *blk_cols).agg(*aggs)
+    # aggregated from the input, not from ``local``: the aggregate is partial, so
+    # its exchange carries one row per (partition, block), not the data again
+    per_block = df.groupBy(*gcols, *blk_cols).agg(*aggs)
     across = Window.partitionBy(*gcols).orderBy(*blk_cols)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -150,7 +151,7 @@ def prefix_sums(df: DataFrame, columns: list[str], order: Column,
         *[qcol(c) for c in src_cols], *blk_cols,
         *[F.sum(qcol(c)).over(in_block).alias(f"_loc_{i}") for i, c in enumerate(columns)],
     )
-    per_block = local.groupBy(*gcols, *blk_cols).agg(
+    per_block = df.groupBy(*gcols, *blk_cols).agg(
         *[F.sum(qcol(c)).alias(f"_tot_{i}") for i, c in enumerate(columns)])
     before = Window.partitionBy(*gcols).orderBy(*blk_cols).rowsBetween(Window.unboundedPreceding, -1)
     small = per_block.select(
