@@ -172,7 +172,8 @@ MAX_EXACT_DISTINCT = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    n_blocks: int | None = None, max_exact_distinct: int = MAX_EXACT_DISTINCT) -> DataFrame:
+                    n_blocks: int | None = None, max_exact_distinct: int = MAX_EXACT_DISTINCT,
+                    distinct: dict[str, int] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
     One HLL pass (``approx_count_distinct``) sorts the columns by size:
@@ -182,12 +183,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     partial aggregate, ranked by blockwise running counts, and only the rows
     holding the wanted ranks kept -- so no task ever holds a whole column.
 
-    Returns ``(column, prob, value)``; an all-missing column has no rows.
+    ``distinct`` may pass approximate distinct counts a caller already has
+    (saving the HLL pass). Returns ``(column, prob, value)``; an all-missing
+    column has no rows.
     """
     clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
-    nd = df.agg(*[F.approx_count_distinct(clean[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    if distinct is None or any(c not in distinct for c in columns):
+        row = df.agg(*[F.approx_count_distinct(clean[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+        distinct = {c: row[f"d{i}"] for i, c in enumerate(columns)}
     # HLL error is a few percent: leave head room below the bound
-    small = [c for i, c in enumerate(columns) if nd[f"d{i}"] <= max_exact_distinct * 0.9]
+    small = [c for c in columns if distinct[c] <= max_exact_distinct * 0.9]
     big = [c for c in columns if c not in small]
     parts = []
     if small:

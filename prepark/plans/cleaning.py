@@ -30,7 +30,7 @@ def clean_table(df: DataFrame, strategy: dict | None = None, approx: bool = Fals
     for c, n in plan["missing"].items():
         v = plan["fill"].get(c)
         filled = v is not None and not (isinstance(v, tuple) and v[1] is None)
-        after_missing[c] = 0 if filled else n
+        after_missing[c] = 0 if (filled or n == 0) else n
     after = {"rows": plan["rows"], "cols": len(df.columns), "missing": after_missing}
     return cleaned, {"before": before, "after": after}
 
