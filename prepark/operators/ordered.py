@@ -13,6 +13,8 @@ exact quantiles of C1/D5.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,11 +140,15 @@ def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
 
 def prefix_sums(df: DataFrame, columns: list[str], order: Column,
                 partition_by: list[str] | None = None, n_blocks: int | None = None,
-                suffix: str = "_cum") -> DataFrame:
+                suffix: str = "_cum", blocks: list[str] | None = None) -> DataFrame:
     """Inclusive running sums of ``columns`` in ``order`` (per ``partition_by``),
-    computed blockwise. Adds ``<col><suffix>`` columns."""
-    src_cols = df.columns
-    df, blk_names = assign_blocks(df, order, n_blocks)
+    computed blockwise. Adds ``<col><suffix>`` columns. ``blocks`` names block
+    columns the caller already assigned (contiguous in ``order`` per group)."""
+    src_cols = [c for c in df.columns if c not in (blocks or [])]
+    if blocks:
+        blk_names = list(blocks)
+    else:
+        df, blk_names = assign_blocks(df, order, n_blocks)
     blk_cols = [F.col(c) for c in blk_names]
     gcols = _group_cols(partition_by)
     in_block = (Window.partitionBy(*gcols, *blk_cols).orderBy(order)
@@ -210,18 +216,39 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def _blocked_quantiles(df: DataFrame, columns: list[str], probs: list[float], n_blocks: int | None) -> DataFrame:
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("v")) for c in columns
-    ])).alias("kv")).select("kv.column", "kv.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(counts, ["cnt"], F.col("v"), partition_by=["column"], n_blocks=n_blocks)
+    n_blocks = n_blocks or default_blocks(df)
+    clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
+    # one pass of map-side sketches: per-column block bounds and non-missing counts
+    block_probs = [i / n_blocks for i in range(1, n_blocks)] or [0.5]
+    accuracy = max(10000, 20 * n_blocks)
+    row = df.agg(*[F.percentile_approx(clean[c], block_probs, accuracy).alias(f"b{i}") for i, c in enumerate(columns)],
+                 *[F.count(clean[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    splits = []
+    for i, _ in enumerate(columns):
+        inner = sorted({float(b) for b in (row[f"b{i}"] or []) if b is not None and abs(float(b)) != float("inf")})
+        splits.append([float("-inf")] + inner + [float("inf")])
+    totals = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    wide = df.select(*[clean[c].alias(f"_v{i}") for i, c in enumerate(columns)])
+    wide = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(columns))],
+                      outputCols=[f"_k{i}" for i in range(len(columns))], handleInvalid="keep").transform(wide)
+    long = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("v"), F.col(f"_k{i}").alias(BLK))
+        for i, c in enumerate(columns)])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
+    # the block is a function of (column, v): grouping by it changes nothing but keeps it
+    counts = long.groupBy("column", BLK, "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = prefix_sums(counts, ["cnt"], F.col("v"), partition_by=["column"], blocks=[BLK])
     # ranked: column, v, cnt, cnt_cum (inclusive); a value covers ranks [cum-cnt, cum-1]
-    totals = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
+    spark = df.sparkSession
+    target_rows = []
+    for c in columns:
+        n = totals[c]
+        if not n:
+            continue
+        for p in probs:
+            pos = float(p) * (n - 1)
+            target_rows.append((c, float(p), pos, int(math.floor(pos)), int(math.ceil(pos))))
     # one row per (column, prob): bounded by the schema, not by the data
-    pos = F.col("prob") * (F.col("n") - 1)
-    targets = (totals.select("column", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-               .select("column", "prob", pos.alias("pos"),
-                       F.floor(pos).cast("long").alias("r_lo"), F.ceil(pos).cast("long").alias("r_hi")))
+    targets = spark.createDataFrame(target_rows, "column string, prob double, pos double, r_lo long, r_hi long")
     first_rank = F.col("cnt_cum") - F.col("cnt")
     covers_lo = (F.col("r_lo") >= first_rank) & (F.col("r_lo") < F.col("cnt_cum"))
     covers_hi = (F.col("r_hi") >= first_rank) & (F.col("r_hi") < F.col("cnt_cum"))
