@@ -62,7 +62,7 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
     top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
     return (hits.withColumn("_r", top).where(F.col("_r") <= max_preview)
             .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
-            .select("column", F.size("_vals").alias("count_examples"),
+            .select("column", F.size("_vals").cast("bigint").alias("count_examples"),
                     F.transform("_vals", lambda s: s["v"]).alias("examples")))
 
 

@@ -23,7 +23,7 @@ from ..operators import sensors as S
 from ..operators import pii as E
 from ..operators import profile as P
 from ..operators.columns import trim_columns
-from ..plans.cleaning import clean_records, clean_table
+from ..plans.cleaning import clean_records, clean_records_summary, clean_table
 from ..session import scratch_path
 from ..streaming import streams as J
 from ..sources import audit as AU
@@ -102,6 +102,12 @@ def q_three_sigma(spark, d):
     return C.three_sigma(events_k(spark, d))
 
 
+@query("three_sigma_single_pass")
+def q_three_sigma_single_pass(spark, d):
+    """B7 with every bound from one aggregate (one scan)."""
+    return C.three_sigma(events_k(spark, d), mode="single_pass")
+
+
 @query("dedupe")
 def q_dedupe(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type")
@@ -125,6 +131,13 @@ def q_clean_records(spark, d):
     return clean_records(ev, order_by="event_id")
 
 
+@query("clean_records_summary")
+def q_clean_records_summary(spark, d):
+    """C6 response numbers: rows kept and missing cells left."""
+    ev = events_gaps(spark, d).select("event_id", "user_id", "event_type", "value", "k")
+    return clean_records_summary(clean_records(ev, order_by="event_id"))
+
+
 @query("standard_scale")
 def q_standard_scale(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -442,7 +455,11 @@ def q_stream_windows(spark, d):
                                    watermark="1 hour")
     sink, ckpt = scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-windows-ckpt")
     J.run_to_table(out, sink, ckpt)
-    return rounded(spark.read.parquet(sink))
+    # the watermark needed TIMESTAMP; report window bounds as the input's TIMESTAMP_NTZ
+    res = spark.read.parquet(sink)
+    res = res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
+             .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    return rounded(res)
 
 
 @query("stream_dedupe")

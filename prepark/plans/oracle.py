@@ -121,6 +121,12 @@ SELECT * FROM ev WHERE event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NO
     chain, last = sigma_chain("b0", ["event_id", "user_id", "value", "k"])
     O["three_sigma"] = f"WITH b0 AS ({EV_K}),\n{chain}\nSELECT * FROM {last}"
 
+    ctes = []
+    for c in ["event_id", "user_id", "value", "k"]:
+        ctes.append(f"{c} > (SELECT avg({c}) - 3 * stddev_samp({c}) FROM b0) AND "
+                    f"{c} < (SELECT avg({c}) + 3 * stddev_samp({c}) FROM b0)")
+    O["three_sigma_single_pass"] = f"WITH b0 AS ({EV_K})\nSELECT * FROM b0 WHERE " + "\n  AND ".join(ctes)
+
     O["dedupe"] = """SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type"""
 
     def ffill(col: str, part: str = "") -> str:
@@ -142,6 +148,11 @@ f AS (SELECT user_id, {ffill('event_type')}, {ffill('value')}, {ffill('k')}, eve
 {chain}
 SELECT event_id, user_id, event_type, value, k FROM {last}"""
 
+    O["clean_records_summary"] = O["clean_records"].replace(
+        "SELECT event_id, user_id, event_type, value, k FROM " + last,
+        "SELECT count(*) AS rows, CAST(count(*) * 5 - count(event_id) - count(user_id) - count(event_type) "
+        "- count(value) - count(k) AS BIGINT) AS total_missing FROM " + last)
+
     sc = ", ".join(
         f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) "
         f"FROM lineitem), 6) AS {c}" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
@@ -163,7 +174,7 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
   round(quantile_cont({c}, 0.75), 4) AS p75, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM lineitem"""
         for c in LINEITEM_NUM)
     O["describe_text"] = "\nUNION ALL ".join(
-        f"""SELECT {_q(c)} AS "column", sum(n) AS count, count(*) AS "unique",
+        f"""SELECT {_q(c)} AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
   arg_min(v, (-n, v)) AS top, max(n) AS freq
 FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1)"""
         for c in ["c_name", "c_mktsegment"])
