@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import qcol
+from ..session import materialize
 from .ordered import exact_quantiles
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
@@ -206,7 +207,8 @@ def fit_isolation_forest(df: DataFrame, features: list[str] | None = None, n_tre
         sample = per_tree.withColumn("_rn", rn).where(F.col("_rn") <= psi).drop("_rn")
     nodes = sample.groupBy("tree").applyInPandas(_grow_trees(feats, psi, seed), NODE_SCHEMA).toPandas()
     model = IsolationForestModel(nodes, feats, psi, 0.0, contamination, n)
-    raw = model.raw_scores(X)
+    # the training scores are read by two quantile passes: score once, keep only the score column
+    raw = materialize(model.raw_scores(X).select("_raw"))
     q = exact_quantiles(raw, ["_raw"], [contamination]).first()
     model.offset = float(q["value"])
     return model

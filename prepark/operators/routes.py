@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import order_column, qcol
 from ..session import materialize
-from .joins import maybe_broadcast
 
 EDGE_SCHEMA = "src string, dst string, weight double"
+# a frontier is broadcast to the edge join only under this many nodes (its size is counted each round)
+BROADCAST_FRONTIER_ROWS = 2_000_000
 
 
 def build_graph(edges: DataFrame, source: str = "source", target: str = "target", weight: str | None = "weight",
@@ -60,10 +61,11 @@ def shortest_route(graph: DataFrame, origin, destination, checkpoint: bool = Tru
     if checkpoint:
         edges = materialize(edges)
     best = spark.createDataFrame([(origin, 0.0, [origin])], "node string, dist double, path array<string>")
-    frontier = best
+    frontier, frontier_rows = best, 1
     bound = None  # best known distance to the destination
     while True:
-        cand = (maybe_broadcast(frontier).join(edges, F.col("node") == F.col("src"))
+        side = F.broadcast(frontier) if frontier_rows <= BROADCAST_FRONTIER_ROWS else frontier
+        cand = (side.join(edges, F.col("node") == F.col("src"))
                 .select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"),
                         F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
         if bound is not None:
@@ -77,15 +79,18 @@ def shortest_route(graph: DataFrame, origin, destination, checkpoint: bool = Tru
                     .select("node", "dist", "path"))
         if checkpoint:
             improved = materialize(improved)
-        if improved.isEmpty():
+        # one small job per round: frontier size (empty = done; broadcast or not) and the destination hit
+        stats = improved.agg(F.count(F.lit(1)).alias("n"),
+                             F.min(F.when(F.col("node") == destination, F.col("dist"))).alias("hit")).first()
+        if stats["n"] == 0:
             break
         best = best.join(improved.select("node"), on="node", how="left_anti").unionByName(improved)
         if checkpoint:
+            # a checkpoint is the only thing that truncates the plan; persist() would keep every round's plan
             best = materialize(best)
-        hit = improved.where(F.col("node") == destination).select("dist").first()
-        if hit is not None:
-            bound = hit["dist"] if bound is None else min(bound, hit["dist"])
-        frontier = improved
+        if stats["hit"] is not None:
+            bound = stats["hit"] if bound is None else min(bound, stats["hit"])
+        frontier, frontier_rows = improved, stats["n"]
     route = best.where(F.col("node") == destination)
     if route.isEmpty():
         raise ValueError(f"No route from '{origin}' to '{destination}'")
