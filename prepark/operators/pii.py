@@ -50,6 +50,8 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
     ``sample=None`` checks every value.
     """
     cols = _pii_columns(df, columns, compat)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, count_examples bigint, examples array<string>")
     df, order, _ = order_column(df, order_by)
     types = {f.name: f.dataType for f in df.schema.fields}
     long = (df.select(order.alias("_o"), F.explode(F.array(*[
@@ -70,6 +72,8 @@ def pii_counts(df: DataFrame, columns: list[str] | None = None, compat: bool = F
     """Rows matching each pattern per column over the whole table, in one
     aggregate: ``(column, pattern, n_match)``."""
     cols = _pii_columns(df, columns, compat)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, pattern string, n_match bigint")
     types = {f.name: f.dataType for f in df.schema.fields}
     pairs = [(c, name, p) for c in cols for name, p in PII_PATTERNS.items()]
     agg = df.agg(*[F.count_if(_text_of(qcol(c), types[c]).rlike(java_unicode(p))).alias(f"m{i}")

@@ -24,6 +24,7 @@ from ..operators import pii as E
 from ..operators import profile as P
 from ..operators.columns import trim_columns
 from ..plans.cleaning import clean_records, clean_records_summary, clean_table
+from ..plans.inspect import inspect
 from ..session import scratch_path
 from ..streaming import streams as J
 from ..sources import audit as AU
@@ -220,6 +221,25 @@ def q_quality_report(spark, d):
                             P.column_summary(raw, order_by="event_id"))
 
 
+@query("inspect_roles")
+def q_inspect_roles(spark, d):
+    """D6 from the inspector's shared distinct pass (same result as field_roles)."""
+    return rounded(inspect(table(spark, d, "orders"), order_by="o_orderkey", pii=False)["roles"])
+
+
+@query("inspect_summary")
+def q_inspect_summary(spark, d):
+    """D3 from the inspector's shared distinct pass (same result as column_summary)."""
+    return inspect(table(spark, d, "orders"), order_by="o_orderkey", pii=False)["column_summary"]
+
+
+@query("inspect_describe_text")
+def q_inspect_describe_text(spark, d):
+    """D5b for every column from the shared pass, on the text columns of customer."""
+    cu = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return inspect(cu, order_by="c_custkey", pii=False)["describe_text"].where("column <> 'c_custkey'")
+
+
 # ----------------------------------------------------------------------- PII
 @query("pii_detect")
 def q_pii_detect(spark, d):

@@ -179,6 +179,9 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
 FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1)"""
         for c in ["c_name", "c_mktsegment"])
     O["field_roles"] = sql_field_roles("SELECT * FROM orders", ORDERS_COLS)
+    O["inspect_roles"] = O["field_roles"]
+    O["inspect_summary"] = O["column_summary"]
+    O["inspect_describe_text"] = O["describe_text"]
     O["field_roles_customer"] = sql_field_roles("SELECT * FROM customer", CUSTOMER_COLS)
     O["field_roles_documents"] = sql_field_roles("SELECT * FROM documents", DOCUMENTS_COLS)
     O["top_variance"] = ("SELECT \"column\", round(variance, 2) AS variance FROM (" + "\nUNION ALL ".join(
