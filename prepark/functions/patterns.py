@@ -33,3 +33,39 @@ TEXT_FILL = "missing"
 def java_unicode(pattern: str) -> str:
     """Python's ``\\d``, ``\\s`` and ``\\b`` are Unicode-aware; Java's need ``(?U)``."""
     return "(?U)" + pattern
+
+# The quick-summary sentences (D7), in the order they are emitted.
+SENTENCE_SIZE = "The dataset has {rows} rows and {cols} columns."
+SENTENCE_TARGETS = "Possible target columns: {targets}."
+SENTENCE_NO_TARGET = "No obvious target column detected automatically."
+SENTENCE_NUMERIC = "Numeric cols: {cols}{more}."
+SENTENCE_MISSING = "Average missingness: {pct:.1f}% — consider cleaning/imputing."
+SENTENCE_VARIANCE = "High-variance numeric cols: {cols}."
+SENTENCE_CLOSING = "Preview the first rows to validate column roles."
+
+# The quality-report (D8) headings, in order.
+REPORT_TITLE = "DATA QUALITY REPORT"
+REPORT_RULE = "===================="
+REPORT_BEFORE = "\nSUMMARY BEFORE:"
+REPORT_AFTER = "\nSUMMARY AFTER:"
+REPORT_COLUMNS = "\nCOLUMN SUMMARY:"
+
+# Output file names keep these characters besides letters and digits,
+# and get this time stamp.
+SAFE_NAME_CHARS = (" ", ".", "_", "-")
+NAME_STAMP = "%Y%m%d_%H%M%S"
+
+
+def summary_text(rows: int, cols: int, targets: list[str], numeric: list[str], missing_pct: float,
+                 high_variance: list[str]) -> str:
+    """D7 text from small, already computed parts."""
+    s = [SENTENCE_SIZE.format(rows=rows, cols=cols),
+         SENTENCE_TARGETS.format(targets=", ".join(targets)) if targets else SENTENCE_NO_TARGET]
+    if numeric:
+        s.append(SENTENCE_NUMERIC.format(cols=", ".join(numeric[:5]), more="..." if len(numeric) > 5 else ""))
+    if missing_pct > 0:
+        s.append(SENTENCE_MISSING.format(pct=missing_pct))
+    if high_variance:
+        s.append(SENTENCE_VARIANCE.format(cols=", ".join(high_variance)))
+    s.append(SENTENCE_CLOSING)
+    return " ".join(s)

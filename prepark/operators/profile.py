@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions.kinds import is_integral, is_numeric, is_temporal, kind_of, missing, numeric_columns, order_column, qcol
 from ..functions.patterns import (
-    BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, TARGET_NAMES,
+    BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, REPORT_AFTER,
+    REPORT_BEFORE, REPORT_COLUMNS, REPORT_RULE, REPORT_TITLE, TARGET_NAMES, summary_text,
 )
 from .ordered import exact_quantiles
 
@@ -289,17 +290,8 @@ def quick_summary(df: DataFrame, roles: DataFrame | None = None, max_preview_row
     pct = missing_pct_avg(df).first()["missing_pct"] or 0.0
     top = [r["column"] for r in top_variance(df).collect()]
     targets = [r["column"] for r in binary_targets(df, roles).collect()]
-    s = [f"The dataset has {nrows} rows and {ncols} columns."]
-    s.append(f"Possible target columns: {', '.join(targets)}." if targets
-             else "No obvious target column detected automatically.")
-    if nums:
-        s.append(f"Numeric cols: {', '.join(nums[:5])}{'...' if len(nums) > 5 else ''}.")
-    if pct > 0:
-        s.append(f"Average missingness: {pct:.1f}% — consider cleaning/imputing.")
-    if top:
-        s.append(f"High-variance numeric cols: {', '.join(top)}.")
-    s.append("Preview the first rows to validate column roles.")
-    return {"summary_text": " ".join(s), "preview_df": preview(df, max_preview_rows, order_by=order_by),
+    text = summary_text(nrows, ncols, targets, nums, pct, top)
+    return {"summary_text": text, "preview_df": preview(df, max_preview_rows, order_by=order_by),
             "candidate_targets": targets}
 
 
@@ -331,8 +323,8 @@ def quality_report(before: DataFrame, after: DataFrame, summary: DataFrame) -> D
 
 def render_report(meta: dict, summary_rows: list) -> str:
     """Text form of D8 from the small collected parts (reference layout)."""
-    lines = ["DATA QUALITY REPORT", "====================", "\nSUMMARY BEFORE:", str(meta.get("before")),
-             "\nSUMMARY AFTER:", str(meta.get("after")), "\nCOLUMN SUMMARY:"]
+    lines = [REPORT_TITLE, REPORT_RULE, REPORT_BEFORE, str(meta.get("before")),
+             REPORT_AFTER, str(meta.get("after")), REPORT_COLUMNS]
     if summary_rows:
         keys = list(summary_rows[0].asDict().keys())
         lines.append("  ".join(keys))

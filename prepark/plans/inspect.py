@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.kinds import missing, numeric_columns, order_column, qcol
 from ..functions.patterns import (
     BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, TARGET_NAMES,
+    summary_text,
 )
 from ..operators.pii import pii_detect
 from ..operators.profile import _schema_frame
@@ -97,19 +98,10 @@ def inspect(df: DataFrame, order_by=None, max_unique_for_categorical: int = MAX_
                        key=lambda x: (-x[0], x[1]))[:3]
     top_variance = spark.createDataFrame([(c, v) for v, _, c in variances], "column string, variance double")
     pct = (sum(miss.values()) / (rows * len(cols)) * 100.0) if rows and cols else 0.0
-    s = [f"The dataset has {rows} rows and {len(cols)} columns."]
-    s.append(f"Possible target columns: {', '.join(targets)}." if targets
-             else "No obvious target column detected automatically.")
-    if nums:
-        s.append(f"Numeric cols: {', '.join(nums[:5])}{'...' if len(nums) > 5 else ''}.")
-    if pct > 0:
-        s.append(f"Average missingness: {pct:.1f}% — consider cleaning/imputing.")
-    if variances:
-        s.append(f"High-variance numeric cols: {', '.join(c for _, _, c in variances)}.")
-    s.append("Preview the first rows to validate column roles.")
+    text = summary_text(rows, len(cols), targets, nums, pct, [c for _, _, c in variances])
     out = {"roles": roles, "column_summary": column_summary, "describe_text": describe_text,
            "top_variance": top_variance, "binary_targets": binary, "candidate_targets": targets,
-           "summary_text": " ".join(s), "preview": preview(df.select(*[qcol(c) for c in cols]), 5, order_by=order_by)}
+           "summary_text": text, "preview": preview(df.select(*[qcol(c) for c in cols]), 5, order_by=order_by)}
     if pii:
         out["pii"] = pii_detect(df, order_by=order_by)
     return out
