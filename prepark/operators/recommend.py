@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import qcol
-from .joins import maybe_broadcast
+from ..session import materialize
+from .joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
 
 
 def matrix_long(df: DataFrame, key: str, columns: list[str] | None = None, user_col: str = "user",
@@ -28,11 +29,14 @@ def matrix_long(df: DataFrame, key: str, columns: list[str] | None = None, user_
     return long.where(F.col(rating_col) != 0) if drop_zeros else long
 
 
-def _user_row(ratings: DataFrame, user_id, user_col: str, item_col: str, rating_col: str) -> DataFrame:
-    row = ratings.where(F.col(user_col) == F.lit(user_id)).select(item_col, F.col(rating_col).alias("_q"))
-    if row.limit(1).count() == 0:  # a user whose ratings are all 0 keeps zero rows (drop_zeros=False)
+def _user_row(ratings: DataFrame, user_id, user_col: str, item_col: str, rating_col: str) -> tuple[DataFrame, int, float]:
+    """The query user's items, written once to the checkpoint folder (the
+    ratings plan may be an expensive join), with their count and norm."""
+    row = materialize(ratings.where(F.col(user_col) == F.lit(user_id)).select(item_col, F.col(rating_col).alias("_q")))
+    st = row.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("norm")).first()
+    if st["n"] == 0:  # a user whose ratings are all 0 keeps zero rows (drop_zeros=False)
         raise KeyError("User not in matrix")
-    return row
+    return row, st["n"], st["norm"] or 0.0
 
 
 def user_similarity(ratings: DataFrame, user_id, user_col: str = "user", item_col: str = "item",
@@ -40,11 +44,12 @@ def user_similarity(ratings: DataFrame, user_id, user_col: str = "user", item_co
     """G1: cosine similarity of ``user_id`` to every user (itself = 1; a zero
     vector gives 0). One grouped pass computes all dot products and norms.
 
-    The query row (one user's items) is broadcast only after a size check.
+    The query row (one user's items) is checkpointed once and broadcast only
+    under a counted size bound.
     """
-    q = _user_row(ratings, user_id, user_col, item_col, rating_col)
-    q_norm = q.agg(F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("n")).first()["n"] or 0.0
-    per_user = (ratings.join(maybe_broadcast(q), on=item_col, how="left")
+    q, q_rows, q_norm = _user_row(ratings, user_id, user_col, item_col, rating_col)
+    q_side = F.broadcast(q) if q_rows <= DEFAULT_MAX_BROADCAST_ROWS else q
+    per_user = (ratings.join(q_side, on=item_col, how="left")
                 .groupBy(user_col)
                 .agg(F.sum(F.col(rating_col) * F.coalesce(F.col("_q"), F.lit(0.0))).alias("_dot"),
                      F.sqrt(F.sum(F.col(rating_col) * F.col(rating_col))).alias("_norm")))
@@ -61,7 +66,8 @@ def recommend(ratings: DataFrame, user_id, top_k: int = 10, user_col: str = "use
     similar user rated it). Users with similarity 0 add nothing, so only the
     others are joined back; that side is broadcast only after a size check.
     """
-    sims = user_similarity(ratings, user_id, user_col, item_col, rating_col).where(F.col("similarity") != 0)
+    sims = materialize(user_similarity(ratings, user_id, user_col, item_col, rating_col)
+                       .where(F.col("similarity") != 0))
     contrib = (ratings.join(maybe_broadcast(sims), on=user_col)
                .groupBy(item_col).agg(F.sum(F.col("similarity") * F.col(rating_col)).alias("score")))
     items = ratings.select(item_col).distinct()
