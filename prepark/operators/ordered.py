@@ -175,6 +175,8 @@ def prefix_sums(df: DataFrame, columns: list[str], order: Column,
 # Spark's exact ``percentile`` keeps one map entry per distinct value and merges
 # the maps in one task; under this many distinct values that map is small.
 MAX_EXACT_DISTINCT = 1_000_000
+# ... and all columns of one aggregate together stay under this many entries.
+MAX_EXACT_TOTAL = 4_000_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -183,8 +185,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """Exact quantiles with linear interpolation (pandas/numpy default).
 
     One HLL pass (``approx_count_distinct``) sorts the columns by size:
-    columns with at most ``max_exact_distinct`` distinct values use Spark's
-    exact ``percentile`` in one aggregate (its per-value map is then bounded);
+    columns with at most ``max_exact_distinct`` distinct values (and together
+    at most ``MAX_EXACT_TOTAL``) use Spark's exact ``percentile`` in one
+    aggregate -- its per-value maps, merged in one task, are then bounded;
     larger columns use the distributed path -- distinct values counted with a
     partial aggregate, ranked by blockwise running counts, and only the rows
     holding the wanted ranks kept -- so no task ever holds a whole column.
@@ -197,8 +200,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if distinct is None or any(c not in distinct for c in columns):
         row = df.agg(*[F.approx_count_distinct(clean[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
         distinct = {c: row[f"d{i}"] for i, c in enumerate(columns)}
-    # HLL error is a few percent: leave head room below the bound
-    small = [c for c in columns if distinct[c] <= max_exact_distinct * 0.9]
+    # HLL error is a few percent: leave head room below the bounds; smallest columns first
+    small, total = [], 0
+    for c in sorted(columns, key=lambda c: distinct[c]):
+        if distinct[c] <= max_exact_distinct * 0.9 and total + distinct[c] <= MAX_EXACT_TOTAL * 0.9:
+            small.append(c)
+            total += distinct[c]
+    small = [c for c in columns if c in small]
     big = [c for c in columns if c not in small]
     parts = []
     if small:
