@@ -65,12 +65,16 @@ def train_logistic(df: DataFrame, target: str = "target", key: str | list[str] |
     return model, metrics
 
 
-def predict(model: PipelineModel, df: DataFrame, feature_names: list[str] | None = None) -> DataFrame:
+def predict(model: PipelineModel | None, df: DataFrame, feature_names: list[str] | None = None) -> DataFrame:
     """score rows; the trained feature list is checked by name first.
 
     Adds ``prediction`` and ``risk`` (probability of class 1).
     """
+    if model is None:
+        raise RuntimeError("Model not trained yet.")
     feats = feature_names or getattr(model, "feature_names", None) or model.stages[0].getInputCols()
+    if not feats:
+        raise ValueError("No numeric features available for prediction.")
     missing_cols = [c for c in feats if c not in df.columns]
     if missing_cols:
         raise ValueError(f"Missing feature columns: {missing_cols}")

@@ -112,3 +112,18 @@ def test_late_event_dropped_by_watermark(spark, tmp_path):
     res = spark.read.parquet(sink)
     day1 = res.where(F.col("window_start") == F.lit("2024-01-01").cast("timestamp")).collect()
     assert len(day1) == 1 and day1[0]["max_all"] == 2.0
+
+
+def test_upload_reader_and_path(spark, tmp_path):
+    from prepark.operators.models import predict
+    from prepark.sources.files import read_uploaded, upload_path
+    p = tmp_path / "ok.csv"
+    p.write_text("a,b\n1,x\n")
+    df, err = read_uploaded(spark, str(p))
+    assert err is None and df.count() == 1
+    df, err = read_uploaded(spark, str(tmp_path / "missing.csv"))
+    assert df is None and err is not None
+    up = upload_path("/data/uploads", "f.csv")
+    assert up.startswith("/data/uploads/") and up.endswith("_f.csv") and len(up.split("/")[-1]) == len("12345678_f.csv")
+    with pytest.raises(RuntimeError):
+        predict(None, spark.range(1))
