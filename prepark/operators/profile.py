@@ -152,23 +152,26 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
                                          "p25 double, p50 double, p75 double, max double")
     aggs = []
     for i, c in enumerate(cols):
-        x = qcol(c).cast("double")
+        x = F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double"))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"q{i}"))
-    stats = _stack(df.agg(*aggs), cols, {
-        "count": lambda i: F.col(f"n{i}"), "mean": lambda i: F.col(f"m{i}"), "std": lambda i: F.col(f"s{i}"),
-        "min": lambda i: F.col(f"lo{i}"), "max": lambda i: F.col(f"hi{i}"),
-        **({"q": lambda i: F.col(f"q{i}").cast("array<double>")} if approx else {}),
-    })
-    if approx:
-        return stats.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                            F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    q = q.toDF("column", "p25", "p50", "p75")
-    return (stats.join(q, on="column", how="left").orderBy("pos")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+        aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"q{i}") if approx
+                    else F.approx_count_distinct(x).alias(f"d{i}"))
+    # one aggregate, one row: per-column scalars (schema-sized) come back to the driver
+    row = df.agg(*aggs).first()
+    stats = spark.createDataFrame(
+        [(i, c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"],
+          *((list(row[f"q{i}"]) if row[f"q{i}"] else [None] * 3) if approx else [None] * 3))
+         for i, c in enumerate(cols)],
+        "pos int, column string, count bigint, mean double, std double, min double, max double, "
+        "p25 double, p50 double, p75 double")
+    if not approx:
+        # the distinct counts from the same pass pick each column's exact path
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], distinct={c: row[f"d{i}"] for i, c in enumerate(cols)})
+        q = q.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("column", "q25", "q50", "q75")
+        stats = (stats.join(q, on="column", how="left")
+                 .withColumn("p25", F.col("q25")).withColumn("p50", F.col("q50")).withColumn("p75", F.col("q75")))
+    return stats.orderBy("pos").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -312,13 +315,29 @@ def quality_report(before: DataFrame, after: DataFrame, summary: DataFrame) -> D
                         F.col("n_missing").cast("string").alias("value"))
         return rows.unionByName(cols).unionByName(miss)
 
-    summ = summary.select(F.lit("column_summary").alias("section"), "column", F.explode(F.array(
+    return shape(before, "before").unionByName(shape(after, "after")).unionByName(_summary_rows(summary))
+
+
+def _summary_rows(summary: DataFrame) -> DataFrame:
+    """A D3 frame as report rows ``(column_summary, column, metric, value)``."""
+    return summary.select(F.lit("column_summary").alias("section"), "column", F.explode(F.array(
         F.struct(F.lit("dtype").alias("metric"), F.col("dtype").alias("value")),
         F.struct(F.lit("n_missing").alias("metric"), F.col("n_missing").cast("string").alias("value")),
         F.struct(F.lit("n_unique").alias("metric"), F.col("n_unique").cast("string").alias("value")),
         F.struct(F.lit("sample_values").alias("metric"), F.col("sample_values").alias("value")),
     )).alias("m")).select("section", "column", "m.metric", "m.value")
-    return shape(before, "before").unionByName(shape(after, "after")).unionByName(summ)
+
+
+def report_from_meta(spark, meta: dict, summary: DataFrame) -> DataFrame:
+    """D8 from C3's metadata (no scan: "before"/"after" are already counted)
+    plus a D3 frame; the same rows as ``quality_report``."""
+    rows = []
+    for section in ("before", "after"):
+        m = meta[section]
+        rows += [(section, "", "rows", str(m["rows"])), (section, "", "cols", str(m["cols"]))]
+        rows += [(section, c, "missing", str(n)) for c, n in m["missing"].items()]
+    shape = spark.createDataFrame(rows, "section string, column string, metric string, value string")
+    return shape.unionByName(_summary_rows(summary))
 
 
 def render_report(meta: dict, summary_rows: list) -> str:

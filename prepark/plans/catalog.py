@@ -216,9 +216,8 @@ def q_missing_pct_avg(spark, d):
 @query("quality_report")
 def q_quality_report(spark, d):
     raw = events_gaps(spark, d)
-    cleaned, _ = clean_table(raw)
-    return P.quality_report(P.summary_stats(raw), P.summary_stats(cleaned),
-                            P.column_summary(raw, order_by="event_id"))
+    _cleaned, meta = clean_table(raw)  # C3's metadata already holds "before" and "after"
+    return P.report_from_meta(spark, meta, P.column_summary(raw, order_by="event_id"))
 
 
 @query("inspect_roles")

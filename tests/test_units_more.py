@@ -127,3 +127,14 @@ def test_upload_reader_and_path(spark, tmp_path):
     assert up.startswith("/data/uploads/") and up.endswith("_f.csv") and len(up.split("/")[-1]) == len("12345678_f.csv")
     with pytest.raises(RuntimeError):
         predict(None, spark.range(1))
+
+
+def test_report_from_meta_equals_scanned_report(spark):
+    from prepark.plans.catalog import events_gaps
+    from prepark.plans.cleaning import clean_table
+    raw = events_gaps(spark, SF01)
+    cleaned, meta = clean_table(raw)
+    summary = P.column_summary(raw, order_by="event_id")
+    a = sorted(map(tuple, P.report_from_meta(spark, meta, summary).collect()))
+    b = sorted(map(tuple, P.quality_report(P.summary_stats(raw), P.summary_stats(cleaned), summary).collect()))
+    assert a == b
