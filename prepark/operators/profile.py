@@ -93,14 +93,30 @@ def missing_pct_avg(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D3
+# Values up to this many characters are grouped as they are; longer ones (whole
+# documents, pages) by a fingerprint of the whole text, so the shuffle carries
+# 16 bytes instead of the text. The few sample texts are fetched back afterwards.
+LONG_TEXT = 64
+
+
+def value_key(v: Column) -> Column:
+    """Grouping key of a text value: the value itself when short, else
+    (xxhash64, murmur3, length) of the whole text -- 96 bits plus length."""
+    short = F.length(v) <= LONG_TEXT
+    return F.struct(F.when(short, v).alias("s"), F.when(~short, F.xxhash64(v)).alias("h1"),
+                    F.when(~short, F.hash(v)).alias("h2"), F.when(~short, F.length(v)).alias("n"))
+
+
 def distinct_profile(df: DataFrame, columns: list[str] | None = None, order_by=None,
                      n_values: int = 5, approx: bool = False) -> DataFrame:
     """Per column: ``n_unique`` (missing excluded) and the first ``n_values``
     distinct values in order of appearance (as text, in an array).
 
-    One unpivot + ``groupBy(column, value)`` (partial aggregate); the top-n per
-    column is a ``row_number <= n`` filter, planned as a WindowGroupLimit that
-    trims each partition before the exchange.
+    One unpivot + ``groupBy(column, value key)`` (partial aggregate); the
+    top-n per column is a ``row_number <= n`` filter, planned as a
+    WindowGroupLimit that trims each partition before the exchange. Long texts
+    travel as fingerprints; the <= n sample texts per column are then read
+    back by a broadcast lookup on their first position (a scan, no shuffle).
     """
     cols = columns if columns is not None else df.columns
     df, order, _ = order_column(df, order_by)
@@ -109,15 +125,22 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None, order_by=N
                         F.when(missing(qcol(c), fields[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
                for c in cols]
     long = (df.select(order.alias("_o"), F.explode(F.array(*structs)).alias("kv"))
-            .select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
-    firsts = long.groupBy("column", "v").agg(F.min("_o").alias("_first"))
+            .select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull())
+            .withColumn("k", value_key(F.col("v"))))
+    firsts = long.groupBy("column", "k").agg(F.min("_o").alias("_first"))
     if approx:
-        uniq = long.groupBy("column").agg(F.approx_count_distinct("v").alias("n_unique"))
+        uniq = long.groupBy("column").agg(F.approx_count_distinct("k").alias("n_unique"))
     else:
         uniq = firsts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-    rn = F.row_number().over(Window.partitionBy("column").orderBy("_first", "v"))
-    top = (firsts.withColumn("_rn", rn).where(F.col("_rn") <= n_values)
-           .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_rn", "v"))).alias("_vals"))
+    rn = F.row_number().over(Window.partitionBy("column").orderBy("_first", "k"))
+    top = firsts.withColumn("_r", rn).where(F.col("_r") <= n_values)
+    top = top.withColumn("v", F.col("k.s"))
+    if top.where(F.col("v").isNull()).limit(1).count() > 0:
+        keys = top.where(F.col("v").isNull()).select("column", "k", F.col("_first").alias("_o"))  # <= n per column
+        texts = (long.join(F.broadcast(keys), on=["column", "k", "_o"])
+                 .groupBy("column", "k").agg(F.min("v").alias("_text")))
+        top = top.join(texts, on=["column", "k"], how="left").withColumn("v", F.coalesce("v", "_text"))
+    top = (top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
            .select("column", F.transform("_vals", lambda s: s["v"]).alias("sample_values")))
     return uniq.join(top, on="column", how="full")
 
@@ -207,7 +230,8 @@ def field_roles(df: DataFrame, max_unique_for_categorical: int = MAX_UNIQUE_FOR_
     if approx:
         uniq = long.groupBy("column").agg(F.approx_count_distinct("v").alias("nunique"))
     else:
-        uniq = long.select("column", "v").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+        uniq = (long.select("column", value_key(F.col("v")).alias("k")).distinct()
+                .groupBy("column").agg(F.count(F.lit(1)).alias("nunique")))
     t = (meta.join(nulls.select("column", "rows", "n_missing"), on="column")
          .join(uniq, on="column", how="left")
          .withColumn("nunique", F.coalesce("nunique", F.lit(0).cast("bigint"))))

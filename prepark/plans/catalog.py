@@ -168,6 +168,12 @@ def q_column_summary(spark, d):
     return P.column_summary(table(spark, d, "orders"), order_by="o_orderkey")
 
 
+@query("column_summary_documents")
+def q_column_summary_documents(spark, d):
+    """D3 over whole document texts: long values travel as fingerprints."""
+    return P.column_summary(table(spark, d, "documents"), order_by="doc_id")
+
+
 @query("missing_fraction")
 def q_missing_fraction(spark, d):
     return rounded(P.missing_fraction(events_gaps(spark, d)))
@@ -232,6 +238,12 @@ def q_inspect_summary(spark, d):
     return inspect(table(spark, d, "orders"), order_by="o_orderkey", pii=False)["column_summary"]
 
 
+@query("inspect_summary_documents")
+def q_inspect_summary_documents(spark, d):
+    """D3 from the inspector over whole document texts (fingerprints, texts fetched back)."""
+    return inspect(table(spark, d, "documents"), order_by="doc_id", pii=False)["column_summary"]
+
+
 @query("inspect_describe_text")
 def q_inspect_describe_text(spark, d):
     """D5b for every column from the shared pass, on the text columns of customer."""

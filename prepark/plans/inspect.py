@@ -20,13 +20,12 @@ from ..functions.patterns import (
     summary_text,
 )
 from ..operators.pii import pii_detect
-from ..operators.profile import _schema_frame
+from ..operators.profile import _schema_frame, value_key
 from ..session import materialize
 from ..sources.files import preview
 
 
-def distinct_values(df: DataFrame, order_by=None, checkpoint: bool = True) -> DataFrame:
-    """``(column, v, first, n)`` for every distinct non-missing value (as text)."""
+def _long(df: DataFrame, order_by=None) -> DataFrame:
     cols = [c for c in df.columns if c != "_order"]
     types = {f.name: f.dataType for f in df.schema.fields}
     df, order, _ = order_column(df, order_by)
@@ -34,10 +33,24 @@ def distinct_values(df: DataFrame, order_by=None, checkpoint: bool = True) -> Da
         F.struct(F.lit(c).alias("column"),
                  F.when(missing(qcol(c), types[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
         for c in cols])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
-    dist = long.groupBy("column", "v").agg(F.min("_o").alias("first"), F.count(F.lit(1)).alias("n"))
+    return long.withColumn("k", value_key(F.col("v")))
+
+
+def distinct_values(df: DataFrame, order_by=None, checkpoint: bool = True) -> DataFrame:
+    """``(column, k, first, n)`` for every distinct non-missing value; ``k`` is
+    the value key (the text itself, or a fingerprint of a long text)."""
+    dist = _long(df, order_by).groupBy("column", "k").agg(F.min("_o").alias("first"), F.count(F.lit(1)).alias("n"))
     return materialize(dist) if checkpoint else dist
 
 
+def _fetch_texts(df: DataFrame, order_by, wanted: DataFrame) -> DataFrame:
+    """Texts of a few (column, k, first) keys, by a broadcast lookup on their
+    first position: a scan of the source, no shuffle of its texts."""
+    keys = wanted.select("column", "k", F.col("first").alias("_o")).distinct()
+    return (_long(df, order_by).join(F.broadcast(keys), on=["column", "k", "_o"])
+            .groupBy("column", "k").agg(F.min("v").alias("_text")))
+
+
 def inspect(df: DataFrame, order_by=None, max_unique_for_categorical: int = MAX_UNIQUE_FOR_CATEGORICAL,
             n_values: int = 5, pii: bool = True, checkpoint: bool = True) -> dict:
     """Everything the inspector shows, as small DataFrames plus the summary text.
@@ -59,11 +72,28 @@ def inspect(df: DataFrame, order_by=None, max_unique_for_categorical: int = MAX_
     per_col = spark.createDataFrame([(c, rows, miss[c]) for c in cols], "column string, rows bigint, n_missing bigint")
 
     dist = distinct_values(df, order_by, checkpoint)
-    stats = dist.groupBy("column").agg(F.count(F.lit(1)).alias("nunique"),
-                                       F.min_by("v", F.struct((-F.col("n")).alias("neg"), F.col("v"))).alias("top"),
-                                       F.max("n").alias("freq"))
-    rn = F.row_number().over(Window.partitionBy("column").orderBy("first", "v"))
-    firsts = (dist.withColumn("_r", rn).where(F.col("_r") <= n_values).groupBy("column")
+    # most frequent value, ties to the smallest (long texts, keyed by fingerprint, tie among themselves)
+    stats = dist.groupBy("column").agg(
+        F.count(F.lit(1)).alias("nunique"),
+        F.min_by(F.struct("k", "first"), F.struct((-F.col("n")).alias("neg"), F.col("k"))).alias("_top"),
+        F.max("n").alias("freq"))
+    rn = F.row_number().over(Window.partitionBy("column").orderBy("first", "k"))
+    first_rows = dist.withColumn("_r", rn).where(F.col("_r") <= n_values)  # <= n per column
+    wanted = first_rows.select("column", "k", "first").unionByName(
+        stats.select("column", F.col("_top.k").alias("k"), F.col("_top.first").alias("first"))
+    ).where(F.col("k.s").isNull())
+    texts = _fetch_texts(df, order_by, wanted) if wanted.limit(1).count() > 0 else None
+
+    def with_text(frame: DataFrame, key: str) -> DataFrame:
+        frame = frame.withColumn("v", F.col(f"{key}.s"))
+        if texts is None:
+            return frame
+        t = texts.withColumnRenamed("k", "_tk")
+        return (frame.join(t, (frame["column"] == t["column"]) & (frame[key] == t["_tk"]), "left")
+                .drop(t["column"]).drop("_tk").withColumn("v", F.coalesce("v", "_text")).drop("_text"))
+
+    stats = with_text(stats.withColumn("_tkey", F.col("_top.k")), "_tkey").withColumnRenamed("v", "top")
+    firsts = (with_text(first_rows, "k").groupBy("column")
               .agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
               .select("column", F.transform("_vals", lambda s: s["v"]).alias("sample_values")))
     t = (meta.join(per_col, on="column").join(stats, on="column", how="left").join(firsts, on="column", how="left")
@@ -86,10 +116,12 @@ def inspect(df: DataFrame, order_by=None, max_unique_for_categorical: int = MAX_
 
     # D7b from the same distinct table: <= 3 values, all binary tokens (ints printed as floats normalised)
     floaty = [f.name for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))]
+    short = F.col("k.s")  # binary tokens are short; a long text is never one
     token = F.lower(F.when(F.col("column").isin(floaty) if floaty else F.lit(False),
-                           F.regexp_replace("v", r"\.0+$", "")).otherwise(F.col("v")))
-    binary = (dist.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.bool_and(token.isin(BINARY_TOKENS)).alias("ok"))
-              .where((F.col("k") <= 3) & F.col("ok")).join(meta.select("pos", "column"), on="column")
+                           F.regexp_replace(short, r"\.0+$", "")).otherwise(short))
+    binary = (dist.groupBy("column").agg(F.count(F.lit(1)).alias("_nk"),
+                                         F.bool_and(F.coalesce(token.isin(BINARY_TOKENS), F.lit(False))).alias("ok"))
+              .where((F.col("_nk") <= 3) & F.col("ok")).join(meta.select("pos", "column"), on="column")
               .orderBy("pos").select("column"))
     flagged = [r["column"] for r in roles.where("likely_target").select("column").collect()]
     targets = flagged or [r["column"] for r in binary.collect()]

@@ -164,6 +164,7 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
                           " + ".join(f"count(*) - count({c})" for c in gaps_names) +
                           " AS BIGINT) AS total_missing FROM ev")
     O["column_summary"] = sql_column_summary("SELECT * FROM orders", ORDERS_COLS, "o_orderkey")
+    O["column_summary_documents"] = sql_column_summary("SELECT * FROM documents", DOCUMENTS_COLS, "doc_id")
     O["missing_fraction"] = f"WITH src AS ({EV_GAPS})\n" + "\nUNION ALL ".join(
         f"SELECT {_q(c)} AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS missing_frac FROM src"
         for c in gaps_names)
@@ -182,6 +183,7 @@ FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP B
     O["inspect_roles"] = O["field_roles"]
     O["inspect_summary"] = O["column_summary"]
     O["inspect_describe_text"] = O["describe_text"]
+    O["inspect_summary_documents"] = sql_column_summary("SELECT * FROM documents", DOCUMENTS_COLS, "doc_id")
     O["field_roles_customer"] = sql_field_roles("SELECT * FROM customer", CUSTOMER_COLS)
     O["field_roles_documents"] = sql_field_roles("SELECT * FROM documents", DOCUMENTS_COLS)
     O["top_variance"] = ("SELECT \"column\", round(variance, 2) AS variance FROM (" + "\nUNION ALL ".join(
