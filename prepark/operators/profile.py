@@ -290,8 +290,11 @@ def binary_targets(df: DataFrame, roles: DataFrame | None = None, compat: bool =
         F.struct(F.lit(c).alias("column"),
                  F.when(missing(qcol(c), fields[c]), F.lit(None)).otherwise(_token_text(qcol(c), fields[c], compat)).alias("v"))
         for c in df.columns])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
-    per_col = long.select("column", "v").distinct().groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("v").isin(BINARY_TOKENS)).alias("ok"))
+    # only short values can be tokens: long texts are grouped by fingerprint and never match
+    keyed = long.select("column", value_key(F.col("v")).alias("k")).distinct()
+    per_col = keyed.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.coalesce(F.col("k.s").isin(BINARY_TOKENS), F.lit(False))).alias("ok"))
     hits = per_col.where((F.col("n") <= 3) & F.col("ok")).select("column")
     if compat:  # an all-missing column matches in pandas (empty set is a subset)
         nonnull = per_col.select("column")
