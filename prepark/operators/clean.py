@@ -41,7 +41,7 @@ def sigma_bounds(df: DataFrame, columns: list[str], k: float = 3.0) -> dict[str,
     return out
 
 
-def _within(c: str, lo: float | None, hi: float | None) -> Column:
+def within_bounds(c: str, lo: float | None, hi: float | None) -> Column:
     if lo is None or hi is None:
         return F.lit(False)  # sigma undefined (0-1 rows or all missing): pandas drops every row
     return (qcol(c) > F.lit(lo)) & (qcol(c) < F.lit(hi))
@@ -62,14 +62,14 @@ def three_sigma(df: DataFrame, columns: list[str] | None = None, k: float = 3.0,
         bounds = sigma_bounds(df, cols, k)
         cond = F.lit(True)
         for c in cols:
-            cond = cond & _within(c, *bounds[c])
+            cond = cond & within_bounds(c, *bounds[c])
         return df.where(cond)
     if mode != "sequential":
         raise ValueError("mode must be 'sequential' or 'single_pass'")
     cur = df
     for c in cols:
         lo, hi = sigma_bounds(cur, [c], k)[c]
-        cur = cur.where(_within(c, lo, hi))
+        cur = cur.where(within_bounds(c, lo, hi))
     return cur
 
 

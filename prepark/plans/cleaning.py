@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kinds import missing, numeric_columns, order_column, qcol
-from ..operators.clean import apply_fill, dedupe, fill_values, three_sigma
+from ..operators.clean import within_bounds, apply_fill, dedupe, fill_values, three_sigma
 from ..operators.columns import trim_columns
 from ..operators.ordered import ffill_bfill
 from ..session import materialize
@@ -47,19 +47,26 @@ def clean_file(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, dict]:
 
 
 def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: float = 3.0,
-                  mode: str = "sequential", checkpoint: bool = True) -> DataFrame:
+                  mode: str = "sequential", checkpoint: bool = True,
+                  bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """Dedupe (keep first) -> forward/backward fill -> 3-sigma filter.
 
     Returns the cleaned rows with the order column (first position of each
     kept row). The filled frame is checkpointed to the shared checkpoint
     folder before the k per-column sigma passes, so they do not recompute the
-    dedupe shuffle and the fill windows.
+    dedupe shuffle and the fill windows. ``bounds`` (from ``sigma_bounds`` on
+    a reference table) freezes the filter instead: no statistics pass at all.
     """
     deduped = dedupe(df, order_by=order_by)
     order_name = order_by if isinstance(order_by, str) else "_order"
     deduped, order, _ = order_column(deduped, order_name)
     value_cols = [c for c in deduped.columns if c != order_name]
     filled = ffill_bfill(deduped, value_cols, order)
+    if bounds is not None:
+        cond = F.lit(True)
+        for c, (lo, hi) in bounds.items():
+            cond = cond & (within_bounds(c, lo, hi))
+        return filled.where(cond)
     if checkpoint:
         filled = materialize(filled)
     return three_sigma(filled, numeric_columns(filled, exclude=[order_name]), k=k, mode=mode)

@@ -38,16 +38,20 @@ def event_time(df: DataFrame, ts_col: str) -> DataFrame:
 
 # --------------------------------------------------------------------- J1
 def clean_stream(stream: DataFrame, sink_path: str, checkpoint: str, order_by: str | None = None,
-                 k: float = 3.0, fmt: str = "parquet") -> StreamingQuery:
-    """Run C6 ``clean_records`` on every micro-batch (statistics per batch,
-    as the reference computes them per request) and append the result."""
+                 k: float = 3.0, fmt: str = "parquet", bounds: dict | None = None,
+                 available_now: bool = True) -> StreamingQuery:
+    """Run C6 ``clean_records`` on every micro-batch and append the result.
+
+    Statistics are per batch, as the reference computes them per request, or
+    frozen: pass ``bounds`` from ``sigma_bounds`` on a batch reference table.
+    """
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        cleaned = clean_records(batch, order_by=order_by, k=k)
+        cleaned = clean_records(batch, order_by=order_by, k=k, bounds=bounds)
         cleaned.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").format(fmt).save(sink_path)
 
-    return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
 
 # --------------------------------------------------------------------- J2

@@ -138,3 +138,33 @@ def test_report_from_meta_equals_scanned_report(spark):
     a = sorted(map(tuple, P.report_from_meta(spark, meta, summary).collect()))
     b = sorted(map(tuple, P.quality_report(P.summary_stats(raw), P.summary_stats(cleaned), summary).collect()))
     assert a == b
+
+
+def test_clean_stream_per_batch_and_frozen(spark, tmp_path):
+    from prepark.operators.clean import sigma_bounds
+    from prepark.plans.cleaning import clean_records
+    src = tmp_path / "in"
+    rows = [(i, i % 4, float(i % 10) if i % 6 else None) for i in range(60)]
+    rows[7] = (7, 3, 500.0)  # outlier in the first file only
+    for part in range(3):
+        chunk = rows[part * 20:(part + 1) * 20]
+        spark.createDataFrame(chunk, "i long, g long, v double").coalesce(1).write.parquet(str(src / f"f{part}"))
+    schema = "i long, g long, v double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    J.clean_stream(stream, out, ck, order_by="i").awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.select("_epoch").distinct().count() == 3
+    expected = []
+    for part in range(3):
+        b = spark.createDataFrame(rows[part * 20:(part + 1) * 20], schema)
+        expected += [tuple(r) for r in clean_records(b, order_by="i").select("i", "g", "v").collect()]
+    assert sorted(tuple(r) for r in got.select("i", "g", "v").collect()) == sorted(expected)
+    # frozen statistics from a batch fit: the same bounds for every micro-batch
+    ref = spark.createDataFrame(rows, schema)
+    bounds = sigma_bounds(ref, ["g", "v"])
+    out2, ck2 = str(tmp_path / "out2"), str(tmp_path / "ck2")
+    stream2 = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    J.clean_stream(stream2, out2, ck2, order_by="i", bounds=bounds).awaitTermination()
+    frozen = spark.read.parquet(out2)
+    assert frozen.where("v >= 500").count() == 0 and frozen.count() > 0
