@@ -1,8 +1,6 @@
 """Unit checks for the operators without an own query: C8, A2, C3 file path, B7 single pass,
 D8 text, E1->E2, J3, J4."""
 
-import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
