@@ -45,9 +45,14 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
     ``max_preview`` distinct matching values in order and their count.
 
     Output ``(column, count_examples, examples array<string>)``, detected
-    columns only. Both per-column limits are ``row_number <= n`` filters,
-    planned as WindowGroupLimit (each partition trims before the exchange).
-    ``sample=None`` checks every value.
+    columns only. ``sample=None`` checks every value.
+
+    Texts never travel in bulk: a key-only pass (``row_number <= sample``,
+    a WindowGroupLimit over ``(column, order)``) finds each column's cut-off
+    position; only rows before it that match a pattern -- at most ``sample``
+    per column over the whole table -- carry their text to the final step.
+    Without a sample, matching values are grouped by a whole-text fingerprint
+    and only the ``max_preview`` example texts are read back.
     """
     cols = _pii_columns(df, columns, compat)
     if not cols:
@@ -58,12 +63,26 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
         F.struct(F.lit(c).alias("column"), _text_of(qcol(c), types[c]).alias("v")) for c in cols
     ])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
     if sample is not None:
+        present = (df.select(order.alias("_o"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), qcol(c).isNotNull().alias("p")) for c in cols])).alias("kv"))
+            .where("kv.p").select("_o", "kv.column"))
         rn = F.row_number().over(Window.partitionBy("column").orderBy("_o"))
-        long = long.withColumn("_rn", rn).where(F.col("_rn") <= sample).drop("_rn")
-    hits = long.where(any_pii(F.col("v"))).groupBy("column", "v").agg(F.min("_o").alias("_first"))
-    top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
-    return (hits.withColumn("_r", top).where(F.col("_r") <= max_preview)
-            .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
+        cut = present.withColumn("_rn", rn).where(F.col("_rn") <= sample).groupBy("column").agg(F.max("_o").alias("_cut"))
+        # one row per column: a bounded broadcast
+        hits = (long.join(F.broadcast(cut), on="column").where((F.col("_o") <= F.col("_cut")) & any_pii(F.col("v")))
+                .groupBy("column", "v").agg(F.min("_o").alias("_first")))
+        top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
+        picked = hits.withColumn("_r", top).where(F.col("_r") <= max_preview)
+    else:
+        from .profile import value_key
+        keyed = long.where(any_pii(F.col("v"))).withColumn("k", value_key(F.col("v")))
+        firsts = keyed.groupBy("column", "k").agg(F.min("_o").alias("_first"))
+        top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
+        first_rows = firsts.withColumn("_r", top).where(F.col("_r") <= max_preview)  # <= max_preview per column
+        texts = (keyed.join(F.broadcast(first_rows.select("column", "k", F.col("_first").alias("_o"))),
+                            on=["column", "k", "_o"]).groupBy("column", "k").agg(F.min("v").alias("v")))
+        picked = first_rows.join(texts, on=["column", "k"])
+    return (picked.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
             .select("column", F.size("_vals").cast("bigint").alias("count_examples"),
                     F.transform("_vals", lambda s: s["v"]).alias("examples")))
 

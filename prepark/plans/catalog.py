@@ -258,6 +258,13 @@ def q_pii_detect(spark, d):
     return out.select("column", "count_examples", F.array_join("examples", " || ").alias("examples"))
 
 
+@query("pii_detect_full")
+def q_pii_detect_full(spark, d):
+    """E1 over every value (no first-300 sample)."""
+    out = E.pii_detect(table(spark, d, "documents"), order_by="doc_id", sample=None)
+    return out.select("column", "count_examples", F.array_join("examples", " || ").alias("examples"))
+
+
 @query("pii_detect_pages")
 def q_pii_detect_pages(spark, d):
     out = E.pii_detect(table(spark, d, "pages"), order_by="page_id")

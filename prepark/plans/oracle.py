@@ -221,13 +221,13 @@ PHONE = r"\+?\d[\d\s\-]{6,}\d"
 AADHAR = r"\b\d{4}\s?\d{4}\s?\d{4}\b"
 
 
-def sql_pii_detect(tab: str, cols: list[str], order: str, sample: int = 300, preview: int = 5) -> str:
+def sql_pii_detect(tab: str, cols: list[str], order: str, sample: int | None = 300, preview: int = 5) -> str:
     u = "\nUNION ALL ".join(f"SELECT {_q(c)} AS \"column\", {order} AS o, CAST({c} AS VARCHAR) AS v "
                             f"FROM {tab} WHERE {c} IS NOT NULL" for c in cols)
     any_match = " OR ".join(f"regexp_matches(v, {_q(p)})" for p in (EMAIL, PHONE, AADHAR))
     return f"""WITH u AS ({u}),
 s AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY o) AS rn FROM u),
-m AS (SELECT "column", v, min(o) AS f FROM s WHERE rn <= {sample} AND ({any_match}) GROUP BY 1, 2),
+m AS (SELECT "column", v, min(o) AS f FROM s WHERE {f"rn <= {sample} AND " if sample else ""}({any_match}) GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY f) AS r FROM m)
 SELECT "column", count(*) AS count_examples, string_agg(v, ' || ' ORDER BY r) AS examples
 FROM t WHERE r <= {preview} GROUP BY 1"""
@@ -236,6 +236,7 @@ FROM t WHERE r <= {preview} GROUP BY 1"""
 def _register_pii_and_sources():
     O = ORACLE
     O["pii_detect"] = sql_pii_detect("documents", ["text", "lang", "source"], "doc_id")
+    O["pii_detect_full"] = sql_pii_detect("documents", ["text", "lang", "source"], "doc_id", sample=None)
     O["pii_detect_pages"] = sql_pii_detect("pages", ["url", "html"], "page_id")
     O["pii_detect_conversations"] = sql_pii_detect("conversations", ["role", "text"], "(conv_id, turn)")
     O["pii_counts"] = "\nUNION ALL ".join(
