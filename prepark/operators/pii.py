@@ -31,6 +31,13 @@ def _text_of(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
+def _literal(v) -> Column:
+    """A collected order-key value as a literal (structs field by field)."""
+    if hasattr(v, "asDict"):
+        return F.struct(*[_literal(x).alias(k) for k, x in v.asDict().items()])
+    return F.lit(v)
+
+
 def any_pii(c: Column) -> Column:
     cond = F.lit(False)
     for p in PII_PATTERNS.values():
@@ -49,8 +56,9 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
 
     Texts never travel in bulk: a key-only pass (``row_number <= sample``,
     a WindowGroupLimit over ``(column, order)``) finds each column's cut-off
-    position; only rows before it that match a pattern -- at most ``sample``
-    per column over the whole table -- carry their text to the final step.
+    position (one scalar per column); texts after it are nulled before the
+    unpivot, and only matching ones -- at most ``sample`` per column over the
+    whole table -- reach the final step.
     Without a sample, matching values are grouped by a whole-text fingerprint
     and only the ``max_preview`` example texts are read back.
     """
@@ -59,22 +67,30 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
         return df.sparkSession.createDataFrame([], "column string, count_examples bigint, examples array<string>")
     df, order, _ = order_column(df, order_by)
     types = {f.name: f.dataType for f in df.schema.fields}
-    long = (df.select(order.alias("_o"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _text_of(qcol(c), types[c]).alias("v")) for c in cols
-    ])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
     if sample is not None:
         present = (df.select(order.alias("_o"), F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), qcol(c).isNotNull().alias("p")) for c in cols])).alias("kv"))
             .where("kv.p").select("_o", "kv.column"))
         rn = F.row_number().over(Window.partitionBy("column").orderBy("_o"))
-        cut = present.withColumn("_rn", rn).where(F.col("_rn") <= sample).groupBy("column").agg(F.max("_o").alias("_cut"))
-        # one row per column: a bounded broadcast
-        hits = (long.join(F.broadcast(cut), on="column").where((F.col("_o") <= F.col("_cut")) & any_pii(F.col("v")))
-                .groupBy("column", "v").agg(F.min("_o").alias("_first")))
+        # one cut-off per column: schema-sized, so it comes back as literals
+        cuts = {r["column"]: r["_cut"] for r in
+                present.withColumn("_rn", rn).where(F.col("_rn") <= sample).groupBy("column")
+                .agg(F.max("_o").alias("_cut")).collect()}
+        cols = [c for c in cols if cuts.get(c) is not None]
+        if not cols:
+            return df.sparkSession.createDataFrame([], "column string, count_examples bigint, examples array<string>")
+        within = {c: order <= _literal(cuts[c]) for c in cols}
+        sampled = (df.select(order.alias("_o"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.when(within[c], _text_of(qcol(c), types[c])).alias("v"))
+            for c in cols])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
+        hits = sampled.where(any_pii(F.col("v"))).groupBy("column", "v").agg(F.min("_o").alias("_first"))
         top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
         picked = hits.withColumn("_r", top).where(F.col("_r") <= max_preview)
     else:
         from .profile import value_key
+        long = (df.select(order.alias("_o"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), _text_of(qcol(c), types[c]).alias("v")) for c in cols
+        ])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
         keyed = long.where(any_pii(F.col("v"))).withColumn("k", value_key(F.col("v")))
         firsts = keyed.groupBy("column", "k").agg(F.min("_o").alias("_first"))
         top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
