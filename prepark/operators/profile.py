@@ -195,16 +195,47 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
 
 
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, unique, top, freq per text column; ties go to the smallest value."""
+    """Count, unique, top, freq per text column; ties go to the smallest value.
+
+    Values are counted by ``value_key``, so long texts travel as fingerprints.
+    The top is the smallest value among those with the highest count: when
+    every value is unique that is the column's minimum (a partial aggregate);
+    otherwise the tied long texts, if any, are read back through a
+    size-checked join.
+    """
+    from .joins import maybe_broadcast
+
     cols = columns if columns is not None else df.columns
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("v")) for c in cols
-    ])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
-    counts = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.min_by("v", F.struct((-F.col("n")).alias("neg"), F.col("v"))).alias("top"),
-        F.max("n").alias("freq"))
+    ])).alias("kv")).select("kv.*").where(F.col("v").isNotNull()).withColumn("k", value_key(F.col("v")))
+    counts = long.groupBy("column", "k").agg(F.count(F.lit(1)).alias("n"))
+    per_col = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq"))
+    ties = counts.join(per_col.select("column", "freq"), on="column").where(F.col("n") == F.col("freq"))
+    short_top = ties.groupBy("column").agg(F.min("k.s").alias("_short"))
+    long_ties = ties.where(F.col("k.s").isNull()).select("column", "k")
+    stats = {r["column"]: r["freq"] for r in per_col.select("column", "freq").collect()}  # one row per column
+    all_unique = [c for c, f in stats.items() if f == 1]
+    parts = []
+    if all_unique:
+        parts.append(long.where(F.col("column").isin(all_unique)).groupBy("column").agg(F.min("v").alias("_long")))
+    rest = [c for c in stats if c not in all_unique]
+    if rest and long_ties.where(F.col("column").isin(rest)).limit(1).count() > 0:
+        wanted = long_ties.where(F.col("column").isin(rest))
+        parts.append(long.join(maybe_broadcast(wanted), on=["column", "k"])
+                     .groupBy("column").agg(F.min("v").alias("_long")))
+    out = per_col.join(short_top, on="column", how="left")
+    if parts:
+        lt = parts[0]
+        for p_ in parts[1:]:
+            lt = lt.unionByName(p_)
+        out = out.join(lt, on="column", how="left")
+        top = F.when(F.col("_short").isNull(), F.col("_long")).when(F.col("_long").isNull(), F.col("_short")) \
+            .otherwise(F.least("_short", "_long"))
+    else:
+        top = F.col("_short")
+    return out.select("column", "count", "unique", top.alias("top"), "freq")
 
 
 # --------------------------------------------------------------------- D6

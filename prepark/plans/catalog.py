@@ -189,6 +189,12 @@ def q_describe_text(spark, d):
     return P.describe_text(table(spark, d, "customer").select("c_name", "c_mktsegment"))
 
 
+@query("describe_text_documents")
+def q_describe_text_documents(spark, d):
+    """D5b over whole document texts and their text columns (copies make ties)."""
+    return P.describe_text(table(spark, d, "documents").select("text", "lang", "source"))
+
+
 @query("field_roles")
 def q_field_roles(spark, d):
     return rounded(P.field_roles(table(spark, d, "orders")))

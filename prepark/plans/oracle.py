@@ -179,6 +179,11 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
   arg_min(v, (-n, v)) AS top, max(n) AS freq
 FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1)"""
         for c in ["c_name", "c_mktsegment"])
+    O["describe_text_documents"] = "\nUNION ALL ".join(
+        f"""SELECT {_q(c)} AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+  arg_min(v, (-n, v)) AS top, max(n) AS freq
+FROM (SELECT {c} AS v, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1)"""
+        for c in ["text", "lang", "source"])
     O["field_roles"] = sql_field_roles("SELECT * FROM orders", ORDERS_COLS)
     O["inspect_roles"] = O["field_roles"]
     O["inspect_summary"] = O["column_summary"]

@@ -128,3 +128,13 @@ def test_describe_text_tie_goes_to_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",)], "s string")
     r = P.describe_text(df).first()
     assert (r["count"], r["unique"], r["top"], r["freq"]) == (5, 3, "a", 2)
+
+
+def test_describe_text_long_ties_and_all_unique(spark):
+    a, b = "b" * 100, "a" * 100
+    df = spark.createDataFrame([(a,), (b,), (a,), (b,), ("zz",)], "t string")
+    r = P.describe_text(df).first()
+    assert (r["count"], r["unique"], r["top"], r["freq"]) == (5, 3, b, 2)
+    uniq = spark.createDataFrame([("y" * 80,), ("x" * 90,), ("q",)], "t string")
+    r = P.describe_text(uniq).first()
+    assert (r["unique"], r["top"], r["freq"]) == (3, "q", 1)
