@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import order_column, qcol
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 EDGE_SCHEMA = "src string, dst string, weight double"
 # a frontier is broadcast to the edge join only under this many nodes (its size is counted each round)
 BROADCAST_FRONTIER_ROWS = 2_000_000
+# under this many nodes the frontier's ids also filter the edge scan (IN-list pushdown)
+IN_LIST_NODES = 10_000
 
 
 def build_graph(edges: DataFrame, source: str = "source", target: str = "target", weight: str | None = "weight",
@@ -56,16 +58,22 @@ def shortest_route(graph: DataFrame, origin, destination, checkpoint: bool = Tru
     if origin == destination:
         return spark.createDataFrame([(origin, destination, [origin], 0.0)],
                                      "origin string, destination string, path array<string>, length double")
-    # the edge table is read every round: write it once to the shared checkpoint folder
+    # the edge table is read every round: write it once, as parquet sorted by source
+    # node, to the shared folder -- then a small frontier's IN-list prunes row groups
     edges = graph.select("src", "dst", "weight")
     if checkpoint:
-        edges = materialize(edges)
+        path = scratch_path(spark, "route-edges")
+        edges.repartitionByRange("src").sortWithinPartitions("src").write.parquet(path)
+        edges = spark.read.parquet(path)
     best = spark.createDataFrame([(origin, 0.0, [origin])], "node string, dist double, path array<string>")
     frontier, frontier_rows = best, 1
     bound = None  # best known distance to the destination
     while True:
         side = F.broadcast(frontier) if frontier_rows <= BROADCAST_FRONTIER_ROWS else frontier
-        cand = (side.join(edges, F.col("node") == F.col("src"))
+        out_edges = edges
+        if frontier_rows <= IN_LIST_NODES:  # a bounded list of node ids, pushed into the scan
+            out_edges = edges.where(F.col("src").isin([r["node"] for r in frontier.select("node").collect()]))
+        cand = (side.join(out_edges, F.col("node") == F.col("src"))
                 .select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"),
                         F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
         if bound is not None:
