@@ -26,8 +26,12 @@ def _pii_columns(df: DataFrame, columns: list[str] | None, compat: bool) -> list
 
 def _text_of(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        # avoid Java's 1.0E7 notation: format plainly before matching
-        return F.when(c == F.floor(c), F.format_string("%.1f", c)).otherwise(c.cast("string"))
+        # Python prints floats plainly up to 1e16, Java switches to 1.0E7 notation: format
+        # plainly before matching (whole numbers keep one decimal, as Python shows them)
+        big = F.abs(c) >= 1e7
+        plain = F.regexp_replace(F.format_string("%.10f", c), "0+$", "")
+        return (F.when((c == F.floor(c)) & (F.abs(c) < 1e16), F.format_string("%.1f", c))
+                .when(big, plain).otherwise(c.cast("string")))
     return c.cast("string")
 
 

@@ -138,3 +138,13 @@ def test_describe_text_long_ties_and_all_unique(spark):
     uniq = spark.createDataFrame([("y" * 80,), ("x" * 90,), ("q",)], "t string")
     r = P.describe_text(uniq).first()
     assert (r["unique"], r["top"], r["freq"]) == (3, "q", 1)
+
+
+def test_pii_number_text_is_plain(spark):
+    from prepark.operators import pii as E
+    df = spark.createDataFrame([(1, 12345678.5), (2, 10000000.0), (3, 1.25)], "i int, x double")
+    rows = df.select("i", E._text_of(F.col("x"), df.schema["x"].dataType).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == ["12345678.5", "10000000.0", "1.25"]
+    # compat scans numbers too: an 8-digit number counts as a phone pattern, as in the reference
+    got = E.pii_detect(df, order_by="i", compat=True).collect()
+    assert [(r["column"], r["count_examples"]) for r in got if r["column"] == "x"] == [("x", 2)]
