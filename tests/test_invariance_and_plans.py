@@ -107,3 +107,47 @@ def test_blocked_quantiles_equal_percentile(spark, blocks):
     assert direct.keys() == blocked.keys()
     for k in direct:
         assert abs(direct[k] - blocked[k]) <= 1e-9 * max(1.0, abs(direct[k])), k
+
+
+def _nodes(node):
+    yield node
+    for i in range(node.children().size()):
+        yield from _nodes(node.children().apply(i))
+
+
+def _global_windows_read_aggregates(df) -> list[str]:
+    """Names of the first real operator under every Window without a partition key."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found = []
+    for n in _nodes(plan):
+        if n.nodeName() == "Window" and n.partitionSpec().isEmpty():
+            child = n.child()
+            while child.nodeName() in ("Sort", "Exchange", "InputAdapter", "Project", "WholeStageCodegen (1)") \
+                    or child.nodeName().startswith("WholeStageCodegen") or child.nodeName() == "AQEShuffleRead":
+                child = child.children().apply(0)
+            found.append(child.nodeName())
+    return found
+
+
+@pytest.mark.parametrize("key", ["fill_global", "roc_auc", "clean_records"])
+def test_global_windows_only_over_block_tables(spark, key):
+    from prepark.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES[key](spark, SF01)
+        under = _global_windows_read_aggregates(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(name.endswith("Aggregate") for name in under), under
+
+
+def test_blocked_quantile_plan(spark):
+    from prepark.operators.ordered import exact_quantiles
+    li = table(spark, SF01, "lineitem").select("l_extendedprice")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        under = _global_windows_read_aggregates(exact_quantiles(li, ["l_extendedprice"], [0.5], max_exact_distinct=0))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # every window there is partitioned (by column), so there may be none at all
+    assert all(name.endswith("Aggregate") for name in under), under
