@@ -40,36 +40,53 @@ def _as_double(c: Column, dt: T.DataType) -> Column:
     return c.cast("double")
 
 
-def assign_blocks(df: DataFrame, order: Column, n_blocks: int | None = None) -> tuple[DataFrame, list[str]]:
+def _lead(order: Column, dt: T.DataType) -> tuple[Column, T.DataType] | None:
+    """The leading component of an order key (None for the file-order struct)."""
+    if isinstance(dt, T.StructType):
+        names = [f.name for f in dt.fields]
+        if names[:2] == ["file", "block"]:
+            return None
+        return order.getField(names[0]), dt.fields[0].dataType
+    return order, dt
+
+
+def block_splits(df: DataFrame, order: Column, n_blocks: int | None = None) -> list[float] | None:
+    """Bucket edges giving ~equal-count blocks of ``order`` (one pass over that
+    column only). Edges taken from a superset of the keys -- e.g. before a
+    dedupe -- stay valid: blocks only need to be contiguous key ranges."""
+    n_blocks = n_blocks or default_blocks(df)
+    dt = df.select(order.alias("_o")).schema["_o"].dataType
+    lead = _lead(order, dt)
+    if lead is None or n_blocks <= 1:
+        return None
+    key = F.coalesce(_as_double(*lead), F.lit(float("-inf")))
+    probs = [i / n_blocks for i in range(1, n_blocks)]
+    accuracy = max(10000, 20 * n_blocks)
+    bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"]
+    finite = {float(b) for b in (bounds or []) if b is not None and abs(float(b)) != float("inf")}
+    return [float("-inf")] + sorted(finite) + [float("inf")] if finite else None
+
+
+def assign_blocks(df: DataFrame, order: Column, n_blocks: int | None = None,
+                  splits: list[float] | None = None) -> tuple[DataFrame, list[str]]:
     """Add block columns so that each block is a contiguous range of ``order``.
 
     Returns the frame and the names of the block columns, themselves in order.
     A struct order key made by ``with_file_order`` blocks by (file, split): the
     splits are natural contiguous blocks, as many as the scan has partitions.
     Other keys block by approximate quantiles of the leading component (one
-    extra pass that reads that column only), so blocks hold equal row counts
-    even where the key is dense or one group is hot.
+    extra pass that reads that column only, unless ``splits`` are given), so
+    blocks hold equal row counts even where the key is dense or one group is hot.
     """
-    n_blocks = n_blocks or default_blocks(df)
     dt = df.select(order.alias("_o")).schema["_o"].dataType
-    if isinstance(dt, T.StructType):
-        names = [f.name for f in dt.fields]
-        if names[:2] == ["file", "block"]:
-            df = df.withColumn("_blk_file", order.getField("file")).withColumn("_blk_start", order.getField("block"))
-            return df, ["_blk_file", "_blk_start"]
-        lead, lead_dt = order.getField(names[0]), dt.fields[0].dataType
-    else:
-        lead, lead_dt = order, dt
-    if n_blocks <= 1:
-        return df.withColumn(BLK, F.lit(0.0)), [BLK]
-    key = F.coalesce(_as_double(lead, lead_dt), F.lit(float("-inf")))
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    accuracy = max(10000, 20 * n_blocks)
-    bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"]
-    finite = {float(b) for b in (bounds or []) if b is not None and abs(float(b)) != float("inf")}
-    if not finite:
+    lead = _lead(order, dt)
+    if lead is None:
+        df = df.withColumn("_blk_file", order.getField("file")).withColumn("_blk_start", order.getField("block"))
+        return df, ["_blk_file", "_blk_start"]
+    splits = splits if splits is not None else block_splits(df, order, n_blocks)
+    if not splits:
         return df.withColumn(BLK, F.lit(0.0)), [BLK]
-    splits = [float("-inf")] + sorted(finite) + [float("inf")]
+    key = F.coalesce(_as_double(*lead), F.lit(float("-inf")))
     df = df.withColumn("_blk_key", key)
     df = Bucketizer(splits=splits, inputCol="_blk_key", outputCol=BLK, handleInvalid="keep").transform(df)
     return df.drop("_blk_key"), [BLK]
@@ -88,7 +105,7 @@ def _block_join(df: DataFrame, small: DataFrame, keys: list[str], bounded: bool)
 
 def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
                 partition_by: list[str] | None = None, n_blocks: int | None = None,
-                backward: bool = True) -> DataFrame:
+                backward: bool = True, splits: list[float] | None = None) -> DataFrame:
     """Forward fill then backward fill of ``columns`` in ``order``.
 
     Backward fill after forward fill only touches the leading nulls of a
@@ -97,7 +114,7 @@ def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
     if not columns:
         return df
     src_cols = df.columns
-    df, blk_names = assign_blocks(df, order, n_blocks)
+    df, blk_names = assign_blocks(df, order, n_blocks, splits)
     blk_cols = [F.col(c) for c in blk_names]
     gcols = _group_cols(partition_by)
     in_block = (Window.partitionBy(*gcols, *blk_cols).orderBy(order)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import missing, numeric_columns, order_column, qcol
 from ..operators.clean import within_bounds, apply_fill, dedupe, fill_values, three_sigma
 from ..operators.columns import trim_columns
-from ..operators.ordered import ffill_bfill
+from ..operators.ordered import block_splits, ffill_bfill
 from ..session import materialize
 from ..sources.files import read_table
 
@@ -57,11 +57,15 @@ def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: flo
     dedupe shuffle and the fill windows. ``bounds`` (from ``sigma_bounds`` on
     a reference table) freezes the filter instead: no statistics pass at all.
     """
+    # block edges from the input's order key: the kept rows' keys are a subset of
+    # them, so the dedupe shuffle is not run a second time just to find edges
+    df_o, in_order, _ = order_column(df, order_by)
+    splits = block_splits(df_o, in_order)
     deduped = dedupe(df, order_by=order_by)
     order_name = order_by if isinstance(order_by, str) else "_order"
     deduped, order, _ = order_column(deduped, order_name)
     value_cols = [c for c in deduped.columns if c != order_name]
-    filled = ffill_bfill(deduped, value_cols, order)
+    filled = ffill_bfill(deduped, value_cols, order, splits=splits)
     if bounds is not None:
         cond = F.lit(True)
         for c, (lo, hi) in bounds.items():
