@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.kinds import qcol
+from ..functions.kinds import numeric_columns, qcol
 from ..operators.sensors import _feature_aggs, _feature_cols
 from ..plans.cleaning import clean_records
 from ..sources.audit import audit_rows
@@ -61,7 +61,7 @@ def window_features_stream(stream: DataFrame, ts_col: str, size: str, slide: str
     """I1 features per (window, device) on a stream. Rows later than the
     watermark are dropped; in append mode a window is emitted once closed."""
     s = event_time(stream, ts_col).withWatermark(ts_col, watermark)
-    cols = columns or []
+    cols = columns or [c for c in numeric_columns(s) if c not in (ts_col, device_col)]
     w = F.window(qcol(ts_col), size, slide) if slide else F.window(qcol(ts_col), size)
     keys = [w.alias("window")] + ([qcol(device_col)] if device_col else [])
     out = s.groupBy(*keys).agg(*_feature_aggs(cols))
