@@ -210,6 +210,12 @@ def q_field_roles_documents(spark, d):
     return rounded(P.field_roles(table(spark, d, "documents")))
 
 
+@query("field_roles_events")
+def q_field_roles_events(spark, d):
+    """D6 with a timestamp column (datetime role) and gaps (pct_null > 0)."""
+    return rounded(P.field_roles(events_gaps(spark, d)))
+
+
 @query("top_variance")
 def q_top_variance(spark, d):
     return rounded(P.top_variance(table(spark, d, "lineitem")), 2)

@@ -191,6 +191,7 @@ FROM (SELECT {c} AS v, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP
     O["inspect_summary_documents"] = sql_column_summary("SELECT * FROM documents", DOCUMENTS_COLS, "doc_id")
     O["field_roles_customer"] = sql_field_roles("SELECT * FROM customer", CUSTOMER_COLS)
     O["field_roles_documents"] = sql_field_roles("SELECT * FROM documents", DOCUMENTS_COLS)
+    O["field_roles_events"] = sql_field_roles(EV_GAPS, EV_GAPS_COLS)
     O["top_variance"] = ("SELECT \"column\", round(variance, 2) AS variance FROM (" + "\nUNION ALL ".join(
         f"SELECT {i} AS pos, {_q(c)} AS \"column\", var_samp({c}) AS variance FROM lineitem"
         for i, c in enumerate(LINEITEM_NUM)) + ") ORDER BY variance DESC, pos LIMIT 3")
