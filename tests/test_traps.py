@@ -148,3 +148,17 @@ def test_pii_number_text_is_plain(spark):
     # compat scans numbers too: an 8-digit number counts as a phone pattern, as in the reference
     got = E.pii_detect(df, order_by="i", compat=True).collect()
     assert [(r["column"], r["count_examples"]) for r in got if r["column"] == "x"] == [("x", 2)]
+
+
+def test_file_order_across_two_csv_files(spark, tmp_path):
+    d = tmp_path / "csvs"
+    d.mkdir()
+    # the larger second file would be numbered first by partition id alone
+    (d / "a.csv").write_text("k,v\n1,10\n2,\n")
+    (d / "b.csv").write_text("k,v\n" + "".join(f"{i},\n" for i in range(3, 400)) + "400,7\n")
+    df = read_table(spark, str(d))
+    filled = C.fill_forward_backward(df, ["v"])  # default order: file, split, row
+    got = {r["k"]: r["v"] for r in filled.collect()}
+    assert got[2] == 10 and got[3] == 10 and got[399] == 10 and got[400] == 7
+    first = C.dedupe(df.select("v"))
+    assert first.count() == 3
