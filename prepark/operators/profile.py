@@ -107,37 +107,47 @@ def value_key(v: Column) -> Column:
                     F.when(~short, F.hash(v)).alias("h2"), F.when(~short, F.length(v)).alias("n"))
 
 
+def long_text_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns holding any value longer than ``LONG_TEXT`` (one aggregate, no shuffle)."""
+    if not columns:
+        return []
+    row = df.agg(*[F.max(F.length(qcol(c).cast("string"))).alias(f"l{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if (row[f"l{i}"] or 0) > LONG_TEXT]
+
+
 def distinct_profile(df: DataFrame, columns: list[str] | None = None, order_by=None,
-                     n_values: int = 5, approx: bool = False) -> DataFrame:
+                     n_values: int = 5, approx: bool = False, long_cols: list[str] | None = None) -> DataFrame:
     """Per column: ``n_unique`` (missing excluded) and the first ``n_values``
     distinct values in order of appearance (as text, in an array).
 
     One unpivot + ``groupBy(column, value key)`` (partial aggregate); the
     top-n per column is a ``row_number <= n`` filter, planned as a
-    WindowGroupLimit that trims each partition before the exchange. Long texts
-    travel as fingerprints; the <= n sample texts per column are then read
-    back by a broadcast lookup on their first position (a scan, no shuffle).
+    WindowGroupLimit that trims each partition before the exchange. In columns
+    with long texts (``long_cols``, found by one cheap aggregate if not given)
+    they travel as fingerprints, and the <= n sample texts are read back by a
+    broadcast lookup on their first position (a scan, no shuffle of texts).
     """
     cols = columns if columns is not None else df.columns
+    if long_cols is None:
+        long_cols = long_text_columns(df, cols)
     df, order, _ = order_column(df, order_by)
     fields = {f.name: f.dataType for f in df.schema.fields}
     structs = [F.struct(F.lit(c).alias("column"),
                         F.when(missing(qcol(c), fields[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
                for c in cols]
     long = (df.select(order.alias("_o"), F.explode(F.array(*structs)).alias("kv"))
-            .select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull())
-            .withColumn("k", value_key(F.col("v"))))
+            .select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
+    long = long.withColumn("k", value_key(F.col("v")) if long_cols else F.struct(F.col("v").alias("s")))
     firsts = long.groupBy("column", "k").agg(F.min("_o").alias("_first"))
     if approx:
         uniq = long.groupBy("column").agg(F.approx_count_distinct("k").alias("n_unique"))
     else:
         uniq = firsts.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     rn = F.row_number().over(Window.partitionBy("column").orderBy("_first", "k"))
-    top = firsts.withColumn("_r", rn).where(F.col("_r") <= n_values)
-    top = top.withColumn("v", F.col("k.s"))
-    if top.where(F.col("v").isNull()).limit(1).count() > 0:
+    top = firsts.withColumn("_r", rn).where(F.col("_r") <= n_values).withColumn("v", F.col("k.s"))
+    if long_cols:
         keys = top.where(F.col("v").isNull()).select("column", "k", F.col("_first").alias("_o"))  # <= n per column
-        texts = (long.join(F.broadcast(keys), on=["column", "k", "_o"])
+        texts = (long.where(F.col("column").isin(long_cols)).join(F.broadcast(keys), on=["column", "k", "_o"])
                  .groupBy("column", "k").agg(F.min("v").alias("_text")))
         top = top.join(texts, on=["column", "k"], how="left").withColumn("v", F.coalesce("v", "_text"))
     top = (top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
@@ -148,11 +158,18 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None, order_by=N
 def column_summary(df: DataFrame, order_by=None, n_values: int = 5, approx: bool = False,
                    separator: str = " | ") -> DataFrame:
     """D3: ``(column, dtype, n_missing, n_unique, sample_values)``; sample values
-    are the first distinct non-missing values in order, joined as text."""
+    are the first distinct non-missing values in order, joined as text.
+
+    One aggregate gives the missing counts and the longest value per column
+    (which columns need fingerprints); one distinct pass gives the rest."""
     meta = _schema_frame(df)
-    cols = [c for c in df.columns if c != "_order"]
-    miss = summary_stats(df.select(*[qcol(c) for c in cols])).select("column", "n_missing")
-    prof = distinct_profile(df, cols, order_by, n_values, approx)
+    fields = [f for f in df.schema.fields if f.name != "_order"]
+    cols = [f.name for f in fields]
+    row = df.agg(*[F.count_if(missing(qcol(f.name), f.dataType)).alias(f"n{i}") for i, f in enumerate(fields)],
+                 *[F.max(F.length(qcol(c).cast("string"))).alias(f"l{i}") for i, c in enumerate(cols)]).first()
+    miss = _spark(df).createDataFrame([(c, row[f"n{i}"]) for i, c in enumerate(cols)], "column string, n_missing bigint")
+    long_cols = [c for i, c in enumerate(cols) if (row[f"l{i}"] or 0) > LONG_TEXT]
+    prof = distinct_profile(df, cols, order_by, n_values, approx, long_cols=long_cols)
     return (meta.join(miss, on="column").join(prof, on="column", how="left")
             .select("pos", "column", "dtype", "n_missing",
                     F.coalesce(F.col("n_unique"), F.lit(0).cast("bigint")).alias("n_unique"),
@@ -206,6 +223,15 @@ def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     from .joins import maybe_broadcast
 
     cols = columns if columns is not None else df.columns
+    if not long_text_columns(df, cols):
+        # short values only: group the values themselves, one job
+        short = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("v")) for c in cols
+        ])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
+        counts = short.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("column").agg(
+            F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+            F.min_by("v", F.struct((-F.col("n")).alias("neg"), F.col("v"))).alias("top"), F.max("n").alias("freq"))
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("v")) for c in cols
     ])).alias("kv")).select("kv.*").where(F.col("v").isNotNull()).withColumn("k", value_key(F.col("v")))
