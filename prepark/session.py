@@ -15,6 +15,8 @@ _LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # remove checkpoint files once nothing refers to them (the shared folder would grow otherwise)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.memory": "16g",
 }
 
