@@ -151,3 +151,18 @@ def test_blocked_quantile_plan(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # every window there is partitioned (by column), so there may be none at all
     assert all(name.endswith("Aggregate") for name in under), under
+
+
+def test_isolation_forest_large_n_pool_branch(spark):
+    rng = np.random.default_rng(3)
+    n = 30000  # >= trees * psi: the pool branch (smallest hashes, one TakeOrderedAndProject)
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.normal(size=n)})
+    pdf["id"] = np.arange(n)
+    pdf.loc[:9, "a"] = 25.0  # ten far-out rows
+    df = spark.createDataFrame(pdf)
+    m1 = IF.fit_isolation_forest(df.repartition(3).select("a", "b"), contamination=0.01)
+    m2 = IF.fit_isolation_forest(df.repartition(11).select("a", "b"), contamination=0.01)
+    assert m1.nodes.equals(m2.nodes) and m1.offset == m2.offset
+    flagged = m1.score(df).where("is_fraud").select("id").toPandas()["id"]
+    assert 0.007 * n <= len(flagged) <= 0.013 * n
+    assert set(range(10)) <= set(flagged)
