@@ -73,8 +73,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     if not floats:
         return df
     return df.select(*[
-        (F.when(F.isnan(F.col(f"`{c}`")), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c) if c in floats
-         else F.col(f"`{c}`"))
+        (F.when(F.isnan(qcol(c)), F.lit(None)).otherwise(qcol(c)).alias(c) if c in floats else qcol(c))
         for c in df.columns
     ])
 

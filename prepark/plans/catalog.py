@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kinds import qcol
 from ..operators import clean as C
 from ..operators import iforest as IF
 from ..operators import models as ML
@@ -67,9 +68,9 @@ def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataF
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float") and f.name not in skip:
-            out.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            out.append(F.round(qcol(f.name), digits).alias(f.name))
         else:
-            out.append(F.col(f"`{f.name}`"))
+            out.append(qcol(f.name))
     return df.select(*out)
 
 

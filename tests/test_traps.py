@@ -162,3 +162,11 @@ def test_file_order_across_two_csv_files(spark, tmp_path):
     assert got[2] == 10 and got[3] == 10 and got[399] == 10 and got[400] == 7
     first = C.dedupe(df.select("v"))
     assert first.count() == 3
+
+
+def test_csv_odd_column_names(spark, tmp_path):
+    p = tmp_path / "odd.csv"
+    p.write_text("a`b,c.d, e \n1,2.5,x\n,NA,y\n")
+    df = read_table(spark, str(p))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
+    assert df.where(F.col("`a``b`").isNull()).count() == 1
