@@ -61,7 +61,7 @@ def kind_of(dt: T.DataType) -> str:
 
 def missing(c: str | Column, dt: T.DataType | None = None) -> Column:
     """Predicate for a missing cell: null, or NaN in a float column."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = qcol(c) if isinstance(c, str) else c
     if dt is not None and isinstance(dt, (T.FloatType, T.DoubleType)):
         return col.isNull() | F.isnan(col)
     return col.isNull()

@@ -194,7 +194,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str] | None = None, n_tre
     if n == 0:
         raise ValueError("no complete rows to train on")
     psi = min(max_samples, n)
-    row_hash = F.xxhash64(F.lit(seed), *[F.col(c) for c in feats])
+    row_hash = F.xxhash64(F.lit(seed), *[qcol(c) for c in feats])
     if n >= n_trees * psi:
         pool = X.withColumn("_h", row_hash).orderBy("_h", *feats).limit(n_trees * psi)
         # the pool is bounded (trees x psi rows) and already in one ordered partition
@@ -202,7 +202,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str] | None = None, n_tre
         sample = pool.withColumn("tree", (rank / psi).cast("int"))
     else:
         per_tree = X.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        per_tree = per_tree.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), *[F.col(c) for c in feats]))
+        per_tree = per_tree.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), *[qcol(c) for c in feats]))
         rn = F.row_number().over(Window.partitionBy("tree").orderBy("_h", *feats))
         sample = per_tree.withColumn("_rn", rn).where(F.col("_rn") <= psi).drop("_rn")
     nodes = sample.groupBy("tree").applyInPandas(_grow_trees(feats, psi, seed), NODE_SCHEMA).toPandas()

@@ -25,14 +25,14 @@ def matrix_long(df: DataFrame, key: str, columns: list[str] | None = None, user_
     cols = columns if columns is not None else [c for c in df.columns if c != key]
     long = df.select(qcol(key).alias(user_col), *[qcol(c).cast("double").alias(c) for c in cols]).unpivot(
         user_col, cols, item_col, rating_col)
-    long = long.withColumn(rating_col, F.coalesce(F.col(rating_col), F.lit(0.0)))
-    return long.where(F.col(rating_col) != 0) if drop_zeros else long
+    long = long.withColumn(rating_col, F.coalesce(qcol(rating_col), F.lit(0.0)))
+    return long.where(qcol(rating_col) != 0) if drop_zeros else long
 
 
 def _user_row(ratings: DataFrame, user_id, user_col: str, item_col: str, rating_col: str) -> tuple[DataFrame, int, float]:
     """The query user's items, written once to the checkpoint folder (the
     ratings plan may be an expensive join), with their count and norm."""
-    row = materialize(ratings.where(F.col(user_col) == F.lit(user_id)).select(item_col, F.col(rating_col).alias("_q")))
+    row = materialize(ratings.where(qcol(user_col) == F.lit(user_id)).select(item_col, qcol(rating_col).alias("_q")))
     st = row.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("norm")).first()
     if st["n"] == 0:  # a user whose ratings are all 0 keeps zero rows (drop_zeros=False)
         raise KeyError("User not in matrix")
@@ -51,8 +51,8 @@ def user_similarity(ratings: DataFrame, user_id, user_col: str = "user", item_co
     q_side = F.broadcast(q) if q_rows <= DEFAULT_MAX_BROADCAST_ROWS else q
     per_user = (ratings.join(q_side, on=item_col, how="left")
                 .groupBy(user_col)
-                .agg(F.sum(F.col(rating_col) * F.coalesce(F.col("_q"), F.lit(0.0))).alias("_dot"),
-                     F.sqrt(F.sum(F.col(rating_col) * F.col(rating_col))).alias("_norm")))
+                .agg(F.sum(qcol(rating_col) * F.coalesce(F.col("_q"), F.lit(0.0))).alias("_dot"),
+                     F.sqrt(F.sum(qcol(rating_col) * qcol(rating_col))).alias("_norm")))
     denom = F.col("_norm") * F.lit(float(q_norm))
     return per_user.select(user_col, F.when(denom > 0, F.col("_dot") / denom).otherwise(F.lit(0.0)).alias("similarity"))
 
@@ -69,7 +69,7 @@ def recommend(ratings: DataFrame, user_id, top_k: int = 10, user_col: str = "use
     sims = materialize(user_similarity(ratings, user_id, user_col, item_col, rating_col)
                        .where(F.col("similarity") != 0))
     contrib = (ratings.join(maybe_broadcast(sims), on=user_col)
-               .groupBy(item_col).agg(F.sum(F.col("similarity") * F.col(rating_col)).alias("score")))
+               .groupBy(item_col).agg(F.sum(F.col("similarity") * qcol(rating_col)).alias("score")))
     items = ratings.select(item_col).distinct()
     scored = items.join(contrib, on=item_col, how="left").select(
         item_col, F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
@@ -93,12 +93,12 @@ def similar_items(items: DataFrame, item_id, top_k: int = 10, id_col: str = "ite
     the driver and back as a literal; each row then scores in codegen and
     the top k is a TakeOrderedAndProject.
     """
-    row = items.where(F.col(id_col) == F.lit(item_id)).select(vec_col).limit(1).collect()
+    row = items.where(qcol(id_col) == F.lit(item_id)).select(vec_col).limit(1).collect()
     if not row:
         raise KeyError("Item not in features")
     qv = [0.0 if x is None else float(x) for x in (row[0][0] or [])]
     qlit = F.array(*[F.lit(x) for x in qv])
-    filled = F.transform(F.col(vec_col), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
-    return (items.where(F.col(id_col) != F.lit(item_id))
+    filled = F.transform(qcol(vec_col), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return (items.where(qcol(id_col) != F.lit(item_id))
             .select(id_col, cosine(filled, qlit).alias("similarity"))
-            .orderBy(F.col("similarity").desc(), F.col(id_col)).limit(top_k))
+            .orderBy(F.col("similarity").desc(), qcol(id_col)).limit(top_k))

@@ -45,7 +45,7 @@ def audit_tail(log: DataFrame, n: int = 10, ts_col: str = "ts", tie_col: str | N
 
     Planned as TakeOrderedAndProject: every partition keeps only its top n.
     """
-    order = [F.col(ts_col).desc()] + ([F.col(tie_col).desc()] if tie_col else [])
+    order = [qcol(ts_col).desc()] + ([qcol(tie_col).desc()] if tie_col else [])
     return log.orderBy(*order).limit(n)
 
 
