@@ -170,3 +170,29 @@ def test_csv_odd_column_names(spark, tmp_path):
     df = read_table(spark, str(p))
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
     assert df.where(F.col("`a``b`").isNull()).count() == 1
+
+
+def test_sensor_mean_of_means_not_cell_mean(spark):
+    from prepark.operators.sensors import sensor_features
+    df = spark.createDataFrame([(1.0, 10.0), (3.0, None), (5.0, None)], "a double, b double")
+    r = sensor_features(df).first()
+    assert r["mean_all"] == r["mean_of_means"] == (3.0 + 10.0) / 2  # not the cell mean 19/4
+    assert r["std_all"] == 2.0  # sd(a) = 2, sd(b) undefined for one value and skipped
+    assert (r["max_all"], r["min_all"]) == (10.0, 1.0)
+
+
+def test_sliding_sensor_windows_match_brute_force(spark):
+    from datetime import datetime, timedelta
+    from prepark.operators.sensors import sensor_windows
+    base = datetime(2024, 1, 1)
+    rows = [(base + timedelta(minutes=7 * i), "d1" if i % 3 else "d2", float(i), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, dev string, x double, y double")
+    got = {(r["window_start"], r["dev"]): (r["max_all"], r["min_all"])
+           for r in sensor_windows(df, "ts", "1 hour", "30 minutes", device_col="dev", columns=["x", "y"]).collect()}
+    exp = {}
+    for ts, dev, x, y in rows:
+        start = ts.replace(minute=0 if ts.minute < 30 else 30, second=0)
+        for s in (start, start - timedelta(minutes=30)):
+            lo, hi = exp.get((s, dev), (float("inf"), float("-inf")))
+            exp[(s, dev)] = (min(lo, x, y), max(hi, x, y))
+    assert got == {k: (hi, lo) for k, (lo, hi) in exp.items()}
