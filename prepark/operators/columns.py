@@ -22,12 +22,15 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def rename_target(df: DataFrame, target: str = "target", source: str = "outcome") -> DataFrame:
-    """B2: rename ``Outcome`` (any case) to ``target`` when ``target`` is absent."""
+def rename_target(df: DataFrame, target: str = "target", source: str = "outcome",
+                  case_insensitive: bool = True) -> DataFrame:
+    """B2: rename ``Outcome`` to ``target`` when ``target`` is absent; the
+    match ignores case unless ``case_insensitive=False`` (then ``source`` must
+    match exactly, e.g. ``"Outcome"``)."""
     if target in df.columns:
         return df
     for c in df.columns:
-        if c.lower() == source.lower():
+        if (c.lower() == source.lower()) if case_insensitive else (c == source):
             return df.withColumnRenamed(c, target)
     return df
 

@@ -19,11 +19,12 @@ from ..functions.kinds import numeric_columns, qcol
 from .metrics import accuracy, roc_auc, split_column
 
 
-def _prepare(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
+def _prepare(df: DataFrame, target: str, dropna: bool = True, numeric_only: bool = True) -> tuple[DataFrame, list[str]]:
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
-    df = df.dropna()
-    feats = numeric_columns(df, exclude=[target])
+    if dropna:
+        df = df.dropna()
+    feats = numeric_columns(df, exclude=[target]) if numeric_only else [c for c in df.columns if c != target]
     if not feats:
         raise ValueError("No numeric features available")
     return df, feats
@@ -38,15 +39,19 @@ def _evaluate(pred: DataFrame) -> dict:
 
 
 def train_logistic(df: DataFrame, target: str = "target", key: str | list[str] | None = None,
-                   max_iter: int = 2000, test_fraction: float = 0.2, seed: int = 42) -> tuple[PipelineModel, dict]:
+                   max_iter: int = 2000, test_fraction: float = 0.2, seed: int = 42,
+                   dropna: bool = True, numeric_only: bool = True) -> tuple[PipelineModel, dict]:
     """drop missing rows, numeric features, >= 10 rows, 80/20 split by key
     hash (F1), fit, and report accuracy and ROC AUC on the test part.
 
     Returns the fitted pipeline (features in ``model.feature_names``) and the
     metrics dict. The split needs a row key; by default the features
-    themselves are hashed.
+    themselves are hashed. The reference's second variant is
+    ``max_iter=1000, dropna=False, numeric_only=False`` (every column must
+    then already be a number; rows with a missing value are skipped by the
+    assembler).
     """
-    df, feats = _prepare(df, target)
+    df, feats = _prepare(df, target, dropna, numeric_only)
     k = (qcol(key) if isinstance(key, str) else F.struct(*[qcol(c) for c in key])) if key else \
         F.struct(*[qcol(c) for c in feats])
     tagged = df.select(*[qcol(c).cast("double").alias(c) for c in feats],

@@ -211,6 +211,12 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
             .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
 
 
+def describe_auto(df: DataFrame) -> DataFrame:
+    """``df.describe()`` as pandas picks it: numeric summary (D5) when any
+    numeric column exists, else the text summary (D5b)."""
+    return describe(df) if numeric_columns(df) else describe_text(df)
+
+
 def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, unique, top, freq per text column; ties go to the smallest value.
 

@@ -83,3 +83,17 @@ def clean_records_summary(cleaned: DataFrame) -> DataFrame:
         total = total + missing(qcol(f.name), f.dataType).cast("bigint")
     return cleaned.agg(F.count(F.lit(1)).alias("rows"),
                        F.coalesce(F.sum(total), F.lit(0).cast("bigint")).alias("total_missing"))
+
+
+def clean_upload(df: DataFrame, order_by: str | list[str] | None = None, preview_rows: int = 10,
+                 **kw) -> tuple[DataFrame, DataFrame]:
+    """C6 upload response: ``(rows frame, first rows)`` of the cleaned table.
+
+    The cleaned frame is checkpointed once, so the count and the preview do
+    not clean twice.
+    """
+    from ..sources.files import preview
+    cleaned = materialize(clean_records(df, order_by=order_by, **kw))
+    order_name = order_by if isinstance(order_by, str) else "_order"
+    return (cleaned.agg(F.count(F.lit(1)).alias("rows")),
+            preview(cleaned, preview_rows, order_by=order_name if order_name in cleaned.columns else None))

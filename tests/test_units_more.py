@@ -166,3 +166,22 @@ def test_clean_stream_per_batch_and_frozen(spark, tmp_path):
     J.clean_stream(stream2, out2, ck2, order_by="i", bounds=bounds).awaitTermination()
     frozen = spark.read.parquet(out2)
     assert frozen.where("v >= 500").count() == 0 and frozen.count() > 0
+
+
+def test_small_variants(spark):
+    from prepark.operators.columns import rename_target
+    from prepark.operators.models import train_logistic
+    from prepark.plans.cleaning import clean_upload
+    from prepark.plans.catalog import events_gaps, labelled_docs
+    only_text = table(spark, SF01, "nation").select("n_name")
+    assert P.describe_auto(only_text).columns == ["column", "count", "unique", "top", "freq"]
+    assert "p50" in P.describe_auto(table(spark, SF01, "nation")).columns
+    df = spark.createDataFrame([(1, 0)], "x int, Outcome int")
+    assert rename_target(df, source="outcome", case_insensitive=False).columns == ["x", "Outcome"]
+    assert rename_target(df, source="Outcome", case_insensitive=False).columns == ["x", "target"]
+    j = labelled_docs(spark, SF01).select("n_chars", "toxic", "quality")
+    _, metrics = train_logistic(j, target="quality", max_iter=1000, dropna=False, numeric_only=False)
+    assert 0.0 <= metrics["accuracy"] <= 1.0
+    ev = events_gaps(spark, SF01).select("event_id", "user_id", "event_type", "value", "k")
+    rows, first = clean_upload(ev, order_by="event_id")
+    assert rows.first()["rows"] == 9792 and first.count() == 10
