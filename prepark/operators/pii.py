@@ -99,8 +99,10 @@ def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, s
         firsts = keyed.groupBy("column", "k").agg(F.min("_o").alias("_first"))
         top = F.row_number().over(Window.partitionBy("column").orderBy("_first"))
         first_rows = firsts.withColumn("_r", top).where(F.col("_r") <= max_preview)  # <= max_preview per column
-        texts = (keyed.join(F.broadcast(first_rows.select("column", "k", F.col("_first").alias("_o"))),
-                            on=["column", "k", "_o"]).groupBy("column", "k").agg(F.min("v").alias("v")))
+        # fetch by (column, key, first position): the keys came from matching rows, no regex needed here
+        texts = (long.withColumn("k", value_key(F.col("v")))
+                 .join(F.broadcast(first_rows.select("column", "k", F.col("_first").alias("_o"))),
+                       on=["column", "k", "_o"]).groupBy("column", "k").agg(F.min("v").alias("v")))
         picked = first_rows.join(texts, on=["column", "k"])
     return (picked.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_r", "v"))).alias("_vals"))
             .select("column", F.size("_vals").cast("bigint").alias("count_examples"),
