@@ -147,6 +147,12 @@ def q_standard_scale(spark, d):
     return rounded(C.standard_scale(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+@query("standard_scale_part")
+def q_standard_scale_part(spark, d):
+    pt = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return rounded(C.standard_scale(pt, ["p_size", "p_retailprice"]))
+
+
 @query("trim_columns")
 def q_trim_columns(spark, d):
     n = table(spark, d, "nation")
@@ -169,6 +175,11 @@ def q_column_summary(spark, d):
     return P.column_summary(table(spark, d, "orders"), order_by="o_orderkey")
 
 
+@query("column_summary_lineitem")
+def q_column_summary_lineitem(spark, d):
+    return P.column_summary(table(spark, d, "lineitem"), order_by=["l_orderkey", "l_linenumber", "l_partkey"])
+
+
 @query("column_summary_documents")
 def q_column_summary_documents(spark, d):
     """D3 over whole document texts: long values travel as fingerprints."""
@@ -196,6 +207,12 @@ def q_describe_text_documents(spark, d):
     return P.describe_text(table(spark, d, "documents").select("text", "lang", "source"))
 
 
+@query("describe_text_nation")
+def q_describe_text_nation(spark, d):
+    """D5b on an all-text projection with every value unique (ties go to the smallest)."""
+    return P.describe_text(table(spark, d, "nation").select("n_name"))
+
+
 @query("field_roles")
 def q_field_roles(spark, d):
     return rounded(P.field_roles(table(spark, d, "orders")))
@@ -412,6 +429,11 @@ def q_sensor_features(spark, d):
     return rounded(S.sensor_features(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+@query("sensor_features_part")
+def q_sensor_features_part(spark, d):
+    return rounded(S.sensor_features(table(spark, d, "part"), ["p_size", "p_retailprice"]))
+
+
 @query("sensor_windows")
 def q_sensor_windows(spark, d):
     ev = events_k(spark, d)

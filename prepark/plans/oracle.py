@@ -157,6 +157,10 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
         f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) "
         f"FROM lineitem), 6) AS {c}" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     O["standard_scale"] = f"SELECT l_orderkey, l_linenumber, {sc} FROM lineitem"
+    sc2 = ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM part)) / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) "
+        f"FROM part), 6) AS {c}" for c in ["p_size", "p_retailprice"])
+    O["standard_scale_part"] = f"SELECT p_partkey, {sc2} FROM part"
     O["trim_columns"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 
     O["summary_stats"] = sql_summary_stats(EV_GAPS, gaps_names)
@@ -164,6 +168,12 @@ SELECT event_id, user_id, event_type, value, k FROM {last}"""
                           " + ".join(f"count(*) - count({c})" for c in gaps_names) +
                           " AS BIGINT) AS total_missing FROM ev")
     O["column_summary"] = sql_column_summary("SELECT * FROM orders", ORDERS_COLS, "o_orderkey")
+    LINEITEM_COLS = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                     ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                     ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                     ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+    O["column_summary_lineitem"] = sql_column_summary("SELECT * FROM lineitem", LINEITEM_COLS,
+                                                      "(l_orderkey, l_linenumber, l_partkey)")
     O["column_summary_documents"] = sql_column_summary("SELECT * FROM documents", DOCUMENTS_COLS, "doc_id")
     O["missing_fraction"] = f"WITH src AS ({EV_GAPS})\n" + "\nUNION ALL ".join(
         f"SELECT {_q(c)} AS \"column\", round(avg(CAST({c} IS NULL AS DOUBLE)), 6) AS missing_frac FROM src"
@@ -184,6 +194,9 @@ FROM (SELECT {c} AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP B
   arg_min(v, (-n, v)) AS top, max(n) AS freq
 FROM (SELECT {c} AS v, count(*) AS n FROM documents WHERE {c} IS NOT NULL GROUP BY 1)"""
         for c in ["text", "lang", "source"])
+    O["describe_text_nation"] = """SELECT 'n_name' AS "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+  arg_min(v, (-n, v)) AS top, max(n) AS freq
+FROM (SELECT n_name AS v, count(*) AS n FROM nation WHERE n_name IS NOT NULL GROUP BY 1)"""
     O["field_roles"] = sql_field_roles("SELECT * FROM orders", ORDERS_COLS)
     O["inspect_roles"] = O["field_roles"]
     O["inspect_summary"] = O["column_summary"]
@@ -320,6 +333,12 @@ SELECT round({_mean_skip_null([f"m{i}" for i in range(4)])}, 6) AS mean_all,
        round(greatest({", ".join(f"hi{i}" for i in range(4))}), 6) AS max_all,
        round(least({", ".join(f"lo{i}" for i in range(4))}), 6) AS min_all,
        round({_mean_skip_null([f"m{i}" for i in range(4)])}, 6) AS mean_of_means FROM a"""
+    O["sensor_features_part"] = f"""WITH a AS (SELECT avg(p_size) AS m0, stddev_samp(p_size) AS s0,
+  CAST(max(p_size) AS DOUBLE) AS hi0, CAST(min(p_size) AS DOUBLE) AS lo0, avg(p_retailprice) AS m1,
+  stddev_samp(p_retailprice) AS s1, max(p_retailprice) AS hi1, min(p_retailprice) AS lo1 FROM part)
+SELECT round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_all, round({_mean_skip_null(["s0", "s1"])}, 6) AS std_all,
+       round(greatest(hi0, hi1), 6) AS max_all, round(least(lo0, lo1), 6) AS min_all,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_of_means FROM a"""
     O["sensor_windows"] = f"""WITH a AS (
   SELECT date_trunc('day', ts) AS window_start, user_id,
          avg(value) AS m0, stddev_samp(value) AS s0, max(value) AS hi0, min(value) AS lo0,
