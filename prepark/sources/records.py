@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,16 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def records_schema(df: DataFrame, column: str) -> str:
-    """Merged schema of a JSON text column, from one distributed aggregate."""
+    """Merged schema of a JSON text column, from one distributed aggregate.
+
+    Keys whose values differ in type across rows come back as VARIANT and are
+    read as their JSON text (pandas would hold mixed objects); fractional
+    numbers are doubles, as pandas reads them.
+    """
     variant_schema = df.select(F.schema_of_variant_agg(F.parse_json(qcol(column))).alias("s")).first()["s"]
-    return variant_schema.replace("OBJECT<", "STRUCT<")
+    ddl = variant_schema.replace("OBJECT<", "STRUCT<")
+    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
+    return re.sub(r"\bVARIANT\b", "STRING", ddl)
 
 
 def parse_records(df: DataFrame, column: str, schema: str | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -80,3 +80,11 @@ def test_quick_summary_text(spark):
     assert text.startswith("The dataset has 399 rows and 3 columns.")
     assert "Possible target columns: quality, toxic." in text
     assert out["preview_df"].count() == 5
+
+
+def test_record_key_union_with_mixed_types(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '{"a": "two", "c": [1,2]}'), (3, '{"d": {"e": 1.5}}')],
+                               "id int, p string")
+    out = parse_records(df, "p")
+    assert out.schema.simpleString() == "struct<id:int,a:string,b:string,c:array<bigint>,d:struct<e:double>>"
+    assert [r["a"] for r in out.orderBy("id").collect()] == ["1", "two", None]
