@@ -97,7 +97,7 @@ def similar_items(items: DataFrame, item_id, top_k: int = 10, id_col: str = "ite
     if not row:
         raise KeyError("Item not in features")
     qv = [0.0 if x is None else float(x) for x in (row[0][0] or [])]
-    qlit = F.array(*[F.lit(x) for x in qv])
+    qlit = F.lit(qv).cast("array<double>")  # one array literal, however long the vector
     filled = F.transform(qcol(vec_col), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
     return (items.where(qcol(id_col) != F.lit(item_id))
             .select(id_col, cosine(filled, qlit).alias("similarity"))
