@@ -9,7 +9,7 @@ from ..functions.kinds import missing, numeric_columns, order_column, qcol
 from ..operators.clean import within_bounds, apply_fill, dedupe, fill_values, three_sigma
 from ..operators.columns import trim_columns
 from ..operators.ordered import block_splits, ffill_bfill
-from ..session import materialize
+from ..session import materialize, write_scratch
 from ..sources.files import read_table
 
 
@@ -52,9 +52,10 @@ def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: flo
     """Dedupe (keep first) -> forward/backward fill -> 3-sigma filter.
 
     Returns the cleaned rows with the order column (first position of each
-    kept row). The filled frame is checkpointed to the shared checkpoint
-    folder before the k per-column sigma passes, so they do not recompute the
-    dedupe shuffle and the fill windows. ``bounds`` (from ``sigma_bounds`` on
+    kept row). The filled frame is written once as a parquet table in the
+    shared checkpoint folder before the k per-column sigma passes, so they do
+    not recompute the dedupe shuffle and the fill windows, and each reads
+    only the columns it filters on. ``bounds`` (from ``sigma_bounds`` on
     a reference table) freezes the filter instead: no statistics pass at all.
     """
     # block edges from the input's order key: the kept rows' keys are a subset of
@@ -72,7 +73,8 @@ def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: flo
             cond = cond & (within_bounds(c, lo, hi))
         return filled.where(cond)
     if checkpoint:
-        filled = materialize(filled)
+        # a parquet table, not a checkpoint: each sigma pass then reads only its columns
+        filled = write_scratch(filled, "clean-records")
     return three_sigma(filled, numeric_columns(filled, exclude=[order_name]), k=k, mode=mode)
 
 

@@ -61,3 +61,12 @@ def materialize(df, eager: bool = True):
     """Cut lineage with a reliable checkpoint in the shared folder (never a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def write_scratch(df, name: str):
+    """Cut lineage with a written parquet table in the shared folder. Unlike a
+    checkpoint (an RDD file), later reads prune columns and push filters down."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
