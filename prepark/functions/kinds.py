@@ -83,28 +83,40 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# rows per partition fit in the low bits of monotonically_increasing_id
+_ROW_BITS = 33
+
+
 def with_file_order(df: DataFrame, name: str = ORDER_COL) -> DataFrame:
-    """Attach the row order of a file source as a sortable struct.
+    """Attach the row order of a file source as one sortable ``bigint``.
 
     ``monotonically_increasing_id`` alone follows partition numbering, which
-    does not follow file order when small files are packed together; prefixing
-    it with the file path and the split start does. Frames that do not come
-    from files (in-memory, ``range``) keep their partition order.
+    does not follow file order when small files are packed together. Here each
+    input split (file, start offset) gets its ordinal in (file, offset) order
+    from a small table -- one row per split, bounded by the scan's partition
+    count and checked before it is broadcast -- and the key is
+    ``ordinal * 2^33 + row within the partition``. A single ``bigint`` keeps
+    every ``min``/``max`` over it a hash aggregate.
+    Frames that do not come from files (in-memory, ``range``) keep their
+    partition order.
     """
     try:
         df.select("_metadata.file_path").schema
     except Exception:  # noqa: BLE001 - not a file source
-        # the partition id is a contiguous block of this order, so C5 still splits work per partition
-        return df.withColumn(name, F.struct(F.lit("").alias("file"), F.spark_partition_id().cast("bigint").alias("block"),
-                                            F.monotonically_increasing_id().alias("row")))
-    return df.withColumn(
-        name,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-    )
+        return df.withColumn(name, F.monotonically_increasing_id())
+    from pyspark.sql import Window
+
+    from ..operators.joins import maybe_broadcast
+
+    meta = df.select(F.col("_metadata.file_path").alias("_of"), F.col("_metadata.file_block_start").alias("_ob"))
+    splits = meta.distinct()
+    ordinal = splits.withColumn("_split", F.row_number().over(Window.orderBy("_of", "_ob")) - 1)
+    # the row id is taken in the scan's own partitions, before any join can move rows
+    tagged = (df.withColumn("_of", F.col("_metadata.file_path")).withColumn("_ob", F.col("_metadata.file_block_start"))
+              .withColumn("_orow", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+              .join(maybe_broadcast(ordinal, 5_000_000), on=["_of", "_ob"]))
+    return (tagged.withColumn(name, F.col("_split") * F.lit(1 << _ROW_BITS) + F.col("_orow"))
+            .drop("_of", "_ob", "_split", "_orow"))
 
 
 def order_column(df: DataFrame, order_by: str | list[str] | None) -> tuple[DataFrame, Column, list[str]]:

@@ -40,13 +40,10 @@ def _as_double(c: Column, dt: T.DataType) -> Column:
     return c.cast("double")
 
 
-def _lead(order: Column, dt: T.DataType) -> tuple[Column, T.DataType] | None:
-    """The leading component of an order key (None for the file-order struct)."""
+def _lead(order: Column, dt: T.DataType) -> tuple[Column, T.DataType]:
+    """The leading component of an order key (a struct key blocks by its first field)."""
     if isinstance(dt, T.StructType):
-        names = [f.name for f in dt.fields]
-        if names[:2] == ["file", "block"]:
-            return None
-        return order.getField(names[0]), dt.fields[0].dataType
+        return order.getField(dt.fields[0].name), dt.fields[0].dataType
     return order, dt
 
 
@@ -57,7 +54,7 @@ def block_splits(df: DataFrame, order: Column, n_blocks: int | None = None) -> l
     n_blocks = n_blocks or default_blocks(df)
     dt = df.select(order.alias("_o")).schema["_o"].dataType
     lead = _lead(order, dt)
-    if lead is None or n_blocks <= 1:
+    if n_blocks <= 1:
         return None
     key = F.coalesce(_as_double(*lead), F.lit(float("-inf")))
     probs = [i / n_blocks for i in range(1, n_blocks)]
@@ -72,17 +69,12 @@ def assign_blocks(df: DataFrame, order: Column, n_blocks: int | None = None,
     """Add block columns so that each block is a contiguous range of ``order``.
 
     Returns the frame and the names of the block columns, themselves in order.
-    A struct order key made by ``with_file_order`` blocks by (file, split): the
-    splits are natural contiguous blocks, as many as the scan has partitions.
-    Other keys block by approximate quantiles of the leading component (one
-    extra pass that reads that column only, unless ``splits`` are given), so
-    blocks hold equal row counts even where the key is dense or one group is hot.
+    Keys block by approximate quantiles of their leading component (one extra
+    pass that reads that column only, unless ``splits`` are given), so blocks
+    hold equal row counts even where the key is dense or one group is hot.
     """
     dt = df.select(order.alias("_o")).schema["_o"].dataType
     lead = _lead(order, dt)
-    if lead is None:
-        df = df.withColumn("_blk_file", order.getField("file")).withColumn("_blk_start", order.getField("block"))
-        return df, ["_blk_file", "_blk_start"]
     splits = splits if splits is not None else block_splits(df, order, n_blocks)
     if not splits:
         return df.withColumn(BLK, F.lit(0.0)), [BLK]
