@@ -119,11 +119,61 @@ def with_file_order(df: DataFrame, name: str = ORDER_COL) -> DataFrame:
             .drop("_of", "_ob", "_split", "_orow"))
 
 
+def _as_long(c: Column, dt: T.DataType) -> Column | None:
+    if is_integral(dt):
+        return c.cast("bigint")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    return None
+
+
+def packed_order(df: DataFrame, columns: list[str]) -> Column | None:
+    """One number ordered like ``struct(columns)`` (nulls first), or None.
+
+    Works when every column is integral or a time: one min/max aggregate over
+    those columns gives each range, and the offsets are packed into a
+    ``bigint`` (<= 63 bits) or a ``decimal(38,0)`` (<= 126 bits). A single
+    number keeps every min/max over the order a hash aggregate; a struct key
+    would make them sort-based.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    longs = [_as_long(qcol(c), types[c]) for c in columns]
+    if any(x is None for x in longs):
+        return None
+    row = df.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(longs)],
+                 *[F.max(x).alias(f"hi{i}") for i, x in enumerate(longs)]).first()
+    widths = []
+    for i in range(len(columns)):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        span = 0 if lo is None else hi - lo + 1
+        widths.append(max(1, (span + 1).bit_length()))  # +1: value 0 is kept for null
+    total = sum(widths)
+    if total > 126:
+        return None
+    kind = "bigint" if total <= 63 else "decimal(38,0)"
+    packed, shift = None, total
+    for i, x in enumerate(longs):
+        shift -= widths[i]
+        lo = row[f"lo{i}"] or 0
+        factor = F.lit(str(1 << shift)).cast(kind)  # text: the factor may exceed 64 bits
+        # offsets in the target type: a column's range may not fit a bigint difference
+        offset = x.cast(kind) - F.lit(str(lo)).cast(kind) + F.lit(1).cast(kind)
+        part = F.coalesce(offset, F.lit(0).cast(kind)) * factor
+        packed = part if packed is None else packed + part
+    return packed.cast(kind)
+
+
 def order_column(df: DataFrame, order_by: str | list[str] | None) -> tuple[DataFrame, Column, list[str]]:
     """Resolve an ``order_by`` argument into one sortable column.
 
-    Returns the frame (with a file-order column added if no order was given),
-    the order expression and the names of helper columns to drop at the end.
+    Returns the frame (with an order column added when needed), the order
+    expression and the names of helper columns to drop at the end. No order
+    means file order; several columns are packed into one number when they are
+    integral or times, else kept as a struct.
     """
     if order_by is None:
         if ORDER_COL in df.columns:
@@ -133,4 +183,7 @@ def order_column(df: DataFrame, order_by: str | list[str] | None) -> tuple[DataF
         return df, qcol(order_by), []
     if len(order_by) == 1:
         return df, qcol(order_by[0]), []
+    packed = packed_order(df, list(order_by))
+    if packed is not None:
+        return df.withColumn(ORDER_COL, packed), F.col(ORDER_COL), [ORDER_COL]
     return df, F.struct(*[qcol(c) for c in order_by]), []

@@ -196,3 +196,19 @@ def test_sliding_sensor_windows_match_brute_force(spark):
             lo, hi = exp.get((s, dev), (float("inf"), float("-inf")))
             exp[(s, dev)] = (min(lo, x, y), max(hi, x, y))
     assert got == {k: (hi, lo) for k, (lo, hi) in exp.items()}
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_packed_order_matches_struct_order(spark, big):
+    import random
+    from prepark.functions.kinds import packed_order
+    rnd = random.Random(5)
+    scale = 2 ** 40 if big else 100  # 3 x 41 bits forces decimal(38,0)
+    rows = [(rnd.choice([None, rnd.randrange(-scale, scale)]), rnd.choice([None, rnd.randrange(scale)]),
+             rnd.randrange(-scale, scale)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    key = packed_order(df, ["a", "b", "c"])
+    assert key is not None
+    got = [tuple(r)[:3] for r in df.withColumn("k", key).orderBy("k").collect()]
+    exp = sorted(rows, key=lambda r: tuple((x is not None, x if x is not None else 0) for x in r))
+    assert got == exp
