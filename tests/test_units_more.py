@@ -185,3 +185,23 @@ def test_small_variants(spark):
     ev = events_gaps(spark, SF01).select("event_id", "user_id", "event_type", "value", "k")
     rows, first = clean_upload(ev, order_by="event_id")
     assert rows.first()["rows"] == 9792 and first.count() == 10
+
+
+def test_approx_paths_close_to_exact(spark):
+    from prepark.plans.catalog import events_gaps
+    ev = events_gaps(spark, SF01)
+    exact = {r["event_id"]: r["value"] for r in C.impute(ev).select("event_id", "value").collect()}
+    approx = {r["event_id"]: r["value"] for r in C.impute(ev, approx=True).select("event_id", "value").collect()}
+    filled = [i for i in exact if i % 7 == 0]
+    assert filled and all(abs(exact[i] - approx[i]) <= 0.5 for i in filled)
+    od = table(spark, SF01, "orders")
+    a = {r["column"]: r["n_unique"] for r in P.column_summary(od, order_by="o_orderkey", approx=True).collect()}
+    e = {r["column"]: r["n_unique"] for r in P.column_summary(od, order_by="o_orderkey").collect()}
+    # approx_count_distinct has a 5 % relative standard deviation: allow about 2.4 sigma
+    assert all(abs(a[c] - e[c]) <= 0.12 * e[c] + 1 for c in e)
+    li = table(spark, SF01, "lineitem").select("l_quantity", "l_extendedprice")
+    da = {r["column"]: r["p50"] for r in P.describe(li, approx=True).collect()}
+    de = {r["column"]: r["p50"] for r in P.describe(li).collect()}
+    assert all(abs(da[c] - de[c]) <= 0.01 * abs(de[c]) + 1 for c in de)
+    ra = {r["column"]: r["nunique"] for r in P.field_roles(od, approx=True).collect()}
+    assert abs(ra["o_custkey"] - e["o_custkey"]) <= 0.12 * e["o_custkey"]
