@@ -530,8 +530,8 @@ def q_stream_windows(spark, d):
     J.run_to_table(out, sink, ckpt)
     # the watermark needed TIMESTAMP; report window bounds as the input's TIMESTAMP_NTZ
     res = spark.read.parquet(sink)
-    res = res.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) \
-             .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+    res = res.withColumn("window_start", J.wall_clock(F.col("window_start"), res)) \
+             .withColumn("window_end", J.wall_clock(F.col("window_end"), res))
     return rounded(res)
 
 

@@ -29,13 +29,24 @@ def file_stream(spark: SparkSession, path_glob: str, schema, fmt: str = "parquet
     return r.load(path_glob)
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def event_time(df: DataFrame, ts_col: str) -> DataFrame:
-    """``withWatermark`` rejects TIMESTAMP_NTZ; cast it to TIMESTAMP first."""
+    """``withWatermark`` rejects TIMESTAMP_NTZ, so it becomes a TIMESTAMP whose
+    instant is the wall clock read as UTC -- whatever the session time zone,
+    day windows then start at wall-clock midnight, as on the NTZ value."""
     if df.schema[ts_col].dataType.typeName() == "timestamp_ntz":
-        return df.withColumn(ts_col, qcol(ts_col).cast("timestamp"))
+        return df.withColumn(ts_col, F.from_utc_timestamp(qcol(ts_col).cast("timestamp"), _session_tz(df)))
     return df
 
 
+def wall_clock(c, df: DataFrame):
+    """Inverse of ``event_time`` for output columns: TIMESTAMP back to the NTZ wall clock."""
+    return F.to_utc_timestamp(c, _session_tz(df)).cast("timestamp_ntz")
+
+
 # --------------------------------------------------------------------- J1
 def clean_stream(stream: DataFrame, sink_path: str, checkpoint: str, order_by: str | None = None,
                  k: float = 3.0, fmt: str = "parquet", bounds: dict | None = None,
