@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, simhash
+from ..session import scratch_path
+from . import byte_bpe, quality, simhash, substrings, token_files, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +28,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = byte_bpe.bpe_decode(byte_bpe.bpe_encode(documents(spark, sf_dir)))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens-orc")
+    token_files.write_tokens(documents(spark, sf_dir), path)
+    rows = token_files.token_starts(token_files.read_tokens(spark, path))
+    return rows.select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = windows.window_dedup(documents(spark, sf_dir), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.substring_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))

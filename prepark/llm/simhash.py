@@ -62,10 +62,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, fold: bool):
     @F.pandas_udf(T.LongType())
     def fp(text: pd.Series) -> pd.Series:
-        got = [fingerprint(t.encode() if isinstance(t, str) else None, shingle) for t in text]
+        data = (t.encode() if isinstance(t, str) else b"" for t in text)
+        got = [fingerprint(t.lower() if fold else t, shingle) for t in data]  # bytes.lower changes A-Z only
         return pd.Series(np.array(got, np.uint64).view(np.int64))
     return fp
 
@@ -229,10 +230,11 @@ def link_edges(classes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   max_bits: int = 2) -> DataFrame:
+                   max_bits: int = 2, fold: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id
-    (smallest id reachable over links of at most ``max_bits`` differing bits)."""
-    fps = write_scratch(docs.select(F.col(id_col).alias("id"), _fingerprints(shingle)(F.col(text_col)).alias("fp")),
+    (smallest id reachable over links of at most ``max_bits`` differing bits).
+    ``fold`` lower-cases A-Z first."""
+    fps = write_scratch(docs.select(F.col(id_col).alias("id"), _fingerprints(shingle, fold)(F.col(text_col)).alias("fp")),
                         "simhash-fp")
     classes = fps.groupBy("fp").agg(F.min("id").alias("low"))
     labels = connected_components(link_edges(classes, max_bits))
@@ -242,3 +244,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = labelled.join(groups, "label").select("fp", "component_id")
     return fps.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                                         "component_id")
+
