@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, quality, simhash, substrings, token_files, windows
+from . import byte_bpe, lines, quality, simhash, substrings, token_files, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,41 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.substring_dedup(documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+word AS (
+  SELECT doc_id, pos, line,
+         list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM line),
+firsts AS (
+  SELECT words, len(words) AS n, min((doc_id, pos)) AS first FROM word WHERE len(words) > 0 GROUP BY words),
+spot AS (SELECT words, n, first, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= 5),
+variant AS (
+  SELECT words, n, first, i, hash(list_concat(words[1:i - 1], words[i + 1:])) AS v FROM spot),
+swap AS (SELECT v, i, n, min(first) AS m FROM variant GROUP BY v, i, n),
+earlier AS (
+  SELECT a.words, min(s.m) AS m FROM variant a JOIN swap s USING (v, i, n) WHERE s.m < a.first GROUP BY a.words
+  UNION ALL
+  SELECT a.words, min(b.first) FROM variant a JOIN firsts b ON hash(b.words) = a.v AND b.n = a.n - 1
+  WHERE b.first < a.first GROUP BY a.words
+  UNION ALL
+  SELECT b.words, min(a.first) FROM variant a JOIN firsts b ON hash(b.words) = a.v AND b.n = a.n - 1
+  WHERE a.first < b.first GROUP BY b.words),
+best AS (
+  SELECT f.words, least(f.first, coalesce(min(e.m), f.first)) AS best
+  FROM firsts f LEFT JOIN earlier e ON e.words = f.words GROUP BY f.words, f.first),
+judged AS (
+  SELECT w.doc_id, w.pos, w.line, coalesce(b.best < (w.doc_id, w.pos), false) AS gone
+  FROM word w LEFT JOIN best b ON b.words = w.words AND len(w.words) > 0)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""

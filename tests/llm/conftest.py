@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import types as T
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path.insert(0, HERE)
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 #: names that the operators use inside and for their results
 CLASHING = ["id", "fp", "label", "key", "batch", "ids", "kept", "part", "start", "line", "pos", "h", "n_words", "low"]
