@@ -45,13 +45,12 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def window_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """The Rabin-Karp hash of each window: sum of word hash * BASE^distance to the
-    window's end, modulo 2^64, built by joining hashes of half the length."""
-    n = len(words) - width + 1
+def rolling(part: np.ndarray, width: int) -> np.ndarray:
+    """The Rabin-Karp hash of each window of token hashes: sum of hash * BASE^distance
+    to the window's end, modulo 2^64, built by joining hashes of half the length."""
+    n = len(part) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    part = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     done, at, size, power = None, 0, 1, BASE
     while True:
         if width & size:  # append this length to the windows so far
@@ -60,7 +59,12 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
         if size * 2 > width:
             return _finish(done)
         part = part[:-size] * power + part[size:]
-        size, power = size * 2, power * power
+        with np.errstate(over="ignore"):
+            size, power = size * 2, power * power
+
+
+def window_hashes(words: list[bytes], width: int) -> np.ndarray:
+    return rolling(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), width)
 
 
 def _pack_sorted(hashes: np.ndarray) -> bytes:
