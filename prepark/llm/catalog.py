@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decontaminate, lines, quality, simhash, substrings, token_files, windows
+from . import byte_bpe, decontaminate, language, lines, quality, simhash, substrings, token_files, toxicity, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,18 @@ FROM judged GROUP BY doc_id"""
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir), benchmark).drop("mark")
+
+
+@query
+def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = language.learn(docs.filter(fold != 1))
+    return (language.predict_language(docs, model)
+            .select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.predict_chain(docs, toxicity.train_chain(docs, labels))
