@@ -10,7 +10,7 @@ one total per part, never an ordering of all rows.
 
 The tokenizer drops white space and never matches across it, so a text's ids
 are the ids of its white-space chunks in order; each task encodes a distinct
-chunk once (table of at most ``MAX_WORDS`` chunks, then refilled).
+chunk once (each worker keeps a table of some ``MAX_WORDS`` chunks, then refills it).
 
 Null and empty texts get the end id alone. Rows are kept one to one; rows with
 a null id come first, rows with equal ids are ordered by a hash of the text.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_width, words_of
-from .wordtable import IdRuns
+from .wordtable import IdRuns, spread
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 CHUNK_BYTES = 4 << 20
 ROW_STRIDE = 1000
 
@@ -56,34 +57,72 @@ class ChunkIds:
     """Ids of white-space chunks, each distinct chunk encoded once by the library."""
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode_batch_fast
+        self.tokenizer = _tokenizer(path)
+        self.bar = self.encode_each(["|"])[0]
         self.forget()
 
     def forget(self) -> None:
         self.code, self.lengths, self.ids = {}, np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def encode_each(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids by chunk, all ids). Chunks go to the library some hundred at a time, between
+        bars; those with a bar in them, one at a time."""
+        barred = np.fromiter((b"|" in c for c in chunks), bool, len(chunks))
+        plain = [c for c, b in zip(chunks, barred.tolist()) if not b]
+        lengths, parts = np.zeros(len(chunks), np.int64), [np.empty(0, np.int32)]
+        joined = [b" | ".join(plain[k:k + 256]).decode() for k in range(0, len(plain), 256)]
+        n_plain = []
+        for k, ids in enumerate(self.encode_each(joined)):
+            ids = np.array(ids, np.int32)
+            bars = np.flatnonzero(ids == self.bar[0])
+            n = np.diff(np.concatenate(([-1], bars, [len(ids)]))) - 1
+            if len(n) != len(plain[256 * k:256 * k + 256]):
+                raise ValueError("the tokenizer doesn't keep white-space chunks apart")
+            n_plain.append(n)
+            parts.append(np.delete(ids, bars))
+        # plain chunks first, then the barred ones; put back in order by their starts
+        rest = self.encode_each([c.decode() for c, b in zip(chunks, barred.tolist()) if b])
+        lengths[~barred] = np.concatenate(n_plain) if n_plain else 0
+        lengths[barred] = [len(ids) for ids in rest]
+        parts += [np.array(ids, np.int32) for ids in rest]
+        in_order = np.concatenate((lengths[~barred], lengths[barred]))
+        starts = np.empty(len(chunks), np.int64)
+        starts[np.concatenate((np.flatnonzero(~barred), np.flatnonzero(barred)))] = np.cumsum(in_order) - in_order
+        flat = np.concatenate(parts)
+        return lengths, flat[spread(starts, lengths)] if barred.any() else flat
+
     def of(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` appended; ids by text)."""
         if len(self.code) > MAX_WORDS:
             self.forget()
-        words = [words_of(t) for t in texts]
-        new = list(set().union(*words).difference(self.code))
-        got = [e.ids for e in self.encode([w.decode() for w in new], add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, got), np.int64, len(got))))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for ids in got for i in ids), np.int32)))
+        code, known, codes, per_text = self.code, len(self.code), [], []
+        for text in texts:
+            words = words_of(text)
+            codes.extend([code.setdefault(w, len(code)) for w in words])
+            codes.append(-1)
+            per_text.append(len(words) + 1)
+        lengths, ids = self.encode(list(islice(code, known, None)))
+        self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
         # code -1 is the end id, kept behind all others
         runs = IdRuns(np.append(self.lengths, 1), np.append(self.ids, np.int32(end)))
-        code = self.code.__getitem__
-        per_text = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        codes = np.fromiter((c for w in words for c in (*map(code, w), -1)), np.int64, int(per_text.sum()))
-        n_ids = np.add.reduceat(runs.lengths[codes], np.cumsum(per_text) - per_text) if len(words) else per_text
-        return runs.of(codes % len(runs.lengths)), n_ids
+        codes, per_text = np.array(codes, np.int64), np.array(per_text, np.int64)
+        codes[codes < 0] = len(self.lengths)
+        n_ids = np.add.reduceat(runs.lengths[codes], np.cumsum(per_text) - per_text) if len(per_text) else per_text
+        return runs.of(codes), n_ids
+
+
+@lru_cache(maxsize=1)
+def _worker_table(path: str) -> ChunkIds:
+    """One table per worker process: its tasks share what they have encoded."""
+    return ChunkIds(path)
 
 
 def _encode_part(schema: pa.Schema, path: str, end: int):
     def run(batches):
-        table, part, offset = ChunkIds(path), TaskContext.get().partitionId(), 0
+        table, part, offset = _worker_table(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))

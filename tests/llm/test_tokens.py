@@ -109,7 +109,7 @@ def test_token_files_edge_rows(spark, make_docs, edge_rows):
 
 @pytest.mark.parametrize("cp", [0x09, 0x0B, 0x1C, 0x1F, 0x85, 0xA0, 0x200B, 0x2028, 0x3000, 0xFEFF, 0x301, 0x1161])
 def test_chunks_agree_with_the_library(cp):
-    text = f"a{chr(cp)}b {chr(cp)} {chr(cp)}c d{chr(cp)} Σ{chr(cp)}Σ"
+    text = f"a|b | || x| c{chr(cp)}| a{chr(cp)}b {chr(cp)} {chr(cp)}c d{chr(cp)} Σ{chr(cp)}Σ"
     table = token_files.ChunkIds(public_tokenizers.path(token_files.TOKENIZER_FILE))
     ids, n = table.of([text.encode(), None], 1)
     assert ids.tolist() == [*brute_ids(text), 1] and n.tolist() == [len(brute_ids(text)), 1]
