@@ -36,7 +36,7 @@ TARGETS = ("quality", "toxic")
 MAX_TRAIN = 16_000
 FOLDS = 3
 DIMS = 1 << 18
-BEGINNING = 5
+BEGINNINGS = (4, 5)
 #: features weaker than this against a target (p about 1e-5) get no weight
 MIN_CHI2 = 20.0
 STEPS = 150
@@ -52,11 +52,12 @@ def features(text: str | None) -> np.ndarray:
         return np.empty(0, np.int32)
     distinct = set(words)
     hashed = {zlib.crc32(w) % DIMS for w in distinct}
-    hashed.update(zlib.crc32(w, 1) % DIMS for w in {w[:BEGINNING] for w in distinct})
+    for size in BEGINNINGS:
+        hashed.update(zlib.crc32(w, size) % DIMS for w in {w[:size] for w in distinct if len(w) > size})
     n = len(text)
     style = (("upper", sum(map(str.isupper, text)) / n), ("symbol", sum(map(text.count, "#*$%&|<>!")) / n),
              ("variety", len(distinct) / len(words)), ("length", len(words) / len(text)))
-    hashed.update(zlib.crc32(f"{name} {round(20 * share)}".encode(), 2) % DIMS for name, share in style)
+    hashed.update(zlib.crc32(f"{name} {round(20 * share)}".encode(), 1) % DIMS for name, share in style)
     return np.fromiter(hashed, np.int32, len(hashed))
 
 
