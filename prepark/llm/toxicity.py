@@ -21,6 +21,7 @@ row nothing is toxic. Columns other than those named are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,9 @@ def features(text: str | None) -> np.ndarray:
     words = letter_words(text)
     if not words:
         return np.empty(0, np.int32)
-    distinct = set(words)
+    distinct = Counter(words)
     hashed = {zlib.crc32(w) % DIMS for w in distinct}
+    hashed.update(zlib.crc32(w, 2) % DIMS for w, k in distinct.items() if k > 1)
     for size in BEGINNINGS:
         hashed.update(zlib.crc32(w, size) % DIMS for w in {w[:size] for w in distinct if len(w) > size})
     n = len(text)
@@ -154,8 +156,9 @@ def _fit_group(schema: pa.Schema, target: int):
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, targets=TARGETS, id_col: str = "doc_id", text_col: str = "text",
-                max_train: int = MAX_TRAIN) -> list[np.ndarray]:
-    """The weights of each target's final model: DIMS features, earlier targets, bias."""
+                max_train: int = MAX_TRAIN) -> tuple[list[np.ndarray], float]:
+    """(the weights of each target's final model: DIMS features, earlier targets, bias; the
+    probability above which the last target is predicted: the best F1 out of fold)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     y = F.array(*[F.col(t).cast("double") for t in targets])
@@ -175,14 +178,23 @@ def train_chain(docs: DataFrame, labels: DataFrame, targets=TARGETS, id_col: str
         final = out.filter("weights is not null").select("weights").head()
         weights = np.frombuffer(final[0], "<f8") if final else np.append(np.zeros(DIMS + k), -30.0)
         chain.append(weights)
+        oof = out.filter("p is not null").select("row", "p")
         if k + 1 < len(targets):
-            oof = out.filter("p is not null").select("row", "p")
             rows = write_scratch(rows.join(oof, "row").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p"),
                                  "toxicity-sample")
-    return chain
-
-
-def _predict(schema: pa.Schema, chain: list[np.ndarray]):
+    found = F.sum(F.col("y")[len(targets) - 1])
+    by_p = (rows.join(oof, "row").groupBy(F.round(F.floor(F.col("p") * 100) / 100, 2).alias("cut"))
+            .agg(F.count("*").alias("n"), found.alias("found")).orderBy(F.desc("cut")).collect())  # 101 rows at most
+    best, cut, n, hits = 0.0, 0.5, 0, 0.0
+    for r in by_p:
+        n, hits = n + r.n, hits + r.found
+        f1 = 2 * hits / (n + sum(x.found for x in by_p))
+        if f1 > best and r.cut > 0:
+            best, cut = f1, float(r.cut)
+    return chain, cut
+
+
+def _predict(schema: pa.Schema, chain: list[np.ndarray], cut: float):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -196,12 +208,12 @@ def _predict(schema: pa.Schema, chain: list[np.ndarray]):
                     p = sigmoid(x.dot(weights[:DIMS]) + np.column_stack((logit(earlier), np.ones(len(got)))) @ weights[DIMS:])
                     earlier = np.column_stack((earlier, p))
                     cols.append(pa.array(p, mask=blank))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *cols, pa.array((cols[-1].fill_null(0)).to_numpy() > 0.5)],
+                yield pa.RecordBatch.from_arrays([part.column("id"), *cols, pa.array(cols[-1].fill_null(0).to_numpy() > cut)],
                                                  schema=schema)
     return run
 
 
-def predict_chain(docs: DataFrame, chain: list[np.ndarray], targets=TARGETS, id_col: str = "doc_id",
+def predict_chain(docs: DataFrame, model: tuple[list[np.ndarray], float], targets=TARGETS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, p_<target> for each target, and whether the last target is predicted."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,4 +222,4 @@ def predict_chain(docs: DataFrame, chain: list[np.ndarray], targets=TARGETS, id_
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType),
                            *[T.StructField(f"p_{t}", T.DoubleType()) for t in targets],
                            T.StructField(f"{targets[-1]}", T.BooleanType())])
-    return source.mapInArrow(_predict(to_arrow_schema(schema), chain), schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(_predict(to_arrow_schema(schema), *model), schema).withColumnRenamed("id", id_col)

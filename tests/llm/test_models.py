@@ -85,8 +85,8 @@ def test_op8_separates_held_out_labels(spark):
     chain = toxicity.train_chain(docs, labels.filter("crc32(cast(doc_id as string)) % 3 <> 1"))
     held = labels.filter("crc32(cast(doc_id as string)) % 3 = 1").withColumnRenamed("toxic", "truth")
     got = toxicity.predict_chain(docs, chain).join(held, "doc_id").toPandas()
-    toxic = got.truth == 1
-    assert got.toxic[toxic].mean() > 0.9 and got.toxic[~toxic].mean() < 0.01
+    toxic = got.truth == 1  # some junk texts keep the label of a toxic text and none of its words
+    assert got.toxic[toxic & (got.quality == 1)].mean() > 0.9 and got.toxic[~toxic].mean() < 0.01
     assert got.p_quality[got.quality == 1].mean() > 0.9 > 0.3 > got.p_quality[got.quality == 0].mean()
 
 
@@ -104,7 +104,7 @@ def test_toxicity_edge_rows(spark, make_docs, edge_rows):
         assert len(got) == len(edge_rows)
         assert all(r.p_toxic is None and not r.toxic for r in got if r.doc_id in (1, 2, 3))
     assert not any(r.toxic for r in got)
-    assert toxicity.predict_chain(docs.limit(0), [np.zeros(toxicity.DIMS + 1), np.zeros(toxicity.DIMS + 2)]).count() == 0
+    assert toxicity.predict_chain(docs.limit(0), ([np.zeros(toxicity.DIMS + 1), np.zeros(toxicity.DIMS + 2)], 0.5)).count() == 0
 
 
 def test_a_chain_passes_earlier_predictions_on():
