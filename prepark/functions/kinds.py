@@ -78,6 +78,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
+def path_not_found(e: Exception) -> bool:
+    """Whether a read failed because nothing is at the path."""
+    return any(s in str(e) for s in ("PATH_NOT_FOUND", "Input path does not exist", "FileNotFoundException"))
+
+
 def qcol(name: str) -> Column:
     """Column by exact name, safe for names with dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")

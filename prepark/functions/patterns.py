@@ -50,9 +50,10 @@ REPORT_BEFORE = "\nSUMMARY BEFORE:"
 REPORT_AFTER = "\nSUMMARY AFTER:"
 REPORT_COLUMNS = "\nCOLUMN SUMMARY:"
 
-# Output file names keep these characters besides letters and digits,
-# and get this time stamp.
-SAFE_NAME_CHARS = (" ", ".", "_", "-")
+# What output names may not hold, the extensions of formats that are
+# written, and the time stamp.
+UNSAFE_NAME_CHARS = r"[^\w .-]"
+WRITTEN_EXTENSIONS = (".csv", ".json", ".orc", ".parquet")
 NAME_STAMP = "%Y%m%d_%H%M%S"
 
 

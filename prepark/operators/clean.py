@@ -57,6 +57,7 @@ def three_sigma(df: DataFrame, columns: list[str] | None = None, k: float = 3.0,
     one aggregate over the input. A constant column drops every row (sd = 0).
     Callers with an expensive input plan should checkpoint it first.
     """
+    df = nan_to_null(df)
     cols = columns if columns is not None else numeric_columns(df, exclude)
     if mode == "single_pass":
         bounds = sigma_bounds(df, cols, k)
@@ -105,8 +106,8 @@ def fill_values(df: DataFrame, strategy: dict | None = None, approx: bool = Fals
                 compat: bool = False) -> dict:
     """C1/C8 plan: the fill value of every column plus per-column missing counts.
 
-    Strategy keys as in the reference's config: ``numeric`` in
-    {median, mean, zero}, ``categorical`` a literal or ``mode``. Returns
+    Strategy keys: ``numeric`` in {median, mean, zero, ffill}, ``categorical`` a literal or
+    ``mode``. ``ffill`` gives numbers no fill value: ``impute`` carries the last one forward. Returns
     ``{"rows", "missing": {col: n}, "fill": {col: value}, "to_double": [cols]}``.
     One aggregate computes the counts (and means); medians add one distributed
     quantile job; nothing but scalars reaches the driver.
@@ -140,7 +141,7 @@ def fill_values(df: DataFrame, strategy: dict | None = None, approx: bool = Fals
         result["fill"].update({c: row[f"a{i}"] for i, c in enumerate(num)})
     elif nstrat == "zero":
         result["fill"].update({c: 0.0 for c in num})
-    else:
+    elif nstrat != "ffill":
         raise ValueError(f"unknown numeric strategy {nstrat!r}")
     tmp = [c for c in tmp if c in gaps]
     if tmp:
@@ -181,13 +182,21 @@ def apply_fill(df: DataFrame, plan: dict, compat: bool = False) -> DataFrame:
     return df.select(*out)
 
 
-def impute(df: DataFrame, strategy: dict | None = None, approx: bool = False, compat: bool = False) -> DataFrame:
+def impute(df: DataFrame, strategy: dict | None = None, approx: bool = False, compat: bool = False,
+           order_by: str | list[str] | None = None) -> DataFrame:
     """Text -> ``"missing"``; numbers -> column median; all-missing columns stay missing.
 
     Booleans keep their nulls unless ``compat`` (then they become text and are
     filled, as pandas' object columns are). Timestamps get the median instant.
+    ``{"numeric": "ffill"}`` carries each number column forward in ``order_by`` order
+    (file order if none); leading gaps stay.
     """
-    return apply_fill(df, fill_values(df, strategy, approx, compat), compat)
+    out = apply_fill(df, fill_values(df, strategy, approx, compat), compat)
+    if (strategy or {}).get("numeric") == "ffill":
+        out, order, helpers = order_column(out, order_by)
+        keys = {order_by} if isinstance(order_by, str) else {*(order_by or []), *helpers}
+        out = ffill_bfill(out, [c for c in numeric_columns(out) if c not in keys], order, backward=False).drop(*helpers)
+    return out
 
 
 # --------------------------------------------------------------------- C2
@@ -200,9 +209,13 @@ def text_fill(df: DataFrame, value: str = TEXT_FILL) -> DataFrame:
 
 # --------------------------------------------------------------------- C4
 def dedupe(df: DataFrame, subset: list[str] | None = None, order_by: str | list[str] | None = None,
-           keep_order: bool = True) -> DataFrame:
+           keep_order: bool = True, order_is_position: bool = False) -> DataFrame:
     """C4: remove exact duplicate rows, keeping the first; missing equals missing.
 
+    Whole rows are compared, the ``order_by`` columns included. Only with
+    ``order_is_position`` (the order column numbers the rows and is no data) are they
+    left out of the equality; the same holds for the file order.
+
     With ``keep_order`` the first position of each kept row is returned in the
     order column (``order_by`` if given, else the file order), so later
     order-dependent steps (C5) still see the original order. The aggregate is
@@ -210,7 +223,13 @@ def dedupe(df: DataFrame, subset: list[str] | None = None, order_by: str | list[
     """
     if not keep_order:
         return df.dropDuplicates(subset) if subset else df.dropDuplicates()
+    data_cols = df.columns
     df, order, helpers = order_column(df, order_by)
+    if order_by is not None and not order_is_position and not subset:
+        # equal rows have equal order keys: any of them is the first
+        if not isinstance(order_by, str) and "_order" not in df.columns:
+            df = df.withColumn("_order", order)
+        return df.dropDuplicates(data_cols)
     if isinstance(order_by, str):
         name = order_by
     elif order_by is None:
@@ -250,6 +269,7 @@ def standard_scale(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
     One aggregate; MLlib's StandardScaler uses the sample sd, so it is not used.
     """
+    df = nan_to_null(df)
     cols = columns if columns is not None else numeric_columns(df)
     if not cols:
         return df

@@ -3,17 +3,18 @@
 Spark has no isolation forest, so this is the one operator with Python on
 executors:
 
-* sampling is by hash order of each row, so it does not depend on
-  partitioning: with n >= trees * psi the psi * trees rows with the smallest
-  hashes form the pool (a bounded TakeOrderedAndProject); with fewer rows,
-  each row is paired with every tree id and each tree keeps its psi smallest
-  ``hash(row, tree)`` (a WindowGroupLimit per tree);
+* every tree draws its own sample, by the same rule at every table size: a row
+  joins a tree when hash(row key, tree, seed) falls below a share that gives
+  somewhat more than psi rows, and the psi smallest hashes stay. Without a key,
+  equal rows are counted first and each tree draws a hash-seeded binomial number
+  of their copies, so repeated rows are sampled as often as they occur. Neither
+  depends on partitioning, and no tree sees more than some 400 candidate rows;
 * ``groupBy(tree).applyInPandas`` grows the trees, one group per tree
   (at most psi rows each); the node table has at most trees * (2 psi - 1)
   rows -- 51,100 for the defaults -- which is the proven bound that lets it be
   broadcast;
-* scoring is a narrow ``mapInPandas`` that walks every tree for a whole Arrow
-  batch at once;
+* scoring is a scalar pandas UDF over the feature columns only, which walks every
+  tree for a whole Arrow batch; other columns stay in the JVM as they are;
 * the offset is the exact ``contamination`` quantile of the training scores,
   computed by the distributed ``exact_quantiles``.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import qcol
+from ..functions.kinds import path_not_found, qcol
 from ..session import materialize
 from .ordered import exact_quantiles
 
@@ -134,30 +135,27 @@ class IsolationForestModel:
 
     def raw_scores(self, df: DataFrame, out_col: str = "_raw") -> DataFrame:
         """-s(x) = -2^(-E[h(x)] / c(psi)); null when a feature is missing."""
-        spark = df.sparkSession
-        arrays = spark.sparkContext.broadcast(_node_arrays(self.nodes))
-        feats, c_psi = list(self.features), float(average_path_length(np.array([self.psi]))[0]) or 1.0
-        schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType(), True)])
-
-        def score(batches):
-            nodes = arrays.value
-            for pdf in batches:
-                X = pdf[feats].astype(float).to_numpy()
-                ok = ~np.isnan(X).any(axis=1)
-                raw = np.full(len(pdf), np.nan)
-                if ok.any():
-                    raw[ok] = -np.power(2.0, -_walk(nodes, X[ok]) / c_psi)
-                pdf[out_col] = raw
-                yield pdf
-
-        return df.mapInPandas(score, schema)
+        arrays = df.sparkSession.sparkContext.broadcast(_node_arrays(self.nodes))
+        c_psi = float(average_path_length(np.array([self.psi]))[0]) or 1.0
+
+        @F.pandas_udf(T.DoubleType())
+        def walk(x: pd.DataFrame) -> pd.Series:
+            X = x.to_numpy(dtype=float)
+            ok = ~np.isnan(X).any(axis=1)
+            raw = np.full(len(X), np.nan)
+            if ok.any():
+                raw[ok] = -np.power(2.0, -_walk(arrays.value, X[ok]) / c_psi)
+            return pd.Series(raw)
+
+        x = F.struct(*[qcol(c).cast("double").alias(f"f{i}") for i, c in enumerate(self.features)])
+        return df.withColumn(out_col, F.nanvl(walk(x), F.lit(None).cast("double")))
 
     def score(self, df: DataFrame) -> DataFrame:
         """adds ``score`` (decision function; negative = anomalous) and
         ``is_fraud`` (score < 0; false when a feature is missing)."""
         missing_cols = [f for f in self.features if f not in df.columns]
         if missing_cols:
-            raise ValueError(f"Missing feature columns: {missing_cols}")
+            raise ValueError(f"the table lacks the model's columns {missing_cols}")
         raw = self.raw_scores(df)
         s = F.col("_raw") - F.lit(self.offset)
         return raw.withColumn("score", s).withColumn("is_fraud", F.coalesce(s < 0, F.lit(False))).drop("_raw")
@@ -175,36 +173,65 @@ class IsolationForestModel:
         try:
             nodes = spark.read.parquet(f"{path}/nodes").toPandas()
             params = json.loads(spark.read.text(f"{path}/params").first()[0])
-        except Exception:  # noqa: BLE001 - absent model
+        except Exception as e:  # noqa: BLE001 - only an absent path means "no model"
+            if not path_not_found(e):
+                raise
             return None
         return IsolationForestModel(nodes, params["features"], params["psi"], params["offset"],
                                     params["contamination"], params["n_samples"])
 
 
+def _share(*parts):
+    """A hash of ``parts`` as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+
+
+def _tree_samples(X: DataFrame, feats: list[str], n: int, n_trees: int, psi: int, seed: int, keyed: bool) -> DataFrame:
+    """The rows of each tree: ``feats``, ``tree``, ``_h`` (order within the tree)."""
+    share = min(1.0, (psi + 6 * math.sqrt(psi) + 8) / n)
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    cols = [qcol(c) for c in feats]
+
+    def once(rows: DataFrame, keys: list) -> DataFrame:
+        drawn = F.filter(trees, lambda t: _share(F.lit(seed), t, *keys) < share)
+        return (rows.withColumn("tree", F.explode(drawn))
+                .select(*cols, "tree", F.xxhash64(F.lit(seed + 1), "tree", *keys).alias("_h")))
+
+    if keyed:
+        drawn = once(X, [F.col("_key")])
+    else:
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def copies(n_equal: pd.Series, key: pd.Series) -> pd.Series:
+            return pd.Series([np.random.default_rng([seed, k & (2 ** 64 - 1)]).binomial(c, share, n_trees).astype(np.int32)
+                              for c, k in zip(n_equal.tolist(), key.tolist())])
+
+        groups = X.groupBy(*cols).agg(F.count("*").alias("_n"))
+        many = (groups.where("_n > 1").withColumn("_c", copies(F.col("_n"), F.xxhash64(*cols)))
+                .select(*cols, F.posexplode("_c").alias("tree", "_m")).where("_m > 0")
+                .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_m")))
+                .select(*cols, "tree", F.xxhash64(F.lit(seed + 1), "tree", "_copy", *cols).alias("_h")))
+        drawn = once(groups.where("_n = 1"), cols).unionByName(many)
+    first = F.row_number().over(Window.partitionBy("tree").orderBy("_h", *cols))
+    return drawn.withColumn("_rn", first).where(F.col("_rn") <= psi).drop("_rn")
+
+
 def fit_isolation_forest(df: DataFrame, features: list[str] | None = None, n_trees: int = 100,
-                         contamination: float = 0.01, seed: int = 42, max_samples: int = 256) -> IsolationForestModel:
+                         contamination: float = 0.01, seed: int = 42, max_samples: int = 256,
+                         key: str | None = None) -> IsolationForestModel:
     """drop rows with any missing value, then grow ``n_trees`` trees on
-    ``min(max_samples, n)`` rows each. Contamination must be in (0, 0.5]."""
+    ``min(max_samples, n)`` rows each. Contamination must be in (0, 0.5]. ``key`` names a
+    row key to sample by (not a feature unless listed); without one, equal rows are counted."""
     if not (0 < contamination <= 0.5):
         raise ValueError("contamination must be in (0, 0.5]")
     data = df.dropna()
-    feats = features or list(data.columns)
-    X = data.select(*[qcol(c).cast("double").alias(c) for c in feats])
+    feats = features or [c for c in data.columns if c != key]
+    keyed = [F.xxhash64(qcol(key)).alias("_key")] if key else []
+    X = data.select(*[qcol(c).cast("double").alias(c) for c in feats], *keyed)
     n = X.count()
     if n == 0:
         raise ValueError("no complete rows to train on")
     psi = min(max_samples, n)
-    row_hash = F.xxhash64(F.lit(seed), *[qcol(c) for c in feats])
-    if n >= n_trees * psi:
-        pool = X.withColumn("_h", row_hash).orderBy("_h", *feats).limit(n_trees * psi)
-        # the pool is bounded (trees x psi rows) and already in one ordered partition
-        rank = F.row_number().over(Window.orderBy("_h", *feats)) - 1
-        sample = pool.withColumn("tree", (rank / psi).cast("int"))
-    else:
-        per_tree = X.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        per_tree = per_tree.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), *[qcol(c) for c in feats]))
-        rn = F.row_number().over(Window.partitionBy("tree").orderBy("_h", *feats))
-        sample = per_tree.withColumn("_rn", rn).where(F.col("_rn") <= psi).drop("_rn")
+    sample = _tree_samples(X, feats, n, n_trees, psi, seed, bool(key))
     nodes = sample.groupBy("tree").applyInPandas(_grow_trees(feats, psi, seed), NODE_SCHEMA).toPandas()
     model = IsolationForestModel(nodes, feats, psi, 0.0, contamination, n)
     # the training scores are read by two quantile passes: score once, keep only the score column

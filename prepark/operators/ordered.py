@@ -58,7 +58,7 @@ def block_splits(df: DataFrame, order: Column, n_blocks: int | None = None) -> l
         return None
     key = F.coalesce(_as_double(*lead), F.lit(float("-inf")))
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    accuracy = max(10000, 20 * n_blocks)
+    accuracy = max(1000, 2 * n_blocks)  # block edges need not be exact: a small sketch per task
     bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"]
     finite = {float(b) for b in (bounds or []) if b is not None and abs(float(b)) != float("inf")}
     return [float("-inf")] + sorted(finite) + [float("inf")] if finite else None
@@ -195,8 +195,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
     One HLL pass (``approx_count_distinct``) sorts the columns by size:
     columns with at most ``max_exact_distinct`` distinct values (and together
-    at most ``MAX_EXACT_TOTAL``) use Spark's exact ``percentile`` in one
-    aggregate -- its per-value maps, merged in one task, are then bounded;
+    at most ``MAX_EXACT_TOTAL``) are counted by value first, then Spark's exact
+    weighted ``percentile`` sees each distinct value once;
     larger columns use the distributed path -- distinct values counted with a
     partial aggregate, ranked by blockwise running counts, and only the rows
     holding the wanted ranks kept -- so no task ever holds a whole column.
@@ -219,11 +219,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     big = [c for c in columns if c not in small]
     parts = []
     if small:
-        agg = df.agg(*[F.percentile(clean[c], [float(p) for p in probs]).alias(f"q{i}") for i, c in enumerate(small)])
-        parts.append(agg.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"q{i}")[j].alias("value"))
-            for i, c in enumerate(small) for j, p in enumerate(probs)])).alias("s")).select("s.*")
-            .where(F.col("value").isNotNull()))
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), clean[c].alias("v")) for c in small]))
+                         .alias("kv")).select("kv.*").where(F.col("v").isNotNull())
+        # each value once, with its count: what meets in a column's task is bounded by its distinct values
+        counts = long.groupBy("column", "v").agg(F.count("*").alias("n"))
+        agg = counts.groupBy("column").agg(F.percentile("v", [float(p) for p in probs], F.col("n")).alias("q"))
+        parts.append(agg.select("column", F.posexplode("q").alias("_at", "value"))
+                     .select("column", F.array(*[F.lit(float(p)) for p in probs])[F.col("_at")].alias("prob"), "value"))
     if big:
         parts.append(_blocked_quantiles(df, big, probs, n_blocks))
     out = parts[0]
@@ -237,7 +239,7 @@ def _blocked_quantiles(df: DataFrame, columns: list[str], probs: list[float], n_
     clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
     # one pass of map-side sketches: per-column block bounds and non-missing counts
     block_probs = [i / n_blocks for i in range(1, n_blocks)] or [0.5]
-    accuracy = max(10000, 20 * n_blocks)
+    accuracy = max(1000, 2 * n_blocks)  # block edges need not be exact: a small sketch per task
     row = df.agg(*[F.percentile_approx(clean[c], block_probs, accuracy).alias(f"b{i}") for i, c in enumerate(columns)],
                  *[F.count(clean[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     splits = []

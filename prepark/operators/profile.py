@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import is_integral, is_numeric, is_temporal, kind_of, missing, numeric_columns, order_column, qcol
+from ..functions.kinds import (
+    is_integral, is_numeric, is_temporal, kind_of, missing, nan_to_null, numeric_columns, order_column, qcol,
+)
 from ..functions.patterns import (
     BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, REPORT_AFTER,
     REPORT_BEFORE, REPORT_COLUMNS, REPORT_RULE, REPORT_TITLE, TARGET_NAMES, summary_text,
@@ -185,6 +187,7 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     uses ``percentile_approx`` in the same single aggregate instead.
     ``df.summary()`` is not used: its percentiles are approximate.
     """
+    df = nan_to_null(df)
     cols = columns if columns is not None else numeric_columns(df)
     spark = _spark(df)
     if not cols:
@@ -315,6 +318,7 @@ def field_roles(df: DataFrame, max_unique_for_categorical: int = MAX_UNIQUE_FOR_
 # --------------------------------------------------------------------- D7a
 def top_variance(df: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` numeric columns with the largest sample variance."""
+    df = nan_to_null(df)
     cols = numeric_columns(df)
     if not cols:
         return _spark(df).createDataFrame([], "column string, variance double")

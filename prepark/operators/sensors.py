@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import numeric_columns, qcol
+from ..functions.kinds import nan_to_null, numeric_columns, qcol
 
 
 def _mean_skip_null(cols: list[Column]) -> Column:
@@ -36,6 +36,7 @@ def sensor_features(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """One row -- mean of column means, mean of column sample sd, overall
     max, overall min, and ``mean_of_means`` (equal to ``mean_all``, kept for
     the reference's layout). Means of means, not cell means."""
+    df = nan_to_null(df)
     cols = columns if columns is not None else numeric_columns(df)
     return df.agg(*_feature_aggs(cols)).select(*_feature_cols(cols))
 
@@ -47,6 +48,7 @@ def sensor_windows(df: DataFrame, ts_col: str, size: str, slide: str | None = No
     One grouped aggregate with partial aggregation: a device with a third of
     all rows is spread over its windows and pre-aggregated map-side.
     """
+    df = nan_to_null(df)
     skip = {ts_col, device_col}
     cols = columns if columns is not None else [c for c in numeric_columns(df) if c not in skip]
     w = F.window(qcol(ts_col), size, slide) if slide else F.window(qcol(ts_col), size)

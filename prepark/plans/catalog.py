@@ -23,7 +23,7 @@ from ..operators import routes as H
 from ..operators import sensors as S
 from ..operators import pii as E
 from ..operators import profile as P
-from ..operators.columns import trim_columns
+from ..operators.columns import drop_target, rename_target, trim_columns
 from ..plans.cleaning import clean_records, clean_records_summary, clean_table
 from ..plans.inspect import inspect
 from ..session import scratch_path
@@ -113,7 +113,45 @@ def q_three_sigma_single_pass(spark, d):
 @query("dedupe")
 def q_dedupe(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return C.dedupe(ev, order_by="event_id")
+    return C.dedupe(ev, order_by="event_id", order_is_position=True)
+
+
+@query("dedupe_full_rows")
+def q_dedupe_full_rows(spark, d):
+    """C4 with an order column that is data: whole rows are compared."""
+    ev = events_k(spark, d).select("user_id", "event_type", "k")
+    return C.dedupe(ev, order_by="k")
+
+
+@query("three_sigma_nan")
+def q_three_sigma_nan(spark, d):
+    """B7 over a column with NaN cells (injected by rule): they count as missing."""
+    ev = events_k(spark, d).select("event_id", F.when(F.col("event_id") % 13 == 5, float("nan")).otherwise(F.col("value")).alias("value"))
+    return C.three_sigma(ev, ["value"])
+
+
+@query("fill_strategy")
+def q_fill_strategy(spark, d):
+    """Means for numbers, the most frequent value for text."""
+    ev = events_gaps(spark, d).select("event_id", "event_type", "value", "k")
+    return rounded(C.impute(ev, {"numeric": "mean", "categorical": "mode"}))
+
+
+@query("fill_strategy_ffill")
+def q_fill_strategy_ffill(spark, d):
+    """Numbers carried forward, a literal for text."""
+    ev = events_gaps(spark, d).select("event_id", "event_type", "value", "k")
+    return C.impute(ev, {"numeric": "ffill", "categorical": "none"}, order_by="event_id")
+
+
+@query("rename_target")
+def q_rename_target(spark, d):
+    return rename_target(table(spark, d, "labels").withColumnRenamed("toxic", "Outcome"))
+
+
+@query("drop_target")
+def q_drop_target(spark, d):
+    return drop_target(table(spark, d, "labels"), "toxic")
 
 
 @query("fill_global")
@@ -130,14 +168,14 @@ def q_fill_grouped(spark, d):
 @query("clean_records")
 def q_clean_records(spark, d):
     ev = events_gaps(spark, d).select("event_id", "user_id", "event_type", "value", "k")
-    return clean_records(ev, order_by="event_id")
+    return clean_records(ev, order_by="event_id", order_is_position=True)
 
 
 @query("clean_records_summary")
 def q_clean_records_summary(spark, d):
     """C6 response numbers: rows kept and missing cells left."""
     ev = events_gaps(spark, d).select("event_id", "user_id", "event_type", "value", "k")
-    return clean_records_summary(clean_records(ev, order_by="event_id"))
+    return clean_records_summary(clean_records(ev, order_by="event_id", order_is_position=True))
 
 
 @query("standard_scale")
@@ -326,6 +364,14 @@ def q_csv_roundtrip(spark, d):
     return IO.read_table(spark, path, fmt="csv")
 
 
+@query("csv_documents_roundtrip")
+def q_csv_documents_roundtrip(spark, d):
+    """A5 and A1 over free text: quotes, line breaks and outer spaces survive."""
+    path = scratch_path(spark, "documents-csv")
+    IO.write_table(table(spark, d, "documents"), path, fmt="csv")
+    return IO.read_table(spark, path, fmt="csv", multi_line=True)
+
+
 @query("json_props")
 def q_json_props(spark, d):
     """A4: the JSON payload's key union as typed columns."""
@@ -344,6 +390,23 @@ def q_audit_state(spark, d):
     return AU.audit_state(ev, "user_id", action_col="event_type", ts_col="ts", tie_col="event_id")
 
 
+def event_log(events):
+    return AU.audit_rows(events, action_col="event_type", ts_col="ts", detail_cols=["user_id"])
+
+
+def read_log(spark, path):
+    return AU.read_audit(spark, path).select("ts", "action", F.col("details")["user_id"].cast("bigint").alias("user_id"))
+
+
+@query("audit_roundtrip")
+def q_audit_roundtrip(spark, d):
+    """Events appended to the JSON-lines log in two parts and read back."""
+    path, ev = scratch_path(spark, "audit"), table(spark, d, "events")
+    for part in (0, 1):
+        AU.append_audit(event_log(ev.where(F.col("event_id") % 2 == part)), path)
+    return read_log(spark, path)
+
+
 @query("union_by_name")
 def q_union_by_name(spark, d):
     return IO.union_by_name(table(spark, d, "customer"), table(spark, d, "supplier"))
@@ -414,7 +477,7 @@ def q_edges(spark, d):
 
 @query("shortest_route")
 def q_shortest_route(spark, d):
-    e = nation_edges(spark, d).where((F.col("target") - F.col("source")).isin(1, 2))
+    e = nation_edges(spark, d)
     graph = (e.groupBy(F.col("source").cast("string").alias("src"), F.col("target").cast("string").alias("dst"))
              .agg(F.round(F.min("weight"), 2).alias("weight")))
     route = H.shortest_route(graph, 0, 12)
@@ -474,6 +537,51 @@ def q_logistic(spark, d):
     return ML.predict(model, j).select("doc_id", "quality", "prediction", F.round("risk", 6).alias("risk"))
 
 
+def sized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a text label by rule: long from 3,000 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return docs.withColumn("size", F.when(F.col("n_chars") >= 3000, "long").otherwise("short"))
+
+
+def clear_cases(pred: DataFrame) -> DataFrame:
+    """Predictions outside a margin around the rule's limit."""
+    return pred.where("n_chars < 1000 or n_chars > 9000").select("doc_id", F.col("predicted_label").alias("size"))
+
+
+@query("logistic_text_label")
+def q_logistic_text_label(spark, d):
+    """a target with text values; predictions come back as its values."""
+    docs = sized_docs(spark, d)
+    model, _metrics = ML.train_logistic(docs.select("n_chars", "size", "doc_id"), target="size", key="doc_id")
+    return clear_cases(ML.predict(model, docs))
+
+
+@query("predict_all_rows")
+def q_predict_all_rows(spark, d):
+    """one row per input row; a row with a missing feature has a null score."""
+    docs = sized_docs(spark, d)
+    model, _metrics = ML.train_logistic(docs, target="size", key="doc_id")
+    gaps = docs.withColumn("n_chars", F.when(F.col("doc_id") % 10 != 3, F.col("n_chars")))
+    return ML.predict(model, gaps).select("doc_id", F.col("risk").isNull().alias("no_score"))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, d):
+    """The saved and loaded model predicts as the fitted one."""
+    docs, path = sized_docs(spark, d), scratch_path(spark, "model")
+    model, _metrics = ML.train_logistic(docs, target="size", key="doc_id")
+    return clear_cases(ML.predict(ML.load_model(ML.save_model(model, path)), docs))
+
+
+@query("isolation_planted")
+def q_isolation_planted(spark, d):
+    """Extreme rows injected by rule are all flagged, among rows that repeat."""
+    ev = events_k(spark, d).select("event_id", F.when(F.col("event_id") % 1000 == 7, 1e6).otherwise(F.floor("value")).alias("value"),
+                                   (F.col("k") % 5).alias("k"))
+    model = IF.fit_isolation_forest(ev.select("value", "k"))
+    return IF.flagged_rows(model.score(ev)).where("value = 1e6").select("event_id")
+
+
 @query("isolation_forest")
 def q_isolation_forest(spark, d):
     """Train on events (value, k), score all events, keep flagged rows."""
@@ -516,7 +624,7 @@ def q_stream_clean(spark, d):
                  F.when(eid % 7 != 0, F.col("value")).alias("value"),
                  F.when(eid % 11 != 3, F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
     sink, ckpt = scratch_path(spark, "stream-clean"), scratch_path(spark, "stream-clean-ckpt")
-    J.clean_stream(s, sink, ckpt, order_by="event_id").awaitTermination()
+    J.clean_stream(s, sink, ckpt, order_by="event_id", order_is_position=True).awaitTermination()
     return spark.read.parquet(sink).drop("_epoch")
 
 
@@ -543,3 +651,25 @@ def q_stream_dedupe(spark, d):
     sink, ckpt = scratch_path(spark, "stream-dedupe"), scratch_path(spark, "stream-dedupe-ckpt")
     J.run_to_table(out, sink, ckpt)
     return spark.read.parquet(sink).select("user_id", "event_type")
+
+
+@query("stream_audit")
+def q_stream_audit(spark, d):
+    """The events stream into the JSON-lines log."""
+    path, ckpt = scratch_path(spark, "stream-audit"), scratch_path(spark, "stream-audit-ckpt")
+    J.audit_stream(events_stream(spark, d), path, ckpt, action_col="event_type", ts_col="ts",
+                   detail_cols=["user_id"]).awaitTermination()
+    return read_log(spark, path)
+
+
+@query("stream_score")
+def q_stream_score(spark, d):
+    """A fitted model over the documents stream."""
+    docs = sized_docs(spark, d)
+    model, _metrics = ML.train_logistic(docs, target="size", key="doc_id")
+    base = d.rstrip("/")
+    stream = J.file_stream(spark, f"{base}/documents*.parquet", table(spark, d, "documents").schema, base_path=base)
+    scored = J.score_stream(stream.select("doc_id", "n_chars"), model).select("doc_id", "n_chars", "predicted_label")
+    sink, ckpt = scratch_path(spark, "stream-score"), scratch_path(spark, "stream-score-ckpt")
+    J.run_to_table(scored, sink, ckpt)
+    return clear_cases(spark.read.parquet(sink))

@@ -48,7 +48,8 @@ def clean_file(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, dict]:
 
 def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: float = 3.0,
                   mode: str = "sequential", checkpoint: bool = True,
-                  bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+                  bounds: dict[str, tuple[float | None, float | None]] | None = None,
+                  order_is_position: bool = False) -> DataFrame:
     """Dedupe (keep first) -> forward/backward fill -> 3-sigma filter.
 
     Returns the cleaned rows with the order column (first position of each
@@ -62,7 +63,7 @@ def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: flo
     # them, so the dedupe shuffle is not run a second time just to find edges
     df_o, in_order, _ = order_column(df, order_by)
     splits = block_splits(df_o, in_order)
-    deduped = dedupe(df, order_by=order_by)
+    deduped = dedupe(df, order_by=order_by, order_is_position=order_is_position)
     order_name = order_by if isinstance(order_by, str) else "_order"
     deduped, order, _ = order_column(deduped, order_name)
     value_cols = [c for c in deduped.columns if c != order_name]

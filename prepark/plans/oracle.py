@@ -127,6 +127,29 @@ SELECT * FROM ev WHERE event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NO
                     f"{c} < (SELECT avg({c}) + 3 * stddev_samp({c}) FROM b0)")
     O["three_sigma_single_pass"] = f"WITH b0 AS ({EV_K})\nSELECT * FROM b0 WHERE " + "\n  AND ".join(ctes)
 
+    O["dedupe_full_rows"] = f"""SELECT DISTINCT user_id, event_type, k FROM ({EV_K})"""
+    O["three_sigma_nan"] = """WITH b AS (SELECT event_id, CASE WHEN event_id % 13 <> 5 THEN value END AS value FROM events)
+SELECT * FROM b WHERE value > (SELECT avg(value) - 3 * stddev_samp(value) FROM b)
+  AND value < (SELECT avg(value) + 3 * stddev_samp(value) FROM b)"""
+    O["fill_strategy"] = f"""WITH g AS ({EV_GAPS}),
+m AS (SELECT event_type FROM g WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT event_id, coalesce(event_type, (SELECT event_type FROM m)) AS event_type,
+       round(coalesce(value, (SELECT avg(value) FROM g)), 6) AS value,
+       round(coalesce(CAST(k AS DOUBLE), (SELECT avg(k) FROM g)), 6) AS k FROM g"""
+    O["fill_strategy_ffill"] = f"""SELECT event_id, coalesce(event_type, 'none') AS event_type,
+       last_value(value IGNORE NULLS) OVER w AS value,
+       CAST(last_value(k IGNORE NULLS) OVER w AS DOUBLE) AS k FROM ({EV_GAPS})
+WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    O["rename_target"] = "SELECT doc_id, quality, toxic AS target FROM labels"
+    O["drop_target"] = "SELECT doc_id, quality FROM labels"
+    O["csv_documents_roundtrip"] = "SELECT * FROM documents"
+    O["audit_roundtrip"] = O["stream_audit"] = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
+       event_type AS action, user_id FROM events"""
+    O["logistic_text_label"] = O["model_roundtrip"] = O["stream_score"] = """SELECT doc_id,
+       CASE WHEN n_chars >= 3000 THEN 'long' ELSE 'short' END AS size FROM documents WHERE n_chars < 1000 OR n_chars > 9000"""
+    O["predict_all_rows"] = "SELECT doc_id, doc_id % 10 = 3 AS no_score FROM documents"
+    O["isolation_planted"] = "SELECT event_id FROM events WHERE event_id % 1000 = 7"
+
     O["dedupe"] = """SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type"""
 
     def ffill(col: str, part: str = "") -> str:
@@ -318,14 +341,20 @@ UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part WHERE coale
     O["edges"] = f"""SELECT CAST(source AS VARCHAR) AS src, CAST(target AS VARCHAR) AS dst, CAST(weight AS DOUBLE) AS weight
 FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY l_orderkey DESC, l_linenumber DESC, weight DESC) AS rn
       FROM ({NATION_EDGES})) WHERE rn = 1"""
-    O["shortest_route"] = f"""WITH RECURSIVE e AS (
+    # at most 24 relaxation rounds on 25 nodes; a round keeps each node's best (length, path)
+    rounds = ["p0 AS (SELECT '0' AS node, CAST(0 AS DOUBLE) AS dist, ['0'] AS path)"]
+    for i in range(1, 25):
+        rounds.append(f"""p{i} AS (SELECT node, min((dist, path)).dist AS dist, min((dist, path)).path AS path FROM (
+  SELECT * FROM p{i - 1} UNION ALL
+  SELECT e.dst, p.dist + e.weight, list_append(p.path, e.dst) FROM p{i - 1} p JOIN e ON p.node = e.src) GROUP BY node)""")
+    rounds = [r.replace("min((dist, path)).dist", "min({'dist': dist, 'path': path}).dist")
+              .replace("min((dist, path)).path", "min({'dist': dist, 'path': path}).path") for r in rounds]
+    O["shortest_route"] = f"""WITH e AS MATERIALIZED (
   SELECT CAST(source AS VARCHAR) AS src, CAST(target AS VARCHAR) AS dst, round(min(weight), 2) AS weight
-  FROM ({NATION_EDGES}) WHERE target - source IN (1, 2) GROUP BY 1, 2),
-p(node, dist, path) AS (
-  SELECT '0', CAST(0 AS DOUBLE), ['0']
-  UNION ALL SELECT e.dst, p.dist + e.weight, list_append(p.path, e.dst) FROM p JOIN e ON p.node = e.src)
+  FROM ({NATION_EDGES}) GROUP BY 1, 2),
+""" + ",\n".join(r.replace(" AS (", " AS MATERIALIZED (", 1) for r in rounds) + """
 SELECT '0' AS origin, '12' AS destination, array_to_string(path, '>') AS path, round(dist, 2) AS length
-FROM p WHERE node = '12' ORDER BY dist, path LIMIT 1"""
+FROM p24 WHERE node = '12'"""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     O["sensor_features"] = f"""WITH a AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}, max({c}) AS hi{i}, min({c}) AS lo{i}" for i, c in enumerate(cols))} FROM lineitem)
 SELECT round({_mean_skip_null([f"m{i}" for i in range(4)])}, 6) AS mean_all,

@@ -50,16 +50,19 @@ def wall_clock(c, df: DataFrame):
 # --------------------------------------------------------------------- J1
 def clean_stream(stream: DataFrame, sink_path: str, checkpoint: str, order_by: str | None = None,
                  k: float = 3.0, fmt: str = "parquet", bounds: dict | None = None,
-                 available_now: bool = True) -> StreamingQuery:
-    """Run C6 ``clean_records`` on every micro-batch and append the result.
+                 available_now: bool = True, order_is_position: bool = False) -> StreamingQuery:
+    """Run C6 ``clean_records`` on every micro-batch. Each epoch overwrites its own
+    ``_epoch=`` folder of the sink, so a batch that is replayed after a failure adds no rows.
 
     Statistics are per batch, as the reference computes them per request, or
     frozen: pass ``bounds`` from ``sigma_bounds`` on a batch reference table.
     """
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        cleaned = clean_records(batch, order_by=order_by, k=k, bounds=bounds)
-        cleaned.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").format(fmt).save(sink_path)
+        batch = batch.persist()  # read several times below
+        cleaned = clean_records(batch, order_by=order_by, k=k, bounds=bounds, order_is_position=order_is_position)
+        cleaned.write.mode("overwrite").format(fmt).save(f"{sink_path.rstrip('/')}/_epoch={epoch_id}")
+        batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

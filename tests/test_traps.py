@@ -120,7 +120,7 @@ def test_zero_vector_similarity(spark):
 
 def test_safe_output_name():
     now = datetime(2024, 1, 2, 3, 4, 5)
-    assert safe_output_name("my data?.xlsx", now) == "my data__20240102_030405.xlsx"
+    assert safe_output_name("my data?.xlsx", now) == "my data__20240102_030405.csv"
     assert safe_output_name("report.txt", now) == "report_20240102_030405.csv"
 
 
