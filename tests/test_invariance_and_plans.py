@@ -153,9 +153,9 @@ def test_blocked_quantile_plan(spark):
     assert all(name.endswith("Aggregate") for name in under), under
 
 
-def test_isolation_forest_large_n_pool_branch(spark):
+def test_isolation_forest_on_many_rows(spark):
     rng = np.random.default_rng(3)
-    n = 30000  # >= trees * psi: the pool branch (smallest hashes, one TakeOrderedAndProject)
+    n = 30000
     pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.normal(size=n)})
     pdf["id"] = np.arange(n)
     pdf.loc[:9, "a"] = 25.0  # ten far-out rows
@@ -173,7 +173,7 @@ def test_queries_collect_only_small_results(spark, monkeypatch):
     none may bring back data rows -- only per-column or per-split results."""
     from pyspark.sql import DataFrame
 
-    import __spark_entry__ as E
+    from prepark.plans.catalog import QUERIES
 
     sizes = []
     orig_collect, orig_pandas = DataFrame.collect, DataFrame.toPandas
@@ -190,13 +190,11 @@ def test_queries_collect_only_small_results(spark, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "collect", collect)
     monkeypatch.setattr(DataFrame, "toPandas", to_pandas)
-    # model fits collect their (bounded) node tables and metrics; they are checked elsewhere
-    skip = {"isolation_forest", "logistic", "forest_risk"}
+    # an isolation forest's node table has at most trees x (2 psi - 1) rows
+    bounds = {"isolation_forest": 51_100, "isolation_planted": 51_100}
     worst = {}
-    for key, fn in E.queries().items():
-        if key in skip:
-            continue
+    for key, fn in QUERIES.items():
         sizes.clear()
         fn(spark, SF01)  # build only: the final action is the caller's
         worst[key] = max(sizes, default=0)
-    assert max(worst.values()) <= 64, {k: v for k, v in worst.items() if v > 64}
+    assert all(n <= bounds.get(k, 64) for k, n in worst.items()), worst

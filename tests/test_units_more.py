@@ -183,7 +183,7 @@ def test_small_variants(spark):
     _, metrics = train_logistic(j, target="quality", max_iter=1000, dropna=False, numeric_only=False)
     assert 0.0 <= metrics["accuracy"] <= 1.0
     ev = events_gaps(spark, SF01).select("event_id", "user_id", "event_type", "value", "k")
-    rows, first = clean_upload(ev, order_by="event_id")
+    rows, first = clean_upload(ev, order_by="event_id", order_is_position=True)
     assert rows.first()["rows"] == 9792 and first.count() == 10
 
 
