@@ -42,10 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_width
-from .wordtable import IdRuns, pack, spread, unpack
+from .wordtable import IdRuns, pack, release, spread, unpack
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 3_000_000
+#: rows and pre-tokens that are unpacked at a time
+SLICE_ROWS = 500
+SLICE_TOKENS = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +86,7 @@ def _unpack_words(data: bytes, n: int) -> list[bytes]:
 
 
 def _explode(schema: pa.Schema, n_buckets: int):
-    """Rows (text, id) -> rows of ``schema``: a batch's positions and its words by bucket."""
+    """Rows (id, text) -> rows of ``schema``: a batch's positions and its words by bucket."""
 
     def flush(batch: int, ids: list, counts: list[int], codes: array, words: dict[str, int]) -> pa.RecordBatch:
         codes = np.frombuffer(codes, np.uint32) if codes else np.empty(0, np.uint32)
@@ -106,7 +109,8 @@ def _explode(schema: pa.Schema, n_buckets: int):
         find = regex.compile(public_tokenizers.PATTERN).findall
         part, k = TaskContext.get().partitionId(), 0
         ids, counts, codes, words = [], [], array("I"), {}
-        for rows in batches:
+        slices = (rows.slice(at, SLICE_ROWS) for rows in batches for at in range(0, rows.num_rows, SLICE_ROWS))
+        for rows in slices:
             for i, text in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist()):
                 tokens = find(text) if text else []
                 codes.extend([words.setdefault(t, len(words)) for t in tokens])
@@ -117,6 +121,8 @@ def _explode(schema: pa.Schema, n_buckets: int):
                     ids, counts, codes, words, k = [], [], array("I"), {}, k + 1
         if ids:
             yield flush((part << 24) + k, ids, counts, codes, words)
+        ids, counts, codes, words = [], [], array("I"), {}
+        release()
 
     return run
 
@@ -146,8 +152,14 @@ def _encode_words(schema: pa.Schema, path: str):
     return run
 
 
-def _reassemble(schema: pa.Schema):
-    """One batch: positions + the ids of its words -> one row (id, ids) per document."""
+def _bytes_of(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all ids, bytes by id) from the token-byte table."""
+    table, starts, lengths = _token_bytes(path)
+    return table[spread(starts[ids], lengths[ids])], lengths[ids]
+
+
+def _reassemble(schema: pa.Schema, path: str, decode: bool):
+    """One batch: positions + the ids of its words -> one row (id, ids, bytes) per document."""
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = np.array(rows.column("bucket").to_pylist())
@@ -163,20 +175,36 @@ def _reassemble(schema: pa.Schema):
                 lengths[place[cuts[b]:cuts[b + 1]]] = unpack(data[k])  # raises if a word has no answer or two
         if len(bucket_of) and not (lengths > 0).all():
             raise ValueError("a batch's words and their ids don't match; its rows were not read the same way twice")
-        flat = np.concatenate([parts[b] for b in sorted(parts)]) if parts else np.empty(0, np.uint32)
+        flat = np.concatenate([parts[b] for b in sorted(parts)]).astype(np.int32) if parts else np.empty(0, np.int32)
         runs = IdRuns(lengths, flat)
         runs.starts[place] = np.cumsum(lengths[place]) - lengths[place]
-        ids = runs.of(codes).astype(np.int32)
-        counts = np.array(rows.column("counts")[at].as_py(), np.int64)
-        per_doc = np.concatenate(([0], np.cumsum(lengths[codes])))[np.concatenate(([0], np.cumsum(counts)))]
-        return pa.Table.from_arrays(
-            [rows.column("ids")[at].values, pa.ListArray.from_arrays(per_doc.astype(np.int32), pa.array(ids))], schema=schema)
+        names = rows.column("ids")[at].values
+        ends = np.cumsum(rows.column("counts")[at].values.to_numpy(), dtype=np.int64)
+        parts, doc = [], 0
+        while doc < len(names):  # some documents at a time
+            first = int(ends[doc - 1]) if doc else 0
+            upto = max(doc + 1, int(np.searchsorted(ends, first + SLICE_TOKENS, side="right")))
+            own = codes[first:int(ends[upto - 1])]
+            n_ids = np.concatenate(([0], np.cumsum(lengths[own])))[np.concatenate(([first], ends[doc:upto])) - first]
+            flat_ids = runs.of(own)
+            cols = [names[doc:upto], pa.ListArray.from_arrays(n_ids.astype(np.int32), pa.array(flat_ids, pa.int32()))]
+            if decode:
+                text, n_bytes = _bytes_of(flat_ids, path)
+                at = np.concatenate(([0], np.cumsum(n_bytes)))[n_ids].astype(np.int32)
+                cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(text)]))
+            parts.append(pa.Table.from_arrays(cols, schema=schema))
+            doc = upto
+        del codes, runs, flat, rows
+        release()
+        return pa.concat_tables(parts)
 
     return run
 
 
-def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row (``id_col``, ids array<int>) per input row."""
+def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+               decode: bool = False) -> DataFrame:
+    """One row (``id_col``, ids array<int>) per input row; with ``decode``, also ``decoded``: the bytes
+    that the ids decode to, looked up while a batch is in hand."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     path = path or public_tokenizers.path(RANK_FILE)
@@ -189,10 +217,12 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         T.StructField("ids", T.ArrayType(id_type)), T.StructField("counts", T.ArrayType(T.IntegerType())),
         T.StructField("data", T.BinaryType()), T.StructField("more", T.BinaryType()), T.StructField("n_words", T.LongType())])
     result = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decode:
+        result = result.add("decoded", T.BinaryType())
     arrow = to_arrow_schema(packed)
     batches = source.mapInArrow(_explode(arrow, n_buckets), packed)
     answered = batches.groupBy("key").applyInArrow(_encode_words(arrow, path), packed)
-    return answered.groupBy("batch").applyInArrow(_reassemble(to_arrow_schema(result)), result)
+    return answered.groupBy("batch").applyInArrow(_reassemble(to_arrow_schema(result), path, decode), result)
 
 
 def bpe_decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -201,14 +231,10 @@ def bpe_decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded"
 
     @F.pandas_udf(T.BinaryType())
     def decode(ids: pd.Series) -> pd.Series:
-        table, starts, lengths = _token_bytes(path)
         out = []
         for x in ids:
-            if x is None:
-                out.append(None)
-                continue
-            x = np.asarray(x, np.int64)
-            out.append(table[spread(starts[x], lengths[x])].tobytes() if len(x) else b"")
+            x = None if x is None else np.asarray(x, np.int64)
+            out.append(None if x is None else _bytes_of(x, path)[0].tobytes() if len(x) else b"")
         return pd.Series(out, dtype=object)
 
     return tokens.withColumn(out_col, decode(F.col(ids_col)))

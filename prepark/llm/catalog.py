@@ -32,7 +32,7 @@ def op2_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = byte_bpe.bpe_decode(byte_bpe.bpe_encode(documents(spark, sf_dir)))
+    tokens = byte_bpe.bpe_encode(documents(spark, sf_dir), decode=True)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -46,7 +46,9 @@ def test_bpe_edge_rows(spark, make_docs, edge_rows):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     want = [(i, tuple(brute_bpe(t)), (t or "").encode()) for i, t in edge_rows]
     assert sorted(((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got), key=key) == sorted(want, key=key)
-    assert byte_bpe.bpe_encode(make_docs([(1, "a")]).limit(0)).count() == 0
+    both = byte_bpe.bpe_decode(byte_bpe.bpe_encode(make_docs(edge_rows), decode=True), out_col="again").collect()
+    assert len(both) == len(edge_rows) and all(r.decoded == r.again for r in both)
+    assert byte_bpe.bpe_encode(make_docs([(1, "a")]).limit(0), decode=True).count() == 0
 
 
 def test_bpe_small_batches_give_the_same(spark, make_docs, edge_rows, monkeypatch):
