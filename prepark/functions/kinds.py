@@ -59,6 +59,12 @@ def kind_of(dt: T.DataType) -> str:
     return "other"
 
 
+def as_text(c: str, dt: T.DataType) -> Column:
+    """A cell as text; 0.0 and -0.0 are one value, as in pandas."""
+    x = qcol(c)
+    return (x + F.lit(0.0) if isinstance(dt, (T.FloatType, T.DoubleType)) else x).cast("string")
+
+
 def missing(c: str | Column, dt: T.DataType | None = None) -> Column:
     """Predicate for a missing cell: null, or NaN in a float column."""
     col = qcol(c) if isinstance(c, str) else c

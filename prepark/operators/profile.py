@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import (
-    is_integral, is_numeric, is_temporal, kind_of, missing, nan_to_null, numeric_columns, order_column, qcol,
+    as_text, is_integral, is_numeric, is_temporal, kind_of, missing, nan_to_null, numeric_columns, order_column, qcol,
 )
 from ..functions.patterns import (
     BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, REPORT_AFTER,
@@ -102,10 +102,11 @@ LONG_TEXT = 64
 
 
 def value_key(v: Column) -> Column:
-    """Grouping key of a text value: the value itself when short, else
-    (xxhash64, murmur3, length) of the whole text -- 96 bits plus length."""
+    """Grouping key of a text value: the value itself when short, else its
+    beginning (for ties) and (xxhash64, murmur3, length) of the whole text."""
     short = F.length(v) <= LONG_TEXT
-    return F.struct(F.when(short, v).alias("s"), F.when(~short, F.xxhash64(v)).alias("h1"),
+    return F.struct(F.when(short, v).alias("s"), F.when(~short, F.substring(v, 1, LONG_TEXT)).alias("head"),
+                    F.when(~short, F.xxhash64(v)).alias("h1"),
                     F.when(~short, F.hash(v)).alias("h2"), F.when(~short, F.length(v)).alias("n"))
 
 
@@ -135,7 +136,7 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None, order_by=N
     df, order, _ = order_column(df, order_by)
     fields = {f.name: f.dataType for f in df.schema.fields}
     structs = [F.struct(F.lit(c).alias("column"),
-                        F.when(missing(qcol(c), fields[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
+                        F.when(missing(qcol(c), fields[c]), F.lit(None)).otherwise(as_text(c, fields[c])).alias("v"))
                for c in cols]
     long = (df.select(order.alias("_o"), F.explode(F.array(*structs)).alias("kv"))
             .select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
@@ -291,7 +292,7 @@ def field_roles(df: DataFrame, max_unique_for_categorical: int = MAX_UNIQUE_FOR_
     fields_map = {f.name: f.dataType for f in fields}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"),
-                 F.when(missing(qcol(c), fields_map[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
+                 F.when(missing(qcol(c), fields_map[c]), F.lit(None)).otherwise(as_text(c, fields_map[c])).alias("v"))
         for c in df.columns])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
     if approx:
         uniq = long.groupBy("column").agg(F.approx_count_distinct("v").alias("nunique"))

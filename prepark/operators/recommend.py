@@ -9,11 +9,13 @@ product and norm, and item scores are one more join and grouped sum.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import qcol
-from ..session import materialize
+from ..session import materialize, write_scratch
 from .joins import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
 
 
@@ -35,7 +37,7 @@ def _user_row(ratings: DataFrame, user_id, user_col: str, item_col: str, rating_
     row = materialize(ratings.where(qcol(user_col) == F.lit(user_id)).select(item_col, qcol(rating_col).alias("_q")))
     st = row.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("norm")).first()
     if st["n"] == 0:  # a user whose ratings are all 0 keeps zero rows (drop_zeros=False)
-        raise KeyError("User not in matrix")
+        raise KeyError(f"user {user_id!r} has no ratings")
     return row, st["n"], st["norm"] or 0.0
 
 
@@ -57,22 +59,31 @@ def user_similarity(ratings: DataFrame, user_id, user_col: str = "user", item_co
     return per_user.select(user_col, F.when(denom > 0, F.col("_dot") / denom).otherwise(F.lit(0.0)).alias("similarity"))
 
 
-def recommend(ratings: DataFrame, user_id, top_k: int = 10, user_col: str = "user", item_col: str = "item",
-              rating_col: str = "rating") -> DataFrame:
-    """Item scores ``sum_u sim(u) * rating(u, i)``, highest first, top k.
+def recommend(ratings: DataFrame, user_id=None, top_k: int = 10, user_col: str = "user", item_col: str = "item",
+              rating_col: str = "rating", users: list | None = None) -> DataFrame:
+    """Item scores ``sum_u sim(u) * rating(u, i)``, highest first, top k. With ``users``
+    the same for each of a few users, one after the other, in a column ``for_user``.
+
+    The ratings (often a join) are written once; every pass reads that table.
 
     Items the user already has stay in (as in the reference); ties go to the
     smaller item id. Every item of the matrix is a candidate (score 0 if no
-    similar user rated it). Users with similarity 0 add nothing, so only the
-    others are joined back; that side is broadcast only after a size check.
+    similar user rated it). Only users with a similarity are joined; that side
+    is broadcast only after a size check.
     """
+    ratings = write_scratch(ratings.select(user_col, item_col, rating_col), "ratings")
+    if users is not None:
+        each = [_recommend(ratings, u, top_k, user_col, item_col, rating_col).withColumn("for_user", F.lit(u)) for u in users]
+        return functools.reduce(DataFrame.unionByName, each)
+    return _recommend(ratings, user_id, top_k, user_col, item_col, rating_col)
+
+
+def _recommend(ratings: DataFrame, user_id, top_k: int, user_col: str, item_col: str, rating_col: str) -> DataFrame:
     sims = materialize(user_similarity(ratings, user_id, user_col, item_col, rating_col)
                        .where(F.col("similarity") != 0))
-    contrib = (ratings.join(maybe_broadcast(sims), on=user_col)
-               .groupBy(item_col).agg(F.sum(F.col("similarity") * qcol(rating_col)).alias("score")))
-    items = ratings.select(item_col).distinct()
-    scored = items.join(contrib, on=item_col, how="left").select(
-        item_col, F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    similarity = F.coalesce(F.col("similarity"), F.lit(0.0))
+    scored = (ratings.join(maybe_broadcast(sims), on=user_col, how="left")
+              .groupBy(item_col).agg(F.sum(similarity * qcol(rating_col)).alias("score")))
     return scored.orderBy(F.col("score").desc(), F.col(item_col)).limit(top_k)
 
 
@@ -95,7 +106,7 @@ def similar_items(items: DataFrame, item_id, top_k: int = 10, id_col: str = "ite
     """
     row = items.where(qcol(id_col) == F.lit(item_id)).select(vec_col).limit(1).collect()
     if not row:
-        raise KeyError("Item not in features")
+        raise KeyError(f"item {item_id!r} has no features")
     qv = [0.0 if x is None else float(x) for x in (row[0][0] or [])]
     qlit = F.lit(qv).cast("array<double>")  # one array literal, however long the vector
     filled = F.transform(qcol(vec_col), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))

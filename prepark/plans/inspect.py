@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import missing, numeric_columns, order_column, qcol
+from ..functions.kinds import as_text, missing, numeric_columns, order_column, qcol
 from ..functions.patterns import (
     BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, TARGET_NAMES,
     summary_text,
@@ -31,7 +31,7 @@ def _long(df: DataFrame, order_by=None) -> DataFrame:
     df, order, _ = order_column(df, order_by)
     long = (df.select(order.alias("_o"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"),
-                 F.when(missing(qcol(c), types[c]), F.lit(None)).otherwise(qcol(c).cast("string")).alias("v"))
+                 F.when(missing(qcol(c), types[c]), F.lit(None)).otherwise(as_text(c, types[c])).alias("v"))
         for c in cols])).alias("kv")).select("_o", "kv.column", "kv.v").where(F.col("v").isNotNull()))
     return long.withColumn("k", value_key(F.col("v")))
 
@@ -72,10 +72,10 @@ def inspect(df: DataFrame, order_by=None, max_unique_for_categorical: int = MAX_
     per_col = spark.createDataFrame([(c, rows, miss[c]) for c in cols], "column string, rows bigint, n_missing bigint")
 
     dist = distinct_values(df, order_by, checkpoint)
-    # most frequent value, ties to the smallest (long texts, keyed by fingerprint, tie among themselves)
+    # most frequent value, ties to the smallest (long texts with one beginning tie by their fingerprints)
     stats = dist.groupBy("column").agg(
         F.count(F.lit(1)).alias("nunique"),
-        F.min_by(F.struct("k", "first"), F.struct((-F.col("n")).alias("neg"), F.col("k"))).alias("_top"),
+        F.min_by(F.struct("k", "first"), F.struct((-F.col("n")).alias("neg"), F.coalesce("k.s", "k.head").alias("text"), F.col("k"))).alias("_top"),
         F.max("n").alias("freq"))
     rn = F.row_number().over(Window.partitionBy("column").orderBy("first", "k"))
     first_rows = dist.withColumn("_r", rn).where(F.col("_r") <= n_values)  # <= n per column

@@ -133,3 +133,42 @@ def test_scratch_folder_must_be_shared_off_local_mode(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Spark())
+
+
+def test_text_order_keys(spark):
+    """ISO dates as text order a fill, whatever the number of blocks."""
+    days = [f"2024-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
+    rows = [(day, float(i) if i % 5 == 3 else None) for i, day in enumerate(days)]
+    df = spark.createDataFrame(rows, "ts string, v double").repartition(5)
+    want = pd.DataFrame(rows, columns=["ts", "v"]).sort_values("ts")["v"].ffill().bfill().tolist()
+    for blocks in (1, 3, 40):
+        out = C.fill_forward_backward(df, ["v"], order_by="ts", n_blocks=blocks).orderBy("ts").collect()
+        assert [r["v"] for r in out] == want
+    from prepark.operators.ordered import assign_blocks
+    from pyspark.sql import functions as F
+    blocked, names = assign_blocks(df, F.col("ts"), 12)
+    assert blocked.groupBy(*names).count().count() > 6
+
+
+def test_zero_has_one_sign_in_distinct_counts(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
+    assert P.column_summary(df).first()["n_unique"] == 2
+    assert P.field_roles(df).first()["nunique"] == 2
+
+
+def test_inspector_ties_go_to_the_smallest_text(spark):
+    from prepark.plans.inspect import inspect
+    df = spark.createDataFrame([(1, "z" * 100), (2, "A"), (3, "m"), (4, "B" * 90)], "id long, t string")
+    top = inspect(df, order_by="id", pii=False)["describe_text"].where("column = 't'").first()["top"]
+    assert top == "A" == P.describe_text(df, ["t"]).first()["top"]
+
+
+def test_recommend_for_several_users(spark):
+    from prepark.operators import recommend as G
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(6) for i in range(8) if (u + i) % 3]
+    ratings = spark.createDataFrame(rows, "user long, item long, rating double")
+    many = G.recommend(ratings, top_k=3, users=[1, 4])
+    for u in (1, 4):
+        one = G.recommend(ratings, u, top_k=3).collect()
+        got = many.where(f"for_user = {u}").orderBy("score", ascending=False).collect()
+        assert [(r["item"], round(r["score"], 9)) for r in got] == [(r["item"], round(r["score"], 9)) for r in one]
