@@ -7,8 +7,10 @@ template and changes its slots, so windows of ``WINDOW`` template tokens are
 hash-joined between documents and benchmark items, and the slots decide: along
 one alignment of a document with an item, a slot value of the item must stand for
 one and the same value of the document throughout. An item is found where
-consistent windows cover ``COVER`` of its tokens (all of them in a shorter item).
-Windows with few literal words say nothing and take no part (``LITERALS``).
+consistent windows cover ``COVER`` of its tokens (all that its windows reach, if that is
+less). Windows with few literal words say nothing and take no part (``LITERALS``), and a
+window that recurs inside an item counts where it first stands, so a repetitive item
+meets a repetitive document once per window of the document, not once per pair.
 
 Document windows are tested against a bitmap of the benchmark's window hashes in
 the scanning task (fixed size, whatever the benchmark's), so only windows that may
@@ -110,7 +112,8 @@ class Templates:
 WINDOWS = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("template", T.StringType()),
     T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("first_word", T.IntegerType()),
-    T.StructField("end_word", T.IntegerType()), T.StructField("bit", T.IntegerType()), T.StructField("n_tokens", T.IntegerType())])
+    T.StructField("end_word", T.IntegerType()), T.StructField("bit", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("reach", T.IntegerType())])
 
 
 def _windows(schema: pa.Schema, sizes: list[int] | None, bitmap: np.ndarray | None):
@@ -129,7 +132,11 @@ def _windows(schema: pa.Schema, sizes: list[int] | None, bitmap: np.ndarray | No
                     else:
                         own = sizes
                     found, n = table.windows(words, own, bitmap)
-                    rows += [(i, mark, *f, n) for f in found]
+                    reach = 0
+                    if sizes is None:
+                        found = list({f[2]: f for f in reversed(found)}.values())  # the first of equal windows
+                        reach = len({k for f in found for k in range(f[0], f[0] + f[1])})
+                    rows += [(i, mark, *f, n, reach) for f in found]
                 cols = list(zip(*rows)) if rows else [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
@@ -155,17 +162,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k, v in words.groupBy("k").agg(F.bit_or("v").alias("v")).toLocalIterator():
         bitmap[64 * k:64 * k + 64] = np.unpackbits(np.array([v], np.int64).view(np.uint8), bitorder="little").astype(bool)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    found = _template_windows(docs, id_col, text_col, sizes, bitmap).drop("bit", "n_tokens")
-    items = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens")
+    found = _template_windows(docs, id_col, text_col, sizes, bitmap).drop("bit", "n_tokens", "reach")
+    items = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens", "reach")
     matched = found.join(items, "template")
-    aligned = matched.groupBy("id", "mark", "item", "n_tokens", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    aligned = matched.groupBy("id", "mark", "item", "n_tokens", "reach", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
         F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(item_pos, item_pos + size - 1)")))).alias("covered"),
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
     n_covered = F.size("covered")
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    passages = (aligned.filter(consistent & (n_covered >= F.least(F.lit(COVER), "n_tokens")))
+    passages = (aligned.filter(consistent & (n_covered >= F.least(F.lit(COVER), "reach")))
                 .withColumns({"n_covered": n_covered, "n_changed": changed}))
     best = F.max(F.struct("n_covered", (-F.col("n_changed")).alias("few"), (-F.col("first_word")).alias("early"),
                           "end_word", "n_tokens")).alias("b")

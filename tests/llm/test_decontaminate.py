@@ -17,26 +17,30 @@ def brute(docs, items):
     """{(doc_id, item_id): tokens covered} by trying every alignment."""
     found = {}
     split = [(j, tokens(t)) for j, t in items]
+    sizes = {min(D.WINDOW, len(item)) for _, item in split if len(item) >= D.LITERALS}
     for i, text in docs:
         doc = tokens(text)
-        names = [t for t, _ in doc]
+        places = {}
+        for size in sizes:
+            for p in range(len(doc) - size + 1):
+                places.setdefault(tuple(t for t, _ in doc[p:p + size]), []).append(p)
         for j, item in split:
             size = min(D.WINDOW, len(item))
             if size < D.LITERALS:
                 continue
-            starts = {}
+            starts, seen, reach = {}, set(), set()
             for q in range(len(item) - size + 1):
-                own = item[q:q + size]
-                if sum(s is None for _, s in own) < min(D.LITERALS, size):
+                own, template = item[q:q + size], tuple(t for t, _ in item[q:q + size])
+                if sum(s is None for _, s in own) < min(D.LITERALS, size) or template in seen:
                     continue
-                want = [t for t, _ in own]
-                for p in range(len(doc) - size + 1):
-                    if names[p] == want[0] and names[p:p + size] == want:
-                        starts.setdefault(p - q, []).append(q)
+                seen.add(template)
+                reach.update(range(q, q + size))
+                for p in places.get(template, []):
+                    starts.setdefault(p - q, []).append(q)
             for shift, at in starts.items():
                 covered = sorted({k for q in at for k in range(q, q + size)})
                 pairs = {(item[k][1], doc[k + shift][1]) for k in covered if item[k][1] is not None}
-                if len({a for a, _ in pairs}) == len(pairs) and len(covered) >= min(D.COVER, len(item)):
+                if len({a for a, _ in pairs}) == len(pairs) and len(covered) >= min(D.COVER, len(reach)):
                     found[i, j] = max(found.get((i, j), 0), len(covered))
     return found
 
