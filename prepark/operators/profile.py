@@ -199,20 +199,25 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
         x = qcol(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if approx:
-            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"q{i}"))
+        aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"q{i}") if approx
+                    else F.approx_count_distinct(x).alias(f"d{i}"))
+    if not approx:
+        # one row of statistics; its distinct counts choose the quantile path without another scan
+        row = df.agg(*aggs).first()
+        stats = spark.createDataFrame(
+            [(i, c, *(row[f"{k}{i}"] for k in ("n", "m", "s", "lo", "hi"))) for i, c in enumerate(cols)],
+            "pos int, column string, count bigint, mean double, std double, min double, max double")
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], distinct={c: row[f"d{i}"] for i, c in enumerate(cols)})
+        q = q.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("column", "p25", "p50", "p75")
+        return (stats.join(q, on="column", how="left").orderBy("pos")
+                .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
     stats = _stack(df.agg(*aggs), cols, {
         "count": lambda i: F.col(f"n{i}"), "mean": lambda i: F.col(f"m{i}"), "std": lambda i: F.col(f"s{i}"),
         "min": lambda i: F.col(f"lo{i}"), "max": lambda i: F.col(f"hi{i}"),
-        **({"q": lambda i: F.col(f"q{i}").cast("array<double>")} if approx else {}),
+        "q": lambda i: F.col(f"q{i}").cast("array<double>"),
     })
-    if approx:
-        return stats.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                            F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    q = q.toDF("column", "p25", "p50", "p75")
-    return (stats.join(q, on="column", how="left").orderBy("pos")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    return stats.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
+                        F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def describe_auto(df: DataFrame) -> DataFrame:
