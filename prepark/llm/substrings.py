@@ -11,18 +11,23 @@ the 100-byte bucket the pair of 50-byte buckets at s and s + 50. Identifiers are
 64-bit mixes of the pair instead of ranks, so tasks that never meet agree on
 them and a bucket needs no global numbering.
 
-Only buckets with more than one member are worth refining. Which 50-byte
-buckets those are is counted over the whole corpus at the positions that every
-copy of a string chooses alike: of each 100 bytes, the leftmost smallest 50-byte
-identifier (its anchor; one position in 26). A string whose anchor bucket has one
-member occurs once. The strings of all other anchors are refined to 100 bytes
-and sorted on their identifiers; in a batch, only the first of equal strings goes
-on, as sorted packed rows by identifier range, so a passage that a third of all
-documents share adds one entry per batch. No string is sampled away: equal
-strings have equal anchors.
-
-Documents are dealt to batches by a hash (one batch per shuffle partition, which
-sets the memory a task needs); this one shuffle of the texts serves all passes.
+Of each 100 bytes, the leftmost smallest 50-byte identifier is the anchor; every copy of
+a string has the same one. The strings that share an anchor in a place form its context
+(100 to 150 bytes, 26 on average between neighbours), and refinement goes bucket by bucket:
+
+1. Anchors and contexts are counted over the whole corpus, one entry per context and
+   batch. A context that a smaller id holds too goes as a whole. An anchor bucket with
+   one context left is resolved: its strings occur nowhere else.
+2. Only buckets with several contexts are refined to 100-byte buckets, one by each string
+   of the contexts' first holders, and sorted again: the smallest id keeps a string.
+3. Removed contexts and strings meet the texts, and intervals are cut.
+
+In a batch, only the first of equal contexts or strings goes on, as sorted packed rows by
+identifier range, so a passage that a third of all documents share adds one entry per
+batch. No string is sampled away.
+
+Documents are dealt to batches by a hash (``BATCHES`` batches per shuffle partition, a
+batch being what a task holds at a time); this one shuffle of the texts serves all passes.
 
 Null and empty texts have no bytes. Rows are kept one to one; a null id is larger
 than any other, rows of equal ids are not earlier than each other. Columns other
@@ -31,6 +36,8 @@ than the two named are ignored.
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,12 +46,15 @@ from pyspark.sql import types as T
 
 from .common import shuffle_width
 from .windows import _finish, _pack_sorted, _ranges, _unpack_sorted
-from .wordtable import spread
+from .wordtable import release, spread
 
 GRAM = 25
 WINDOW = 4 * GRAM
 ANCHOR = 2 * GRAM
 BLOCK = 1 << 17
+BATCHES = 3
+CONTEXT_BITS = 48
+GONE, REFINE = 1, 2
 PLACE = np.uint64((1 << 31) - 1)  # low bits of an anchor's key: its place; the rest: its identifier
 
 
@@ -80,6 +90,20 @@ def anchors(b50: np.ndarray) -> np.ndarray:
     return (low & PLACE).astype(np.int64)
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _finish(a * np.uint64(0xA24BAED4963EE407) + b)
+
+
+def _first_of_equal(same: np.ndarray, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of sorted items (``same``: equal to the one before; in a group, places ascend)
+    are late: under a larger id than the group's first, or again in one document."""
+    if not len(same):
+        return same
+    group = np.cumsum(~same) - 1
+    again = same & np.concatenate(([False], doc[1:] == doc[:-1]))
+    return again | (rank > rank[np.flatnonzero(~same)][group])
+
+
 class Batch:
     """The texts of one batch, in id order, and what its passes read off them."""
 
@@ -90,6 +114,7 @@ class Batch:
         self.texts = [d[1] or b"" for d in docs]
         self.rank = np.cumsum([k > 0 and a != self.ids[k - 1] for k, a in enumerate(self.ids)]) if docs else np.empty(0, int)
         self.first = np.cumsum([0, *map(len, self.texts)])
+        self._contexts()
 
     def blocks(self):
         """(first byte, 50-byte buckets, string starts inside documents, their anchors) of some documents at a time."""
@@ -108,143 +133,199 @@ class Batch:
                     yield int(self.first[k]), b50, starts, anchors(b50)[starts]
             k = end
 
-    def anchor_buckets(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct anchor identifiers, ascending; whether several places here hold it)."""
-        found = [b50[np.unique(at)] for _, b50, _, at in self.blocks()]
-        if not found:
-            return np.empty(0, np.uint64), np.empty(0, bool)
-        distinct, n = np.unique(np.concatenate(found), return_counts=True)
-        return distinct, n > 1
-
-    def strings(self, elsewhere: np.ndarray) -> None:
-        """Refine the strings whose anchor bucket has several members (here, or
-        ``elsewhere``, one flag per identifier) and sort them on their buckets."""
-        distinct, several = self.anchor_buckets()
-        shared = distinct[several | elsewhere]
-        at, bucket = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    def _contexts(self) -> None:
+        """Contexts sorted by (anchor identifier, context identifier); ``entry`` numbers the distinct ones."""
+        found = [(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
         for first, b50, starts, anchor in self.blocks():
-            places = np.unique(anchor)
-            live = np.zeros(len(b50), bool)
-            if len(shared):
-                live[places[shared[np.minimum(np.searchsorted(shared, b50[places]), len(shared) - 1)] == b50[places]]] = True
-            starts = starts[live[anchor]]
-            if len(starts):
-                at.append(starts + first)
-                bucket.append(_finish(b50[starts] * np.uint64(0xA24BAED4963EE407) + b50[starts + ANCHOR]))
-        at, bucket = np.concatenate(at), np.concatenate(bucket)
+            cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(starts) != 1)) + 1
+            one, last = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut, [len(starts)])) - 1]
+            ends = [_mix(b50[s], b50[s + ANCHOR]) for s in (one, last)]  # 100-byte buckets that cover the context
+            # anchors are small identifiers by choice: mixed again, they fill the ranges evenly
+            found.append((_finish(b50[anchor[np.concatenate(([0], cut))]]),
+                          _mix(_mix(*ends), (last - one).astype(np.uint64)) >> np.uint64(64 - CONTEXT_BITS), one + first, last + first))
+        anchor, context, one, last = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((context, anchor))
+        self.anchor, self.context, self.one, self.last = anchor[order], context[order], one[order], last[order]
+        self.doc = np.searchsorted(self.first, self.one, side="right") - 1
+        same = np.concatenate(([False], (self.anchor[1:] == self.anchor[:-1]) & (self.context[1:] == self.context[:-1])))[:len(order)]
+        self.entry = np.cumsum(~same) - 1
+        self.entry_at = np.flatnonzero(~same)
+        self.gone = _first_of_equal(same, self.rank[self.doc], self.doc)
+
+    def strings(self, flags: np.ndarray) -> None:
+        """Refine the unresolved contexts to 100-byte buckets and sort their strings."""
+        flag = flags[self.entry] if len(self.entry) else np.empty(0, np.uint8)
+        self.whole = self.gone | (flag == GONE)
+        live = np.flatnonzero(~self.whole & (flag == REFINE))
+        live = live[np.argsort(self.one[live])]
+        one, n = self.one[live], self.last[live] - self.one[live] + 1
+        self.at = spread(one, n)
+        if len(live):
+            data = np.frombuffer(b"".join(self.texts), np.uint8)[spread(one, n + WINDOW - 1)]
+            size = n + WINDOW - 1
+            bucket = refine(refine(initial_buckets(data), GRAM), ANCHOR)[spread(np.cumsum(size) - size, n)]
+        else:
+            bucket = np.empty(0, np.uint64)
         order = np.argsort(bucket, kind="stable")  # places ascend within a bucket, and so do ids
-        self.at, self.bucket = at[order], bucket[order]
-        self.doc = np.searchsorted(self.first, self.at, side="right") - 1
-        new = np.concatenate(([True], self.bucket[1:] != self.bucket[:-1]))[:len(self.bucket)]
-        again = ~np.concatenate(([True], self.doc[1:] != self.doc[:-1]))[:len(self.bucket)] & ~new
-        lowest = self.rank[self.doc[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(new) else np.empty(0, int)
-        self.late = again | (self.rank[self.doc] > lowest)  # starts earlier in its document, or under a smaller id
+        self.at, self.bucket = self.at[order], bucket[order]
+        self.at_doc = np.searchsorted(self.first, self.at, side="right") - 1
+        same = np.concatenate(([False], self.bucket[1:] == self.bucket[:-1]))[:len(order)]
+        self.late = _first_of_equal(same, self.rank[self.at_doc], self.at_doc)
 
 
-def _pack_anchors(schema: pa.Schema, n_ranges: int):
-    def run(rows: pa.Table) -> pa.Table:
-        distinct, _ = Batch(rows).anchor_buckets()
-        cuts, batch = _ranges(distinct, n_ranges), rows.column("batch")[0].as_py()
-        out = [(r, batch, int(cuts[r + 1] - cuts[r]), _pack_sorted(distinct[cuts[r]:cuts[r + 1]]))
-               for r in range(n_ranges) if cuts[r] < cuts[r + 1]]
-        cols = list(zip(*out)) if out else [()] * len(schema)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-    return run
+def _senders(batch: Batch, doc: np.ndarray) -> tuple[list, bytes]:
+    """(ids of the documents, their numbers among these)."""
+    used, local = np.unique(doc, return_inverse=True)
+    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+    return [batch.ids[k] for k in used.tolist()], local.astype(kind).tobytes()
+
+
+def _released(run):
+    """``run`` one group at a time, memory given back after each."""
+    if len(inspect.signature(run).parameters) == 1:
+        def one(rows: pa.Table) -> pa.Table:
+            out = run(rows)
+            release()
+            return out
+        return one
 
+    def two(rows: pa.Table, found: pa.Table) -> pa.Table:
+        out = run(rows, found)
+        release()
+        return out
+    return two
 
-def _count_anchors(schema: pa.Schema):
-    """One identifier range: for each batch, which of its anchors another batch holds too."""
+
+def _pack_contexts(schema: pa.Schema, n_ranges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        batch, out = Batch(rows), []
+        at = batch.entry_at
+        anchor, context, doc = batch.anchor[at], batch.context[at], batch.doc[at]
+        cuts, number = _ranges(anchor, n_ranges), rows.column("batch")[0].as_py()
+        for r in range(n_ranges):
+            if (n := int(cuts[r + 1] - cuts[r])):
+                own = slice(cuts[r], cuts[r + 1])
+                ids, local = _senders(batch, doc[own])
+                short = np.ascontiguousarray(context[own].view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BITS // 8])
+                out.append((r, number, n, ids, None, local + short.tobytes() + _pack_sorted(anchor[own])))
+        del batch, anchor, context, doc
+        return _table(out, schema)
+    return _released(run)
+
+
+def _table(rows: list, schema: pa.Schema) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _sent(rows: pa.Table, extra: int):
+    """(sorted identifiers, ``extra`` bytes of each, sender of each, (row, id) by sender, rank by sender) of a range."""
+    keys, more, sender, ids = [], [], [], []
+    for k, (own, n, data) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("ids", "n", "data")))):
+        kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
+        at = n * np.dtype(kind).itemsize
+        sender.append(np.frombuffer(data[:at], kind).astype(np.int64) + len(ids))
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :extra] = np.frombuffer(data[at:at + n * extra], np.uint8).reshape(n, extra)
+        more.append(wide.view(np.uint64).ravel())
+        keys.append(_unpack_sorted(data[at + n * extra:], n))
+        ids += [(k, i) for i in own]
+    distinct = sorted({i for _, i in ids if i is not None})
+    place = {i: k for k, i in enumerate(distinct)}
+    rank = np.fromiter((place.get(i, len(distinct)) for _, i in ids), np.int64, len(ids))
+    return np.concatenate(keys), np.concatenate(more), np.concatenate(sender), ids, rank
+
+
+def _count_contexts(schema: pa.Schema):
+    """One anchor range: what each batch's contexts come to, in the order they were sent."""
     def run(rows: pa.Table) -> pa.Table:
+        anchor, context, sender, _, rank = _sent(rows, CONTEXT_BITS // 8)
+        rank = rank[sender]
+        order = np.lexsort((context, anchor))
+        a, c = anchor[order], context[order]
+        new_anchor = np.concatenate(([True], a[1:] != a[:-1]))
+        new = new_anchor | np.concatenate(([True], c[1:] != c[:-1]))
+        first = np.flatnonzero(new)
+        late = rank[order] > np.repeat(np.minimum.reduceat(rank[order], first), np.diff(np.append(first, len(a))))
+        contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_anchor))
+        several = np.repeat(contexts > 1, np.diff(np.append(np.flatnonzero(new_anchor), len(a))))
+        flags = np.empty(len(a), np.uint8)
+        flags[order] = np.where(late, GONE, np.where(several, REFINE, 0))
         n = rows.column("n").to_pylist()
-        found = np.concatenate([_unpack_sorted(d, k) for d, k in zip(rows.column("data").to_pylist(), n)])
-        order = np.argsort(found, kind="stable")
-        same = np.concatenate(([False], found[order][1:] == found[order][:-1], [False]))
-        shared = np.empty(len(found), bool)
-        shared[order] = same[:-1] | same[1:]  # a batch sends an identifier once
-        flags = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(n)[:-1])]
-        none = pa.nulls(len(n))
-        return pa.Table.from_arrays([rows.column("batch"), rows.column("range"), rows.column("n"),
-                                     none.cast(schema.field("id").type), pa.array(flags, pa.binary())], schema=schema)
+        out = zip(rows.column("batch").to_pylist(), rows.column("range").to_pylist(), [None] * len(n), [None] * len(n),
+                  [x.tobytes() for x in np.split(flags, np.cumsum(n)[:-1])])
+        return _table(list(out), schema)
     return run
 
 
-def _elsewhere(found: pa.Table) -> np.ndarray:
-    """The flags of a batch's anchors, put together by range."""
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("range", "n", "data"))))
-    parts = [np.unpackbits(np.frombuffer(data, np.uint8), count=n) for r, n, data in rows if r >= 0]
-    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
+def _flags(found: pa.Table) -> np.ndarray:
+    """The flags of a batch's contexts, put together by range."""
+    rows = sorted((r, data) for r, data in zip(found.column("range").to_pylist(), found.column("data").to_pylist()) if r >= 0)
+    return np.frombuffer(b"".join(data for _, data in rows), np.uint8)
 
 
 def _pack_strings(schema: pa.Schema, n_ranges: int):
-    """The first of equal strings of a batch, by identifier range."""
+    """The first of equal strings of a batch's unresolved contexts, by identifier range."""
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         if len(rows):
             batch = Batch(rows)
-            batch.strings(_elsewhere(found))
-            bucket, doc = batch.bucket[~batch.late], batch.doc[~batch.late]
-            cuts, at = _ranges(bucket, n_ranges), rows.column("batch")[0].as_py()
+            batch.strings(_flags(found))
+            bucket, doc = batch.bucket[~batch.late], batch.at_doc[~batch.late]
+            cuts, number = _ranges(bucket, n_ranges), rows.column("batch")[0].as_py()
             for r in range(n_ranges):
                 if (n := int(cuts[r + 1] - cuts[r])):
-                    used, local = np.unique(doc[cuts[r]:cuts[r + 1]], return_inverse=True)
-                    out.append((r, at, n, [batch.ids[k] for k in used.tolist()],
-                                local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes()
-                                + _pack_sorted(bucket[cuts[r]:cuts[r + 1]])))
-        cols = list(zip(*out)) if out else [()] * len(schema)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-    return run
+                    ids, local = _senders(batch, doc[cuts[r]:cuts[r + 1]])
+                    out.append((r, number, n, ids, None, local + _pack_sorted(bucket[cuts[r]:cuts[r + 1]])))
+        return _table(out, schema)
+    return _released(run)
 
 
 def _count_strings(schema: pa.Schema):
-    """One identifier range: the smallest id of each string keeps it, the others get it back."""
+    """One identifier range: the smallest id of each string keeps it, the others get it
+    back (one packed row per batch)."""
     def run(rows: pa.Table) -> pa.Table:
-        ids, buckets, sender = [], [], []
-        batches = rows.column("batch").to_pylist()
-        for k, (own, n, data) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("ids", "n", "data")))):
-            kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
-            size = n * np.dtype(kind).itemsize
-            sender.append(np.frombuffer(data[:size], kind).astype(np.int64) + len(ids))
-            buckets.append(_unpack_sorted(data[size:], n))
-            ids += [(k, i) for i in own]
-        buckets, sender = np.concatenate(buckets), np.concatenate(sender)
-        distinct = sorted({i for _, i in ids if i is not None})
-        place = {i: k for k, i in enumerate(distinct)}
-        rank = np.fromiter((place.get(i, len(distinct)) for _, i in ids), np.int64, len(ids))[sender]
-        order = np.argsort(buckets)
-        buckets, rank, sender = buckets[order], rank[order], sender[order]
-        first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
-        late = rank > np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(buckets))))
-        buckets, sender = buckets[late], sender[late]
-        order = np.argsort(sender, kind="stable")
-        to, at = np.unique(sender[order], return_index=True)
-        parts = [b.tobytes() for b in np.split(buckets[order], at[1:])] if len(to) else []
-        return pa.Table.from_arrays(
-            [pa.array([batches[ids[k][0]] for k in to.tolist()], pa.int64()), pa.array(np.full(len(to), -1)),
-             pa.array(np.full(len(to), 0)), pa.array([ids[k][1] for k in to.tolist()], schema.field("id").type),
-             pa.array(parts, pa.binary())], schema=schema)
+        bucket, _, sender, ids, rank = _sent(rows, 0)
+        rank = rank[sender]
+        order = np.argsort(bucket)
+        bucket, rank, sender = bucket[order], rank[order], sender[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        late = rank > np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(bucket))))
+        bucket, sender = bucket[late], sender[late]
+        order = np.argsort(sender, kind="stable")  # senders ascend by row
+        bucket, sender = bucket[order], sender[order]
+        batches, by_row, at = rows.column("batch").to_pylist(), {}, 0
+        for k, n in zip(*(x.tolist() for x in np.unique(sender, return_counts=True))):
+            own = by_row.setdefault(ids[k][0], ([], [], []))
+            own[0].append(ids[k][1])
+            own[1].append(n)
+            own[2].append(bucket[at:at + n].tobytes())
+            at += n
+        return _table([(batches[k], -1, own, n, b"".join(data)) for k, (own, n, data) in by_row.items()], schema)
     return run
 
 
 def _cut(schema: pa.Schema):
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         batch = Batch(rows)
-        batch.strings(_elsewhere(found))
+        batch.strings(_flags(found))
         sent: dict = {}
-        for r, i, data in zip(*(found.column(c).to_pylist() for c in ("range", "id", "data"))):
-            if r < 0:
-                sent.setdefault(i, []).append(data)
+        for r, ids, counts, data in zip(*(found.column(c).to_pylist() for c in ("range", "ids", "counts", "data"))):
+            at = 0
+            for i, n in zip(ids, counts) if r < 0 else ():
+                sent.setdefault(i, []).append(data[at:at + 8 * n])
+                at += 8 * n
         bad = batch.late.copy()
         if sent:
-            by_doc = np.argsort(batch.doc, kind="stable")
-            cuts = np.searchsorted(batch.doc[by_doc], np.arange(len(batch.ids) + 1))
+            by_doc = np.argsort(batch.at_doc, kind="stable")
+            cuts = np.searchsorted(batch.at_doc[by_doc], np.arange(len(batch.ids) + 1))
             for k, i in enumerate(batch.ids):
                 if i in sent and cuts[k] < cuts[k + 1]:
                     own = by_doc[cuts[k]:cuts[k + 1]]
                     bad[own] |= np.isin(batch.bucket[own], np.frombuffer(b"".join(sent[i]), np.uint64))
         edge = np.zeros(int(batch.first[-1]) + 1, np.int32)
-        at = batch.at[bad]
-        edge[at] += 1
-        edge[at + WINDOW] -= 1  # each start is there once, so are the ends
+        np.add.at(edge, np.concatenate((batch.one[batch.whole], batch.at[bad])), 1)
+        np.add.at(edge, np.concatenate((batch.last[batch.whole], batch.at[bad])) + WINDOW, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out = []
         for k, (i, text) in enumerate(zip(batch.ids, batch.texts)):
@@ -255,9 +336,8 @@ def _cut(schema: pa.Schema):
             spans = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])))).reshape(-1, 2).tolist()
             out.append((i, len(text), int(own.sum()), [{"start": s, "end": e} for s, e in spans],
                         np.frombuffer(text, np.uint8)[~own].tobytes()))
-        cols = list(zip(*out)) if out else [()] * len(schema)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-    return run
+        return _table(out, schema)
+    return _released(run)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,23 +346,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.pandas.types import to_arrow_schema
 
     n = shuffle_width(docs.sparkSession)
-    source = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("batch"), F.col(id_col).alias("id"),
+    source = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(BATCHES * n)).alias("batch"), F.col(id_col).alias("id"),
                          F.col(text_col).alias("text"))
     id_field = T.StructField("id", source.schema["id"].dataType)
     longs = {c: T.StructField(c, T.LongType()) for c in ("range", "batch", "n", "n_bytes", "n_removed")}
+    ids, counts = T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("counts", T.ArrayType(T.LongType()))
     data = T.StructField("data", T.BinaryType())
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    packed_anchors = T.StructType([longs["range"], longs["batch"], longs["n"], data])
-    packed_strings = T.StructType([longs["range"], longs["batch"], longs["n"],
-                                   T.StructField("ids", T.ArrayType(id_field.dataType)), data])
-    answer = T.StructType([longs["batch"], longs["range"], longs["n"], id_field, data])
+    packed = T.StructType([longs["range"], longs["batch"], longs["n"], ids, counts, data])
+    answer = T.StructType([longs["batch"], longs["range"], ids, counts, data])
     result = T.StructType([id_field, longs["n_bytes"], longs["n_removed"], T.StructField("spans", T.ArrayType(span)),
                            T.StructField("kept", T.BinaryType())])
     by_batch = source.groupBy("batch")
-    anchored = (by_batch.applyInArrow(_pack_anchors(to_arrow_schema(packed_anchors), n), packed_anchors)
-                .groupBy("range").applyInArrow(_count_anchors(to_arrow_schema(answer)), answer))
-    strings = (by_batch.cogroup(anchored.groupBy("batch"))
-               .applyInArrow(_pack_strings(to_arrow_schema(packed_strings), n), packed_strings))
+    contexts = (by_batch.applyInArrow(_pack_contexts(to_arrow_schema(packed), n), packed)
+                .groupBy("range").applyInArrow(_count_contexts(to_arrow_schema(answer)), answer))
+    strings = (by_batch.cogroup(contexts.groupBy("batch"))
+               .applyInArrow(_pack_strings(to_arrow_schema(packed), n), packed))
     decided = strings.groupBy("range").applyInArrow(_count_strings(to_arrow_schema(answer)), answer)
-    cut = by_batch.cogroup(anchored.unionByName(decided).groupBy("batch")).applyInArrow(_cut(to_arrow_schema(result)), result)
+    cut = by_batch.cogroup(contexts.unionByName(decided).groupBy("batch")).applyInArrow(_cut(to_arrow_schema(result)), result)
     return cut.withColumnRenamed("id", id_col)

@@ -77,7 +77,6 @@ def test_blocks_do_not_change_the_result(spark, make_docs, monkeypatch):
     for size in (1, 1000, 1 << 20):
         monkeypatch.setattr(substrings, "BLOCK", size)
         b = substrings.Batch(rows)
-        distinct, _ = b.anchor_buckets()
-        b.strings(np.zeros(len(distinct), bool))
-        got.append((distinct.tolist(), b.at.tolist(), b.late.tolist()))
+        b.strings(np.full(len(b.entry_at), substrings.REFINE, np.uint8))
+        got.append((b.anchor.tolist(), b.context.tolist(), b.gone.tolist(), b.at.tolist(), b.late.tolist()))
     assert got[0] == got[1] == got[2]
