@@ -10,15 +10,19 @@ are judged on the input, and lines without words always stay.
 1. Every line is hashed once (the table of lines holds hashes and places, never
    text). Equal lines collapse to their first place.
 2. One edit leaves the first or the last half of the shorter line unchanged, so
-   lines that share no half with another line have no near-equal line; the rest,
-   and only they, fetch their words.
+   lines that share no half with another line have no near-equal line. The others
+   are marked in a bitmap of ``BITS`` bits (a fixed size, so it can be broadcast),
+   and a second scan fetches the words of marked lines only.
 3. Deletion neighbourhood: each such line emits one hashed variant for each word
    left out, and itself. Variants that lack the same place of equally long lines
    meet (substitution), and variants meet whole lines (insertion, deletion). A
    key keeps its earliest member, so a template that a million lines vary yields
    a million links to one line and no pairs.
 4. The word edit distance to that earliest line is verified on the words.
-5. Removed places go back to the documents.
+5. Removed places go back to the documents. Texts that a second bitmap shows to
+   lose nothing stay where they are; only the others are shuffled.
+
+Bitmaps let too many rows pass, never too few; what they let pass is joined exactly.
 
 Null ids come last, null texts stay null, empty texts keep their one empty line.
 Rows with equal id and equal text are one document (repeated rows lose the same
@@ -28,13 +32,16 @@ a tie removes neither.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import write_scratch
 from .common import fresh
 
 MIN_WORDS = 5
+BITS = 1 << 24
+ROW_BITS = 1 << 15
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -88,27 +95,54 @@ def _variants(lines: DataFrame) -> DataFrame:
     return words.select("h1", "h2", "first", role.alias("x")).select("x.key", "x.role", "h1", "h2", "first")
 
 
+def _bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """(row, bits): a bitmap of the hashes, BITS / ROW_BITS rows of 4 KB at most."""
+    at = F.pmod(F.col(column), F.lit(BITS))
+    return (hashes.select(F.floor(at / ROW_BITS).alias("__bitmap_row"), (at % ROW_BITS).alias("bit"))
+            .groupBy("__bitmap_row").agg(F.bitmap_construct_agg("bit").alias("__bits")))
+
+
+def _marked(rows: DataFrame, column: str, bitmap: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows whose hash is marked in the bitmap (or not), by a broadcast of its fixed size."""
+    at, kept = F.pmod(F.col(column), F.lit(BITS)), rows.columns
+    hit = F.expr(f"shiftright(cast(conv(hex(substring(__bits, cast(pmod({column}, {ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int), "
+                 f"cast(pmod({column}, 8) as int)) & 1") == 1
+    joined = rows.withColumn("__bitmap_row", F.floor(at / ROW_BITS)).join(F.broadcast(bitmap), "__bitmap_row", "left")
+    return joined.filter(F.coalesce(hit, F.lit(False)) == wanted).select(*kept)
+
+
+def _place(id_type: T.DataType, i: Column, pos: Column) -> Column:
+    """A line's place, ordered by id (null last) and line number: one number for integral ids."""
+    if not isinstance(id_type, T.IntegralType):
+        return F.struct(i.isNull().alias("none"), i.alias("id"), pos.alias("pos"))
+    wide = F.coalesce(i.cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)"))
+    return (wide * F.lit(1 << 32).cast("decimal(11,0)") + pos.cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines with words, with their words and the 96 hash bits that name them, instead of ``line``."""
+    return (lines.withColumn("words", _words(F.col("line"))).drop("line").filter(F.size("words") > 0)
+            .withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words")}))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, removed): the removed line numbers (from 0) of each document that loses
     lines; ``mark`` is the hash of its text."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "pos", "mark")
-    n = F.size("words")
-    lines = (source.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .withColumn("words", _words(F.col("line"))).filter(n > 0)
-             .select("id", "mark", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"),
-                     _halves(F.col("words"), n).alias("halves")))
-    lines = write_scratch(lines, "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-
-    halves = lines.select(F.explode("halves").alias("half"), "h1")
+    place = _place(source.schema["id"].dataType, F.col("id"), F.col("pos"))
+    cut = _named(source.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+    lines = write_scratch(cut.withColumn("halves", _halves(F.col("words"), F.size("words"))).drop("words"), "lines")
+    firsts = write_scratch(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
+
+    halves = lines.select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    some = halves.join(shared, "half", "left_semi").select("h1").distinct()
-    wanted = (firsts.join(some, "h1", "left_semi").select("first.id", "first.mark", "first.pos", "h1", "h2", "first")
-              .groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "h1", "h2", "first")).alias("places")))
-    near = (_on_row(source, wanted).select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-            .select("p.h1", "p.h2", "p.first", _words(F.element_at("lines", F.col("p.pos") + 1)).alias("words"))
-            .dropDuplicates(["h1", "h2"]))
+    some = _bitmap(_marked(halves, "half", _bitmap(shared, "half")).select("h1"), "h1")
+    at = F.xxhash64("mark", "pos").alias("at")
+    places = _bitmap(_marked(lines.select("h1", at), "h1", some), "at")
+    # the second scan cuts words only where a marked line stands
+    spread = source.select("mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    near = (_named(_marked(spread.select("line", at), "at", places)).select("h1", "h2", "words").dropDuplicates(["h1", "h2"])
+            .join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
     near = write_scratch(near, "lines-near")
 
     variants = write_scratch(_variants(near), "lines-variants")
@@ -121,30 +155,36 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .groupBy("h1", "h2").agg(F.min("earlier").alias("earlier")))
     target = near.select(F.col("first").alias("earlier"), F.col("words").alias("other"))
     verified = (linked.join(near.select("h1", "h2", "words"), ["h1", "h2"]).join(target, "earlier")
-                .filter(within_one_edit(F.col("words"), F.col("other"))).select("h1", "h2", "earlier"))
-    best = firsts.join(verified, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "earlier").alias("best"))
-    late = (F.struct(F.col("best.none").alias("none"), F.col("best.id").alias("id"), F.col("best.pos").alias("pos"))
-            < F.struct(F.col("id").isNull().alias("none"), "id", "pos"))
-    return (lines.select("id", "mark", "pos", "h1", "h2").join(best, ["h1", "h2"]).filter(late)
+                .filter(within_one_edit(F.col("words"), F.col("other"))).groupBy("h1", "h2").agg(F.min("earlier").alias("earlier")))
+    # only lines that occur again or have an earlier neighbour can lose a place
+    best = (firsts.join(verified, ["h1", "h2"], "left").filter("n > 1 or earlier is not null")
+            .select("h1", "h2", F.least("first", "earlier").alias("best")))
+    return (lines.select("id", "mark", "pos", "h1", "h2").join(best, ["h1", "h2"]).filter(F.col("best") < place)
             .groupBy("id", "mark").agg(F.collect_set("pos").alias("removed")))
 
 
-def _on_row(source: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of (id, mark), null ids included."""
-    f = found.withColumnsRenamed({"id": "found_id", "mark": "found_mark"})
-    return source.join(f, source["id"].eqNullSafe(f["found_id"]) & (source["mark"] == f["found_mark"]), how)
-
-
 def _kept_lines(lines, removed):
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     return F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), "\n")
 
 
+def _with_removed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the removed line numbers in ``name`` (null: none)."""
+    i, m, mark = fresh("id"), fresh("m"), fresh("mark")
+    found = write_scratch(removed_lines(docs, id_col, text_col).withColumnsRenamed({"id": i, "mark": m, "removed": name}),
+                          "lines-removed")
+    bitmap, marked = _bitmap(found, m), docs.withColumn(mark, F.xxhash64(F.col(text_col)))
+    same = _marked(marked, mark, bitmap, False).withColumn(name, F.lit(None).cast("array<int>"))
+    hit = _marked(marked, mark, bitmap)
+    cut = hit.join(found, hit[id_col].eqNullSafe(found[i]) & (hit[mark] == found[m]), "left").drop(i, m)
+    return same.unionByName(cut.select(same.columns)).drop(mark)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_lines, n_removed, removed (line numbers from 0)
     and kept (the text without those lines)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    joined = _on_row(source, removed_lines(docs, id_col, text_col), "left")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = _with_removed(source, "id", "text", "removed")
     lines = F.split("text", "\n")
     removed = F.coalesce(F.array_sort("removed"), F.array().cast("array<int>"))
     return joined.select(F.col("id").alias(id_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
@@ -155,10 +195,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut out of ``text_col``, all columns as they were; a
     document that lost lines and has no word left goes."""
-    i, mark, removed = fresh("id"), fresh("mark"), fresh("removed")
-    found = removed_lines(docs, id_col, text_col).select(F.col("id").alias(i), F.col("mark").alias(mark),
-                                                         F.col("removed").alias(removed))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found[i]) & (F.xxhash64(docs[text_col]) == found[mark]), "left")
+    removed = fresh("removed")
+    joined = _with_removed(docs, id_col, text_col, removed)
     kept = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(_kept_lines(F.split(text_col, "\n"), F.col(removed)))
     some = F.col(removed).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
     return joined.withColumn(text_col, kept).filter(some).select(*[F.col(f"`{c}`") for c in docs.columns])
