@@ -26,7 +26,7 @@ In a batch, only the first of equal contexts or strings goes on, as sorted packe
 identifier range, so a passage that a third of all documents share adds one entry per
 batch. No string is sampled away.
 
-Documents are dealt to batches by a hash (``BATCHES`` batches per shuffle partition, a
+Documents are dealt to batches by a hash (``BATCHES`` per shuffle partition, a
 batch being what a task holds at a time); this one shuffle of the texts serves all passes.
 
 Null and empty texts have no bytes. Rows are kept one to one; a null id is larger
@@ -52,7 +52,7 @@ GRAM = 25
 WINDOW = 4 * GRAM
 ANCHOR = 2 * GRAM
 BLOCK = 1 << 17
-BATCHES = 3
+BATCHES = 1
 CONTEXT_BITS = 48
 GONE, REFINE = 1, 2
 PLACE = np.uint64((1 << 31) - 1)  # low bits of an anchor's key: its place; the rest: its identifier
