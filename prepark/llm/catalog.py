@@ -100,7 +100,7 @@ FROM judged GROUP BY doc_id"""
 @query
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return decontaminate.contamination(documents(spark, sf_dir), benchmark).drop("mark")
+    return decontaminate.contamination(documents(spark, sf_dir), benchmark, rules=decontaminate.RULES).drop("mark")
 
 
 @query

@@ -12,6 +12,16 @@ less). Windows with few literal words say nothing and take no part (``LITERALS``
 window that recurs inside an item counts where it first stands, so a repetitive item
 meets a repetitive document once per window of the document, not once per pair.
 
+These are the ``typed`` rule's tokens. Capitals change them, and windows dense in slots
+take no part, so two more rules stand beside it in ``RULES``, with the same windows and
+``COVER``. ``folded``: the words in one case, no slots and no literal minimum, finds verbatim
+copies in any case and with any share of numbers. ``caseless``: a capital alone makes no name,
+the benchmark's vocabulary decides (a word that it writes in lower case somewhere is a literal, one
+that it only writes with a capital a name, in any case), finds re-parameterised copies in
+upper and title case. A text all in lower case with names that the benchmark doesn't
+have is found by its other windows only. The query and the pipeline use all ``RULES``;
+the functions' default is ``typed`` alone.
+
 Document windows are tested against a bitmap of the benchmark's window hashes in
 the scanning task (fixed size, whatever the benchmark's), so only windows that may
 match are shuffled; the join is on the template itself and thus exact.
@@ -25,6 +35,7 @@ Columns other than those named are ignored.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +52,8 @@ LITERALS = 5
 COVER = 13
 BITS = 24
 MAX_WORDS = 400_000
+#: typed: as above; folded: words in one case, no slots; caseless: names by the benchmark's vocabulary
+RULES = ("typed", "folded", "caseless")
 CHUNK_TEXTS = 1_000
 
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen "
@@ -56,9 +69,9 @@ OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 def template_token(word: str) -> tuple[str, str | None]:
     """(template token, slot value or None); an empty token is no token."""
-    core = OUTER.sub("", word)
+    core = word if word.isalpha() else OUTER.sub("", word)
     lower = core.lower()
-    if any(c.isdigit() for c in core) or lower in NUMBER_WORDS:
+    if not core.isalpha() and any(c.isdigit() for c in core) or lower in NUMBER_WORDS:
         return "<num>", core
     if lower in UNITS:
         return "<unit>", lower
@@ -67,105 +80,204 @@ def template_token(word: str) -> tuple[str, str | None]:
     return lower, None
 
 
+def folded_token(word: str) -> str:
+    """The word in one case, numbers and names as they stand; empty where ``template_token`` is."""
+    return OUTER.sub("", word).casefold()
+
+
+class Vocabulary:
+    """Which words the benchmark writes in lower case, and which with a capital: two bitmaps of
+    2^BITS bits by the folded word, so of one size whatever the benchmark's."""
+
+    def __init__(self, lower: np.ndarray, upper: np.ndarray):
+        self.lower = np.packbits(lower, bitorder="little").tobytes()
+        self.upper = np.packbits(upper, bitorder="little").tobytes()
+
+    def is_name(self, folded_hash: int, capital: bool) -> bool:
+        """A capital alone makes no name: a word that the benchmark writes in lower case is a
+        literal in any case, one that it only writes with a capital a name in any."""
+        at, bit = folded_hash >> 64 - BITS + 3, 1 << (folded_hash >> 64 - BITS & 7)
+        return not self.lower[at] & bit and bool(capital or self.upper[at] & bit)
+
+
+PLACEHOLDERS = {t: xxhash.xxh64_intdigest(t) for t in ("<num>", "<unit>", "<name>")}
+
+
 class Templates:
-    """Template tokens of words, each distinct word canonicalised once."""
+    """Template tokens of words by each rule, each distinct word canonicalised once. Of a word only
+    its hashes and kinds are kept; the tokens of the few windows that pass are made again."""
+
+    def __init__(self, rules: tuple[str, ...], vocabulary: Vocabulary | None):
+        self.rules, self.vocabulary = rules, vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        self.code, self.word = {}, []
+        self.hash = {r: np.empty(1 << 14, np.uint64) for r in self.rules}
+        self.kind = {r: np.empty(1 << 14, np.int8) for r in self.rules}
 
-    def __init__(self):
-        self.code, self.token, self.slot = {}, [], []
-        self.hash, self.kind = np.empty(0, np.uint64), np.empty(0, np.int8)
+    def caseless(self, word: str) -> tuple[str, str | None]:
+        token, slot = template_token(word)
+        if token in ("<num>", "<unit>", ""):
+            return token, slot and slot.casefold()
+        folded = folded_token(word)
+        name = self.vocabulary.is_name(xxhash.xxh64_intdigest(folded), token == "<name>")
+        return ("<name>", folded) if name else (folded, None)
+
+    def by_rule(self, rule: str, word: str) -> tuple[str, str | None]:
+        if rule == "folded":
+            return folded_token(word), None
+        return template_token(word) if rule == "typed" else self.caseless(word)
+
+    def hashes(self, word: str) -> tuple:
+        """(hash, kind) of the word's token by each of ``RULES``; the kinds are literal, slot and nothing."""
+        token, slot = template_token(word)
+        if not token:
+            return 0, 2, 0, 2, 0, 2
+        fold = word.casefold() if word.isalpha() else folded_token(word)
+        folded = xxhash.xxh64_intdigest(fold)
+        if slot is None:
+            typed, kind = folded if fold == token else xxhash.xxh64_intdigest(token), 0
+        else:
+            typed, kind = PLACEHOLDERS[token], 1
+        if token == "<num>" or token == "<unit>":
+            return typed, 1, folded, 0, typed, 1
+        if self.vocabulary is not None and self.vocabulary.is_name(folded, kind == 1):
+            return typed, kind, folded, 0, PLACEHOLDERS["<name>"], 1
+        return typed, kind, folded, 0, folded, 0
 
     def add(self, words: set[bytes]) -> None:
         if len(self.code) > MAX_WORDS:
-            self.__init__()
-        new = list(words.difference(self.code))
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        got = [template_token(w.decode()) for w in new]
-        self.token += [t for t, _ in got]
-        self.slot += [s for _, s in got]
-        kinds = [2 if not t else 1 if s is not None else 0 for t, s in got]  # literal, slot, nothing
-        self.kind = np.concatenate((self.kind, np.array(kinds, np.int8)))
-        self.hash = np.concatenate((self.hash, np.fromiter((xxhash.xxh64_intdigest(t) for t, _ in got), np.uint64, len(got))))
-
-    def windows(self, words: list[bytes], sizes: list[int], bitmap: np.ndarray | None):
-        """(start token, tokens, template, slots, first word, end word) of each window with
-        enough literals that the bitmap doesn't rule out; the number of tokens."""
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        at = np.flatnonzero(self.kind[codes] != 2)
-        codes = codes[at]
-        literals = np.concatenate(([0], np.cumsum(self.kind[codes] == 0)))
+            self.clear()
+        new, at = list(words.difference(self.code)), len(self.code)
+        self.code.update(zip(new, range(at, at + len(new))))
+        self.word += new
+        got = np.array([self.hashes(w.decode()) for w in new], np.uint64).reshape(-1, 6)
+        for rule in self.rules:
+            k = 2 * RULES.index(rule)
+            for held, column in ((self.hash, k), (self.kind, k + 1)):
+                if len(held[rule]) < at + len(new):
+                    held[rule] = np.concatenate((held[rule][:at], np.empty(at + 2 * len(new), held[rule].dtype)))
+                held[rule][at:at + len(new)] = got[:, column]
+
+    def windows(self, split: list[list[bytes]], sizes: dict[str, list[int]] | None, bitmap: np.ndarray | None):
+        """(text, rule, start token, tokens, template, slots, first word, end word, bit) of each window
+        with enough literals that the bitmap doesn't rule out; each text's number of tokens. All texts
+        are one run of tokens, of which windows across a text's end are left out. Without ``sizes``
+        a text has windows of ``WINDOW`` tokens, or one of all tokens if it is short."""
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        texts = np.repeat(np.arange(len(split)), lengths)
+        places = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        some = np.flatnonzero(self.kind[self.rules[0]][codes] != 2)  # the same words under each rule
+        codes, texts, places = codes[some], texts[some], places[some]
+        n_tokens = np.bincount(texts, minlength=len(split))
+        starts = np.cumsum(n_tokens) - n_tokens
+        own = np.where(n_tokens >= LITERALS, np.minimum(n_tokens, WINDOW), 0)
         out = []
-        for size in sizes:
-            if len(codes) < size:
-                continue
-            hashes = rolling(self.hash[codes], size)
-            live = literals[size:] - literals[:-size] >= min(LITERALS, size)
-            if bitmap is not None:
-                live &= bitmap[hashes >> np.uint64(64 - BITS)]
-            for k in np.flatnonzero(live).tolist():
-                own = codes[k:k + size].tolist()
-                out.append((k, size, " ".join([self.token[c] for c in own]),
-                            [self.slot[c] for c in own if self.slot[c] is not None], int(at[k]), int(at[k + size - 1]) + 1,
-                            int(hashes[k] >> np.uint64(64 - BITS))))
-        return out, len(codes)
+        for rule in self.rules:
+            hashed = self.hash[rule][codes]
+            literals = np.concatenate(([0], np.cumsum(self.kind[rule][codes] == 0)))
+            for size in sorted({*own.tolist()} - {0}) if sizes is None else sizes.get(rule, []):
+                if len(codes) < size:
+                    continue
+                hashes = rolling(hashed, size) >> np.uint64(64 - BITS)
+                live = texts[size - 1:] == texts[:len(texts) - size + 1]
+                if rule != "folded":
+                    live &= literals[size:] - literals[:-size] >= min(LITERALS, size)
+                if sizes is None:
+                    live &= own[texts[:len(live)]] == size
+                if bitmap is not None:
+                    live &= bitmap[hashes]
+                for k in np.flatnonzero(live).tolist():
+                    mine = [self.by_rule(rule, self.word[c].decode()) for c in codes[k:k + size].tolist()]
+                    out.append((int(texts[k]), rule, int(k - starts[texts[k]]), size, " ".join([t for t, _ in mine]),
+                                [x for _, x in mine if x is not None], int(places[k]), int(places[k + size - 1]) + 1,
+                                int(hashes[k])))
+        return out, n_tokens.tolist()
 
 
 WINDOWS = T.StructType([
+    T.StructField("rule", T.StringType()),
     T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("template", T.StringType()),
     T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("first_word", T.IntegerType()),
     T.StructField("end_word", T.IntegerType()), T.StructField("bit", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
     T.StructField("reach", T.IntegerType())])
 
 
-def _windows(schema: pa.Schema, sizes: list[int] | None, bitmap: np.ndarray | None):
+def _reached(found: list[tuple]) -> list[tuple]:
+    """An item's windows, the first of equal ones, each with the number of tokens that all of its rule reach."""
+    first, reach = {}, {}
+    for f in found:
+        if first.setdefault((f[0], f[1], f[4]), f) is f:
+            reach.setdefault((f[0], f[1]), set()).update(range(f[2], f[2] + f[3]))
+    return [(*f, len(reach[f[0], f[1]])) for f in first.values()]
+
+
+def _windows(schema: pa.Schema, rules: tuple[str, ...], vocabulary: Vocabulary | None, sizes: dict | None, bitmap: np.ndarray | None):
     def run(batches):
-        table = Templates()
+        table = Templates(rules, vocabulary)
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK_TEXTS):
                 part = batch.slice(k, CHUNK_TEXTS)
                 split = [words_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 table.add(set().union(*split))
-                rows = []
-                for i, mark, words in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(), split):
-                    if sizes is None:  # an item: its own windows, one of all tokens if it is short
-                        n = int((table.kind[[table.code[w] for w in words]] != 2).sum()) if words else 0
-                        own = [min(WINDOW, n)] if n >= LITERALS else []
-                    else:
-                        own = sizes
-                    found, n = table.windows(words, own, bitmap)
-                    reach = 0
-                    if sizes is None:
-                        found = list({f[2]: f for f in reversed(found)}.values())  # the first of equal windows
-                        reach = len({k for f in found for k in range(f[0], f[0] + f[1])})
-                    rows += [(i, mark, *f, n, reach) for f in found]
+                found, n = table.windows(split, sizes, bitmap)
+                found = _reached(found) if sizes is None else [(*f, 0) for f in found]
+                ids, marks = part.column("id").to_pylist(), part.column("mark").to_pylist()
+                rows = [(ids[f[0]], marks[f[0]], *f[1:-1], n[f[0]], f[-1]) for f in found]
                 cols = list(zip(*rows)) if rows else [()] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
 
 
-def _template_windows(rows: DataFrame, id_col: str, text_col: str, sizes=None, bitmap=None) -> DataFrame:
+def _template_windows(rows: DataFrame, id_col: str, text_col: str, rules, vocabulary, sizes=None, bitmap=None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     source = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("mark", T.LongType()), *WINDOWS.fields])
-    return source.mapInArrow(_windows(to_arrow_schema(schema), sizes, bitmap), schema)
+    return source.mapInArrow(_windows(to_arrow_schema(schema), rules, vocabulary, sizes, bitmap), schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and benchmark item found in it: ``id_col``, mark (hash of the text),
-    ``item_id``, n_tokens of the item, n_covered, n_changed (slot values that differ), first_word
-    and end_word of the passage in the document."""
-    items = _template_windows(benchmark, item_id, item_text).distinct()
-    # at most 2^BITS bits and WINDOW sizes come back, however many items there are
+def _bitmap(bits: DataFrame) -> np.ndarray:
+    """The column ``bit`` as 2^BITS booleans: so many bits at most come back, however many rows there are."""
     bitmap = np.zeros(1 << BITS, bool)
-    words = items.selectExpr("bit div 64 as k", "shiftleft(1L, bit % 64) as v")
+    words = bits.selectExpr("bit div 64 as k", "shiftleft(1L, bit % 64) as v")
     for k, v in words.groupBy("k").agg(F.bit_or("v").alias("v")).toLocalIterator():
         bitmap[64 * k:64 * k + 64] = np.unpackbits(np.array([v], np.int64).view(np.uint8), bitorder="little").astype(bool)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())
-    found = _template_windows(docs, id_col, text_col, sizes, bitmap).drop("bit", "n_tokens", "reach")
-    items = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens", "reach")
-    matched = found.join(items, "template")
-    aligned = matched.groupBy("id", "mark", "item", "n_tokens", "reach", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+    return bitmap
+
+
+def _cases(batches):
+    for batch in batches:
+        words = set().union(*(words_of(t) for t in batch.column("text").cast(pa.binary()).to_pylist()))
+        cores = {OUTER.sub("", w.decode()) for w in words} - {""}
+        bits = [xxhash.xxh64_intdigest(c.casefold()) >> 64 - BITS for c in cores]
+        yield pa.RecordBatch.from_pydict({"bit": pa.array(bits, pa.int32()),
+                                          "capital": pa.array([c[:1].isupper() for c in cores], pa.bool_())})
+
+
+def _vocabulary(benchmark: DataFrame, item_text: str) -> Vocabulary:
+    cases = benchmark.select(F.col(item_text).alias("text")).mapInArrow(_cases, "bit int, capital boolean")
+    return Vocabulary(_bitmap(cases.filter("not capital")), _bitmap(cases.filter("capital")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_id: str = "item_id", item_text: str = "text", rules: tuple[str, ...] = ("typed",)) -> DataFrame:
+    """One row per document and benchmark item found in it: ``id_col``, mark (hash of the text),
+    ``item_id``, n_tokens of the item, n_covered, n_changed (slot values that differ), first_word
+    and end_word of the passage in the document. An item is found by any of the ``rules``; where
+    ``typed`` finds it, the row is that rule's."""
+    vocabulary = _vocabulary(benchmark, item_text) if "caseless" in rules else None
+    items = _template_windows(benchmark, item_id, item_text, rules, vocabulary).distinct()
+    bitmap = _bitmap(items)  # one for all rules
+    sizes = {}  # at most WINDOW sizes a rule come back
+    for rule, size in sorted(map(tuple, items.select("rule", "size").distinct().collect())):
+        sizes.setdefault(rule, []).append(size)
+    found = _template_windows(docs, id_col, text_col, rules, vocabulary, sizes, bitmap).drop("bit", "n_tokens", "reach")
+    items = items.select(F.col("id").alias("item"), "rule", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens", "reach")
+    matched = found.join(items, ["rule", "template"])
+    aligned = matched.groupBy("id", "mark", "item", "rule", "n_tokens", "reach", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
         F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(item_pos, item_pos + size - 1)")))).alias("covered"),
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
@@ -174,15 +286,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
     passages = (aligned.filter(consistent & (n_covered >= F.least(F.lit(COVER), "reach")))
                 .withColumns({"n_covered": n_covered, "n_changed": changed}))
-    best = F.max(F.struct("n_covered", (-F.col("n_changed")).alias("few"), (-F.col("first_word")).alias("early"),
+    best = F.max(F.struct((F.col("rule") == "typed").alias("typed"), "n_covered", (-F.col("n_changed")).alias("few"), (-F.col("first_word")).alias("early"),
                           "end_word", "n_tokens")).alias("b")
     return (passages.groupBy("id", "mark", "item").agg(best)
             .select(F.col("id").alias(id_col), "mark", F.col("item").alias(item_id), "b.n_tokens", "b.n_covered",
                     (-F.col("b.few")).alias("n_changed"), (-F.col("b.early")).alias("first_word"), "b.end_word"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      rules: tuple[str, ...] = ("typed",)) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, all columns unchanged."""
     i, mark = fresh("id"), fresh("mark")
-    found = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(i), F.col("mark").alias(mark)).distinct()
+    found = contamination(docs, benchmark, id_col, text_col, rules=rules).select(F.col(id_col).alias(i), F.col("mark").alias(mark)).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found[i]) & (F.xxhash64(docs[text_col]) == found[mark]), "left_anti")

@@ -93,3 +93,16 @@ def test_words_by_kind():
     kinds = {w: D.template_token(w)[0] for w in ("3,5", "(Tom)", "kg.", "Three", "apples!", "--", "x2", "Émile")}
     assert kinds == {"3,5": "<num>", "(Tom)": "<name>", "kg.": "<unit>", "Three": "<num>", "apples!": "apples", "--": "",
                      "x2": "<num>", "Émile": "<name>"}
+
+
+def test_all_rules_find_copies_in_any_case_and_dense_in_numbers(spark, make_docs):
+    dense = "Compute 12 plus 7 times 3 minus 4 plus 18 times 2 minus 5 plus 9"
+    renamed = QUESTION.replace("Tom", "Ann").replace("12", "40")
+    rows = [(1, QUESTION.upper()), (2, QUESTION.title()), (3, QUESTION.lower()), (4, f"so {dense} ."), (5, dense.upper()),
+            (6, renamed.upper()), (7, renamed.title()), (8, dense.replace("12", "13").replace("18", "19")),
+            (9, QUESTION.upper().replace("BUYS 3", "BUYS 5").replace("PEARS", "FIGS").replace("FRIEND", "AUNT")), (10, QUESTION), (None, None)]
+    items = spark.createDataFrame([(10, QUESTION), (11, dense)], "item_id long, text string")
+    want = {(1, 10), (2, 10), (3, 10), (4, 11), (5, 11), (6, 10), (7, 10), (10, 10)}
+    assert set(result(D.contamination(make_docs(rows), items, rules=D.RULES))) == want
+    kept = D.drop_contaminated(make_docs(rows), items, rules=D.RULES)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [8, 9, None]
