@@ -18,7 +18,9 @@ take no part, so two more rules stand beside it in ``RULES``, with the same wind
 copies in any case and with any share of numbers. ``caseless``: a capital alone makes no name,
 the benchmark's vocabulary decides (a word that it writes in lower case somewhere is a literal, one
 that it only writes with a capital a name, in any case), finds re-parameterised copies in
-upper and title case. A text all in lower case with names that the benchmark doesn't
+upper and title case; a run of equal placeholders is one token and its words one slot value, so
+slots may change their number of words (a run counts with all its words in what is
+covered). A text all in lower case with names that the benchmark doesn't
 have is found by its other windows only. The query and the pipeline use all ``RULES``;
 the functions' default is ``typed`` alone.
 
@@ -35,7 +37,7 @@ Columns other than those named are ignored.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,14 @@ class Vocabulary:
 PLACEHOLDERS = {t: xxhash.xxh64_intdigest(t) for t in ("<num>", "<unit>", "<name>")}
 
 
+class Codes(dict):
+    """Words to their codes; a word not yet there takes the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        return code
+
+
 class Templates:
     """Template tokens of words by each rule, each distinct word canonicalised once. Of a word only
     its hashes and kinds are kept; the tokens of the few windows that pass are made again."""
@@ -112,7 +122,7 @@ class Templates:
         self.clear()
 
     def clear(self) -> None:
-        self.code, self.word = {}, []
+        self.code, self.word = Codes(), []
         self.hash = {r: np.empty(1 << 14, np.uint64) for r in self.rules}
         self.kind = {r: np.empty(1 << 14, np.int8) for r in self.rules}
 
@@ -146,11 +156,11 @@ class Templates:
             return typed, kind, folded, 0, PLACEHOLDERS["<name>"], 1
         return typed, kind, folded, 0, folded, 0
 
-    def add(self, words: set[bytes]) -> None:
+    def codes(self, words, count: int) -> np.ndarray:
         if len(self.code) > MAX_WORDS:
             self.clear()
-        new, at = list(words.difference(self.code)), len(self.code)
-        self.code.update(zip(new, range(at, at + len(new))))
+        codes, at = np.fromiter(map(self.code.__getitem__, words), np.int64, count), len(self.word)
+        new = list(islice(reversed(self.code), len(self.code) - at))[::-1]
         self.word += new
         got = np.array([self.hashes(w.decode()) for w in new], np.uint64).reshape(-1, 6)
         for rule in self.rules:
@@ -159,41 +169,49 @@ class Templates:
                 if len(held[rule]) < at + len(new):
                     held[rule] = np.concatenate((held[rule][:at], np.empty(at + 2 * len(new), held[rule].dtype)))
                 held[rule][at:at + len(new)] = got[:, column]
+        return codes
 
     def windows(self, split: list[list[bytes]], sizes: dict[str, list[int]] | None, bitmap: np.ndarray | None):
-        """(text, rule, start token, tokens, template, slots, first word, end word, bit) of each window
-        with enough literals that the bitmap doesn't rule out; each text's number of tokens. All texts
+        """(text, rule, start token, tokens, template, slots, first word, end word, the tokens it spans
+        when none are joined, bit) of each window with enough literals that the bitmap doesn't rule out; each text's number of tokens. All texts
         are one run of tokens, of which windows across a text's end are left out. Without ``sizes``
         a text has windows of ``WINDOW`` tokens, or one of all tokens if it is short."""
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        codes = self.codes(chain.from_iterable(split), int(lengths.sum()))
         texts = np.repeat(np.arange(len(split)), lengths)
         places = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         some = np.flatnonzero(self.kind[self.rules[0]][codes] != 2)  # the same words under each rule
         codes, texts, places = codes[some], texts[some], places[some]
         n_tokens = np.bincount(texts, minlength=len(split))
         starts = np.cumsum(n_tokens) - n_tokens
-        own = np.where(n_tokens >= LITERALS, np.minimum(n_tokens, WINDOW), 0)
         out = []
         for rule in self.rules:
-            hashed = self.hash[rule][codes]
-            literals = np.concatenate(([0], np.cumsum(self.kind[rule][codes] == 0)))
+            heads, kinds, hashed = np.arange(len(codes)), self.kind[rule][codes], self.hash[rule][codes]
+            if rule == "caseless" and len(codes):  # a run of equal placeholders is one token
+                more = (kinds[1:] == 1) & (hashed[1:] == hashed[:-1]) & (kinds[:-1] == 1) & (texts[1:] == texts[:-1])
+                heads = np.flatnonzero(np.concatenate(([True], ~more)))
+            ends = np.append(heads[1:], len(codes))
+            of, hashed, literals = texts[heads], hashed[heads], np.concatenate(([0], np.cumsum(kinds[heads] == 0)))
+            n = np.bincount(of, minlength=len(split))
+            before, own = np.cumsum(n) - n, np.where(n >= LITERALS, np.minimum(n, WINDOW), 0)
             for size in sorted({*own.tolist()} - {0}) if sizes is None else sizes.get(rule, []):
-                if len(codes) < size:
+                if len(heads) < size:
                     continue
                 hashes = rolling(hashed, size) >> np.uint64(64 - BITS)
-                live = texts[size - 1:] == texts[:len(texts) - size + 1]
+                live = of[size - 1:] == of[:len(of) - size + 1]
                 if rule != "folded":
                     live &= literals[size:] - literals[:-size] >= min(LITERALS, size)
                 if sizes is None:
-                    live &= own[texts[:len(live)]] == size
+                    live &= own[of[:len(live)]] == size
                 if bitmap is not None:
                     live &= bitmap[hashes]
                 for k in np.flatnonzero(live).tolist():
-                    mine = [self.by_rule(rule, self.word[c].decode()) for c in codes[k:k + size].tolist()]
-                    out.append((int(texts[k]), rule, int(k - starts[texts[k]]), size, " ".join([t for t, _ in mine]),
-                                [x for _, x in mine if x is not None], int(places[k]), int(places[k + size - 1]) + 1,
-                                int(hashes[k])))
+                    runs = [[self.by_rule(rule, self.word[c].decode()) for c in codes[heads[j]:ends[j]].tolist()]
+                            for j in range(k, k + size)]
+                    text, head, end = int(of[k]), int(heads[k]), int(ends[k + size - 1])
+                    out.append((text, rule, int(k - before[text]), size, " ".join([r[0][0] for r in runs]),
+                                [" ".join([x for _, x in r]) for r in runs if r[0][1] is not None], int(places[head]),
+                                int(places[end - 1]) + 1, int(head - starts[text]), int(end - starts[text]), int(hashes[k])))
         return out, n_tokens.tolist()
 
 
@@ -201,7 +219,8 @@ WINDOWS = T.StructType([
     T.StructField("rule", T.StringType()),
     T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("template", T.StringType()),
     T.StructField("slots", T.ArrayType(T.StringType())), T.StructField("first_word", T.IntegerType()),
-    T.StructField("end_word", T.IntegerType()), T.StructField("bit", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("end_word", T.IntegerType()), T.StructField("span_from", T.IntegerType()),
+    T.StructField("span_end", T.IntegerType()), T.StructField("bit", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
     T.StructField("reach", T.IntegerType())])
 
 
@@ -210,7 +229,7 @@ def _reached(found: list[tuple]) -> list[tuple]:
     first, reach = {}, {}
     for f in found:
         if first.setdefault((f[0], f[1], f[4]), f) is f:
-            reach.setdefault((f[0], f[1]), set()).update(range(f[2], f[2] + f[3]))
+            reach.setdefault((f[0], f[1]), set()).update(range(f[8], f[9]))
     return [(*f, len(reach[f[0], f[1]])) for f in first.values()]
 
 
@@ -221,7 +240,6 @@ def _windows(schema: pa.Schema, rules: tuple[str, ...], vocabulary: Vocabulary |
             for k in range(0, batch.num_rows, CHUNK_TEXTS):
                 part = batch.slice(k, CHUNK_TEXTS)
                 split = [words_of(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                table.add(set().union(*split))
                 found, n = table.windows(split, sizes, bitmap)
                 found = _reached(found) if sizes is None else [(*f, 0) for f in found]
                 ids, marks = part.column("id").to_pylist(), part.column("mark").to_pylist()
@@ -274,12 +292,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = {}  # at most WINDOW sizes a rule come back
     for rule, size in sorted(map(tuple, items.select("rule", "size").distinct().collect())):
         sizes.setdefault(rule, []).append(size)
-    found = _template_windows(docs, id_col, text_col, rules, vocabulary, sizes, bitmap).drop("bit", "n_tokens", "reach")
-    items = items.select(F.col("id").alias("item"), "rule", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens", "reach")
+    found = _template_windows(docs, id_col, text_col, rules, vocabulary, sizes, bitmap)
+    found = found.drop("span_from", "span_end", "bit", "n_tokens", "reach")
+    items = items.select(F.col("id").alias("item"), "rule", F.col("pos").alias("item_pos"), "template", F.col("slots").alias("item_slots"), "n_tokens", "reach", "span_from", "span_end")
     matched = found.join(items, ["rule", "template"])
     aligned = matched.groupBy("id", "mark", "item", "rule", "n_tokens", "reach", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
-        F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(item_pos, item_pos + size - 1)")))).alias("covered"),
+        F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(span_from, span_end - 1)")))).alias("covered"),
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item_slots")))
     n_covered = F.size("covered")

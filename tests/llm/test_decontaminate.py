@@ -106,3 +106,16 @@ def test_all_rules_find_copies_in_any_case_and_dense_in_numbers(spark, make_docs
     assert set(result(D.contamination(make_docs(rows), items, rules=D.RULES))) == want
     kept = D.drop_contaminated(make_docs(rows), items, rules=D.RULES)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [8, 9, None]
+
+
+def test_slots_may_change_their_number_of_words(spark, make_docs):
+    train = "A train leaves at 9 and travels 60 km in 2 hours before it stops for lunch"
+    tale = "At dusk Tom carries old boxes and Tom paints them blue, then Tom sells most of them at dawn."
+    rows = [(1, train.replace("60", "sixty five")), (2, train.replace("60", "75")), (3, tale.replace("Tom", "Mary Ann")),
+            (4, tale.replace("Tom", "Mary Ann", 1).replace("Tom", "Zoe", 1)),  # one name stands for three
+            (5, tale.replace("Tom", "MARY ANN").upper()), (6, train.replace("9", "one hundred twenty").title())]
+    items = spark.createDataFrame([(10, train), (11, tale)], "item_id long, text string")
+    want = {(1, 10), (2, 10), (3, 11), (5, 11), (6, 10)}
+    assert set(result(D.contamination(make_docs(rows), items, rules=D.RULES))) == want
+    got = {r.doc_id: r for r in D.contamination(make_docs(rows), items, rules=D.RULES).collect()}
+    assert got[1].n_tokens == 17 and got[1].n_covered == 17 and (got[1].first_word, got[1].end_word) == (0, 18)
