@@ -4,7 +4,9 @@ A text that compresses far better than prose of its length is repetitive; one
 that barely compresses is noise. Short texts compress worse than long ones, so
 the limits go by length (``BANDS``); fixed chunks of ``CHUNK`` bytes all have
 one length and share one band, which finds a repetitive or incompressible part
-inside an otherwise normal long text. Everything is computed row by row inside
+inside an otherwise normal long text. The last chunk ends with the text and may overlap
+the one before, so every byte of a text of ``CHUNK`` bytes or more is judged; shorter
+texts have the limits of their length only. Everything is computed row by row inside
 the scan's own tasks: no shuffle, no state.
 
 Null texts and texts without words: zero counts, null ratios, failed base
@@ -32,7 +34,7 @@ BANDS = ((128, 0.45, 1.00), (256, 0.42, 0.92), (512, 0.40, 0.88), (1024, 0.36, 0
          (4096, 0.28, 0.75), (8192, 0.25, 0.72), (16384, 0.22, 0.70), (65536, 0.20, 0.70))
 CHUNK = 2048
 CHUNK_BAND = (0.30, 0.80)
-#: share of a text's whole chunks that may lie outside the chunk band
+#: share of a text's chunks that may lie outside the chunk band
 CHUNKS_OUT = 0.25
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -79,9 +81,12 @@ def compression(text: bytes, compress) -> tuple[float | None, int, int, bool]:
     ratio = len(compress(text)) / len(text)
     band = next(((lo, hi) for least, lo, hi in reversed(BANDS) if len(text) >= least), None)
     chunks = len(text) // CHUNK
-    out = 0
-    for k in range(chunks):
-        r = len(compress(text[k * CHUNK:(k + 1) * CHUNK])) / CHUNK
+    ends = [(k + 1) * CHUNK for k in range(chunks)]
+    if chunks and len(text) % CHUNK:  # the rest is judged in a last chunk of full length
+        ends.append(len(text))
+    chunks, out = len(ends), 0
+    for end in ends:
+        r = len(compress(text[end - CHUNK:end])) / CHUNK
         out += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
     good = (band is None or band[0] <= ratio <= band[1]) and out <= CHUNKS_OUT * chunks
     return ratio, chunks, out, good

@@ -139,3 +139,18 @@ def test_bands_reject_repetitive_and_incompressible_text():
     assert not quality.compression(b"buy now " * 100, compress)[3]
     assert not quality.compression(prose[:6000] + b"buy now " * 800, compress)[3]  # found by its chunks
     assert quality.compression(b"short", compress)[3]  # no band below 128 bytes
+
+
+def test_the_rest_after_the_whole_chunks_is_judged():
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    rng = np.random.default_rng(3)
+    noise = bytes(rng.integers(33, 127, 2047, np.uint8))
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choice(vocabulary, 2000)).encode()
+    for tail in (noise, (b"buy now " * 300)[:2047]):
+        assert quality.compression(prose[:2048] + tail, compress)[1:3] == (2, 1)
+        assert not quality.compression(prose[:2048] + tail, compress)[3]
+        assert quality.compression(prose[:6144] + tail, compress)[1:3] == (4, 1)
+    assert quality.compression(prose[:4096], compress)[1:] == (2, 0, True)
+    assert quality.compression(prose[:4097], compress)[1:] == (3, 0, True)
+    assert quality.compression(prose[:2047], compress)[1:] == (0, 0, True)
