@@ -3,7 +3,8 @@
 A line's words are its runs of anything but ASCII white space. Two lines are
 near-equal when their word lists are equal, or when one word edit (insertion,
 deletion or substitution) makes them so and the longer has ``MIN_WORDS`` words
-at least (similarity 0.8). A line is removed when a near-equal line stands
+at least. The bound is one edit for a line of any length: longer lines that differ in
+two or more words both stay. A line is removed when a near-equal line stands
 earlier: under a smaller document id, or further up in the same document. Lines
 are judged on the input, and lines without words always stay.
 
