@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from prepark.operators import clean as C
 from prepark.operators import profile as P
 from prepark.operators.ordered import assign_blocks

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from prepark.operators import clean as C
 from prepark.operators import iforest as IF
 from prepark.operators import metrics as M

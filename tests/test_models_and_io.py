@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from prepark.operators import iforest as IF
 from prepark.operators import models as ML
 from prepark.operators import profile as P

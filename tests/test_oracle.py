@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from prepark.plans.catalog import QUERIES
 from prepark.plans.oracle import ORACLE
-from conftest import SF01
+from paths import SF01
 from harness import compare, duck
 
 KEYS = sorted(k for k in ORACLE if k in QUERIES)  # queries of optional subpackages have tests of their own
