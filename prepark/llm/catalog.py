@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decontaminate, language, lines, quality, simhash, substrings, token_files, toxicity, windows
+from . import byte_bpe, decontaminate, language, lines, quality, simhash, substrings, token_files, toxicity, variants, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return toxicity.predict_chain(docs, toxicity.train_chain(docs, labels))
+
+
+@query
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir), spoil_every=199)
