@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decontaminate, language, lines, quality, simhash, substrings, token_files, toxicity, variants, windows
+from . import byte_bpe, decontaminate, language, lexical, lines, quality, simhash, substrings, token_files, toxicity, variants, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,28 @@ def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(documents(spark, sf_dir), spoil_every=199)
+
+
+@query
+def op11_k2treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"), k=10)
+
+
+ORACLE["op11_k2treap_search"] = r"""
+WITH lowered AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+term AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM lowered),
+point AS (SELECT id AS doc_id, t, count(*) AS tf FROM term WHERE side = 'd' GROUP BY id, t),
+size AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM point GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM point, total GROUP BY t),
+wanted AS (SELECT DISTINCT id AS item_id, t FROM term WHERE side = 'i'),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM wanted JOIN point USING (t) JOIN weight USING (t) JOIN size USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
