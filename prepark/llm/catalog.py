@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, decontaminate, language, lexical, lines, quality, simhash, substrings, token_files, toxicity, variants, windows
+from . import byte_bpe, decontaminate, language, lexical, lines, pii_spans, quality, simhash, substrings, token_files, toxicity, variants, windows
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ scored AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scored WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+@query
+def op13_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.pii_digest(documents(spark, sf_dir))
