@@ -372,6 +372,27 @@ def q_csv_documents_roundtrip(spark, d):
     return IO.read_table(spark, path, fmt="csv", multi_line=True)
 
 
+@query("csv_documents_default")
+def q_csv_documents_default(spark, d):
+    """A1 with default options over one file that holds every document, cut into splits."""
+    path, size = scratch_path(spark, "documents-one-csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    IO.write_table(table(spark, d, "documents").coalesce(1), path, fmt="csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        return IO.read_table(spark, path, fmt="csv")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@query("csv_keyed_long")
+def q_csv_keyed_long(spark, d):
+    """A keyed CSV matrix (part by two numbers) as long rows."""
+    path = scratch_path(spark, "matrix-csv")
+    IO.write_table(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), path, fmt="csv")
+    matrix, key = IO.read_keyed_csv(spark, path, fmt="csv")
+    return G.matrix_long(matrix, key).select(F.col(key).alias("p_partkey"), F.col("item").alias("field"), F.round("rating", 6).alias("value"))
+
+
 @query("json_props")
 def q_json_props(spark, d):
     """A4: the JSON payload's key union as typed columns."""

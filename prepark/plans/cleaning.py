@@ -41,9 +41,9 @@ def meta_frame(spark: SparkSession, meta: dict) -> DataFrame:
     return spark.createDataFrame(rows, "stage string, rows bigint, cols int, missing map<string,bigint>")
 
 
-def clean_file(spark: SparkSession, path: str, **kw) -> tuple[DataFrame, dict]:
-    """C3 from a file path: A1 scan, then ``clean_table``."""
-    return clean_table(read_table(spark, path), **kw)
+def clean_file(spark: SparkSession, path: str, read: dict | None = None, **kw) -> tuple[DataFrame, dict]:
+    """C3 from a file path: A1 scan (``read``: its options), then ``clean_table``."""
+    return clean_table(read_table(spark, path, **(read or {})), **kw)
 
 
 def clean_records(df: DataFrame, order_by: str | list[str] | None = None, k: float = 3.0,

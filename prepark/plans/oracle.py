@@ -142,7 +142,9 @@ SELECT event_id, coalesce(event_type, (SELECT event_type FROM m)) AS event_type,
 WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
     O["rename_target"] = "SELECT doc_id, quality, toxic AS target FROM labels"
     O["drop_target"] = "SELECT doc_id, quality FROM labels"
-    O["csv_documents_roundtrip"] = "SELECT * FROM documents"
+    O["csv_documents_roundtrip"] = O["csv_documents_default"] = "SELECT * FROM documents"
+    O["csv_keyed_long"] = """SELECT p_partkey, 'p_size' AS field, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 0
+UNION ALL SELECT p_partkey, 'p_retailprice', round(p_retailprice, 6) FROM part WHERE p_retailprice <> 0"""
     O["audit_roundtrip"] = O["stream_audit"] = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
        event_type AS action, user_id FROM events"""
     O["logistic_text_label"] = O["model_roundtrip"] = O["stream_score"] = """SELECT doc_id,
