@@ -59,5 +59,5 @@ def numeric_projection(df: DataFrame, exclude: list[str] | tuple[str, ...] = ())
 def drop_target(df: DataFrame, target: str) -> DataFrame:
     """Drop the target column (error if absent)."""
     if target not in df.columns:
-        raise ValueError(f"target column '{target}' not found")
+        raise ValueError(f"nothing to drop: the table has no column {target!r}")
     return df.drop(target)

@@ -21,7 +21,7 @@ from .metrics import accuracy, roc_auc, split_column
 
 def _prepare(df: DataFrame, target: str, dropna: bool = True, numeric_only: bool = True) -> tuple[DataFrame, list[str]]:
     if target not in df.columns:
-        raise ValueError(f"target column '{target}' not found")
+        raise ValueError(f"nothing to learn: the table has no column {target!r}")
     if dropna:
         df = df.dropna()
     feats = numeric_columns(df, exclude=[target]) if numeric_only else [c for c in df.columns if c != target]
@@ -37,7 +37,7 @@ def _classes(df: DataFrame, target: str) -> list | None:
     """The target's values in sorted order, or None if they are 0 and 1 already."""
     values = [r[0] for r in df.select(qcol(target)).dropna().distinct().limit(MAX_CLASSES + 1).collect()]
     if len(values) > MAX_CLASSES:
-        raise ValueError(f"target column '{target}' has more than {MAX_CLASSES} values")
+        raise ValueError(f"{target!r} has over {MAX_CLASSES} values: too many to be classes")
     if all(not isinstance(v, (str, bool)) and float(v) in (0.0, 1.0) for v in values):
         return None
     return sorted(values)
@@ -69,7 +69,8 @@ def train_logistic(df: DataFrame, target: str = "target", key: str | list[str] |
     Returns the fitted pipeline (features in ``model.feature_names``) and the
     metrics dict. The target may hold any values (text, booleans, numbers other
     than 0 and 1): they become classes in sorted order, and the pipeline ends with
-    their names (``predicted_label``). The split needs a row key; by default the
+    their names (``predicted_label``); over ``MAX_CLASSES`` of them are an error (an id taken
+    for a class). The split needs a row key; by default the
     features themselves are hashed. The reference's second variant is
     ``max_iter=1000, dropna=False, numeric_only=False`` (every column must
     then already be a number; rows with a missing feature are not learned from).

@@ -237,6 +237,7 @@ def describe_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     from .joins import maybe_broadcast
 
+    df = nan_to_null(df)  # NaN is missing, as in D3
     cols = columns if columns is not None else df.columns
     if not long_text_columns(df, cols):
         # short values only: group the values themselves, one job

@@ -148,9 +148,13 @@ UNION ALL SELECT p_partkey, 'p_retailprice', round(p_retailprice, 6) FROM part W
     O["audit_roundtrip"] = O["stream_audit"] = """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
        event_type AS action, user_id FROM events"""
     O["logistic_text_label"] = O["model_roundtrip"] = O["stream_score"] = """SELECT doc_id,
-       CASE WHEN n_chars >= 3000 THEN 'long' ELSE 'short' END AS size FROM documents WHERE n_chars < 1000 OR n_chars > 9000"""
+       CASE WHEN n_chars BETWEEN 1000 AND 9000 THEN 'near' WHEN n_chars >= 3000 THEN 'long' ELSE 'short' END AS size FROM documents"""
+    O["stream_score_gaps"] = """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN NULL WHEN n_chars BETWEEN 1000 AND 9000 THEN 'near'
+       WHEN n_chars >= 3000 THEN 'long' ELSE 'short' END AS size FROM documents"""
+    O["forest_rule"] = """SELECT doc_id, CASE WHEN n_chars NOT BETWEEN 2500 AND 3500 THEN CAST(n_chars >= 3000 AS INTEGER) END AS long,
+       CASE WHEN n_chars NOT BETWEEN 2500 AND 3500 THEN n_chars >= 3000 END AS likely, true AS scored FROM documents"""
     O["predict_all_rows"] = "SELECT doc_id, doc_id % 10 = 3 AS no_score FROM documents"
-    O["isolation_planted"] = "SELECT event_id FROM events WHERE event_id % 1000 = 7"
+    O["isolation_planted"] = "SELECT event_id, CASE WHEN event_id % 1000 = 7 THEN true END AS planted_flagged, true AS few_others FROM events"
 
     O["dedupe"] = """SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type"""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.kinds import numeric_columns, qcol
+from ..operators.models import predict
 from ..operators.sensors import _feature_aggs, _feature_cols
 from ..plans.cleaning import clean_records
 from ..sources.audit import audit_rows
@@ -94,11 +95,11 @@ def audit_stream(stream: DataFrame, path: str, checkpoint: str, action_col: str,
 
 # --------------------------------------------------------------------- J4
 def score_stream(stream: DataFrame, model) -> DataFrame:
-    """Score a stream with a fitted model -- an MLlib ``PipelineModel``
-    (``transform``) or the isolation forest (``score``, a ``mapInPandas``)."""
+    """Score a stream with a fitted model -- an MLlib ``PipelineModel`` (by ``predict``:
+    a row per row, null scores where a feature is missing) or the isolation forest."""
     if hasattr(model, "score") and hasattr(model, "nodes"):
         return model.score(stream)
-    return model.transform(stream)
+    return predict(model, stream)
 
 
 # --------------------------------------------------------------------- J5
