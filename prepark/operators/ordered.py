@@ -14,6 +14,7 @@ exact quantiles of C1/D5.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import qcol
+from ..session import write_scratch
 
 BLK = "_blk"
 
@@ -41,55 +43,113 @@ def _as_double(c: Column, dt: T.DataType) -> Column:
 
 
 def _block_key(df: DataFrame, order: Column) -> Column:
-    """The order key's leading component as a number that never falls when the key rises.
-
-    Text counts by the six bytes behind the beginning that all keys share (dates written
-    as text differ late), found by one min/max aggregate; keys that agree there share a
-    block, which only makes blocks uneven."""
-    lead, dt = _lead(order, df.select(order.alias("_o")).schema["_o"].dataType)
-    if not isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
-        return F.coalesce(_as_double(lead, dt), F.lit(float("-inf")))
-    row = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).first()
-    lo, hi = (x.encode() if x else b"" for x in (row["lo"], row["hi"]))
-    shared = next((i for i, (a, b) in enumerate(zip(lo, hi)) if a != b), min(len(lo), len(hi)))
-    digits = F.rpad(F.substring(F.hex(lead), 2 * shared + 1, 12), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(float("-inf")))
-
-
-def _lead(order: Column, dt: T.DataType) -> tuple[Column, T.DataType]:
-    """The leading component of an order key (a struct key blocks by its first field)."""
-    if isinstance(dt, T.StructType):
-        return order.getField(dt.fields[0].name), dt.fields[0].dataType
-    return order, dt
+    """A number key as a double; missing keys come first."""
+    return F.coalesce(_as_double(order, df.select(order.alias("_o")).schema["_o"].dataType), F.lit(float("-inf")))
 
 
-def block_splits(df: DataFrame, order: Column, n_blocks: int | None = None) -> list[float] | None:
-    """Bucket edges giving ~equal-count blocks of ``order`` (one pass over that
-    column only). Edges taken from a superset of the keys -- e.g. before a
-    dedupe -- stay valid: blocks only need to be contiguous key ranges."""
-    n_blocks = n_blocks or default_blocks(df)
+def _number_splits(df: DataFrame, order: Column, n_blocks: int) -> tuple[list[float] | None, int]:
+    """Bucket edges of ~equal-count blocks of a number key, and how many of them at most
+    are one value (a value on several edges holds several blocks' rows)."""
     if n_blocks <= 1:
-        return None
+        return None, 0
     key = _block_key(df, order)
     probs = [i / n_blocks for i in range(1, n_blocks)]
     accuracy = max(1000, 2 * n_blocks)  # block edges need not be exact: a small sketch per task
-    bounds = df.select(F.percentile_approx(key, probs, accuracy).alias("b")).first()["b"]
-    finite = {float(b) for b in (bounds or []) if b is not None and abs(float(b)) != float("inf")}
-    return [float("-inf")] + sorted(finite) + [float("inf")] if finite else None
+    row = df.select(F.percentile_approx(key, probs, accuracy).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    edges = [float(b) for b in (row["b"] or []) if b is not None and abs(float(b)) != float("inf")]
+    hot = max(Counter(edges).values(), default=0) if row["n"] > 4 * n_blocks else 0  # a few rows repeat edges anyway
+    return [float("-inf")] + sorted(set(edges)) + [float("inf")] if edges else None, hot
+
+
+def block_splits(df: DataFrame, order: Column, n_blocks: int | None = None) -> list[float] | None:
+    """Edges for ``assign_blocks`` from a superset of its keys (before a dedupe, say); None
+    where it has to look at the keys itself."""
+    if not _is_number(df.select(order.alias("_o")).schema["_o"].dataType):
+        return None
+    splits, hot = _number_splits(df, order, n_blocks or default_blocks(df))
+    return splits if hot < HOT_EDGES else None
+
+
+#: keys drawn per block for the edges of keys that are no number, and characters of a text key that an edge keeps
+DRAWN_PER_BLOCK, EDGE_TEXT = 64, 256
+#: a number key that is this many edges has its blocks cut inside the value
+HOT_EDGES = 2
+
+
+def _is_number(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+
+
+def _whole_key(df: DataFrame, order: Column) -> Column:
+    """The order key and, for ties, a hash of the row: rows that agree in it are equal rows,
+    in any order, and a row has the same key however often its plan runs."""
+    return F.struct(order.alias("k"), F.xxhash64(*[qcol(c) for c in df.columns]).alias("h"))
+
+
+def _short(c: Column, dt: T.DataType) -> Column:
+    """The key, its texts cut short: still a place among the keys."""
+    if isinstance(dt, T.StructType):
+        return F.struct(*[_short(c.getField(f.name), f.dataType).alias(f.name) for f in dt.fields])
+    return F.left(c, F.lit(EDGE_TEXT)) if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)) else c
+
+
+def _edges(df: DataFrame, order: Column, n_blocks: int) -> DataFrame:
+    """One row: ``edges``, sorted edges of ``n_blocks`` ranges of the whole key, as an array of
+    arrays (about the square root of them in each), from a sample of some DRAWN_PER_BLOCK
+    keys per block, however many rows there are."""
+    keys = df.select(_whole_key(df, order).alias("key"))
+    share = DRAWN_PER_BLOCK * n_blocks / max(1, keys.count())
+    drawn = keys if share >= 1 else keys.filter(F.rand(17) < share)
+    drawn = drawn.select(_short(F.col("key"), drawn.schema["key"].dataType).alias("key"))
+    # a bounded sample: it may be ranked in one task
+    ranked = drawn.select("key", F.ntile(n_blocks).over(Window.orderBy("key")).alias("tile")).groupBy("tile").agg(F.array_min(F.collect_list("key")).alias("edge"))
+    per = max(1, math.isqrt(n_blocks))
+    return (ranked.filter("tile > 1").groupBy(((F.col("tile") - 2) / per).cast("int").alias("part")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "edges"))), lambda x: x["edges"]).alias("edges")))
+
+
+def _block_by_edges(df: DataFrame, order: Column, n_blocks: int, spread: bool) -> DataFrame:
+    """``BLK`` from the edges of the whole key: first the array of edges, then the place in it.
+
+    Equal rows that hold several edges may stand in any block between them; ``spread``
+    deals them out (for a caller that runs the plan once)."""
+    edges = write_scratch(_edges(df, order, n_blocks), "block-edges")  # drawn once
+    per = max(1, math.isqrt(n_blocks))
+    key, lists = F.col("_key"), F.col("_edges")
+
+    def place(before) -> Column:
+        part = F.size(F.filter(lists, lambda e: before(e[0], key)))
+        inside = F.size(F.filter(F.element_at(lists, F.greatest(part, F.lit(1))), lambda e: before(e, key)))
+        return F.when(part > 0, (part - 1) * per + inside).otherwise(0)
+
+    upto = place(lambda edge, k: edge <= k)
+    df = df.withColumn("_key", _whole_key(df, order)).join(F.broadcast(edges.withColumnRenamed("edges", "_edges")))  # one row
+    if spread:
+        below = place(lambda edge, k: edge < k)
+        upto = below + F.pmod(F.monotonically_increasing_id(), upto - below + 1)
+    return df.withColumn(BLK, upto.cast("double")).drop("_key", "_edges")
 
 
 def assign_blocks(df: DataFrame, order: Column, n_blocks: int | None = None,
-                  splits: list[float] | None = None) -> tuple[DataFrame, list[str]]:
+                  splits: list[float] | None = None, spread: bool = False) -> tuple[DataFrame, list[str]]:
     """Add block columns so that each block is a contiguous range of ``order``.
 
-    Returns the frame and the names of the block columns, themselves in order.
-    Keys block by approximate quantiles of their leading component (one extra
-    pass that reads that column only, unless ``splits`` are given), so blocks
-    hold equal row counts even where the key is dense or one group is hot.
+    Returns the frame and the names of the block columns, themselves in order. Number
+    keys block by approximate quantiles (one extra pass that reads that column only, unless
+    ``splits`` are given). Text keys, structs and number keys of which one value holds
+    several blocks' rows block by edges drawn from the whole key, ties told apart by a
+    hash of the row, so a hot leading value or a hot key spreads too.
     """
-    splits = splits if splits is not None else block_splits(df, order, n_blocks)
-    if not splits:
-        return df.withColumn(BLK, F.lit(0.0)), [BLK]
+    n = n_blocks or default_blocks(df)
+    if splits is None:
+        whole_key = not _is_number(df.select(order.alias("_o")).schema["_o"].dataType)
+        if not whole_key:
+            splits, hot = _number_splits(df, order, n)
+            whole_key = hot >= HOT_EDGES
+        if whole_key and n > 1:
+            return _block_by_edges(df, order, n, spread), [BLK]
+        if n <= 1 or not splits:
+            return df.withColumn(BLK, F.lit(0.0)), [BLK]
     df = df.withColumn("_blk_key", _block_key(df, order))
     df = Bucketizer(splits=splits, inputCol="_blk_key", outputCol=BLK, handleInvalid="keep").transform(df)
     return df.drop("_blk_key"), [BLK]
@@ -100,10 +160,14 @@ def _group_cols(partition_by: list[str] | None) -> list[Column]:
 
 
 def _block_join(df: DataFrame, small: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    """Join per-block carries back. In the global case ``small`` has at most
-    ``n_blocks`` rows (a proven bound), so it is broadcast."""
-    side = F.broadcast(small) if bounded else small
-    return df.join(side, on=keys, how="left")
+    """Join per-block carries back; a missing group key is a group. In the global case
+    ``small`` has at most ``n_blocks`` rows (a proven bound), so it is broadcast."""
+    own = {c: f"_k{i}" for i, c in enumerate(keys)}
+    side = small.withColumnsRenamed(own)
+    on = F.lit(True)
+    for c, k in own.items():
+        on = on & qcol(c).eqNullSafe(F.col(k))
+    return df.join(F.broadcast(side) if bounded else side, on, "left").drop(*own.values())
 
 
 def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
@@ -117,29 +181,26 @@ def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
     if not columns:
         return df
     src_cols = df.columns
-    df, blk_names = assign_blocks(df, order, n_blocks, splits)
+    df, blk_names = assign_blocks(df, order, n_blocks, splits, spread=True)
     blk_cols = [F.col(c) for c in blk_names]
     gcols = _group_cols(partition_by)
-    in_block = (Window.partitionBy(*gcols, *blk_cols).orderBy(order)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.xxhash64(*[qcol(c) for c in src_cols])  # the same order of ties as that of the blocks
+    by_order = Window.partitionBy(*gcols, *blk_cols).orderBy(order, ties)
+    in_block = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(
-        *[qcol(c) for c in src_cols], *blk_cols,
+        *[qcol(c) for c in src_cols], *blk_cols, F.lead(F.lit(1)).over(by_order).isNull().alias("_end"),
         *[F.last(qcol(c), ignorenulls=True).over(in_block).alias(f"_loc_{i}") for i, c in enumerate(columns)],
-    )
-    aggs = []
-    for i, c in enumerate(columns):
-        key_when_present = F.when(qcol(c).isNotNull(), order)
-        aggs.append(F.max_by(qcol(c), key_when_present).alias(f"_tail_{i}"))
-        aggs.append(F.min_by(qcol(c), key_when_present).alias(f"_head_{i}"))
-    # aggregated from the input, not from ``local``: the aggregate is partial, so
-    # its exchange carries one row per (partition, block), not the data again
-    per_block = df.groupBy(*gcols, *blk_cols).agg(*aggs)
+        *[F.first(qcol(c), ignorenulls=True).over(in_block).alias(f"_head_{i}") for i, c in enumerate(columns) if backward])
+    # written once: the last row of a block is at hand by its flag, so what blocks hand on needs
+    # neither a second run of the input's plan nor an aggregate over its cells
+    local = write_scratch(local, "fill-blocks")
+    per_block = local.filter("_end")
     across = Window.partitionBy(*gcols).orderBy(*blk_cols)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry_cols = []
     for i, _ in enumerate(columns):
-        carry_cols.append(F.last(F.col(f"_tail_{i}"), ignorenulls=True).over(before).alias(f"_carry_{i}"))
+        carry_cols.append(F.last(F.col(f"_loc_{i}"), ignorenulls=True).over(before).alias(f"_carry_{i}"))
         if backward:
             carry_cols.append(F.first(F.col(f"_head_{i}"), ignorenulls=True).over(whole).alias(f"_first_{i}"))
     small = per_block.select(*gcols, *blk_cols, *carry_cols)

@@ -159,6 +159,20 @@ def q_fill_global(spark, d):
     return C.fill_forward_backward(events_gaps(spark, d), ["event_type", "value", "k"], order_by="event_id")
 
 
+@query("fill_struct_order")
+def q_fill_struct_order(spark, d):
+    """C5 in the order of several columns, text and number, of which the first has few values."""
+    ev = events_gaps(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM"))
+    return C.fill_forward_backward(ev.select("event_id", "day", "value", "k"), ["value", "k"], order_by=["day", "event_id"])
+
+
+@query("fill_text_order")
+def q_fill_text_order(spark, d):
+    """C5 in the order of a text key that starts alike in all rows."""
+    ev = events_gaps(spark, d).withColumn("code", F.format_string("event/%012d", "event_id"))
+    return C.fill_forward_backward(ev.select("code", "event_type", "value"), ["event_type", "value"], order_by="code")
+
+
 @query("fill_grouped")
 def q_fill_grouped(spark, d):
     return C.fill_forward_backward(events_gaps(spark, d), ["event_type", "value", "k"], order_by="event_id",

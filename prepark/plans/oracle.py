@@ -170,6 +170,12 @@ SELECT event_id, ts, user_id, {ffill('event_type')}, {ffill('value')}, {ffill('k
 SELECT event_id, ts, user_id, {ffill('event_type', 'user_id')}, {ffill('value', 'user_id')},
        {ffill('k', 'user_id')} FROM ev"""
 
+    by_day = lambda c: ffill(c).replace("ORDER BY event_id", "ORDER BY day, event_id")
+    O["fill_struct_order"] = f"""WITH ev AS (SELECT *, strftime(ts, '%Y-%m') AS day FROM ({EV_GAPS}))
+SELECT event_id, day, {by_day('value')}, {by_day('k')} FROM ev"""
+    O["fill_text_order"] = f"""WITH ev AS ({EV_GAPS})
+SELECT printf('event/%012d', event_id) AS code, {ffill('event_type')}, {ffill('value')} FROM ev"""
+
     chain, last = sigma_chain("f", ["user_id", "value", "k"], start="f")
     O["clean_records"] = f"""WITH ev AS ({EV_GAPS}),
 d AS (SELECT user_id, event_type, value, k, min(event_id) AS event_id FROM ev GROUP BY user_id, event_type, value, k),
