@@ -75,15 +75,14 @@ def three_sigma(df: DataFrame, columns: list[str] | None = None, k: float = 3.0,
 
 
 # ----------------------------------------------------------------- C1 / C8
-def _medians(df: DataFrame, columns: list[str], approx: bool,
-             distinct: dict[str, int] | None = None) -> dict[str, float | None]:
+def _medians(df: DataFrame, columns: list[str], approx: bool) -> dict[str, float | None]:
     if not columns:
         return {}
     if approx:
         row = df.agg(*[F.percentile_approx(qcol(c).cast("double"), 0.5, 100000).alias(f"q{i}")
                        for i, c in enumerate(columns)]).first()
         return {c: row[f"q{i}"] for i, c in enumerate(columns)}
-    rows = exact_quantiles(df, columns, [0.5], distinct=distinct).collect()  # one row per column: schema-sized
+    rows = exact_quantiles(df, columns, [0.5]).collect()  # one row per column: schema-sized
     got = {r["column"]: r["value"] for r in rows}
     return {c: got.get(c) for c in columns}
 
@@ -122,10 +121,6 @@ def fill_values(df: DataFrame, strategy: dict | None = None, approx: bool = Fals
     aggs += [F.count_if(missing(qcol(f.name), f.dataType)).alias(f"n{i}") for i, f in enumerate(fields)]
     if strategy["numeric"] == "mean":
         aggs += [F.avg(qcol(c)).alias(f"a{i}") for i, c in enumerate(num)]
-    if strategy["numeric"] == "median" and not approx:
-        # distinct counts (HLL) ride along, so the exact median needs no extra pass to pick its path
-        aggs += [F.approx_count_distinct(F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")))
-                 .alias(f"d{i}") for i, c in enumerate(num)]
     row = df.agg(*aggs).first()
     result = {"rows": row["__rows"], "missing": {f.name: row[f"n{i}"] for i, f in enumerate(fields)},
               "fill": {}, "to_double": []}
@@ -134,8 +129,7 @@ def fill_values(df: DataFrame, strategy: dict | None = None, approx: bool = Fals
     gaps = {c for c, n in result["missing"].items() if n > 0}
     if nstrat == "median":
         need = [c for c in num if c in gaps]
-        distinct = None if approx else {c: row[f"d{i}"] for i, c in enumerate(num)}
-        med = _medians(df, need, approx, distinct)
+        med = _medians(df, need, approx)
         result["fill"].update({c: med[c] for c in need})
     elif nstrat == "mean":
         result["fill"].update({c: row[f"a{i}"] for i, c in enumerate(num)})

@@ -194,7 +194,8 @@ def ffill_bfill(df: DataFrame, columns: list[str], order: Column,
     # written once: the last row of a block is at hand by its flag, so what blocks hand on needs
     # neither a second run of the input's plan nor an aggregate over its cells
     local = write_scratch(local, "fill-blocks")
-    per_block = local.filter("_end")
+    ends = F.struct(*[F.col(f"_loc_{i}") for i, _ in enumerate(columns)], *[F.col(f"_head_{i}") for i, _ in enumerate(columns) if backward])
+    per_block = local.filter("_end").groupBy(*gcols, *blk_cols).agg(F.collect_list(ends)[0].alias("_e")).select(*[c for c in partition_by or []], *blk_cols, "_e.*")
     across = Window.partitionBy(*gcols).orderBy(*blk_cols)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -253,99 +254,82 @@ def prefix_sums(df: DataFrame, columns: list[str], order: Column,
     )
 
 
-# Spark's exact ``percentile`` keeps one map entry per distinct value and merges
-# the maps in one task; under this many distinct values that map is small.
-MAX_EXACT_DISTINCT = 1_000_000
-# ... and all columns of one aggregate together stay under this many entries.
-MAX_EXACT_TOTAL = 4_000_000
+#: size of the quantile sketches (rank error about a thousandth), and blocks at least
+SKETCH_K, QUANTILE_BLOCKS = 2048, 512
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    n_blocks: int | None = None, max_exact_distinct: int = MAX_EXACT_DISTINCT,
-                    distinct: dict[str, int] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas/numpy default).
+def _clean(c: str) -> Column:
+    x = qcol(c).cast("double")
+    return F.when(~F.isnan(x), x + F.lit(0.0))  # one zero
 
-    One HLL pass (``approx_count_distinct``) sorts the columns by size:
-    columns with at most ``max_exact_distinct`` distinct values (and together
-    at most ``MAX_EXACT_TOTAL``) are counted by value first, then Spark's exact
-    weighted ``percentile`` sees each distinct value once;
-    larger columns use the distributed path -- distinct values counted with a
-    partial aggregate, ranked by blockwise running counts, and only the rows
-    holding the wanted ranks kept -- so no task ever holds a whole column.
 
-    ``distinct`` may pass approximate distinct counts a caller already has
-    (saving the HLL pass). Returns ``(column, prob, value)``; an all-missing
-    column has no rows.
+def sketch_of(c: str) -> Column:
+    """A mergeable sketch of a number column (KLL), to ride along in an aggregate."""
+    return F.kll_sketch_agg_double(_clean(c), F.lit(SKETCH_K))
+
+
+def edges_of(sketch: Column, n_values: Column, n_blocks: int) -> Column:
+    """Inner edges of ``n_blocks`` blocks of about equal counts from such a sketch."""
+    ranks = F.array(*[F.lit(i / n_blocks) for i in range(1, n_blocks)])
+    return F.when(n_values > 0, F.array_distinct(F.kll_sketch_get_quantile_double(sketch, ranks)))
+
+
+def quantile_blocks(df: DataFrame) -> int:
+    return min(8 * QUANTILE_BLOCKS, max(QUANTILE_BLOCKS, default_blocks(df)))
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], n_blocks: int | None = None,
+                    max_exact_distinct: int | None = None, edges: dict[str, list[float] | None] | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas/numpy default), by selection.
+
+    1. A KLL sketch of each column gives the edges of value blocks (unless a caller had
+       the sketches in a pass of its own and gives ``edges``).
+    2. One counting pass: values per block, which tells the block and the place in it of
+       each wanted rank. Only these counts are shuffled.
+    3. The values of those blocks alone are counted by value and ranked.
+
+    One way for every size; the sketch only decides how even the blocks are. Returns
+    ``(column, prob, value)``; an all-missing column has no rows. ``max_exact_distinct`` is
+    kept for callers and has no effect.
     """
-    clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
-    if distinct is None or any(c not in distinct for c in columns):
-        row = df.agg(*[F.approx_count_distinct(clean[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-        distinct = {c: row[f"d{i}"] for i, c in enumerate(columns)}
-    # HLL error is a few percent: leave head room below the bounds; smallest columns first
-    small, total = [], 0
-    for c in sorted(columns, key=lambda c: distinct[c]):
-        if distinct[c] <= max_exact_distinct * 0.9 and total + distinct[c] <= MAX_EXACT_TOTAL * 0.9:
-            small.append(c)
-            total += distinct[c]
-    small = [c for c in columns if c in small]
-    big = [c for c in columns if c not in small]
-    parts = []
-    if small:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), clean[c].alias("v")) for c in small]))
-                         .alias("kv")).select("kv.*").where(F.col("v").isNotNull())
-        # each value once, with its count: what meets in a column's task is bounded by its distinct values
-        counts = long.groupBy("column", "v").agg(F.count("*").alias("n"))
-        agg = counts.groupBy("column").agg(F.percentile("v", [float(p) for p in probs], F.col("n")).alias("q"))
-        parts.append(agg.select("column", F.posexplode("q").alias("_at", "value"))
-                     .select("column", F.array(*[F.lit(float(p)) for p in probs])[F.col("_at")].alias("prob"), "value"))
-    if big:
-        parts.append(_blocked_quantiles(df, big, probs, n_blocks))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _blocked_quantiles(df: DataFrame, columns: list[str], probs: list[float], n_blocks: int | None) -> DataFrame:
-    n_blocks = n_blocks or default_blocks(df)
-    clean = {c: F.when(~F.isnan(qcol(c).cast("double")), qcol(c).cast("double")) for c in columns}
-    # one pass of map-side sketches: per-column block bounds and non-missing counts
-    block_probs = [i / n_blocks for i in range(1, n_blocks)] or [0.5]
-    accuracy = max(1000, 2 * n_blocks)  # block edges need not be exact: a small sketch per task
-    row = df.agg(*[F.percentile_approx(clean[c], block_probs, accuracy).alias(f"b{i}") for i, c in enumerate(columns)],
-                 *[F.count(clean[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    splits = []
-    for i, _ in enumerate(columns):
-        inner = sorted({float(b) for b in (row[f"b{i}"] or []) if b is not None and abs(float(b)) != float("inf")})
-        splits.append([float("-inf")] + inner + [float("inf")])
-    totals = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    wide = df.select(*[clean[c].alias(f"_v{i}") for i, c in enumerate(columns)])
+    n_blocks = max(2, n_blocks or quantile_blocks(df))
+    if edges is None:
+        got = (df.agg(*[sketch_of(c).alias(f"s{i}") for i, c in enumerate(columns)], *[F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+               .select(*[edges_of(F.col(f"s{i}"), F.col(f"n{i}"), n_blocks).alias(f"e{i}") for i, _ in enumerate(columns)]).first())
+        edges = {c: got[f"e{i}"] for i, c in enumerate(columns)}
+    spark = df.sparkSession
+    columns = [c for c in columns if edges.get(c)]
+    if not columns:
+        return spark.createDataFrame([], "column string, prob double, value double")
+    # the sketch's outer values may miss the infinite ends: blocks run from -inf to inf, the last one closed
+    splits = [[float("-inf"), *sorted(e for e in edges[c] if abs(e) != float("inf")), float("inf")] for c in columns]
+    wide = df.select(*[_clean(c).alias(f"_v{i}") for i, c in enumerate(columns)])
     wide = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in range(len(columns))],
                       outputCols=[f"_k{i}" for i in range(len(columns))], handleInvalid="keep").transform(wide)
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("v"), F.col(f"_k{i}").alias(BLK))
-        for i, c in enumerate(columns)])).alias("kv")).select("kv.*").where(F.col("v").isNotNull())
-    # the block is a function of (column, v): grouping by it changes nothing but keeps it
-    counts = long.groupBy("column", BLK, "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(counts, ["cnt"], F.col("v"), partition_by=["column"], blocks=[BLK])
-    # ranked: column, v, cnt, cnt_cum (inclusive); a value covers ranks [cum-cnt, cum-1]
-    spark = df.sparkSession
-    target_rows = []
-    for c in columns:
-        n = totals[c]
-        if not n:
-            continue
-        for p in probs:
-            pos = float(p) * (n - 1)
-            target_rows.append((c, float(p), pos, int(math.floor(pos)), int(math.ceil(pos))))
-    # one row per (column, prob): bounded by the schema, not by the data
-    targets = spark.createDataFrame(target_rows, "column string, prob double, pos double, r_lo long, r_hi long")
-    first_rank = F.col("cnt_cum") - F.col("cnt")
-    covers_lo = (F.col("r_lo") >= first_rank) & (F.col("r_lo") < F.col("cnt_cum"))
-    covers_hi = (F.col("r_hi") >= first_rank) & (F.col("r_hi") < F.col("cnt_cum"))
-    hits = ranked.join(F.broadcast(targets), on="column").where(covers_lo | covers_hi)
-    picked = hits.groupBy("column", "prob", "pos", "r_lo").agg(
-        F.max(F.when(covers_lo, F.col("v"))).alias("v_lo"),
-        F.max(F.when(covers_hi, F.col("v"))).alias("v_hi"))
-    value = F.col("v_lo") + (F.col("pos") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
-    return picked.select("column", "prob", value.alias("value"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.when(F.col(f"_v{i}").isNotNull(), F.col(f"_k{i}")).alias("k")) for i in range(len(columns))]))
+    counts = wide.select(cells.alias("x")).select("x.*").filter("k is not null").groupBy("c", "k").agg(F.count(F.lit(1)).alias("n"))
+    in_column = Window.partitionBy("c")
+    upto = in_column.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.select("c", "k", "n", F.sum("n").over(upto).alias("cum"), F.sum("n").over(in_column).alias("all"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    at = F.col("prob") * (F.col("all") - 1)
+    places = (ranked.select("*", wanted.alias("prob")).select("*", at.alias("pos"), (F.col("cum") - F.col("n")).alias("first"))
+              .select("*", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("rank"))
+              .filter("rank >= first and rank < cum").select("c", "k", "prob", "pos", (F.col("rank") - F.col("first")).alias("place"),
+                                                             (F.col("rank") > F.col("pos")).alias("upper")).distinct())
+    found = places.collect()  # two rows per column and probability
+    blocks = {}
+    for r in found:
+        blocks.setdefault(r["c"], set()).add(r["k"])
+    picked = F.filter(F.array(*[F.when(F.col(f"_v{i}").isNotNull() & F.col(f"_k{i}").isin(sorted(ks)), F.struct(
+        F.lit(i).alias("c"), F.col(f"_k{i}").alias("k"), F.col(f"_v{i}").alias("v"))) for i, ks in blocks.items()]), lambda x: x.isNotNull())
+    values = wide.select(F.explode(picked).alias("x")).select("x.*").groupBy("c", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    by_value = Window.partitionBy("c", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.withColumn("cum", F.sum("n").over(by_value))
+    targets = spark.createDataFrame([tuple(r) for r in found], places.schema)
+    hits = (ranked.join(F.broadcast(targets), ["c", "k"]).filter((F.col("place") >= F.col("cum") - F.col("n")) & (F.col("place") < F.col("cum")))
+            .groupBy("c", "prob", "pos").agg(F.max(F.when(~F.col("upper"), F.col("v"))).alias("lo"), F.max(F.when(F.col("upper"), F.col("v"))).alias("hi")))
+    hi = F.coalesce("hi", "lo")
+    value = F.when(F.col("lo") == hi, F.col("lo")).otherwise(F.col("lo") + (F.col("pos") - F.floor("pos")) * (hi - F.col("lo")))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    return hits.select(names.alias("column"), "prob", value.alias("value"))

@@ -19,7 +19,7 @@ from ..functions.patterns import (
     BINARY_TOKENS, DATETIME_NAME_PATTERN, ID_MIN_DISTINCT, ID_NAME_PATTERN, MAX_UNIQUE_FOR_CATEGORICAL, REPORT_AFTER,
     REPORT_BEFORE, REPORT_COLUMNS, REPORT_RULE, REPORT_TITLE, TARGET_NAMES, summary_text,
 )
-from .ordered import exact_quantiles
+from .ordered import edges_of, exact_quantiles, quantile_blocks, sketch_of
 
 
 def _spark(df: DataFrame):
@@ -200,14 +200,16 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 100000).alias(f"q{i}") if approx
-                    else F.approx_count_distinct(x).alias(f"d{i}"))
+                    else sketch_of(c).alias(f"s_{i}"))
     if not approx:
-        # one row of statistics; its distinct counts choose the quantile path without another scan
-        row = df.agg(*aggs).first()
+        # one row of statistics, and the quantile blocks' edges from its sketches
+        n_blocks = quantile_blocks(df)
+        row = df.agg(*aggs).select("*", *[edges_of(F.col(f"s_{i}"), F.col(f"n{i}"), n_blocks).alias(f"e{i}") for i, _ in enumerate(cols)]).drop(
+            *[f"s_{i}" for i, _ in enumerate(cols)]).first()
         stats = spark.createDataFrame(
             [(i, c, *(row[f"{k}{i}"] for k in ("n", "m", "s", "lo", "hi"))) for i, c in enumerate(cols)],
             "pos int, column string, count bigint, mean double, std double, min double, max double")
-        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], distinct={c: row[f"d{i}"] for i, c in enumerate(cols)})
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], n_blocks, edges={c: row[f"e{i}"] for i, c in enumerate(cols)})
         q = q.groupBy("column").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("column", "p25", "p50", "p75")
         return (stats.join(q, on="column", how="left").orderBy("pos")
                 .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
