@@ -255,7 +255,7 @@ def prefix_sums(df: DataFrame, columns: list[str], order: Column,
 
 
 #: size of the quantile sketches (rank error about a thousandth), and blocks at least
-SKETCH_K, QUANTILE_BLOCKS = 2048, 512
+SKETCH_K, QUANTILE_BLOCKS = 2048, 256
 
 
 def _clean(c: str) -> Column:
