@@ -9,8 +9,11 @@ row keeps its part and its offset in the part; a document's global start needs
 one total per part, never an ordering of all rows.
 
 The tokenizer drops white space and never matches across it, so a text's ids
-are the ids of its white-space chunks in order; each task encodes a distinct
-chunk once (each worker keeps a table of some ``MAX_WORDS`` chunks, then refills it).
+are the ids of its white-space chunks in order; each worker encodes a distinct
+word once (it keeps a table of some ``MAX_WORDS`` words, then refills it).
+
+The strings of the tokenizer's special tokens are those tokens, as by the library's
+default; they hold no white space, so they lie inside a chunk.
 
 Null and empty texts get the end id alone. Rows are kept one to one; rows with
 a null id come first, rows with equal ids are ordered by a hash of the text.
@@ -33,13 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width, words_of
+from .common import shuffle_width
 from .wordtable import IdRuns, spread
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 END_ID = 1
-MAX_WORDS = 500_000
-CHUNK_BYTES = 4 << 20
+MAX_WORDS = 1_000_000
+CHUNK_BYTES = 8 << 20
+MARKS = ".,;:!?"
 ROW_STRIDE = 1000
 
 
@@ -48,13 +52,11 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class ChunkIds:
-    """Ids of white-space chunks, each distinct chunk encoded once by the library."""
+    """Ids of white-space chunks; each distinct word in them is encoded once by the library."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -62,18 +64,37 @@ class ChunkIds:
         self.forget()
 
     def forget(self) -> None:
-        self.code, self.lengths, self.ids = {}, np.empty(0, np.int64), np.empty(0, np.int32)
+        self.stem, self.stem_lengths, self.stem_ids = {}, np.empty(0, np.int64), np.empty(0, np.int32)
 
     def encode_each(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids by chunk, all ids). Chunks go to the library some hundred at a time, between
-        bars; those with a bar in them, one at a time."""
-        barred = np.fromiter((b"|" in c for c in chunks), bool, len(chunks))
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids by chunk, all ids). The tokenizer parts ASCII letters from a mark behind them,
+        so such a chunk's ids are its word's and the mark's, and the word is encoded once."""
+        if len(self.stem) > MAX_WORDS:
+            self.forget()
+        stem, known, parts, n_parts = self.stem, len(self.stem), [], []
+        for c in chunks:
+            if c[-1:] in MARKS and c.isascii() and c[:-1].isalpha():
+                parts += [stem.setdefault(c[:-1], len(stem)), stem.setdefault(c[-1], len(stem))]
+                n_parts.append(2)
+            else:
+                parts.append(stem.setdefault(c, len(stem)))
+                n_parts.append(1)
+        lengths, ids = self.encode_stems(list(islice(stem, known, None)))
+        self.stem_lengths, self.stem_ids = np.concatenate((self.stem_lengths, lengths)), np.concatenate((self.stem_ids, ids))
+        runs, parts, n_parts = IdRuns(self.stem_lengths, self.stem_ids), np.array(parts, np.int64), np.array(n_parts, np.int64)
+        lengths = np.add.reduceat(runs.lengths[parts], np.cumsum(n_parts) - n_parts) if len(parts) else n_parts
+        return lengths, runs.of(parts)
+
+    def encode_stems(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library: some hundred chunks at a time, between bars; those with
+        a bar in them (so also strings of special tokens), one at a time."""
+        barred = np.fromiter(("|" in c for c in chunks), bool, len(chunks))
         plain = [c for c, b in zip(chunks, barred.tolist()) if not b]
         lengths, parts = np.zeros(len(chunks), np.int64), [np.empty(0, np.int32)]
-        joined = [b" | ".join(plain[k:k + 256]).decode() for k in range(0, len(plain), 256)]
+        joined = [" | ".join(plain[k:k + 256]) for k in range(0, len(plain), 256)]
         n_plain = []
         for k, ids in enumerate(self.encode_each(joined)):
             ids = np.array(ids, np.int32)
@@ -84,7 +105,7 @@ class ChunkIds:
             n_plain.append(n)
             parts.append(np.delete(ids, bars))
         # plain chunks first, then the barred ones; put back in order by their starts
-        rest = self.encode_each([c.decode() for c, b in zip(chunks, barred.tolist()) if b])
+        rest = self.encode_each([c for c, b in zip(chunks, barred.tolist()) if b])
         lengths[~barred] = np.concatenate(n_plain) if n_plain else 0
         lengths[barred] = [len(ids) for ids in rest]
         parts += [np.array(ids, np.int32) for ids in rest]
@@ -94,24 +115,22 @@ class ChunkIds:
         flat = np.concatenate(parts)
         return lengths, flat[spread(starts, lengths)] if barred.any() else flat
 
-    def of(self, texts: list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with ``end`` appended; ids by text)."""
-        if len(self.code) > MAX_WORDS:
-            self.forget()
-        code, known, codes, per_text = self.code, len(self.code), [], []
-        for text in texts:
-            words = words_of(text)
-            codes.extend([code.setdefault(w, len(code)) for w in words])
-            codes.append(-1)
-            per_text.append(len(words) + 1)
-        lengths, ids = self.encode(list(islice(code, known, None)))
-        self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
-        # code -1 is the end id, kept behind all others
-        runs = IdRuns(np.append(self.lengths, 1), np.append(self.ids, np.int32(end)))
-        codes, per_text = np.array(codes, np.int64), np.array(per_text, np.int64)
-        codes[codes < 0] = len(self.lengths)
-        n_ids = np.add.reduceat(runs.lengths[codes], np.cumsum(per_text) - per_text) if len(per_text) else per_text
-        return runs.of(codes), n_ids
+    def of(self, texts: pa.Array | list[bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end`` appended; ids by text). Arrow cuts the texts
+        and numbers the distinct chunks; only those are looked up one by one."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([None if t is None else t.decode() for t in texts], pa.string())
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        # outer white space leaves an empty chunk, which has no ids
+        lengths, ids = self.encode(coded.dictionary.to_pylist())
+        n_chunks = lists.value_lengths().to_numpy()
+        # the end id is kept behind all others, and stands behind each text
+        runs = IdRuns(np.append(lengths, 1), np.append(ids, np.int32(end)))
+        whole = np.full(len(coded) + len(texts), len(lengths), np.int64)
+        whole[np.arange(len(coded)) + np.repeat(np.arange(len(texts)), n_chunks)] = coded.indices.to_numpy()
+        n_ids = np.add.reduceat(runs.lengths[whole], np.cumsum(n_chunks) - n_chunks + np.arange(len(texts))) if len(texts) else n_chunks
+        return runs.of(whole), n_ids
 
 
 @lru_cache(maxsize=1)
@@ -124,12 +143,12 @@ def _encode_part(schema: pa.Schema, path: str, end: int):
     def run(batches):
         table, part, offset = _worker_table(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
+            texts = batch.column("text")
             sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
             at = 0
             while at < len(texts):  # some megabytes of text at a time
                 upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES)))
-                ids, n = table.of(texts[at:upto].to_pylist(), end)
+                ids, n = table.of(texts.slice(at, upto - at), end)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(

@@ -115,3 +115,16 @@ def test_chunks_agree_with_the_library(cp):
     table = token_files.ChunkIds(public_tokenizers.path(token_files.TOKENIZER_FILE))
     ids, n = table.of([text.encode(), None], 1)
     assert ids.tolist() == [*brute_ids(text), 1] and n.tolist() == [len(brute_ids(text)), 1]
+
+
+def test_special_strings_as_the_library_reads_them(spark, make_docs):
+    """Against the library with its defaults, built here."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "it'<|endoftext|>s", "<|ENDOFTEXT|> <|end oftext|>", " \t x\n\n", "e<|endoftext|>\u0301 \u0301"]
+    path = scratch_path(spark, "t")
+    token_files.write_tokens(make_docs(list(enumerate(texts))), path)
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path).collect()}
+    assert got == {k: [*library.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert got[0] == [320, 49407, 321, 1]
