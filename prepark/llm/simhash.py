@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_scratch
-from .common import connected_components, shuffle_width, words_of
+from .common import connected_components, fresh, shuffle_width, words_of
 
 NODE = 512
 FANOUT = 16
@@ -229,6 +229,37 @@ def link_edges(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     return found.filter("kind = 'edge'").select("a", "b").unionByName(across)
 
 
+def _labelled(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, label, low): each distinct fingerprint's component, and the smallest id that has it."""
+    classes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    labels = connected_components(link_edges(classes, max_bits))
+    return (classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", "low", F.coalesce("label", "fp").alias("label")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                         max_bits: int = 2, fold: bool = True) -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the smallest id (null ids last),
+    then of the smallest text hash; of equal rows any one. The choice is an aggregate over
+    (component, id, text hash), so a component of a third of the rows is summed up where
+    it is read, and one row of each finds its way back by these keys."""
+    key = {"id": fresh("id"), "h": fresh("h"), "row": fresh("row")}
+    fps = write_scratch(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"),
+                                    _fingerprints(shingle, fold)(F.col(text_col)).alias("fp")), "simhash-fp")
+    named = fps.join(_labelled(fps, max_bits).select("fp", "label"), "fp")
+    no_id = F.col("id").isNull()
+    # first the smallest id, then the smallest hash of its texts: both are plain minima
+    ids = named.groupBy("label").agg(F.min("id").alias("least"), F.min(F.when(no_id, F.col("h"))).alias("h0"))
+    hashes = (named.filter(~no_id).groupBy("label", "id").agg(F.min("h").alias("h")).join(
+        ids.filter("least is not null").select("label", F.col("least").alias("id")), ["label", "id"]).select("id", "h"))
+    chosen = hashes.unionByName(ids.filter("least is null").select(F.lit(None).cast(fps.schema["id"].dataType).alias("id"), F.col("h0").alias("h")))
+    chosen = chosen.select(F.col("id").alias(key["id"]), F.col("h").alias(key["h"]))
+    kept = docs.withColumn(key["row"], F.xxhash64(F.col(text_col))).join(
+        chosen, F.col(id_col).eqNullSafe(F.col(key["id"])) & (F.col(key["row"]) == F.col(key["h"])))
+    # a text of its own is one component, so what is equal in id and text is one component's
+    return kept.dropDuplicates([key["id"], key["h"]]).select(*docs.columns)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    max_bits: int = 2, fold: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, fingerprint (16 hex digits), component_id
@@ -236,10 +267,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``fold`` lower-cases A-Z first."""
     fps = write_scratch(docs.select(F.col(id_col).alias("id"), _fingerprints(shingle, fold)(F.col(text_col)).alias("fp")),
                         "simhash-fp")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    labels = connected_components(link_edges(classes, max_bits))
-    label = F.coalesce("label", "fp")
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", label.alias("label"))
+    labelled = _labelled(fps, max_bits)
     groups = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     known = labelled.join(groups, "label").select("fp", "component_id")
     return fps.join(known, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -81,3 +81,15 @@ def test_stages_on_edge_rows(spark, edge_rows):
             out = stage(spark, some, SF)
             assert out.columns == docs.columns and out.count() <= some.count()
         assert corpus_pipeline.STAGES[-1][1](spark, some, SF).count() == some.count()
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark, make_docs):
+    same = "the quick brown fox jumps over the lazy dog near the quiet river bank " * 4
+    rows = [(None, same), (None, same), (None, same), (5, same), (5, same), (6, same), (None, "other words in a text that stands alone here"),
+            (None, "other words in a text that stands alone here"), (9, "a third text"), (9, "a fourth one, of the same id"), (10, None), (None, None)]
+    docs = make_docs(rows)
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(5, same), (None, "other words in a text that stands alone here"), (9, "a third text"), (9, "a fourth one, of the same id"), (10, None)], key=str)
+    assert corpus_pipeline.simhash_near_dedup(spark, make_docs([]), SF).count() == 0
