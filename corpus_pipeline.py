@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 written as Parquet in the shared folder and read again (so a lost executor costs a
 stage at most). All stages but the last return the columns of ``documents``.
 
-Rows with a null id can't be named as copies: they pass near-dedup. A document that
-line dedup leaves without a word goes, since all of it stands elsewhere.
+Of each group of near copies one row stays, whatever ids its rows have: the smallest id
+(null ids last), of equal ids the smallest hash of the text, of equal rows any one. A
+document that line dedup leaves without a word goes, since all of it stands elsewhere.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies stays."""
-    groups = simhash.simhash_groups(docs, shingle=3, max_bits=2)
-    return docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays."""
+    return simhash.drop_near_duplicates(docs, shingle=3, max_bits=2)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
