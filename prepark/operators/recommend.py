@@ -9,10 +9,9 @@ product and norm, and item scores are one more join and grouped sum.
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kinds import qcol
 from ..session import materialize, write_scratch
@@ -62,7 +61,7 @@ def user_similarity(ratings: DataFrame, user_id, user_col: str = "user", item_co
 def recommend(ratings: DataFrame, user_id=None, top_k: int = 10, user_col: str = "user", item_col: str = "item",
               rating_col: str = "rating", users: list | None = None) -> DataFrame:
     """Item scores ``sum_u sim(u) * rating(u, i)``, highest first, top k. With ``users``
-    the same for each of a few users, one after the other, in a column ``for_user``.
+    the same for each of them in one plan, in a column ``for_user`` (``recommend_users``).
 
     The ratings (often a join) are written once; every pass reads that table.
 
@@ -73,11 +72,59 @@ def recommend(ratings: DataFrame, user_id=None, top_k: int = 10, user_col: str =
     """
     ratings = write_scratch(ratings.select(user_col, item_col, rating_col), "ratings")
     if users is not None:
-        each = [_recommend(ratings, u, top_k, user_col, item_col, rating_col).withColumn("for_user", F.lit(u)) for u in users]
-        return functools.reduce(DataFrame.unionByName, each)
+        who = ratings.sparkSession.createDataFrame([(u,) for u in dict.fromkeys(users)], T.StructType([T.StructField("for_user", ratings.schema[user_col].dataType)]))
+        return recommend_users(ratings, who, top_k, user_col, item_col, rating_col)
     return _recommend(ratings, user_id, top_k, user_col, item_col, rating_col)
 
 
+#: users (or raters) of one item that meet in one join key; an item with more has its ratings dealt over several
+HOT_RATINGS = 50_000
+
+
+def recommend_users(ratings: DataFrame, users: DataFrame, top_k: int = 10, user_col: str = "user", item_col: str = "item",
+                    rating_col: str = "rating") -> DataFrame:
+    """G2 for every user of ``users`` (column ``for_user``): (for_user, item, score), the
+    ``top_k`` items of each, in one plan with the same few jobs for any number of users.
+
+    1. The users' own rows are joined with all ratings on the item. An item with many
+       ratings has them dealt over salted keys; the users' rows of it go to each. Dot
+       products are summed where they arise and once more by (user, other).
+    2. Similarities meet the others' ratings by other user and are summed by (user, item);
+       the best k are cut per task before they meet.
+    3. Items that no similar user rated count 0 and only fill up places, smallest ids
+       first. A user with ``top_k`` items above 0 needs none; for the others the matrix's
+       ids are looked at from the smallest, as many as the user's scored items and k.
+
+    Users without ratings have no rows; scores, ties and zeros as in ``recommend``."""
+    base = ratings.select(qcol(user_col).alias("u"), qcol(item_col).alias("i"), qcol(rating_col).cast("double").alias("r"))
+    norms = base.groupBy("u").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+    who = users.select("for_user").distinct()
+    own = write_scratch(base.join(who, base["u"] == who["for_user"]).select("for_user", "i", F.col("r").alias("q")), "recommend-own")
+    hot = base.groupBy("i").count().filter(F.col("count") > HOT_RATINGS).select("i", F.ceil(F.col("count") / HOT_RATINGS).cast("int").alias("salts"))
+    hot = maybe_broadcast(write_scratch(hot, "recommend-hot"))
+    one = F.coalesce("salts", F.lit(1))
+    dealt = base.join(hot, "i", "left").select("u", "i", "r", F.pmod(F.xxhash64("u"), one).cast("int").alias("salt"))
+    asked = own.join(hot, "i", "left").select("for_user", "i", "q", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"))
+    dots = dealt.join(asked, ["i", "salt"]).groupBy("for_user", "u").agg(F.sum(F.col("q") * F.col("r")).alias("dot"))
+    mine = own.groupBy("for_user").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("own_norm"))
+    scale = F.col("norm") * F.col("own_norm")
+    sims = (dots.join(norms, "u").join(mine, "for_user").filter((scale > 0) & (F.col("dot") != 0))
+            .select("for_user", "u", (F.col("dot") / scale).alias("similarity")))
+    scores = write_scratch(sims.join(base, "u").groupBy("for_user", "i").agg(F.sum(F.col("similarity") * F.col("r")).alias("score")), "recommend-scores")
+    enough = scores.groupBy("for_user").agg(F.count_if(F.col("score") > 0).alias("above"), F.count(F.lit(1)).alias("n"))
+    short = write_scratch(own.select("for_user").distinct().join(enough, "for_user", "left").na.fill(0, ["above", "n"])
+                          .filter(F.col("above") < top_k).select("for_user", (F.col("n") + top_k).alias("look")), "recommend-short")
+    most = short.agg(F.max("look")).first()[0]
+    if most:
+        ids = base.select("i").distinct().orderBy("i").limit(most).withColumn("at", F.row_number().over(Window.orderBy("i")))
+        wanted = short.select("for_user", F.explode(F.sequence(F.lit(1), F.col("look").cast("int"))).alias("at"))
+        fill = wanted.join(ids, "at").join(scores, ["for_user", "i"], "left_anti").select("for_user", "i", F.lit(0.0).alias("score"))
+        scores = scores.unionByName(fill)
+    best = Window.partitionBy("for_user").orderBy(F.desc("score"), "i")
+    return (scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+            .select("for_user", F.col("i").alias(item_col), "score"))
+
+
 def _recommend(ratings: DataFrame, user_id, top_k: int, user_col: str, item_col: str, rating_col: str) -> DataFrame:
     sims = materialize(user_similarity(ratings, user_id, user_col, item_col, rating_col)
                        .where(F.col("similarity") != 0))

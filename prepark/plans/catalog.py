@@ -479,6 +479,13 @@ def q_recommend(spark, d):
     return rounded(top, 4)
 
 
+@query("recommend_users")
+def q_recommend_users(spark, d):
+    """G2 for many users in one plan: every fifth customer of the first thousand."""
+    users = table(spark, d, "orders").select(F.col("o_custkey").alias("for_user")).filter("o_custkey <= 1000 and o_custkey % 5 = 1").distinct()
+    return rounded(G.recommend_users(purchases(spark, d), users, 10, "custkey", "partkey", "rating"), 4)
+
+
 @query("similar_items")
 def q_similar_items(spark, d):
     emb = table(spark, d, "embeddings")
@@ -538,6 +545,13 @@ def q_sensor_windows(spark, d):
     return rounded(S.sensor_windows(ev, "ts", "1 day", device_col="user_id", columns=["value", "k"]))
 
 
+@query("sensor_windows_sliding")
+def q_sensor_windows_sliding(spark, d):
+    """I2 over windows of 7 days that start every 6 hours: each row lies in 28 of them."""
+    ev = events_k(spark, d)
+    return rounded(S.sensor_windows(ev, "ts", "7 days", "6 hours", device_col="event_type", columns=["value", "k"]))
+
+
 @query("split_mod")
 def q_split_mod(spark, d):
     od = table(spark, d, "orders").select("o_orderkey")

@@ -343,6 +343,17 @@ c AS (SELECT r.partkey, sum(s.similarity * r.rating) AS score FROM r JOIN sims s
 items AS (SELECT DISTINCT partkey FROM r)
 SELECT partkey, round(coalesce(score, 0), 4) AS score FROM items LEFT JOIN c USING (partkey)
 ORDER BY coalesce(score, 0) DESC, partkey LIMIT 10"""
+    O["recommend_users"] = f"""WITH r AS ({PURCHASES}),
+who AS (SELECT DISTINCT o_custkey AS for_user FROM orders WHERE o_custkey <= 1000 AND o_custkey % 5 = 1),
+n AS (SELECT custkey, sqrt(sum(rating * rating)) AS n FROM r GROUP BY 1),
+d AS (SELECT a.custkey AS for_user, b.custkey AS other, sum(a.rating * b.rating) AS dot
+      FROM r a JOIN who ON a.custkey = who.for_user JOIN r b USING (partkey) GROUP BY 1, 2),
+s AS (SELECT for_user, other, dot / (x.n * y.n) AS similarity FROM d JOIN n x ON x.custkey = for_user JOIN n y ON y.custkey = other),
+c AS (SELECT for_user, partkey, sum(similarity * rating) AS score FROM s JOIN r ON r.custkey = other GROUP BY 1, 2),
+every_item AS (SELECT for_user, partkey FROM (SELECT DISTINCT for_user FROM c), (SELECT DISTINCT partkey FROM r)),
+f AS (SELECT for_user, partkey, coalesce(score, 0) AS score FROM every_item LEFT JOIN c USING (for_user, partkey))
+SELECT for_user, partkey, round(score, 4) AS score FROM f
+QUALIFY row_number() OVER (PARTITION BY for_user ORDER BY score DESC, partkey) <= 10"""
     O["similar_items"] = """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)), 6) AS similarity
 FROM embeddings WHERE vec_id <> (SELECT min(vec_id) FROM embeddings)
@@ -390,6 +401,17 @@ SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, user_id,
        round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_all, round({_mean_skip_null(["s0", "s1"])}, 6) AS std_all,
        round(greatest(hi0, hi1), 6) AS max_all, round(least(lo0, lo1), 6) AS min_all,
        round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_of_means FROM a"""
+    O["sensor_windows_sliding"] = f"""WITH w AS (
+  SELECT unnest(generate_series(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 162 HOURS,
+                                time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), INTERVAL 6 HOURS)) AS window_start,
+         event_type, value, CAST(k AS DOUBLE) AS k FROM ({EV_K})),
+a AS (
+  SELECT window_start, event_type, avg(value) AS m0, stddev_samp(value) AS s0, max(value) AS hi0, min(value) AS lo0,
+         avg(k) AS m1, stddev_samp(k) AS s1, max(k) AS hi1, min(k) AS lo1 FROM w GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 7 DAYS AS window_end, event_type,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_all, round({_mean_skip_null(["s0", "s1"])}, 6) AS std_all,
+       round(greatest(hi0, hi1), 6) AS max_all, round(least(lo0, lo1), 6) AS min_all,
+       round({_mean_skip_null(["m0", "m1"])}, 6) AS mean_of_means FROM a"""
     O["split_mod"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders"
     LD = "SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
     O["accuracy"] = f"""SELECT round(avg(CAST(CAST(n_chars > 2000 AS INTEGER) = quality AS DOUBLE)), 6) AS accuracy,
