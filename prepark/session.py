@@ -53,10 +53,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: scratch paths given out to each application, until ``cleanup``
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/prepark-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/prepark-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the scratch tables this application has written so far; returns how many
+    there were. Results are lazy and may read them: call it when they have been used."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        n += where.getFileSystem(conf).delete(where, True)
+    return n
 
 
 def materialize(df, eager: bool = True):

@@ -71,3 +71,16 @@ def test_too_many_classes_are_an_error(spark):
     df = spark.range(400).selectExpr("id * 1.0 as x", "concat('c', id % 150) as target")
     with pytest.raises(ValueError):
         ML.train_logistic(df)
+
+
+def test_cleanup_deletes_scratch_tables(spark):
+    import os
+
+    from prepark.session import cleanup, scratch_path, write_scratch
+    cleanup(spark)
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    write_scratch(spark.range(3), "u")
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    assert cleanup(spark) == 2 and not os.path.exists(local) and cleanup(spark) == 0
