@@ -42,12 +42,18 @@ from .common import fresh
 
 MIN_WORDS = 5
 BITS = 1 << 24
-ROW_BITS = 1 << 15
-SPACE = r"[\x20\x09-\x0D]+"
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
+
+
+def _lines(text):
+    """The lines of a text with spaces for all other white space: one fixed pattern for a
+    whole text, and both cuts (lines, words) are by single characters, without patterns."""
+    plain = F.when(F.col(text).rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(F.col(text))
+    return F.split(plain, "\n")
 
 
 def _words(line):
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _halves(words, n):
@@ -57,8 +63,9 @@ def _halves(words, n):
         return [F.xxhash64(F.lit(0), size, F.slice(words, F.lit(1), size)),
                 F.xxhash64(F.lit(1), size, F.slice(words, n - size + 1, size))]
     shorter, longer = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return (F.when(n >= MIN_WORDS, F.array_distinct(F.array(*both(shorter), *both(longer))))
-            .when(n == MIN_WORDS - 1, F.array(*both(shorter))))
+    # the two sizes are one where n is odd
+    return (F.when((n >= MIN_WORDS) & (n % 2 == 0), F.array(*both(shorter), *both(longer)))
+            .when(n >= MIN_WORDS - 1, F.array(*both(shorter))))
 
 
 def _same_start(a, b):
@@ -82,11 +89,10 @@ def _variants(lines: DataFrame) -> DataFrame:
     words = lines.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "i"), "moved": F.xxhash64("word", F.col("i") - 1)})
     line = "partition by h1, h2"
-    before = f"({line} order by i rows between unbounded preceding and 1 preceding)"
     upto = f"({line} order by i rows between unbounded preceding and current row)"
     words = words.selectExpr(
         "h1", "h2", "first", "n", "i", f"bit_xor(here) over ({line}) as whole",
-        f"coalesce(bit_xor(here) over {before}, 0L) ^ (bit_xor(moved) over ({line}) ^ bit_xor(moved) over {upto}) as variant")
+        f"bit_xor(here) over {upto} ^ here ^ (bit_xor(moved) over ({line}) ^ bit_xor(moved) over {upto}) as variant")
     n = F.col("n")
     role = F.explode(F.filter(F.array(
         F.when(n >= MIN_WORDS, F.struct(F.xxhash64(F.lit("swap"), "variant", "i", "n").alias("key"), F.lit(0).alias("role"))),
@@ -97,19 +103,19 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame, column: str) -> DataFrame:
-    """(row, bits): a bitmap of the hashes, BITS / ROW_BITS rows of 4 KB at most."""
+    """(word, bits): a bitmap of the hashes, BITS / 64 numbers at most. The partial
+    aggregate is a hash aggregate, so each task shuffles no more than the bitmap."""
     at = F.pmod(F.col(column), F.lit(BITS))
-    return (hashes.select(F.floor(at / ROW_BITS).alias("__bitmap_row"), (at % ROW_BITS).alias("bit"))
-            .groupBy("__bitmap_row").agg(F.bitmap_construct_agg("bit").alias("__bits")))
+    return (hashes.select(F.shiftright(at, 6).alias("__word"), at.alias("at"))
+            .groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("__bits")))
 
 
 def _marked(rows: DataFrame, column: str, bitmap: DataFrame, wanted: bool = True) -> DataFrame:
     """The rows whose hash is marked in the bitmap (or not), by a broadcast of its fixed size."""
-    at, kept = F.pmod(F.col(column), F.lit(BITS)), rows.columns
-    hit = F.expr(f"shiftright(cast(conv(hex(substring(__bits, cast(pmod({column}, {ROW_BITS}) div 8 as int) + 1, 1)), 16, 10) as int), "
-                 f"cast(pmod({column}, 8) as int)) & 1") == 1
-    joined = rows.withColumn("__bitmap_row", F.floor(at / ROW_BITS)).join(F.broadcast(bitmap), "__bitmap_row", "left")
-    return joined.filter(F.coalesce(hit, F.lit(False)) == wanted).select(*kept)
+    at, kept, word, bits = F.pmod(F.col(column), F.lit(BITS)), rows.columns, fresh("word"), fresh("bits")
+    joined = rows.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bitmap.toDF(word, bits)), word, "left")
+    hit = F.getbit(F.col(bits), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return joined.filter(F.coalesce(hit, F.lit(False)) == wanted).select(*[F.col(f"`{c}`") for c in kept])
 
 
 def _place(id_type: T.DataType, i: Column, pos: Column) -> Column:
@@ -131,7 +137,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines; ``mark`` is the hash of its text."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     place = _place(source.schema["id"].dataType, F.col("id"), F.col("pos"))
-    cut = _named(source.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
+    cut = _named(source.select("id", "mark", F.posexplode(_lines("text")).alias("pos", "line")))
     lines = write_scratch(cut.withColumn("halves", _halves(F.col("words"), F.size("words"))).drop("words"), "lines")
     firsts = write_scratch(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
 
@@ -141,7 +147,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.xxhash64("mark", "pos").alias("at")
     places = _bitmap(_marked(lines.select("h1", at), "h1", some), "at")
     # the second scan cuts words only where a marked line stands
-    spread = source.select("mark", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    spread = source.select("mark", F.posexplode(_lines("text")).alias("pos", "line"))
     near = (_named(_marked(spread.select("line", at), "at", places)).select("h1", "h2", "words").dropDuplicates(["h1", "h2"])
             .join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
     near = write_scratch(near, "lines-near")
@@ -165,8 +171,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _kept_lines(lines, removed):
+    """The other lines, joined. The text is cut once: a lambda over the bare ``lines``
+    would cut it again for every line it looks up."""
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    return F.array_join(F.transform(places, lambda p: F.element_at(lines, p + 1)), "\n")
+    both = F.array(F.struct(lines.alias("lines"), places.alias("places")))
+    return F.transform(both, lambda x: F.array_join(
+        F.transform(x["places"], lambda p: F.element_at(x["lines"], p + 1)), "\n"))[0]
 
 
 def _with_removed(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
