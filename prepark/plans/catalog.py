@@ -675,6 +675,19 @@ def q_forest_rule(spark, d):
                        F.col("risk").isNotNull().alias("scored"))
 
 
+@query("audit_state_compacted")
+def q_audit_state_compacted(spark, d):
+    """The events appended in four batches, one of them replayed; two are compacted,
+    a third before a second compaction, the last is read beside the snapshot."""
+    path, ev = scratch_path(spark, "audit-batches"), table(spark, d, "events")
+    for part in (3, 0, 2, 1):
+        AU.append_batch(event_log(ev.where(F.col("event_id") % 4 == part)), path, part)
+        if part in (0, 2):
+            AU.append_batch(event_log(ev.where(F.col("event_id") % 4 == part)), path, part)
+            AU.compact_audit(spark, path, "user_id")
+    return AU.audit_state_compacted(spark, path, "user_id").select(F.col("actor").cast("bigint").alias("user_id"), "state", "since")
+
+
 # ------------------------------------------------------- streaming (rows-only)
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sf_dir.rstrip("/")

@@ -306,6 +306,8 @@ def _register_pii_and_sources():
     O["audit_tail"] = "SELECT event_id, ts, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10"
     O["audit_state"] = """SELECT user_id, event_type AS state, ts AS since, event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+    O["audit_state_compacted"] = """SELECT user_id, event_type AS state, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS since FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) WHERE rn = 1"""
     O["union_by_name"] = "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier"
     O["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8"
 
