@@ -23,6 +23,7 @@ from ..operators import routes as H
 from ..operators import sensors as S
 from ..operators import pii as E
 from ..operators import profile as P
+from ..operators import profile_state as PS
 from ..operators.columns import drop_target, rename_target, trim_columns
 from ..plans.cleaning import clean_records, clean_records_summary, clean_table
 from ..plans.inspect import inspect
@@ -688,6 +689,15 @@ def q_audit_state_compacted(spark, d):
     return AU.audit_state_compacted(spark, path, "user_id").select(F.col("actor").cast("bigint").alias("user_id"), "state", "since")
 
 
+@query("profile_merge")
+def q_profile_merge(spark, d):
+    """D1/D3/D5 from stored states of two halves of the orders, one of them written twice."""
+    path, orders = scratch_path(spark, "profile"), table(spark, d, "orders")
+    for part in (0, 1, 0):
+        PS.write_state(orders.where(F.col("o_orderkey") % 2 == part), path, part)
+    return PS.state_summary(PS.merge_states(PS.read_states(spark, path))).drop("dtype", "approx_distinct")
+
+
 # ------------------------------------------------------- streaming (rows-only)
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sf_dir.rstrip("/")

@@ -308,6 +308,12 @@ def _register_pii_and_sources():
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
     O["audit_state_compacted"] = """SELECT user_id, event_type AS state, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS since FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) AS rn FROM events) WHERE rn = 1"""
+    def state_of(c: str, numeric: bool) -> str:
+        v = f"CAST({c} AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+        return (f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_missing, avg({v}) AS mean, "
+                f"stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max FROM orders")
+    O["profile_merge"] = " UNION ALL ".join(state_of(c, c in ("o_orderkey", "o_custkey", "o_totalprice")) for c in (
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
     O["union_by_name"] = "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier"
     O["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8"
 
