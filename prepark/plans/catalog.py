@@ -689,6 +689,15 @@ def q_audit_state_compacted(spark, d):
     return AU.audit_state_compacted(spark, path, "user_id").select(F.col("actor").cast("bigint").alias("user_id"), "state", "since")
 
 
+@query("quick_summary")
+def q_quick_summary(spark, d):
+    """The summary sentences of the labels (gaps injected), beside each row of the preview."""
+    labels = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("quality")).alias("quality"), "toxic")
+    found = P.quick_summary(labels, order_by="doc_id")
+    return found["preview_df"].select("doc_id", "quality", "toxic", F.lit(found["summary_text"]).alias("summary_text"),
+                                      F.lit(", ".join(found["candidate_targets"])).alias("targets"))
+
+
 @query("profile_merge")
 def q_profile_merge(spark, d):
     """D1/D3/D5 from stored states of two halves of the orders, one of them written twice."""

@@ -314,6 +314,19 @@ def _register_pii_and_sources():
                 f"stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max FROM orders")
     O["profile_merge"] = " UNION ALL ".join(state_of(c, c in ("o_orderkey", "o_custkey", "o_totalprice")) for c in (
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    O["quick_summary"] = """WITH l AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN quality END AS quality, toxic FROM labels),
+cell AS (SELECT 0 AS pos, 'doc_id' AS c, CAST(doc_id AS DOUBLE) AS v FROM l UNION ALL SELECT 1, 'quality', quality FROM l
+  UNION ALL SELECT 2, 'toxic', toxic FROM l),
+col AS (SELECT pos, c, count(*) - count(v) AS gaps, var_samp(v) AS var, count(DISTINCT v) = 2 AND bool_and(v IN (0, 1)) AS is_binary
+  FROM cell GROUP BY pos, c),
+part AS (SELECT (SELECT count(*) FROM l) AS n, coalesce(string_agg(c, ', ' ORDER BY pos) FILTER (WHERE is_binary), '') AS targets,
+  string_agg(c, ', ' ORDER BY pos) AS numbers, string_agg(c, ', ' ORDER BY var DESC NULLS LAST, pos) AS spread, sum(gaps) AS gaps FROM col),
+said AS (SELECT targets, 'The dataset has ' || n || ' rows and 3 columns. '
+  || CASE WHEN targets = '' THEN 'No obvious target column detected automatically. ' ELSE 'Possible target columns: ' || targets || '. ' END
+  || 'Numeric cols: ' || numbers || '. '
+  || CASE WHEN gaps > 0 THEN 'Average missingness: ' || format('{:.1f}', 100.0 * gaps / (3 * n)) || '% \u2014 consider cleaning/imputing. ' ELSE '' END
+  || 'High-variance numeric cols: ' || spread || '. Preview the first rows to validate column roles.' AS summary_text FROM part)
+SELECT doc_id, quality, toxic, summary_text, targets FROM (SELECT * FROM l ORDER BY doc_id LIMIT 5), said"""
     O["union_by_name"] = "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier"
     O["preview"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 8"
 
