@@ -6,15 +6,19 @@ search. Two classes link when their fingerprints differ in at most
 ``max_bits`` bits.
 
 Search. The 64 bits are cut into ``max_bits + 1`` blocks; two linked
-fingerprints agree on one block at least, so each class is dealt to one bucket
-per block (a lossless partition of the search). Buckets are sorted by Gray
+fingerprints agree on one block at least, hence on its high bits, so each class
+is dealt to one bucket per block (a lossless partition of the search). Only so
+many high bits are taken that a bucket holds some thousand fingerprints
+(``BUCKET``); within it the Gray tree does the search. Buckets are sorted by Gray
 rank over the whole cluster, so a bucket of any size spreads over tasks. Runs
 of consecutive Gray ranks form nodes: a node keeps the bits all its members
 share (``fixed`` mask and ``value``), its children only add the bits shared
 beyond their parent's, and a query is dropped from a whole group as soon as the
 differences accumulated on the way down exceed ``max_bits``. A bucket longer
-than one leaf table (``NODE`` fingerprints) is searched node against node,
-where node pairs are pruned by the same masked differences in the join.
+than ``WHOLE`` fingerprints, or cut by a partition's edge, is stored as nodes of
+``NODE`` and searched group against group: groups of ``NODES`` nodes first, then the
+nodes of the groups left, each time pruned by the bits that both sides fix; only
+pairs of nodes left at the end meet with their members.
 
 Each search step returns a spanning star of what it linked, not the pairs, so
 the links of a dense group stay linear in its size; components follow by
@@ -32,15 +36,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import write_scratch
 from .common import connected_components, fresh, shuffle_width, words_of
 
+BUCKET = 2048
+WHOLE = 8192
 NODE = 512
-FANOUT = 16
+NODES = 64
+FANOUT = 4
+QUERIES = 512
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -86,38 +94,52 @@ def _shared(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return fixed, every & fixed
 
 
-def gray_links(queries: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, code) that differ in at most ``max_bits`` bits.
-    ``codes`` are in Gray order. Small tables are compared directly; larger ones
-    descend the tree of shared masked patterns."""
-    if len(queries) * len(codes) <= 4096:
-        return np.nonzero(np.bitwise_count(queries[:, None] ^ codes[None, :]) <= max_bits)
-    sizes = [FANOUT]
-    while sizes[0] * FANOUT < len(codes):
-        sizes.insert(0, sizes[0] * FANOUT)
-    tops = -(-len(codes) // sizes[0])
-    q = np.repeat(np.arange(len(queries)), tops)
-    node = np.tile(np.arange(tops), len(queries))
+def _descend(queries: np.ndarray, first: int, codes: np.ndarray, levels: list, max_bits: int, later: bool):
+    """(query, code) pairs found, and how many codes were compared one by one."""
+    size, fixed, value, _ = levels[0]
+    q = np.repeat(np.arange(len(queries)), len(value))
+    node = np.tile(np.arange(len(value)), len(queries))
     acc = np.zeros(len(q), np.int64)
-    above = np.zeros(tops, np.uint64)
-    for size in [*sizes, 1]:
-        if size == 1:
-            fixed, value = np.full(len(codes), ~np.uint64(0)), codes
-        else:
-            fixed, value = _shared(codes, size)
-        # only the bits that this level fixes beyond its parent's are compared
-        own = fixed[node] & ~above[node if size == sizes[0] else node // FANOUT]
-        acc = acc + np.bitwise_count((queries[q] ^ value[node]) & own)
+    for k, (size, _, value, own) in enumerate(levels):
+        if later:  # a pair is met once, from its earlier code
+            live = (node + 1) * size > q + first + 1
+            q, node, acc = q[live], node[live], acc[live]
+        compared = len(q)
+        acc = acc + np.bitwise_count((queries[q] ^ value[node]) & own[node])
         live = acc <= max_bits
         q, node, acc = q[live], node[live], acc[live]
-        above = fixed
-        if size == 1:
-            return q, node
-        children = len(codes) if size == FANOUT else -(-len(codes) // (size // FANOUT))
-        q, acc = np.repeat(q, FANOUT), np.repeat(acc, FANOUT)
-        node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        live = node < children
-        q, node, acc = q[live], node[live], acc[live]
+        if size > 1:
+            q, acc = np.repeat(q, FANOUT), np.repeat(acc, FANOUT)
+            node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            live = node < len(levels[k + 1][2])
+            q, node, acc = q[live], node[live], acc[live]
+    return q + first, node, compared
+
+
+def gray_search(queries: np.ndarray, codes: np.ndarray, max_bits: int, later: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index pairs (query, code) that differ in at most ``max_bits`` bits, and the number of
+    codes compared one by one. ``codes`` are in Gray order; queries descend the tree of
+    shared masked patterns, some at a time. ``later``: the queries are the codes, and
+    only pairs of a code and a later one are wanted."""
+    size = FANOUT
+    while size * FANOUT < len(codes):
+        size *= FANOUT
+    levels, above = [], None
+    while size >= 1:
+        fixed, value = _shared(codes, size) if size > 1 else (np.full(len(codes), ~np.uint64(0)), codes)
+        # only the bits that this level fixes beyond its parent's are compared
+        own = fixed if above is None else fixed & ~above[np.arange(len(fixed)) // FANOUT]
+        levels.append((size, fixed, value, own))
+        size, above = size // FANOUT, fixed
+    if not len(queries):
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    found = [_descend(queries[k:k + QUERIES], k, codes, levels, max_bits, later) for k in range(0, len(queries), QUERIES)]
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), sum(f[2] for f in found))
+
+
+def gray_links(queries: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``gray_search`` without the count."""
+    return gray_search(queries, codes, max_bits)[:2]
 
 
 def _star(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -139,7 +161,7 @@ def _search_runs(max_bits: int):
     and the nodes of buckets that don't end within one node."""
 
     def emit(bucket: int, codes: np.ndarray, whole: bool):
-        i, j = gray_links(codes, codes, max_bits)
+        i, j, _ = gray_search(codes, codes, max_bits, later=True)
         label = _star(len(codes), i, j)
         linked = label != np.arange(len(codes))
         edges = [("edge", int(a), int(b), None, None, None, None)
@@ -169,12 +191,13 @@ def _search_runs(max_bits: int):
             at = 0
             for end in cuts.tolist():  # complete runs
                 bucket = int(buckets[at])
-                alone = not first and split != bucket and end - at <= NODE
+                alone = not first and split != bucket and end - at <= WHOLE
                 if not (alone and end - at == 1):
-                    for k in range(at, end, NODE):
-                        rows += emit(bucket, codes[k:min(k + NODE, end)], alone)
+                    step = WHOLE if alone else NODE
+                    for k in range(at, end, step):
+                        rows += emit(bucket, codes[k:min(k + step, end)], alone)
                 first, at = False, end
-            while len(codes) - at > NODE:  # a run longer than a node: cut it as it comes
+            while len(codes) - at > WHOLE:  # a run too long for one search: cut it as it comes
                 split = int(buckets[at])
                 rows += emit(split, codes[at:at + NODE], False)
                 first, at = False, at + NODE
@@ -208,30 +231,51 @@ def link_edges(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     ``max_bits`` bits: as many components as with every pair, fewer edges."""
     spark = classes.sparkSession
     blocks, at, buckets = max_bits + 1, 0, []
+    taken = max(0, (classes.count() // BUCKET).bit_length() - 1)  # high bits of a block that name its bucket
     for k in range(blocks):
         width = (64 - at) // (blocks - k)
-        bits = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+        bits = min(taken, width)
+        named = F.shiftrightunsigned("fp", at + width - bits).bitwiseAND(F.lit((1 << bits) - 1))
         # a mixed key, so that bucket ranges are even even if a block's bits are not
-        buckets.append(F.xxhash64(F.lit(k), bits))
+        buckets.append(F.xxhash64(F.lit(k), named))
         at += width
+    if not taken:  # few fingerprints: one bucket holds all
+        buckets = buckets[:1]
     dealt = (classes.select("fp", gray_rank(F.col("fp")).alias("rank"), F.explode(F.array(*buckets)).alias("bucket"))
              .repartitionByRange(shuffle_width(spark), "bucket", "rank").sortWithinPartitions("bucket", "rank"))
     found = write_scratch(dealt.select("bucket", "fp").mapInArrow(
         _search_runs(max_bits), "kind string, a long, b long, bucket long, fixed long, value long, members array<long>"),
         "simhash-index")
-    nodes = found.filter("kind = 'node'")
-    other = nodes.select("bucket", F.col("fixed").alias("fixed2"), F.col("value").alias("value2"),
-                         F.col("members").alias("others"))
-    near = (F.bit_count(F.col("value").bitwiseXOR(F.col("value2")).bitwiseAND(F.col("fixed"))
-                        .bitwiseAND(F.col("fixed2"))) <= max_bits)
-    pairs = nodes.join(other, "bucket").filter((F.col("members")[0] < F.col("others")[0]) & near)
-    across = pairs.select("members", "others").mapInArrow(_search_pairs(max_bits), "a long, b long")
-    return found.filter("kind = 'edge'").select("a", "b").unionByName(across)
+    return found.filter("kind = 'edge'").select("a", "b").unionByName(_across(found.filter("kind = 'node'"), max_bits))
+
+
+def _across(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Edges between the nodes of one bucket: groups of nodes against groups, then nodes
+    against nodes, by their masks; members are joined to the pairs left."""
+    first = F.col("members")[0]
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy(gray_rank(F.col("node")))) - 1
+    masks = write_scratch(nodes.select("bucket", first.alias("node"), "fixed", "value")
+                          .withColumn("grp", F.floor(at / NODES)), "simhash-nodes")  # a row a node, no members
+    low, high = F.bit_and("value"), F.bit_or("value")
+    groups = (masks.groupBy("bucket", "grp").agg(F.bit_and("fixed").alias("all"), low.alias("low"), high.alias("high"))
+              .select("bucket", "grp", F.expr("all & ~(low ^ high)").alias("fixed"), F.expr("low & all & ~(low ^ high)").alias("value")))
+
+    def other(side: DataFrame) -> DataFrame:
+        return side.select("bucket", *[F.col(c).alias(f"{c}2") for c in side.columns if c != "bucket"])
+
+    near = F.expr(f"bit_count((value ^ value2) & fixed & fixed2) <= {max_bits}")
+    pairs = groups.join(other(groups), "bucket").filter(near & F.expr("grp <= grp2")).select("bucket", "grp", "grp2")
+    pairs = (pairs.join(masks, ["bucket", "grp"]).join(other(masks), ["bucket", "grp2"])
+             .filter(near & F.expr("grp < grp2 or node < node2")).select("bucket", "node", "node2"))
+    held = nodes.select("bucket", first.alias("node"), "members")
+    met = pairs.join(held, ["bucket", "node"]).join(
+        held.select("bucket", F.col("node").alias("node2"), F.col("members").alias("others")), ["bucket", "node2"])
+    return met.select("members", "others").mapInArrow(_search_pairs(max_bits), "a long, b long")
 
 
 def _labelled(fps: DataFrame, max_bits: int) -> DataFrame:
     """(fp, label, low): each distinct fingerprint's component, and the smallest id that has it."""
-    classes = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    classes = write_scratch(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
     labels = connected_components(link_edges(classes, max_bits))
     return (classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
             .select("fp", "low", F.coalesce("label", "fp").alias("label")))

@@ -154,3 +154,35 @@ def test_the_rest_after_the_whole_chunks_is_judged():
     assert quality.compression(prose[:4096], compress)[1:] == (2, 0, True)
     assert quality.compression(prose[:4097], compress)[1:] == (3, 0, True)
     assert quality.compression(prose[:2047], compress)[1:] == (0, 0, True)
+
+
+def test_gray_tree_prunes_the_fingerprints_of_a_bucket(spark):
+    """The codes compared one by one are a small share of all pairs, in a bucket of the
+    size the search works on, on the fingerprints of the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [int(r.fingerprint, 16) for r in simhash.simhash_groups(docs).select("fingerprint").distinct().collect()]
+    rng = np.random.default_rng(3)
+    codes = np.unique(np.concatenate((np.array(rows, np.uint64), rng.integers(0, 1 << 63, 4000, np.uint64))))
+    rank = codes.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(step)
+    codes = codes[np.argsort(rank)]
+    i, j, compared = simhash.gray_search(codes, codes, 2, later=True)
+    a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2, 1))
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(a.tolist(), b.tolist()))
+    assert compared < 0.2 * len(codes) * (len(codes) - 1) / 2
+
+
+def test_bucket_longer_than_a_search_is_met_group_against_group(spark):
+    """Cut buckets of tens of thousands: every planted link between nodes is found."""
+    rng = np.random.default_rng(11)
+    base = rng.choice(1 << 62, 40000, replace=False).astype(np.int64)
+    planted = [(int(c), int(c) ^ (1 << int(x)) ^ (1 << int(y))) for c, x, y in
+               zip(base[:300], rng.integers(0, 62, 300), rng.integers(0, 62, 300)) if x != y]
+    codes = np.unique(np.concatenate((base, np.array([b for _, b in planted]))))
+    from unittest import mock
+    from prepark.llm.common import connected_components
+    with mock.patch.object(simhash, "BUCKET", 1 << 20):  # one bucket
+        got = {r.node: r.label for r in connected_components(
+            simhash.link_edges(spark.createDataFrame([(int(c),) for c in codes], "fp long"))).collect()}
+    assert all(got[a] == got[b] for a, b in planted)
