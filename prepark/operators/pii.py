@@ -3,6 +3,11 @@
 Patterns are the reference's Python patterns run by Java regex with ``(?U)``,
 which makes ``\\d``, ``\\s`` and ``\\b`` Unicode-aware as they are in Python.
 All matching is ``rlike`` / ``regexp_replace`` inside whole-stage codegen.
+
+Where only the presence of a match counts, shorter patterns say the same: an
+e-mail needs an ``@`` (a plain substring test first) and one character before it,
+a phone number's ``+`` is optional, and a 12-digit id is always a phone match too,
+so it is looked for in those values only.
 """
 
 from __future__ import annotations
@@ -42,11 +47,22 @@ def _literal(v) -> Column:
     return F.lit(v)
 
 
+def _start_at_digit(pattern: str) -> str:
+    """The same matches; word borders are only tested where a digit follows."""
+    return java_unicode(r"(?=\d)" + pattern)
+
+
+def pii_flags(c: Column) -> dict[str, Column]:
+    """Per pattern: does ``c`` hold a match of it?"""
+    email = c.contains("@") & c.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}")
+    phone = c.rlike(java_unicode(r"\d[\d\s\-]{6,}\d"))
+    return {"email": email, "phone_international": phone,
+            "aadhar_like": phone & c.rlike(_start_at_digit(PII_PATTERNS["aadhar_like"]))}
+
+
 def any_pii(c: Column) -> Column:
-    cond = F.lit(False)
-    for p in PII_PATTERNS.values():
-        cond = cond | c.rlike(java_unicode(p))
-    return cond
+    flags = pii_flags(c)
+    return flags["phone_international"] | flags["email"]  # every 12-digit id is a phone match
 
 
 def pii_detect(df: DataFrame, columns: list[str] | None = None, order_by=None, sample: int | None = 300,
@@ -116,9 +132,8 @@ def pii_counts(df: DataFrame, columns: list[str] | None = None, compat: bool = F
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, pattern string, n_match bigint")
     types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = [(c, name, p) for c in cols for name, p in PII_PATTERNS.items()]
-    agg = df.agg(*[F.count_if(_text_of(qcol(c), types[c]).rlike(java_unicode(p))).alias(f"m{i}")
-                   for i, (c, _, p) in enumerate(pairs)])
+    pairs = [(c, name, flag) for c in cols for name, flag in pii_flags(_text_of(qcol(c), types[c])).items()]
+    agg = df.agg(*[F.count_if(flag).alias(f"m{i}") for i, (_, _, flag) in enumerate(pairs)])
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(name).alias("pattern"), F.col(f"m{i}").alias("n_match"))
         for i, (c, name, _) in enumerate(pairs)])).alias("s")).select("s.*")
@@ -126,8 +141,8 @@ def pii_counts(df: DataFrame, columns: list[str] | None = None, compat: bool = F
 
 def mask_text(c: Column, mask_phone: bool = False) -> Column:
     """E2 on one column: e-mails, then 12-digit ids; phones only if asked."""
-    out = F.regexp_replace(c, java_unicode(PII_PATTERNS["email"]), EMAIL_MASK)
-    out = F.regexp_replace(out, java_unicode(PII_PATTERNS["aadhar_like"]), ID_MASK)
+    out = F.when(c.contains("@"), F.regexp_replace(c, PII_PATTERNS["email"], EMAIL_MASK)).otherwise(c)
+    out = F.regexp_replace(out, _start_at_digit(PII_PATTERNS["aadhar_like"]), ID_MASK)
     if mask_phone:
         out = F.regexp_replace(out, java_unicode(PII_PATTERNS["phone_international"]), "[PHONE_MASKED]")
     return out

@@ -370,6 +370,25 @@ def q_pii_mask(spark, d):
     return E.pii_mask(table(spark, d, "documents").select("doc_id", "text"), ["text"])
 
 
+def planted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns, some with 12-digit ids or an e-mail address added by rule."""
+    c, text = F.col("conv_id"), F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(c % 3 == 0, F.concat(text, F.lit(" ref 4321 8765 0123")))
+        .when(c % 3 == 1, F.concat(text, F.lit(" id 432187650123, mail a.b@example.org"))).otherwise(text).alias("text"))
+
+
+@query("pii_counts_planted")
+def q_pii_counts_planted(spark, d):
+    """E1b where every pattern occurs."""
+    return E.pii_counts(planted_turns(spark, d), ["text"])
+
+
+@query("pii_mask_planted")
+def q_pii_mask_planted(spark, d):
+    """E2 where both masks are written."""
+    return E.pii_mask(planted_turns(spark, d), ["text"])
+
+
 # ------------------------------------------------------------ sources, sinks
 @query("csv_roundtrip")
 def q_csv_roundtrip(spark, d):

@@ -300,6 +300,13 @@ def _register_pii_and_sources():
         for name, p in (("email", EMAIL), ("phone_international", PHONE), ("aadhar_like", AADHAR)))
     O["pii_mask"] = (f"SELECT doc_id, regexp_replace(regexp_replace(text, {_q(EMAIL)}, '[EMAIL_MASKED]', 'g'), "
                      f"{_q(AADHAR)}, '[PII_MASKED]', 'g') AS text FROM documents")
+    turns = """(SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text || ' ref 4321 8765 0123'
+       WHEN 1 THEN text || ' id 432187650123, mail a.b@example.org' ELSE text END AS text FROM conversations)"""
+    O["pii_counts_planted"] = "\nUNION ALL ".join(
+        f"SELECT 'text' AS \"column\", {_q(name)} AS pattern, count(*) FILTER (WHERE regexp_matches(text, {_q(p)})) AS n_match FROM {turns}"
+        for name, p in (("email", EMAIL), ("phone_international", PHONE), ("aadhar_like", AADHAR)))
+    O["pii_mask_planted"] = (f"SELECT conv_id, turn, regexp_replace(regexp_replace(text, {_q(EMAIL)}, '[EMAIL_MASKED]', 'g'), "
+                             f"{_q(AADHAR)}, '[PII_MASKED]', 'g') AS text FROM {turns}")
     O["csv_roundtrip"] = ("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, "
                           "p_retailprice FROM part")
     O["json_props"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
