@@ -746,6 +746,24 @@ def q_stream_clean(spark, d):
     return spark.read.parquet(sink).drop("_epoch")
 
 
+@query("stream_clean_stateful")
+def q_stream_clean_stateful(spark, d):
+    """J1 with memory: events with gaps in three files in order, each of the later ones with some
+    rows of an earlier one again; dedupe and fill give what they give on the one table."""
+    ev = events_gaps(spark, d).drop("ts")
+    low, high = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    third = (high - low) // 3 + 1
+    part = F.floor((F.col("event_id") - low) / third)
+    src = scratch_path(spark, "stream-parts")
+    for k in range(3):
+        again = (part == k - 1) & (F.col("event_id") % 10 == 4)
+        ev.where((part == k) | again).write.mode("append").parquet(f"{src}/part={k}")
+    stream = J.file_stream(spark, f"{src}/part=*", ev.schema, max_files_per_trigger=1)
+    sink, state, ckpt = (scratch_path(spark, f"stream-stateful-{x}") for x in ("sink", "state", "ckpt"))
+    J.clean_stream_stateful(stream, sink, state, ckpt, order_by="event_id", k=None).awaitTermination()
+    return spark.read.parquet(sink).select("event_id", "user_id", "event_type", "value", "k")
+
+
 @query("stream_windows")
 def q_stream_windows(spark, d):
     """Daily features per event type, 1 hour watermark, append mode."""

@@ -183,6 +183,9 @@ f AS (SELECT user_id, {ffill('event_type')}, {ffill('value')}, {ffill('k')}, eve
 {chain}
 SELECT event_id, user_id, event_type, value, k FROM {last}"""
 
+    O["stream_clean_stateful"] = f"""WITH ev AS ({EV_GAPS}),
+d AS (SELECT user_id, event_type, value, k, min(event_id) AS event_id FROM ev GROUP BY user_id, event_type, value, k)
+SELECT event_id, user_id, {ffill('event_type')}, {ffill('value')}, {ffill('k')} FROM d"""
     O["clean_records_summary"] = O["clean_records"].replace(
         "SELECT event_id, user_id, event_type, value, k FROM " + last,
         "SELECT count(*) AS rows, CAST(count(*) * 5 - count(event_id) - count(user_id) - count(event_type) "

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.kinds import numeric_columns, qcol
+from ..operators.clean import dedupe, fill_forward_backward, nan_to_null, within_bounds
 from ..operators.models import predict
 from ..operators.sensors import _feature_aggs, _feature_cols
 from ..plans.cleaning import clean_records
+from ..session import write_scratch
 from ..sources.audit import audit_rows
 
 
@@ -69,6 +71,124 @@ def clean_stream(stream: DataFrame, sink_path: str, checkpoint: str, order_by: s
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def _earlier(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
+    """What epochs before this one have stored under ``path`` (None: nothing yet)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return None
+    return spark.read.parquet(path).where(F.col("_epoch") < epoch_id)
+
+
+def _row_print(columns: list[str]):
+    """128 bits of a whole row; a null is not the same as a value left out."""
+    cells = [x for c in columns for x in (qcol(c).isNull(), qcol(c))]
+    return F.struct(F.xxhash64(F.lit(1), *cells).alias("a"), F.xxhash64(F.lit(2), *cells).alias("b"))
+
+
+def merge_moments(n: int, mean: float, m2: float, n2: int, mean2: float, m22: float) -> tuple[int, float, float]:
+    """Count, mean and sum of squared deviations of two parts together."""
+    total = n + n2
+    if not total:
+        return 0, 0.0, 0.0
+    delta = mean2 - mean
+    return total, mean + delta * n2 / total, m2 + m22 + delta * delta * n * n2 / total
+
+
+class StatefulCleaner:
+    """J1 with memory: what one micro-batch learns, the next one uses.
+
+    Three things are kept under ``state_path``, one folder per epoch:
+
+    - ``seen``: 128-bit prints of the kept rows' data columns, so a row that came in an
+      earlier batch is dropped. They grow with the distinct rows; ``remember`` keeps
+      to those of so many epochs.
+    - ``carry``: the last row in order of all rows so far, filled, as the first row the
+      next batch fills from (one row an epoch).
+    - ``moments``: count, mean and squared deviations of each number column over all
+      filled rows so far (one row a column), which give the 3-sigma bounds of a batch,
+      its own rows included. ``k=None`` leaves the filter out.
+
+    An epoch reads earlier epochs only and overwrites its own folders, state before rows,
+    so a batch that is replayed after a failure gives the same rows and the same state.
+
+    Defined results: rows that arrive later than their order says are filled from the rows
+    before them in their own batch, or the carried row if it comes before; a gap before
+    the first value of a column takes the first value of its batch, and stays null if
+    that has none. Missing order keys come first. Repeats within a batch keep the
+    smallest order key. An empty batch changes nothing.
+    """
+
+    def __init__(self, sink_path: str, state_path: str, order_by: str, k: float | None = 3.0, fmt: str = "parquet",
+                 remember: int | None = None):
+        self.sink, self.state = sink_path.rstrip("/"), state_path.rstrip("/")
+        self.order_by, self.k, self.fmt, self.remember = order_by, k, fmt, remember
+
+    def _write(self, df: DataFrame, what: str, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.state}/{what}/_epoch={epoch_id}")
+
+    def new_rows(self, batch: DataFrame, epoch_id: int) -> DataFrame:
+        """The batch without repeats, within it or of earlier epochs."""
+        data = [c for c in batch.columns if c != self.order_by]
+        rows = dedupe(nan_to_null(batch), order_by=self.order_by, order_is_position=True).withColumn("_print", _row_print(data))
+        seen = _earlier(batch.sparkSession, f"{self.state}/seen", epoch_id)
+        if seen is not None:
+            if self.remember is not None:
+                seen = seen.where(F.col("_epoch") >= epoch_id - self.remember)
+            rows = rows.join(seen.select(F.struct("a", "b").alias("_print")), "_print", "left_anti")
+        return write_scratch(rows, "stream-new")  # read twice below
+
+    def filled_rows(self, rows: DataFrame, epoch_id: int) -> DataFrame:
+        """``rows`` and the carried row (``_carried``), filled in order."""
+        carry = _earlier(rows.sparkSession, f"{self.state}/carry", epoch_id)
+        rows = rows.drop("_print").withColumn("_carried", F.lit(False))
+        if carry is not None:
+            last = carry.orderBy(F.col("_epoch").desc()).limit(1).drop("_epoch").withColumn("_carried", F.lit(True))
+            rows = rows.unionByName(last)
+        data = [c for c in rows.columns if c not in (self.order_by, "_carried")]
+        return write_scratch(fill_forward_backward(rows, data, order_by=self.order_by), "stream-filled")
+
+    def bounds(self, filled: DataFrame, epoch_id: int) -> dict[str, tuple[float | None, float | None]]:
+        """Bounds from all epochs up to this one; stores their moments. One row a column, schema-sized."""
+        spark, cols = filled.sparkSession, numeric_columns(filled, exclude=[self.order_by])
+        earlier = _earlier(spark, f"{self.state}/moments", epoch_id)
+        known = {}
+        if earlier is not None:
+            newest = earlier.groupBy("column").agg(F.max_by(F.struct("n", "mean", "m2"), "_epoch").alias("m"))
+            known = {r["column"]: tuple(r["m"]) for r in newest.collect()}
+        rows = filled.where("not _carried").agg(*[x for i, c in enumerate(cols) for x in (
+            F.count(qcol(c)).alias(f"n{i}"), F.avg(qcol(c)).alias(f"a{i}"), F.var_pop(qcol(c)).alias(f"v{i}"))]).first() if cols else None
+        out, state = {}, []
+        for i, c in enumerate(cols):
+            n = rows[f"n{i}"]
+            n, mean, m2 = merge_moments(*known.get(c, (0, 0.0, 0.0)), n, float(rows[f"a{i}"] or 0), float(rows[f"v{i}"] or 0) * n)
+            state.append((c, n, mean, m2))
+            sd = (m2 / (n - 1)) ** 0.5 if n > 1 else None
+            out[c] = (None, None) if sd is None else (mean - self.k * sd, mean + self.k * sd)
+        self._write(spark.createDataFrame(state, "column string, n long, mean double, m2 double"), "moments", epoch_id)
+        return out
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        rows = self.new_rows(batch, epoch_id)
+        filled = self.filled_rows(rows, epoch_id)
+        bounds = self.bounds(filled, epoch_id) if self.k is not None else {}
+        self._write(rows.select("_print.a", "_print.b"), "seen", epoch_id)
+        self._write(filled.orderBy(qcol(self.order_by).desc_nulls_last()).limit(1).drop("_carried"), "carry", epoch_id)
+        kept = filled.where("not _carried").drop("_carried")
+        for c, (lo, hi) in bounds.items():
+            kept = kept.where(within_bounds(c, lo, hi))
+        kept.write.mode("overwrite").format(self.fmt).save(f"{self.sink}/_epoch={epoch_id}")
+
+
+def clean_stream_stateful(stream: DataFrame, sink_path: str, state_path: str, checkpoint: str, order_by: str,
+                          k: float | None = 3.0, fmt: str = "parquet", remember: int | None = None,
+                          available_now: bool = True) -> StreamingQuery:
+    """A stream cleaned as one table (``StatefulCleaner``): repeats of earlier batches go,
+    gaps are filled over batches, bounds come from all rows so far."""
+    w = stream.writeStream.foreachBatch(StatefulCleaner(sink_path, state_path, order_by, k, fmt, remember))
+    w = w.option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 # --------------------------------------------------------------------- J2
 def window_features_stream(stream: DataFrame, ts_col: str, size: str, slide: str | None = None,
                            device_col: str | None = None, columns: list[str] | None = None,
