@@ -14,8 +14,11 @@ are judged on the input, and lines without words always stay.
    lines that share no half with another line have no near-equal line. The others
    are marked in a bitmap of ``BITS`` bits (a fixed size, so it can be broadcast),
    and a second scan fetches the words of marked lines only.
-3. Deletion neighbourhood: each such line emits one hashed variant for each word
-   left out, and itself. Variants that lack the same place of equally long lines
+3. Bitmaps let more lines pass the more lines there are, so the halves of the fetched
+   lines are counted exactly. A line whose first half alone is shared can have its edit
+   in the rest alone (and the other way round).
+   Deletion neighbourhood: each line emits one hashed variant for each word left out
+   where an edit may be, and itself. Variants that lack the same place of equally long lines
    meet (substitution), and variants meet whole lines (insertion, deletion). A
    key keeps its earliest member, so a template that a million lines vary yields
    a million links to one line and no pairs.
@@ -68,6 +71,21 @@ def _halves(words, n):
             .when(n >= MIN_WORDS - 1, F.array(*both(shorter))))
 
 
+def _shared_halves(near: DataFrame) -> DataFrame:
+    """(h1, h2, shared) of the lines that share a half with another line: bit k of ``shared``
+    tells of the k-th of ``halves``. The lines are distinct and a line's halves differ, so a half
+    that is counted twice is in two lines."""
+    halves = near.select("h1", "h2", F.posexplode("halves").alias("k", "half"))
+    twice = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    return halves.join(twice, "half").groupBy("h1", "h2").agg(F.expr("bit_or(shiftleft(1, k))").alias("shared"))
+
+
+def _may_be_cut(i, n, size, front, back):
+    """May the word at ``i`` of ``n`` be the edit, if a half of ``size`` words is shared in front or behind?"""
+    bit = lambda k: F.col("shared").bitwiseAND(F.shiftleft(F.lit(1), k)) != 0
+    return (bit(front) & (i >= size)) | (bit(back) & (i < n - size))
+
+
 def _same_start(a, b):
     """How many words two lists share from the start."""
     m = F.least(F.size(a), F.size(b))
@@ -85,18 +103,22 @@ def within_one_edit(a, b):
 def _variants(lines: DataFrame) -> DataFrame:
     """(key, role, h1, h2, first) of each line's deletion variants and of the line itself.
     A variant's hash is the exclusive or of its words' hashes at their places, so all
-    variants of a line come from running sums over its words."""
-    words = lines.select("h1", "h2", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    variants of a line come from running sums over its words. Words in front of a shared first
+    half's end, or behind a shared last half's start, are left out only if the other half is shared too."""
+    words = lines.select("h1", "h2", "first", "shared", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "i"), "moved": F.xxhash64("word", F.col("i") - 1)})
     line = "partition by h1, h2"
     upto = f"({line} order by i rows between unbounded preceding and current row)"
     words = words.selectExpr(
-        "h1", "h2", "first", "n", "i", f"bit_xor(here) over ({line}) as whole",
+        "h1", "h2", "first", "shared", "n", "i", f"bit_xor(here) over ({line}) as whole",
         f"bit_xor(here) over {upto} ^ here ^ (bit_xor(moved) over ({line}) ^ bit_xor(moved) over {upto}) as variant")
-    n = F.col("n")
+    n, i = F.col("n"), F.col("i")
+    swap = _may_be_cut(i, n, F.floor(n / 2), 0, 1)
+    # as the longer line: the halves of its own size come third and fourth where they are others
+    drop = F.when(n % 2 == 0, _may_be_cut(i, n, F.floor((n - 1) / 2), 2, 3)).otherwise(swap)
     role = F.explode(F.filter(F.array(
-        F.when(n >= MIN_WORDS, F.struct(F.xxhash64(F.lit("swap"), "variant", "i", "n").alias("key"), F.lit(0).alias("role"))),
-        F.when(n >= MIN_WORDS, F.struct(F.xxhash64(F.lit("drop"), "variant", n - 1).alias("key"), F.lit(1).alias("role"))),
+        F.when((n >= MIN_WORDS) & swap, F.struct(F.xxhash64(F.lit("swap"), "variant", "i", "n").alias("key"), F.lit(0).alias("role"))),
+        F.when((n >= MIN_WORDS) & drop, F.struct(F.xxhash64(F.lit("drop"), "variant", n - 1).alias("key"), F.lit(1).alias("role"))),
         F.when(F.col("i") == 0, F.struct(F.xxhash64(F.lit("drop"), "whole", n).alias("key"), F.lit(2).alias("role")))),
         lambda x: x.isNotNull()))
     return words.select("h1", "h2", "first", role.alias("x")).select("x.key", "x.role", "h1", "h2", "first")
@@ -150,9 +172,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spread = source.select("mark", F.posexplode(_lines("text")).alias("pos", "line"))
     near = (_named(_marked(spread.select("line", at), "at", places)).select("h1", "h2", "words").dropDuplicates(["h1", "h2"])
             .join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
-    near = write_scratch(near, "lines-near")
+    near = write_scratch(near.withColumn("halves", _halves(F.col("words"), F.size("words"))), "lines-near")
 
-    variants = write_scratch(_variants(near), "lines-variants")
+    variants = write_scratch(_variants(near.join(_shared_halves(near), ["h1", "h2"])), "lines-variants")
     is_whole = F.col("role") == 2
     keys = (variants.groupBy("key").agg(F.min(F.when(is_whole, F.col("first"))).alias("whole"),
                                         F.min(F.when(~is_whole, F.col("first"))).alias("variant"), F.count("*").alias("members"))

@@ -92,3 +92,31 @@ def test_main_path_is_native_and_stage_keeps_columns(spark, make_docs):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "a line that stays here\nx", 2: "other", 4: None, 5: ""}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_only_lines_that_share_a_half_are_cut_and_only_where_the_edit_may_be(spark, make_docs, monkeypatch):
+    """Full bitmaps let every line pass; the variants must not grow with what they let pass."""
+    written, write = {}, lines.write_scratch
+    monkeypatch.setattr(lines, "BITS", 64)
+    monkeypatch.setattr(lines, "write_scratch", lambda df, name: written.setdefault(name, write(df, name)))
+    alone = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)]
+    same = [f"s{k}" for k in range(10)]
+    even = [(100, " ".join(same)), (101, " ".join(same[:9] + ["t"])), (102, " ".join(same[:8] + same[9:]))]
+    rows = alone + even
+    assert result(lines.line_dedup(make_docs(rows))) == brute(rows)
+    assert written["lines-near"].count() > 20  # lines of one kind alone passed
+    # per line at most its whole, and two variants of each word behind the shared first half
+    assert written["lines-variants"].count() <= 3 + 2 * (6 + 6 + 5)
+
+
+def test_one_edit_at_every_place(spark, make_docs):
+    """Each edit of lines of 4 to 12 words, each in documents of its own."""
+    rows, at = [], 0
+    for n in range(4, 13):
+        for k in range(n):
+            base = [f"n{n}k{k}w{j}" for j in range(n)]
+            for line in (base[:k] + ["other"] + base[k + 1:], base[:k] + base[k + 1:], base[:k] + ["more"] + base[k:]):
+                rows += [(at, " ".join(base)), (at + 1, " ".join(line))]
+                at += 2
+    for pick in (rows, [(len(rows) - i, t) for i, t in rows]):
+        assert result(lines.line_dedup(make_docs(pick))) == brute(pick)
