@@ -13,7 +13,6 @@ exact quantiles of C1/D5.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
@@ -94,40 +93,39 @@ def _short(c: Column, dt: T.DataType) -> Column:
 
 
 def _edges(df: DataFrame, order: Column, n_blocks: int) -> DataFrame:
-    """One row: ``edges``, sorted edges of ``n_blocks`` ranges of the whole key, as an array of
-    arrays (about the square root of them in each), from a sample of some DRAWN_PER_BLOCK
-    keys per block, however many rows there are."""
-    keys = df.select(_whole_key(df, order).alias("key"))
-    share = DRAWN_PER_BLOCK * n_blocks / max(1, keys.count())
-    drawn = keys if share >= 1 else keys.filter(F.rand(17) < share)
+    """One row: ``edges``, the sorted edges of ``n_blocks`` ranges of the whole key, from a
+    sample of some DRAWN_PER_BLOCK keys per block, however many rows there are."""
+    share = DRAWN_PER_BLOCK * n_blocks / max(1, df.count())
+    # drawn first: the keys of the other rows are not worked out
+    drawn = (df if share >= 1 else df.filter(F.rand(17) < share)).select(_whole_key(df, order).alias("key"))
     drawn = drawn.select(_short(F.col("key"), drawn.schema["key"].dataType).alias("key"))
     # a bounded sample: it may be ranked in one task
     ranked = drawn.select("key", F.ntile(n_blocks).over(Window.orderBy("key")).alias("tile")).groupBy("tile").agg(F.array_min(F.collect_list("key")).alias("edge"))
-    per = max(1, math.isqrt(n_blocks))
-    return (ranked.filter("tile > 1").groupBy(((F.col("tile") - 2) / per).cast("int").alias("part")).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "edges"))), lambda x: x["edges"]).alias("edges")))
+    return ranked.filter("tile > 1").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _block_by_edges(df: DataFrame, order: Column, n_blocks: int, spread: bool) -> DataFrame:
-    """``BLK`` from the edges of the whole key: first the array of edges, then the place in it.
-
-    Equal rows that hold several edges may stand in any block between them; ``spread``
-    deals them out (for a caller that runs the plan once)."""
-    edges = write_scratch(_edges(df, order, n_blocks), "block-edges")  # drawn once
-    per = max(1, math.isqrt(n_blocks))
-    key, lists = F.col("_key"), F.col("_edges")
-
-    def place(before) -> Column:
-        part = F.size(F.filter(lists, lambda e: before(e[0], key)))
-        inside = F.size(F.filter(F.element_at(lists, F.greatest(part, F.lit(1))), lambda e: before(e, key)))
-        return F.when(part > 0, (part - 1) * per + inside).otherwise(0)
-
-    upto = place(lambda edge, k: edge <= k)
-    df = df.withColumn("_key", _whole_key(df, order)).join(F.broadcast(edges.withColumnRenamed("edges", "_edges")))  # one row
+    """``BLK`` from the edges of the whole key: how many of them lie before a row, by halving.
+
+    The edges are a subquery's value, never a column: a row that carried them would be
+    copied with all of them. Equal rows that hold several edges may stand in any block
+    between them; ``spread`` deals them out (for a caller that runs the plan once)."""
+    edges = write_scratch(_edges(df, order, n_blocks), "block-edges").scalar()  # drawn once
+    key, own = F.col("_key"), df.columns
+
+    def place(rows: DataFrame, name: str, before) -> DataFrame:
+        rows, step = rows.withColumn(name, F.lit(0)), 1 << n_blocks.bit_length()
+        while step := step >> 1:
+            # behind the last edge there is none: null, so the row stays
+            rows = rows.withColumn(name, F.col(name) + F.when(before(F.get(edges, F.col(name) + (step - 1)), key), step).otherwise(0))
+        return rows
+
+    rows = place(df.withColumn("_key", _whole_key(df, order)), "_upto", lambda edge, k: edge <= k)
+    block = F.col("_upto")
     if spread:
-        below = place(lambda edge, k: edge < k)
-        upto = below + F.pmod(F.monotonically_increasing_id(), upto - below + 1)
-    return df.withColumn(BLK, upto.cast("double")).drop("_key", "_edges")
+        rows = place(rows, "_below", lambda edge, k: edge < k)
+        block = F.col("_below") + F.pmod(F.monotonically_increasing_id(), F.col("_upto") - F.col("_below") + 1)
+    return rows.select(*[qcol(c) for c in own], block.cast("double").alias(BLK))
 
 
 def assign_blocks(df: DataFrame, order: Column, n_blocks: int | None = None,

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from prepark.operators import ordered
 from prepark.operators.clean import fill_forward_backward
 from prepark.operators.ordered import BLK, assign_blocks, ffill_bfill
 from prepark.plans.catalog import QUERIES
@@ -63,3 +64,18 @@ def test_empty_table(spark):
 def test_no_sorted_aggregate_over_cells(spark, key):
     plan = QUERIES[key](spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("n", [2, 7, 64, 100])
+def test_blocks_by_edges_are_searched_without_carrying_the_edges(spark, monkeypatch, n):
+    """A row that carries all edges costs as much as there are blocks; the place is the count of edges up to the key."""
+    written, write = [], ordered.write_scratch
+    monkeypatch.setattr(ordered, "write_scratch", lambda df, name: written.append(write(df, name)) or written[-1])
+    df = spark.range(5000).selectExpr("if(id % 9 = 0, null, concat('k', id % 3)) as day", "id * 7919 % 5003 as id")
+    key = F.struct("day", "id")
+    blocked, _ = assign_blocks(df, key, n)
+    assert "BroadcastNestedLoopJoin" not in blocked._jdf.queryExecution().executedPlan().toString()
+    edges = written[-1].selectExpr("inline(edges)")
+    want = blocked.join(F.broadcast(edges.withColumnRenamed("k", "e")), F.struct("e", "h") <= ordered._whole_key(df, key), "left").groupBy("id", BLK).agg(F.count("e").alias("n"))
+    assert want.count() == 5000 and want.filter(F.col(BLK) != F.col("n")).isEmpty()
+    assert want.select(BLK).distinct().count() == n
